@@ -8,9 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.types import num
+from sightline.types import chunks, num, sql_num
 
-FUSED_COLUMNS = 16  # up to here all pairs go into one generated aggregate
+FUSED_COLUMNS = 16  # up to here pairs are generated aggregates, beyond they are matrix products
+PAIRS_PER_JOB = 40
 
 
 def safe_corr(x: Column, y: Column, complete: bool = False) -> Column:
@@ -20,6 +21,13 @@ def safe_corr(x: Column, y: Column, complete: bool = False) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+def _corr_sql(a: str, b: str, complete: bool) -> str:
+    x, y = sql_num(a), sql_num(b)
+    if not complete:
+        x, y = f"if({y} is not null, {x}, null)", f"if({x} is not null, {y}, null)"
+    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+
+
 def pair_correlations(df: DataFrame, names: list[str], non_null: dict[str, int], rows: int) -> dict:
     """Correlation for every pair ``names[i], names[j]``, i < j."""
     pairs = list(combinations(names, 2))
@@ -28,9 +36,12 @@ def pair_correlations(df: DataFrame, names: list[str], non_null: dict[str, int],
     if len(names) > FUSED_COLUMNS:
         return _blocked(df, names)
     full = {n for n in names if non_null.get(n) == rows}
-    row = df.agg(*[safe_corr(num(a), num(b), a in full and b in full).alias(f"r{i}")
-                   for i, (a, b) in enumerate(pairs)]).first()
-    return {pair: _clip(row[f"r{i}"]) for i, pair in enumerate(pairs)}
+    out = {}
+    for group in chunks(pairs, PAIRS_PER_JOB):
+        row = df.agg(*[F.expr(_corr_sql(a, b, a in full and b in full)).alias(f"r{i}")
+                       for i, (a, b) in enumerate(group)]).first()
+        out.update({pair: _clip(row[f"r{i}"]) for i, pair in enumerate(group)})
+    return out
 
 
 def _clip(r):

@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, replace
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.session import cut_lineage
-from sightline.types import chunks, col
+from sightline.types import chunks, col, sql_lit, sql_num
 
 KEEP = 20_000  # rows of one bracket that may be listed by value
 SKETCH_K, SLACK = 8_000, 0.0015  # KLL size, and the rank slack put on both sides of a wanted rank
@@ -51,30 +50,24 @@ def _sketch_rank(p: float, slack: float) -> tuple[float, float]:
 
 def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75), keep: int | None = None) -> dict:
     """``{name: [quantile, ...]}`` for whole columns; null for a column without values."""
-    return expression_quantiles(df, {n: col(n).cast("double") for n in names}, probs, keep)
-
-
-def expression_quantiles(df: DataFrame, exprs: dict[str, Column], probs, keep: int | None = None) -> dict:
+    exprs = {n: sql_num(n) for n in names}
     keep = KEEP if keep is None else keep
     brackets, limits = [], {}
     for group in chunks(list(exprs), COLUMNS_PER_JOB):
-        sketches = df.agg(*[F.kll_sketch_agg_double(exprs[n], SKETCH_K).alias(f"s{i}") for i, n in enumerate(group)])
-        reads = []
-        for i, name in enumerate(group):
-            s = F.col(f"s{i}")
-            n = F.kll_sketch_get_n_double(s)
-            at = lambda q, s=s, n=n: F.when(n > 0, F.kll_sketch_get_quantile_double(s, F.lit(q)))
-            ends = [q for p in probs for q in _sketch_rank(p, SLACK)]
-            reads.append(F.struct(n.alias("n"), at(0.0).alias("low"), at(1.0).alias("high"),
-                                  F.array(*[at(q) for q in ends]).alias("ends")).alias(f"r{i}"))
-        row = sketches.select(*reads).first()
+        sketches = df.agg(*[F.kll_sketch_agg_double(F.expr(exprs[n]), SKETCH_K).alias(f"s{i}") for i, n in enumerate(group)])
+        ends = [0.0, 1.0] + [q for p in probs for q in _sketch_rank(p, SLACK)]
+        ranks = ", ".join(sql_lit(q) for q in ends)
+        row = sketches.select(*[F.expr(
+            f"struct(kll_sketch_get_n_double(s{i}) as n, if(kll_sketch_get_n_double(s{i}) > 0, "
+            f"kll_sketch_get_quantile_double(s{i}, array({ranks})), null) as ends) as r{i}")
+            for i in range(len(group))]).first()
         for i, name in enumerate(group):
             r = row[f"r{i}"]
             if not r["n"]:
                 continue
-            limits[name] = (r["low"], r["high"])
+            limits[name] = (r["ends"][0], r["ends"][1])
             for j, p in enumerate(probs):
-                brackets.append(Bracket(name, p, r["n"], r["ends"][2 * j], r["ends"][2 * j + 1], 3.0 * SLACK * r["n"]))
+                brackets.append(Bracket(name, p, r["n"], r["ends"][2 * j + 2], r["ends"][2 * j + 3], 3.0 * SLACK * r["n"]))
     solved = _solve(df, brackets, exprs, limits, keep)
     return {name: [solved.get((name, p)) for p in probs] for name in exprs}
 
@@ -82,7 +75,7 @@ def expression_quantiles(df: DataFrame, exprs: dict[str, Column], probs, keep: i
 def _solve(df, brackets, exprs, limits, keep) -> dict:
     solved = {}
     while brackets:
-        brackets = [b if b.bound <= keep else _narrow(df, b, exprs[b.name], keep) for b in brackets]
+        brackets = [b if b.bound <= keep else _narrow(df, b, F.expr(exprs[b.name]), keep) for b in brackets]
         missed = []
         for group in chunks(brackets, 3 * COLUMNS_PER_JOB):
             tables = _inside_counts(df, group, exprs)
@@ -125,28 +118,29 @@ def _inside_counts(df: DataFrame, group: list[Bracket], exprs) -> dict[int, list
     """Per bracket: rows below it (value None), rows on its ends, and the values between with their counts."""
     out: dict[int, list] = {}
     for part in chunks(list(enumerate(group)), COUNTED_PER_JOB):
-        row = df.agg(*[F.count_if(test).alias(f"{k}{i}") for i, b in part for k, test in _end_tests(exprs[b.name], b)
-                       ]).first()
+        row = df.agg(*[F.expr(f"count_if({test}) as {k}{i}") for i, b in part
+                       for k, test in _end_tests(exprs[b.name], b)]).first()
         for i, b in part:
             below, to_lo = row[f"a{i}"], row[f"b{i}"]
             out[i] = [(None, below), (b.lo, to_lo - below)]
             if b.hi > b.lo:
                 out[i].append((b.hi, row[f"d{i}"] - row[f"c{i}"]))
-    wide = [(i, b, (exprs[b.name] > b.lo) & (exprs[b.name] < b.hi)) for i, b in enumerate(group) if b.hi > b.lo]
+    wide = [(i, b, f"({exprs[b.name]} > {sql_lit(b.lo)} and {exprs[b.name]} < {sql_lit(b.hi)})")
+            for i, b in enumerate(group) if b.hi > b.lo]
     if wide:
         # the bounds on the column itself let the scan skip row groups outside every bracket
-        cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(hit, exprs[b.name]).alias("v")) for i, b, hit in wide])
-        inside = (df.filter(reduce(lambda a, c: a | c, [hit for *_, hit in wide]))
-                  .select(F.inline(F.filter(cells, lambda s: s["v"].isNotNull())))
-                  .groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
+        cells = ", ".join(f"struct({i} as i, if({hit}, {exprs[b.name]}, null) as v)" for i, b, hit in wide)
+        inside = (df.filter(" or ".join(hit for *_, hit in wide)).select(F.expr(f"inline(array({cells}))"))
+                  .filter("v is not null").groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")))
         for r in inside.collect():  # at most KEEP values per bracket
             out[r["i"]].append((r["v"], r["k"]))
     return out
 
 
-def _end_tests(x: Column, b: Bracket):
-    tests = [("a", x < b.lo), ("b", x <= b.lo)]
-    return tests if b.lo == b.hi else tests + [("c", x < b.hi), ("d", x <= b.hi)]
+def _end_tests(x: str, b: Bracket) -> list[tuple[str, str]]:
+    lo, hi = sql_lit(b.lo), sql_lit(b.hi)
+    tests = [("a", f"{x} < {lo}"), ("b", f"{x} <= {lo}")]
+    return tests if b.lo == b.hi else tests + [("c", f"{x} < {hi}"), ("d", f"{x} <= {hi}")]
 
 
 def _read(b: Bracket, table) -> float | None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import counts, quantiles
 from sightline.functions.parsing import to_moment, to_number
-from sightline.types import chunks, col, is_numeric, num, numeric_names, string_names
+from sightline.types import chunks, col, is_numeric, numeric_names, sql_lit, sql_num, string_names
 
 QUARTILES = (0.25, 0.5, 0.75)
 COLUMNS_PER_JOB = 40
@@ -185,7 +185,7 @@ def number_stats(df: DataFrame, names: list[str], quartiles: bool = True) -> dic
     """
     out: dict[str, NumberStats] = {}
     for group in chunks(names, MOMENT_COLUMNS):
-        row = df.agg(*[a.alias(f"{k}{i}") for i, name in enumerate(group) for k, a in _moment_aggs(num(name))]).first()
+        row = df.agg(*[a.alias(f"{k}{i}") for i, name in enumerate(group) for k, a in _moment_aggs(sql_num(name))]).first()
         for i, name in enumerate(group):
             out[name] = NumberStats(row[f"n{i}"], row[f"mean{i}"], row[f"var{i}"], row[f"lo{i}"], row[f"hi{i}"],
                                     row[f"skew{i}"], row[f"kurt{i}"])
@@ -196,8 +196,8 @@ def number_stats(df: DataFrame, names: list[str], quartiles: bool = True) -> dic
 
 
 def _moment_aggs(x):
-    return [("n", F.count(x)), ("mean", F.avg(x)), ("var", F.var_pop(x)), ("lo", F.min(x)), ("hi", F.max(x)),
-            ("skew", F.skewness(x)), ("kurt", F.kurtosis(x))]
+    return [(k, F.expr(f"{f}({x})")) for k, f in (("n", "count"), ("mean", "avg"), ("var", "var_pop"), ("lo", "min"),
+                                                  ("hi", "max"), ("skew", "skewness"), ("kurt", "kurtosis"))]
 
 
 def value_stats(df: DataFrame, names: list[str]) -> dict[str, ValueStats]:
@@ -212,7 +212,7 @@ def value_stats(df: DataFrame, names: list[str]) -> dict[str, ValueStats]:
 def count_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, int]:
     out: dict[str, int] = {}
     for group in chunks(list(bounds), 100):
-        row = df.agg(*[F.count_if((num(c) < F.lit(bounds[c][0])) | (num(c) > F.lit(bounds[c][1]))).alias(f"k{i}")
-                       for i, c in enumerate(group)]).first()
+        row = df.agg(*[F.expr(f"count_if({sql_num(c)} < {sql_lit(bounds[c][0])} or {sql_num(c)} > "
+                              f"{sql_lit(bounds[c][1])}) as k{i}") for i, c in enumerate(group)]).first()
         out.update({c: row[f"k{i}"] for i, c in enumerate(group)})
     return out

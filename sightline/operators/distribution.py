@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.quantiles import exact_quantiles, grouped_quantiles
 from sightline.functions.tablestats import number_stats
-from sightline.types import chunks, col, num, require, small_frame
+from sightline.types import chunks, col, num, require, small_frame, sql_lit, sql_num
 
 POINTS_PER_JOB = 25  # density points per generated aggregate
 
@@ -129,15 +129,15 @@ def kde(df: DataFrame, names: list[str], points: int = 200, bandwidth: float | N
         grid = _grid(st.low, st.high, points)
         sums: list[float] = []
         for part in chunks(grid, POINTS_PER_JOB):
-            sums += list(df.agg(*[_kernel_sum(num(name), F.lit(g), F.lit(h)) for g in part]).first())
+            sums += list(df.agg(*[F.expr(kernel_sum(sql_num(name), sql_lit(g), sql_lit(h))).alias(f"p{i}")
+                                  for i, g in enumerate(part)]).first())
         rows += [(name, i, g, total / (st.n * h * math.sqrt(2 * math.pi)))
                  for i, (g, total) in enumerate(zip(grid, sums))]
     return small_frame(df.sparkSession, rows, "column string, point int, x double, density double")
 
 
-def _kernel_sum(x: Column, at: Column, h: Column) -> Column:
-    z = (x - at) / h
-    return F.sum(F.exp(z * z * -0.5))
+def kernel_sum(x: str, at: str, h: str) -> str:
+    return f"sum(exp(-0.5D * pow(({x} - {at}) / {h}, 2D)))"
 
 
 def kde_by_group(df: DataFrame, name: str, by: str, points: int = 100, bandwidth: float | None = None) -> DataFrame:
@@ -152,13 +152,12 @@ def kde_by_group(df: DataFrame, name: str, by: str, points: int = 100, bandwidth
     out = None
     for start in range(0, points, POINTS_PER_JOB):
         index = range(start, min(start + POINTS_PER_JOB, points))
-        at = [F.col("_lo") + (F.col("_hi") - F.col("_lo")) * i / (points - 1) for i in index]
+        at = [f"(_lo + (_hi - _lo) * {i} / {points - 1})" for i in index]
         sums = joined.groupBy("_g", "_n", "_lo", "_hi", "_h").agg(
-            *[_kernel_sum(F.col("_x"), a, F.col("_h")).alias(f"p{i}") for i, a in zip(index, at)])
-        scale = F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)
-        part = sums.select(F.col("_g").alias(by), F.inline(F.array(*[
-            F.struct(F.lit(i).alias("point"), a.alias("x"), (F.col(f"p{i}") / scale).alias("density"))
-            for i, a in zip(index, at)])))
+            *[F.expr(kernel_sum("_x", a, "_h")).alias(f"p{i}") for i, a in zip(index, at)])
+        scale = f"(_n * _h * {sql_lit(math.sqrt(2 * math.pi))})"
+        cells = ", ".join(f"struct({i} as point, {a} as x, p{i} / {scale} as density)" for i, a in zip(index, at))
+        part = sums.select(F.col("_g").alias(by), F.expr(f"inline(array({cells}))"))
         out = part if out is None else out.unionByName(part)
     return out
 

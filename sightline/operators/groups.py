@@ -116,6 +116,22 @@ def kpi(df: DataFrame, name: str, aggregation: str = "count") -> DataFrame:
 
 def format_kpi(value: Column) -> Column:
     """Millions as x.xM, thousands as x.xK, else one decimal."""
-    return (F.when(value >= 1e6, F.format_string("%.1fM", value / 1e6))
-            .when(value >= 1e3, F.format_string("%.1fK", value / 1e3))
-            .when(value.isNotNull(), F.format_string("%.1f", value)))
+    return (F.when(value >= 1e6, F.concat(one_decimal(value / 1e6), F.lit("M")))
+            .when(value >= 1e3, F.concat(one_decimal(value / 1e3), F.lit("K")))
+            .when(value.isNotNull(), one_decimal(value)))
+
+
+def one_decimal(value: Column) -> Column:
+    """One decimal of the exact binary value, ties to even.
+
+    With the fraction b, 10 b is compared to the midpoint as 8 b - midpoint + 2 b, which is free of rounding.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    b = size - whole
+    tenth = F.floor(b * 10)
+    beyond = (b * 8 - (tenth + 0.5)) + b * 2
+    tenth = tenth + F.when((beyond > 0) | ((beyond == 0) & (tenth % 2 == 1)), 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    return F.concat(sign, (whole + F.floor(tenth / 10)).cast("bigint").cast("string"), F.lit("."),
+                    (tenth % 10).cast("int").cast("string"))

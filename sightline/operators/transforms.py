@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sightline.functions.parsing import embedded_number, json_or_error, strip, title_case
 from sightline.operators.filters import filter_domain_range
 from sightline.operators.typing import geo_column_names
-from sightline.types import col, is_numeric, num, require
+from sightline.types import col, is_numeric, num, require, sql_lit, sql_num
 
 BOXCOX_LOW, BOXCOX_HIGH, BOXCOX_STEPS, BOXCOX_ROUNDS = -5.0, 5.0, 20, 5
 
@@ -87,6 +87,11 @@ def boxcox_value(x: Column, lam: float) -> Column:
     return F.ln(x) if abs(lam) < 1e-9 else (F.exp(F.lit(lam) * F.ln(x)) - 1.0) / F.lit(lam)
 
 
+def _boxcox_sql(name: str, lam: float) -> str:
+    x, g = sql_num(name), sql_lit(lam)
+    return f"ln({x})" if abs(lam) < 1e-9 else f"(exp({g} * ln({x})) - 1D) / {g}"
+
+
 def boxcox_lambda(df: DataFrame, name: str) -> float | None:
     """The exponent of highest likelihood: a grid of likelihoods per scan, refined around its best point."""
     require(df, name)
@@ -100,7 +105,7 @@ def boxcox_lambda(df: DataFrame, name: str) -> float | None:
     best = 1.0
     for _ in range(BOXCOX_ROUNDS):
         grid = [lo + (hi - lo) * i / BOXCOX_STEPS for i in range(BOXCOX_STEPS + 1)]
-        row = df.agg(*[F.ln(F.nullif(F.var_pop(boxcox_value(x, g)), F.lit(0.0))).alias(f"v{i}")
+        row = df.agg(*[F.expr(f"ln(nullif(var_pop({_boxcox_sql(name, g)}), 0D))").alias(f"v{i}")
                        for i, g in enumerate(grid)]).first()
         score = {g: -0.5 * n * row[f"v{i}"] + (g - 1.0) * logs for i, g in enumerate(grid) if row[f"v{i}"] is not None}
         if not score:

@@ -1 +1,78 @@
-"""To come."""
+"""Projection, clustering, supervised baselines, lag features and anomaly detection."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightline.operators import anomaly, models
+from sightline_queries.registry import query
+
+LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("pca")
+def _(spark, read):
+    return models.pca(read("lineitem"), LINE).select("l_orderkey", "l_linenumber", "pc1", "pc2", "pc3")
+
+
+@query("pca_variance")
+def _(spark, read):
+    return models.pca_variance(read("lineitem"), LINE).drop("loadings")
+
+
+@query("kmeans")
+def _(spark, read):
+    return models.kmeans(read("lineitem"), LINE).select("l_orderkey", "l_linenumber", "cluster", "pc1", "pc2", "pc3")
+
+
+@query("cluster_sizes")
+def _(spark, read):
+    return models.cluster_sizes(read("customer"), ["c_acctbal", "c_nationkey"])
+
+
+@query("cluster_summary")
+def _(spark, read):
+    return models.cluster_summary(read("customer"), ["c_acctbal", "c_nationkey"])
+
+
+@query("baseline_classifier")
+def _(spark, read):
+    return models.baseline_classifier(read("lineitem").drop("l_shipdate"), "l_linestatus", "logistic", folds=2)
+
+
+@query("baseline_regressor")
+def _(spark, read):
+    return models.baseline_regressor(read("lineitem").drop("l_shipdate"), "l_extendedprice", "linear", folds=2)
+
+
+@query("feature_importance")
+def _(spark, read):
+    _, model, used, *_ = models.fit_regressor(read("part"), "p_retailprice", "gradient_boosting",
+                                              ["p_partkey", "p_size", "p_brand", "p_type"])
+    return models.feature_importance(spark, model, used)
+
+
+def _lag_sql(count: int) -> str:
+    names = ", ".join(f"lag(value, {i}) over w as lag_{i}" for i in range(1, count + 1))
+    shown = ", ".join(f"round(lag_{i}, 6) as lag_{i}" for i in range(1, count + 1))
+    return (f"select user_id, position, round(y, 6) as y, {shown} from (select user_id, value as y, row_number() over w as "
+            f"position, {names} from events window w as (partition by user_id order by ts, value)) "
+            f"where lag_{count} is not null")
+
+
+@query("lag_features", _lag_sql(12))
+def _(spark, read):
+    return models.lag_features(read("events"), "ts", "value", 12, ["user_id"]).drop("ts")
+
+
+@query("lag_features_one_series", "select position, round(y, 6) as y, round(l1, 6) as lag_1, round(l2, 6) as lag_2 from "
+       "(select value as y, row_number() over w as position, lag(value, 1) over w as l1, lag(value, 2) over w as l2 "
+       "from events window w as (order by ts, value)) where l2 is not null")
+def _(spark, read):
+    """One series over the whole table, cut into blocks so that no task holds it."""
+    return models.lag_features(read("events"), "ts", "value", 2, block=1000).drop("ts")
+
+
+@query("forecast_baseline")
+def _(spark, read):
+    return models.forecast_baseline(read("events"), "ts", "value", 12, ["user_id"], max_iter=10)
