@@ -18,14 +18,16 @@ def safe_corr(x: Column, y: Column, complete: bool = False) -> Column:
     """Correlation of the rows where both values exist; null where one side does not vary."""
     if not complete:
         x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # a constant may leave a tiny deviation by rounding
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def _corr_sql(a: str, b: str, complete: bool) -> str:
     x, y = sql_num(a), sql_num(b)
     if not complete:
         x, y = f"if({y} is not null, {x}, null)", f"if({x} is not null, {y}, null)"
-    return f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y}))"
+    return (f"if(min({x}) < max({x}) and min({y}) < max({y}), "
+            f"try_divide(covar_pop({x}, {y}), stddev_pop({x}) * stddev_pop({y})), null)")
 
 
 def pair_correlations(df: DataFrame, names: list[str], non_null: dict[str, int], rows: int) -> dict:
@@ -49,11 +51,12 @@ def _clip(r):
 
 
 def _blocked(df: DataFrame, names: list[str]) -> dict:
-    """Wide tables: every task reduces its rows to five p x p matrices, Spark adds the matrices up.
+    """Wide tables: every task reduces its rows to p x p matrices of sums, Spark adds the matrices up.
 
     Values are shifted by the column mean first so that the sums stay well conditioned.
     """
-    means = df.agg(*[F.avg(num(n)).alias(f"m{i}") for i, n in enumerate(names)]).first()
+    means = df.agg(*[F.expr(f"if(min({x}) = max({x}), min({x}), avg({x}))").alias(f"m{i}")
+                     for i, x in enumerate(map(sql_num, names))]).first()
     shifted = df.select(*[(num(n) - F.lit(means[f"m{i}"] or 0.0)).alias(f"c{i}") for i, n in enumerate(names)])
     p = len(names)
 

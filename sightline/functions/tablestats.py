@@ -189,6 +189,8 @@ def number_stats(df: DataFrame, names: list[str], quartiles: bool = True) -> dic
         for i, name in enumerate(group):
             out[name] = NumberStats(row[f"n{i}"], row[f"mean{i}"], row[f"var{i}"], row[f"lo{i}"], row[f"hi{i}"],
                                     row[f"skew{i}"], row[f"kurt{i}"])
+            if out[name].n and out[name].low == out[name].high:  # rounding may leave a constant a tiny deviation
+                out[name].mean, out[name].var_pop, out[name].skew, out[name].kurt = out[name].low, 0.0, None, None
     if quartiles and names:
         for name, values in quantiles.exact_quantiles(df, names, QUARTILES).items():
             out[name].q1, out[name].median, out[name].q3 = values

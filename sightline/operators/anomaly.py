@@ -1 +1,297 @@
-"""Density and isolation based anomaly detection."""
+"""Density and isolation based anomaly detection and clustering, distributed by space or by tree."""
+
+from __future__ import annotations
+
+import math
+from itertools import product
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sightline.functions.quantiles import exact_quantiles
+from sightline.functions.ranks import with_position
+from sightline.operators.models import Projection, complete_rows, standard_columns
+from sightline.session import cut_lineage
+from sightline.types import num, numeric_names
+
+SEED = 42
+SUBSAMPLE = 256
+
+
+# ---------------------------------------------------------------- isolation forest
+
+def _path_length(n: float) -> float:
+    """Mean depth of an unsuccessful search in a binary tree of n leaves."""
+    if n <= 1:
+        return 0.0
+    return 1.0 if n == 2 else 2.0 * (math.log(n - 1) + np.euler_gamma) - 2.0 * (n - 1) / n
+
+
+NODE_SCHEMA = "tree int, node int, feature int, cut double, left int, right int, depth double"
+
+
+def _grow(x: np.ndarray, seed: int) -> list[tuple]:
+    """One isolation tree as rows (node, feature, cut, left, right, expected depth)."""
+    rng = np.random.default_rng(seed)
+    limit = math.ceil(math.log2(max(2, len(x))))
+    nodes: list[list] = []
+    stack = [(np.arange(len(x)), 0, -1, 0)]
+    while stack:
+        rows, depth, parent, side = stack.pop()
+        me = len(nodes)
+        nodes.append([me, -1, 0.0, -1, -1, depth + _path_length(len(rows))])
+        if parent >= 0:
+            nodes[parent][3 + side] = me
+        part = x[rows]
+        low, high = (part.min(axis=0), part.max(axis=0)) if len(rows) else (None, None)
+        if depth >= limit or len(rows) <= 1 or not (high > low).any():
+            continue
+        feature = int(rng.choice(np.flatnonzero(high > low)))
+        cut = float(rng.uniform(low[feature], high[feature]))
+        goes = part[:, feature] < cut
+        nodes[me][1:3] = [feature, cut]
+        stack += [(rows[goes], depth + 1, me, 0), (rows[~goes], depth + 1, me, 1)]
+    return [tuple(n) for n in nodes]
+
+
+def isolation_forest(df: DataFrame, names: list[str] | None = None, trees: int = 100, contamination: float = 0.05,
+                     seed: int = SEED) -> DataFrame:
+    """Rows with an anomaly score in (0, 1) and a label: -1 for the most isolated share, else 1.
+
+    Every tree is grown in its own task from a bounded random subsample; the forest (at most
+    ``trees * (2 * 256 - 1)`` nodes) is small enough to ship with the scoring function.
+    """
+    names = names or numeric_names(df)
+    rows = complete_rows(df, names)
+    n = rows.count()
+    if n == 0:
+        return rows.withColumns({"score": F.lit(None).cast("double"), "label": F.lit(None).cast("int")})
+    size = min(SUBSAMPLE, n)
+    # a row enters a tree with a probability that gives a little more than the wanted size, then the size is cut
+    scale = 1_000_000_000
+    rate = min(1.0, (size + 6 * math.sqrt(size)) / n)
+    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
+        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col("_u")), F.lit(scale)).alias("draw")))
+    picked = rows.select(F.array(*[num(c) for c in names]).alias("x"), F.rand(seed).alias("_u")).select(
+        "x", F.inline(F.filter(draws, lambda d: d["draw"] < int(rate * scale))))
+
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.nsmallest(size, "draw")
+        tree = int(pdf["tree"].iloc[0])
+        made = _grow(np.stack(pdf["x"].to_numpy()), seed * 1000 + tree)
+        return pd.DataFrame([(tree, *m) for m in made],
+                            columns=["tree", "node", "feature", "cut", "left", "right", "depth"])
+
+    nodes = picked.groupBy("tree").applyInPandas(grow, NODE_SCHEMA).toPandas()  # bounded by trees and subsample
+    forest = [g.sort_values("node") for _, g in nodes.groupby("tree")]
+    forest = [(g["feature"].to_numpy(), g["cut"].to_numpy(), g["left"].to_numpy(), g["right"].to_numpy(),
+               g["depth"].to_numpy()) for g in forest]
+    shared = df.sparkSession.sparkContext.broadcast(forest)
+    norm = max(_path_length(size), 1e-12)
+
+    @F.pandas_udf(T.DoubleType())
+    def score(*cols: pd.Series) -> pd.Series:
+        x = np.column_stack([c.to_numpy(dtype="float64") for c in cols])
+        total = np.zeros(len(x))
+        everyone = np.arange(len(x))
+        for feature, cut, left, right, depth in shared.value:
+            at = np.zeros(len(x), dtype="int64")
+            while True:
+                f = feature[at]
+                inner = f >= 0
+                if not inner.any():
+                    break
+                goes = x[everyone, np.where(inner, f, 0)] < cut[at]
+                at = np.where(inner, np.where(goes, left[at], right[at]), at)
+            total += depth[at]
+        return pd.Series(np.power(2.0, -total / len(shared.value) / norm))
+
+    scored = rows.withColumn("score", score(*[num(c) for c in names]))
+    limit = exact_quantiles(scored.select("score"), ["score"], (1.0 - contamination,))["score"][0]
+    return scored.withColumn("label", F.when(F.col("score") > limit, -1).otherwise(1))
+
+
+def anomaly_counts(labelled: DataFrame) -> DataFrame:
+    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# ---------------------------------------------------------------- shared: standardised points and grid cells
+
+def _points(df: DataFrame, names: list[str], scale: bool) -> tuple[DataFrame, list[Column]]:
+    """Complete rows and their coordinates: standardised, beyond three columns as principal components."""
+    rows = complete_rows(df, names)
+    if not scale:
+        return rows, [num(c) for c in names]
+    if len(names) > 3:
+        return rows, Projection.fit(df, names, 3).columns()
+    return rows, standard_columns(rows, names)
+
+
+def _distinct_points(rows: DataFrame, coords: list[Column]) -> tuple[DataFrame, list[str]]:
+    """Distinct coordinates with their number of rows: copies of a point are counted, never compared."""
+    axes = [f"x{i}" for i in range(len(coords))]
+    located = rows.select(*[c.alias(a) for c, a in zip(coords, axes)])
+    return located.groupBy(*axes).agg(F.count(F.lit(1)).alias("w")), axes
+
+
+def _cell(axes: list[str], side: float, prefix: str = "c") -> list[Column]:
+    return [F.floor(F.col(a) / F.lit(side)).cast("bigint").alias(f"{prefix}{i}") for i, a in enumerate(axes)]
+
+
+def _square(axes: list[str], left: str, right: str) -> str:
+    return " + ".join(f"({left}{a} - {right}{a}) * ({left}{a} - {right}{a})" for a in axes)
+
+
+# ---------------------------------------------------------------- DBSCAN
+
+def _near_offsets(d: int) -> list[tuple[int, ...]]:
+    """Cell offsets that can hold a point within eps when the cell side is eps / sqrt(d)."""
+    reach = math.ceil(math.sqrt(d))
+    return [o for o in product(range(-reach, reach + 1), repeat=d)
+            if sum(max(0, abs(k) - 1) ** 2 for k in o) <= d]
+
+
+def dbscan(df: DataFrame, names: list[str] | None = None, eps: float = 0.5, min_samples: int = 5,
+           scale: bool = True) -> DataFrame:
+    """Rows with their cluster number (from 0) or -1 for noise; exact, on at most three coordinates.
+
+    Space is cut into cells whose diagonal is eps, so all points of a cell are neighbours: a cell with
+    ``min_samples`` rows is core without comparing points.  Only points of thin cells are compared with the
+    cells around them, and two dense cells are linked by refining boxes around their nearest points, so no
+    step compares all pairs of a crowded region.  Clusters are the connected components of core cells.
+    """
+    names = names or numeric_names(df)
+    rows, coords = _points(df, names, scale)
+    points, axes = _distinct_points(rows, coords)
+    d = len(axes)
+    side = eps / math.sqrt(d) * (1 - 1e-12)
+    cells = [f"c{i}" for i in range(d)]
+    points = cut_lineage(points.select("*", *_cell(axes, side)))
+    sizes = points.groupBy(*cells).agg(F.sum("w").alias("cell_rows"))
+    dense = sizes.filter(F.col("cell_rows") >= min_samples).select(*cells)
+    thin = points.join(dense, cells, "left_anti")  # fewer than min_samples rows per cell
+    near = F.array(*[F.struct(*[F.lit(k).cast("bigint").alias(f"o{i}") for i, k in enumerate(o)])
+                     for o in _near_offsets(d)])
+
+    def around(table: DataFrame, keep: list[str]) -> DataFrame:
+        """One row per point and cell around it (cell columns n0, n1, ...)."""
+        spread = table.select(*keep, F.inline(near), *cells)
+        return spread.select(*keep, *[(F.col(f"c{i}") + F.col(f"o{i}")).alias(f"n{i}") for i in range(d)])
+
+    query = around(thin.select(*[F.col(a).alias(f"q{a}") for a in axes], *cells), [f"q{a}" for a in axes])
+    on = [F.col(f"n{i}") == F.col(f"c{i}") for i in range(d)]
+    within = F.expr(f"{_square(axes, 'q', '')} <= {eps * eps!r}D")
+    keys = [f"q{a}" for a in axes]
+    counted = query.join(points, on).filter(within).groupBy(*keys).agg(F.sum("w").alias("seen"))
+    thin_core = counted.filter(F.col("seen") >= min_samples).select(*[F.col(f"q{a}").alias(a) for a in axes])
+    thin_core = thin.join(thin_core, axes, "left_semi")
+    core = cut_lineage(points.join(dense, cells, "left_semi").unionByName(thin_core))  # core points with their cell
+
+    links = _cell_links(core, dense, cells, axes, eps, near)
+    labels = _components(core.select(*cells).distinct(), links, cells)
+    numbered = cut_lineage(core.join(labels, cells).select(*axes, *cells, "root"))
+
+    # border points: the smallest cluster with a core point within eps
+    border = around(thin.join(thin_core.select(*axes), axes, "left_anti").select(
+        *[F.col(a).alias(f"q{a}") for a in axes], *cells), keys)
+    claimed = (border.join(numbered, on).filter(within).groupBy(*keys).agg(F.min("root").alias("root"))
+               .select(*[F.col(f"q{a}").alias(a) for a in axes], "root"))
+    known = numbered.select(*axes, "root").unionByName(claimed)
+    roots = numbered.groupBy("root").agg(F.sum(F.lit(1)).alias("_k"))
+    order = with_position(roots.select("root"), [], ["root"], "cluster").select(
+        "root", (F.col("cluster") - 1).cast("bigint").alias("cluster"))
+    found = known.join(order, "root").drop("root")
+    located = rows.select("*", *[c.alias(a) for c, a in zip(coords, axes)])
+    return located.join(found, axes, "left").drop(*axes).na.fill(-1, ["cluster"])
+
+
+def _cell_links(core: DataFrame, dense: DataFrame, cells: list[str], axes: list[str], eps: float, near) -> DataFrame:
+    """Pairs of different core cells that hold core points within eps of each other.
+
+    Boxes of points are compared instead of points: boxes further apart than eps cannot link, boxes whose
+    furthest corners are within eps do.  What stays open is halved along every axis, until boxes are points.
+    """
+    d = len(axes)
+    left, right = [f"a{i}" for i in range(d)], [f"b{i}" for i in range(d)]
+    extent = [f(a).alias(f"{k}{a}") for a in axes for k, f in (("lo", F.min), ("hi", F.max))]
+    side = eps / math.sqrt(d) * (1 - 1e-12)
+    members = core.select(*cells).distinct()
+    spread = members.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cells)], F.inline(near))
+    pairs = spread.select(*left, *[(F.col(f"a{i}") + F.col(f"o{i}")).alias(f"b{i}") for i in range(d)])
+    later = F.struct(*left) < F.struct(*right)
+    open_pairs = pairs.filter(later).join(
+        members.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cells)]), right, "left_semi")
+    gap = " + ".join(f"pow(greatest(0D, r.lo{a} - l.hi{a}, l.lo{a} - r.hi{a}), 2D)" for a in axes)
+    far = " + ".join(f"pow(greatest(r.hi{a} - l.lo{a}, l.hi{a} - r.lo{a}), 2D)" for a in axes)
+    linked = None
+    boxes_of_pairs = None  # (pair, sub-cell of left, sub-cell of right) still open
+    for level in range(0, 60):
+        grid = side / (2 ** level)
+        subs = [F.floor((F.col(a) - F.col(c) * F.lit(side)) / F.lit(grid)).cast("bigint").alias(f"s{i}")
+                for i, (a, c) in enumerate(zip(axes, cells))]
+        s_names = [f"s{i}" for i in range(d)]
+        if level:  # only cells that are still in question
+            busy = boxes_of_pairs.select(*[F.col(f"a{i}").alias(c) for i, c in enumerate(cells)]).unionByName(
+                boxes_of_pairs.select(*[F.col(f"b{i}").alias(c) for i, c in enumerate(cells)])).distinct()
+            core = core.join(busy, cells, "left_semi")
+        boxes = core.select(*axes, *cells, *subs).groupBy(*cells, *s_names).agg(*extent)
+        if level == 0:
+            pairs_now = open_pairs
+            l_keys = [F.col(f"p.a{i}") == F.col(f"l.c{i}") for i in range(d)]
+            r_keys = [F.col(f"p.b{i}") == F.col(f"r.c{i}") for i in range(d)]
+        else:
+            pairs_now = boxes_of_pairs
+            l_keys = [F.col(f"p.a{i}") == F.col(f"l.c{i}") for i in range(d)] + [
+                F.col(f"p.ls{i}") == F.floor(F.col(f"l.s{i}") / 2) for i in range(d)]
+            r_keys = [F.col(f"p.b{i}") == F.col(f"r.c{i}") for i in range(d)] + [
+                F.col(f"p.rs{i}") == F.floor(F.col(f"r.s{i}") / 2) for i in range(d)]
+        met = pairs_now.alias("p").join(boxes.alias("l"), l_keys).join(boxes.alias("r"), r_keys)
+        judged = met.select(*[F.col(f"p.{c}") for c in left + right],
+                            *[F.col(f"l.s{i}").alias(f"ls{i}") for i in range(d)],
+                            *[F.col(f"r.s{i}").alias(f"rs{i}") for i in range(d)],
+                            F.expr(f"({far}) <= {eps * eps!r}D").alias("links"),
+                            F.expr(f"({gap}) <= {eps * eps!r}D").alias("may")).filter("may")
+        judged = cut_lineage(judged)
+        sure = judged.filter("links").select(*left, *right).distinct()
+        linked = sure if linked is None else linked.unionByName(sure)
+        rest = cut_lineage(judged.filter(~F.col("links")).join(sure, left + right, "left_anti").drop("links", "may"))
+        boxes_of_pairs = rest
+        if rest.isEmpty():
+            break
+    return linked
+
+
+def _components(nodes: DataFrame, links: DataFrame, cells: list[str]) -> DataFrame:
+    """Smallest cell id of every connected component, by hooking to smaller neighbours and pointer jumping."""
+    d = len(cells)
+    def key(cols):
+        return F.concat_ws(",", *[F.col(c).cast("string") for c in cols])
+
+    edges = links.select(key([f"a{i}" for i in range(d)]).alias("u"), key([f"b{i}" for i in range(d)]).alias("v"))
+    edges = cut_lineage(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    roots = cut_lineage(nodes.select(*cells, key(cells).alias("id")).withColumn("root", F.col("id")))
+    while True:
+        view = roots.select("id", "root")
+        # the smallest root seen over the edges of any member, per current root (partial minima before the shuffle)
+        ends = edges.join(view.withColumnRenamed("id", "v").withColumnRenamed("root", "rv"), "v").join(
+            view.withColumnRenamed("id", "u").withColumnRenamed("root", "ru"), "u").filter("rv < ru")
+        hook = ends.groupBy("ru").agg(F.min("rv").alias("to"))
+        if hook.isEmpty():
+            return roots.select(*cells, "root")
+        hook = cut_lineage(hook)
+        while True:  # follow the hooks to their end; each step halves the chains
+            step = hook.alias("h").join(hook.alias("g"), F.col("h.to") == F.col("g.ru"), "left").select(
+                F.col("h.ru"), F.coalesce("g.to", "h.to").alias("to"), F.col("g.to").isNotNull().alias("moved"))
+            step = cut_lineage(step)
+            hook = step.select("ru", "to")
+            if step.filter("moved").isEmpty():
+                break
+        roots = cut_lineage(roots.join(hook, roots["root"] == hook["ru"], "left").select(
+            *cells, "id", F.coalesce("to", "root").alias("root")))
+
+
+def cluster_counts(clustered: DataFrame) -> DataFrame:
+    return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("row_count"))

@@ -21,14 +21,11 @@ def _range(df: DataFrame, *names: str) -> list[tuple[float, float]]:
     return [(row[f"lo{i}"], row[f"hi{i}"]) for i in range(len(names))]
 
 
-def _bucket(x: Column, lo, hi, bins: int) -> Column:
+def _bucket(x: Column, lo: float, hi: float, bins: int) -> Column:
     """Equal-width bin 0..bins-1; the maximum belongs to the last bin."""
-    width = (hi - lo) / bins if not isinstance(lo, Column) else (hi - lo) / F.lit(bins)
-    if isinstance(width, Column):
-        place = F.coalesce(F.floor(F.try_divide(x - lo, width)), F.lit(0))
-    else:
-        place = F.floor((x - F.lit(lo)) / F.lit(width)) if width > 0 else F.when(x.isNotNull(), F.lit(0))
-    return F.least(place, F.lit(bins - 1)).cast("int")
+    width = (hi - lo) / bins
+    place = F.floor((x - F.lit(lo)) / F.lit(width)) if width > 0 else F.lit(0)
+    return F.when(x.isNotNull(), F.least(place, F.lit(bins - 1)).cast("int"))
 
 
 def histogram(df: DataFrame, name: str, bins: int = 30, color: str | None = None) -> DataFrame:
@@ -147,7 +144,7 @@ def kde_by_group(df: DataFrame, name: str, by: str, points: int = 100, bandwidth
     params = rows.groupBy("_g").agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
                                     F.stddev_samp("_x").alias("_s"))
     h = F.lit(float(bandwidth)) if bandwidth is not None else F.col("_s") * F.pow("_n", F.lit(-0.2))
-    params = params.withColumn("_h", h).filter("_n > 1 and _h > 0")
+    params = params.withColumn("_h", h).filter("_n > 1 and _h > 0 and _hi > _lo")
     joined = rows.join(params, "_g")
     out = None
     for start in range(0, points, POINTS_PER_JOB):

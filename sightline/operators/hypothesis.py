@@ -27,9 +27,9 @@ def ks_normal_test(df: DataFrame, name: str) -> DataFrame:
     """Kolmogorov-Smirnov distance from the normal law with the column's mean and standard deviation."""
     require(df, name)
     x = df.select(num(name).alias("x")).filter("x is not null")
-    mean, std, n = x.agg(F.avg("x"), F.stddev_samp("x"), F.count("x")).first()
+    mean, std, n, low, high = x.agg(F.avg("x"), F.stddev_samp("x"), F.count("x"), F.min("x"), F.max("x")).first()
     schema = "column string, statistic double, p_value double, normal boolean"
-    if n < 2 or not std:
+    if n < 2 or low == high:
         return small_frame(df.sparkSession, [(name, None, None, None)], schema)
     row = KolmogorovSmirnovTest.test(x, "x", "norm", float(mean), float(std)).first()
     return small_frame(df.sparkSession, [(name, float(row["statistic"]), float(row["pValue"]),

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sightline.functions.counts import row_hash
 from sightline.functions.ranks import lags, with_position
 from sightline.functions.tablestats import value_stats
-from sightline.types import col, num, numeric_names, require, small_frame, string_names
+from sightline.types import col, num, numeric_names, require, small_frame, sql_num, string_names
 
 SEED = 42
 MAX_LABELS = 10_000  # classes a target may have (their index is held on the driver)
@@ -31,8 +31,8 @@ def complete_rows(df: DataFrame, names: list[str]) -> DataFrame:
 
 def _centres(df: DataFrame, names: list[str]) -> dict[str, tuple[float, float]]:
     """Mean and population deviation; a constant column is left unscaled."""
-    row = df.agg(*[a for i, c in enumerate(names) for a in (F.avg(num(c)).alias(f"m{i}"),
-                                                            F.stddev_pop(num(c)).alias(f"s{i}"))]).first()
+    row = df.agg(*[F.expr(e).alias(f"{k}{i}") for i, x in enumerate(map(sql_num, names)) for k, e in (
+        ("m", f"avg({x})"), ("s", f"if(min({x}) = max({x}), 0D, stddev_pop({x}))"))]).first()
     return {c: (row[f"m{i}"], row[f"s{i}"] or 1.0) for i, c in enumerate(names)}
 
 
@@ -40,6 +40,11 @@ def _standard(centres: dict[str, tuple[float, float]]) -> list[Column]:
     return [(num(c) - F.lit(m)) / F.lit(s) for c, (m, s) in centres.items()]
 
 
+def standard_columns(df: DataFrame, names: list[str]) -> list[Column]:
+    """The columns as standardised expressions."""
+    return _standard(_centres(df, names))
+
+
 class Projection:
     """Fitted principal components: loadings, ratios and the projection as plain column expressions."""
 

@@ -84,8 +84,8 @@ def outlier_range(df: DataFrame, name: str, k: float = 1.5) -> DataFrame:
 def zscore_outliers(df: DataFrame, name: str, threshold: float = 3.0) -> DataFrame:
     """Rows with |x - mean| / population standard deviation above the threshold, with the score."""
     require(df, name)
-    mean, std = df.agg(F.avg(num(name)), F.stddev_pop(num(name))).first()
-    if not std:
+    mean, std, low, high = df.agg(F.avg(num(name)), F.stddev_pop(num(name)), F.min(num(name)), F.max(num(name))).first()
+    if not std or low == high:
         return df.withColumn("z_score", F.lit(0.0)).filter(F.lit(False))
     score = F.abs((num(name) - F.lit(mean)) / F.lit(std))
     return df.withColumn("z_score", score).filter(F.col("z_score") > threshold)

@@ -22,9 +22,10 @@ def _replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
 def standardize(df: DataFrame, names: list[str], ddof: int = 0) -> DataFrame:
     """(x - mean) / standard deviation; a constant column becomes zero with ddof 0, null with ddof 1."""
     require(df, *names)
-    spread = F.stddev_pop if ddof == 0 else F.stddev_samp
-    row = df.agg(*[f(num(c)).alias(f"{k}{i}") for i, c in enumerate(names) for k, f in (("m", F.avg), ("s", spread))]
-                 ).first()
+    spread = "stddev_pop" if ddof == 0 else "stddev_samp"
+    row = df.agg(*[F.expr(e).alias(f"{k}{i}") for i, x in enumerate(map(sql_num, names)) for k, e in (
+        ("m", f"if(min({x}) = max({x}), min({x}), avg({x}))"),
+        ("s", f"if(min({x}) = max({x}), 0D, {spread}({x}))"))]).first()
     changed = {}
     for i, c in enumerate(names):
         m, s = row[f"m{i}"], row[f"s{i}"]

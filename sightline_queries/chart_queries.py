@@ -197,6 +197,12 @@ def _(spark, read):
     return distribution.histogram(read("events"), "value", 30)
 
 
+@query("histogram_missing", f"select bin, bin_start, bin_end, row_count, round(density, 6) as density from "
+       f"({_hist_sql('fx_nulls', 'p', 15)})")
+def _(spark, read):
+    return distribution.histogram(read("fx_nulls"), "p", 15)
+
+
 @query("histogram_series", "select f.series, f.bin::int as bin, round(lo + f.bin * w, 6) as bin_start, "
        "round(lo + (f.bin + 1) * w, 6) as bin_end, count(h.bin) as row_count, round(count(h.bin) / (any_value(f.n) * w), "
        "6) as density from (select event_type as series, n, bin from (select event_type, count(*) as n from events "

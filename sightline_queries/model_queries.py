@@ -76,3 +76,14 @@ def _(spark, read):
 @query("forecast_baseline")
 def _(spark, read):
     return models.forecast_baseline(read("events"), "ts", "value", 12, ["user_id"], max_iter=10)
+
+
+@query("isolation_forest")
+def _(spark, read):
+    return anomaly.isolation_forest(read("customer"), ["c_acctbal", "c_nationkey"]).select("c_custkey", "score", "label")
+
+
+@query("dbscan")
+def _(spark, read):
+    return anomaly.dbscan(read("customer"), ["c_acctbal", "c_nationkey"], eps=0.3, min_samples=15).select(
+        "c_custkey", "cluster")
