@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from sightline.types import chunks, num, sql_num
 
-FUSED_COLUMNS = 16  # up to here pairs are generated aggregates, beyond they are matrix products
-PAIRS_PER_JOB = 40
+FUSED_COLUMNS = 9  # up to here pairs are generated aggregates, beyond they are matrix products in one scan
+PAIRS_PER_JOB = 14  # more would make one generated method too large for the JIT compiler
 
 
 def safe_corr(x: Column, y: Column, complete: bool = False) -> Column:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sightline.functions.quantiles import exact_quantiles
 from sightline.functions.ranks import with_position
@@ -295,3 +296,163 @@ def _components(nodes: DataFrame, links: DataFrame, cells: list[str]) -> DataFra
 
 def cluster_counts(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster").agg(F.count(F.lit(1)).alias("row_count"))
+
+
+# ---------------------------------------------------------------- local outlier factor
+
+LEAF = 2_000  # distinct points that one task compares with each other
+QUERY_CHUNK = 20_000  # foreign queries that meet one copy of a leaf
+DEEPEST = 50
+CANDIDATES = "array<struct<dist: double, other: bigint, w: bigint>>"
+
+
+def _nearest(q: np.ndarray, q_id: np.ndarray, need: np.ndarray, reach: np.ndarray, p: np.ndarray, p_id: np.ndarray,
+             p_w: np.ndarray) -> list[list[tuple]]:
+    """Per query the nearest other points within its reach until their rows add up to what it needs."""
+    order = np.argsort(p_id)
+    p, p_id, p_w = p[order], p_id[order], p_w[order]
+    out = []
+    for start in range(0, len(q), 500):
+        part = slice(start, start + 500)
+        dist = np.sqrt(((q[part, None, :] - p[None, :, :]) ** 2).sum(-1))
+        dist[(p_id[None, :] == q_id[part, None]) | (dist > reach[part, None])] = np.inf
+        ranked = np.argsort(dist, axis=1, kind="stable")[:, : int(max(need[part].max(), 1))]
+        for i, row in enumerate(ranked):
+            near, have = [], 0
+            for j in row:
+                if have >= need[start + i] or not np.isfinite(dist[i, j]):
+                    break
+                near.append((float(dist[i, j]), int(p_id[j]), int(p_w[j])))
+                have += int(p_w[j])
+            out.append(near)
+    return out
+
+
+def _leaves(points: DataFrame, axes: list[str], low: list[float], extent: float) -> DataFrame:
+    """Adds level and cell of the coarsest grid cell that holds at most ``LEAF`` points."""
+    open_points, done = points, None
+    for level in range(DEEPEST + 1):
+        n = 2 ** level
+        cell = F.array(*[F.least(F.floor((F.col(a) - F.lit(lo)) / F.lit(extent) * F.lit(float(n))), F.lit(n - 1))
+                         .cast("bigint") for a, lo in zip(axes, low)])
+        placed = open_points.withColumns({"level": F.lit(level), "cell": cell})
+        crowded = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > LEAF).select("cell")
+        crowded = cut_lineage(crowded)
+        ready = placed if level == DEEPEST else placed.join(crowded, "cell", "left_anti")
+        done = ready if done is None else done.unionByName(ready)
+        if level == DEEPEST or crowded.isEmpty():
+            return done
+        open_points = cut_lineage(placed.join(crowded, "cell", "left_semi").drop("level", "cell"))
+
+
+def _shift(cell: str, levels: str) -> str:
+    """SQL: the ancestor cell some levels up."""
+    return f"transform({cell}, c -> shiftright(c, cast({levels} as int)))"
+
+
+def nearest_neighbours(points: DataFrame, axes: list[str], k: int, total: int) -> DataFrame:
+    """``pid, w, need, other, dist, used``: for every distinct point the other points that hold its k nearest rows.
+
+    ``points`` has pid, the axes and w (rows at the point); copies of the point itself come first at distance
+    zero.  Space is cut into leaves of bounded size; a leaf answers its own points, and asks only those other
+    leaves that the ball around a point touches.  The result is exact.
+    """
+    d = len(axes)
+    row = points.agg(*[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    low = [row[f"lo{a}"] for a in axes]
+    extent = max([row[f"hi{a}"] - row[f"lo{a}"] for a in axes]) or 1.0
+    need = F.greatest(F.lit(k) - (F.col("w") - 1), F.lit(0)).cast("bigint")
+    placed = cut_lineage(_leaves(points.withColumn("need", need), axes, low, extent))
+    schema = "pid bigint, near " + CANDIDATES
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, ids, want = pdf[axes].to_numpy(), pdf["pid"].to_numpy(), pdf["need"].to_numpy()
+        near = _nearest(x, ids, want, np.full(len(x), np.inf), x, ids, pdf["w"].to_numpy())
+        return pd.DataFrame({"pid": ids, "near": near})
+
+    own = cut_lineage(placed.groupBy("level", "cell").applyInPandas(inside, schema))
+    # the parent of a leaf was crowded, so its diagonal bounds the distance to the k-th row
+    bound = F.when(F.col("level") > 0, F.lit(2 * math.sqrt(d) * extent) / F.pow(F.lit(2.0), F.col("level"))).otherwise(
+        F.lit(math.sqrt(d) * extent))
+    have = F.aggregate("near", F.lit(0).cast("bigint"), lambda a, s: a + s["w"])
+    asked = placed.filter("need > 0").join(own, "pid").withColumn("r", F.when(
+        have >= F.col("need"), F.least(F.element_at("near", -1)["dist"], bound)).otherwise(bound)).drop("near")
+    at_level = F.least(F.col("level"), F.greatest(F.floor(F.log2(F.lit(extent) / F.greatest(
+        F.col("r"), F.lit(extent * 2.0 ** -DEEPEST)))), F.lit(0)).cast("int"))
+    asked = asked.withColumn("m", at_level).withColumn("_n", F.pow(F.lit(2.0), F.col("m")))
+    for i, (a, lo) in enumerate(zip(axes, low)):
+        def edge(sign, a=a, lo=lo):
+            place = F.floor((F.col(a) + sign * F.col("r") * (1 + 1e-12) - F.lit(lo)) / F.lit(extent) * F.col("_n"))
+            return F.least(F.greatest(place, F.lit(0)), F.col("_n") - 1).cast("bigint")
+        asked = asked.withColumn(f"n{i}", F.explode(F.sequence(edge(-1), edge(1))))
+    touched = asked.withColumn("at", F.array(*[F.col(f"n{i}") for i in range(d)])).select(
+        "pid", *axes, "need", "r", "m", "at", F.col("level").alias("home_level"), F.col("cell").alias("home"))
+    boxes = placed.groupBy("level", "cell").agg(*[f(a).alias(f"{n}{a}") for a in axes
+                                                  for n, f in (("lo", F.min), ("hi", F.max))])
+    finer = boxes.withColumn("m", F.explode(F.expr("sequence(0, level)"))).withColumn("at", F.expr(_shift("cell", "level - m")))
+    met_finer = touched.join(finer, ["m", "at"])
+    upward = touched.filter("m > 0").withColumn("up", F.explode(F.expr("sequence(0, m - 1)"))).withColumn(
+        "above", F.expr(_shift("at", "m - up"))).drop("m", "at").distinct()
+    met_coarser = upward.join(boxes, (F.col("up") == F.col("level")) & (F.col("above") == F.col("cell")))
+    gap = " + ".join(f"pow(greatest(0D, lo{a} - {a}, {a} - hi{a}), 2D)" for a in axes)
+    fields = ["pid", *axes, "need", "r", "home_level", "home", "level", "cell"]
+    visits = met_finer.filter(f"sqrt({gap}) <= r * (1 + 1e-12)").select(*fields).unionByName(
+        met_coarser.filter(f"sqrt({gap}) <= r * (1 + 1e-12)").select(*fields)).filter(
+        "not (home_level = level and home = cell)").select("pid", *axes, "need", "r", "level", "cell").distinct()
+    visits = cut_lineage(visits)
+    # a leaf asked by very many points is copied, each copy answers a bounded chunk
+    load = visits.groupBy("level", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("copies"))
+    salted = visits.join(load, ["level", "cell"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("copies")).cast("int"))
+    hosts = placed.join(load, ["level", "cell"]).withColumn("salt", F.explode(F.expr("sequence(0, copies - 1)")))
+    hosts = hosts.select(*[F.col(c).alias(f"h_{c}") for c in ("level", "cell", "salt", "pid", "w", *axes)])
+
+    def abroad(queries: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(host):
+            return pd.DataFrame({"pid": pd.Series(dtype="int64"), "near": pd.Series(dtype="object")})
+        near = _nearest(queries[axes].to_numpy(), queries["pid"].to_numpy(), queries["need"].to_numpy(),
+                        queries["r"].to_numpy() * (1 + 1e-12), host[[f"h_{a}" for a in axes]].to_numpy(),
+                        host["h_pid"].to_numpy(), host["h_w"].to_numpy())
+        return pd.DataFrame({"pid": queries["pid"].to_numpy(), "near": near})
+
+    group = ["level", "cell", "salt"]
+    foreign = salted.groupBy(*group).cogroup(hosts.groupBy(*[f"h_{g}" for g in group])).applyInPandas(abroad, schema)
+    found = own.unionByName(foreign).select("pid", F.explode("near").alias("n")).select(
+        "pid", F.col("n.other").alias("other"), F.col("n.dist").alias("dist"), F.col("n.w").alias("ow"))
+    before = Window.partitionBy("pid").orderBy("dist", "other").rowsBetween(Window.unboundedPreceding, -1)
+    taken = found.withColumn("_b", F.coalesce(F.sum("ow").over(before), F.lit(0)))  # at most k per leaf visited
+    used = taken.join(placed.select("pid", "w", "need"), "pid").filter("_b < need").select(
+        "pid", "w", "need", "other", "dist", F.least(F.col("ow"), F.col("need") - F.col("_b")).alias("used"))
+    return cut_lineage(used)
+
+
+def local_outlier_factor(df: DataFrame, names: list[str] | None = None, k: int = 20,
+                         contamination: float | None = None, scale: bool = True) -> DataFrame:
+    """Rows with their local outlier factor and a label: -1 above 1.5, or for the most outlying share."""
+    names = names or numeric_names(df)
+    rows, coords = _points(df, names, scale)
+    points, axes = _distinct_points(rows, coords)
+    points = cut_lineage(points.withColumn("pid", F.monotonically_increasing_id()))
+    total = points.agg(F.sum("w")).first()[0] or 0
+    k = min(k, total - 1)
+    if k < 1:
+        return rows.withColumns({"factor": F.lit(1.0), "label": F.lit(1)})
+    near = nearest_neighbours(points, axes, k, total)
+    copies = F.least(F.col("w") - 1, F.lit(k))
+    base = points.select("pid", "w", copies.alias("twins")).join(
+        near.groupBy("pid").agg(F.max("dist").alias("kdist")), "pid", "left").na.fill(0.0, ["kdist"])
+    base = cut_lineage(base)
+    reach = near.join(base.select(F.col("pid").alias("other"), F.col("kdist").alias("okdist")), "other").groupBy("pid").agg(
+        F.sum(F.col("used") * F.greatest("okdist", "dist")).alias("reach"))
+    mean = (F.coalesce("reach", F.lit(0.0)) + F.col("twins") * F.col("kdist")) / k
+    density = cut_lineage(base.join(reach, "pid", "left").select("pid", "twins", (1.0 / (mean + 1e-10)).alias("lrd")))
+    around = near.join(density.select(F.col("pid").alias("other"), F.col("lrd").alias("olrd")), "other").groupBy("pid").agg(
+        F.sum(F.col("used") * F.col("olrd")).alias("around"))
+    factor = (F.coalesce("around", F.lit(0.0)) + F.col("twins") * F.col("lrd")) / k / F.col("lrd")
+    by_point = density.join(around, "pid", "left").select("pid", factor.alias("factor")).join(
+        points.select("pid", *axes), "pid").drop("pid")
+    scored = rows.select("*", *[c.alias(a) for c, a in zip(coords, axes)]).join(by_point, axes).drop(*axes)
+    limit = 1.5
+    if contamination is not None:
+        scored = cut_lineage(scored)
+        limit = exact_quantiles(scored, ["factor"], (1.0 - contamination,))["factor"][0]
+    return scored.withColumn("label", F.when(F.col("factor") > limit, -1).otherwise(1))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.correlate import pair_correlations, safe_corr
 from sightline.functions.tablestats import TableStats
-from sightline.types import num, require, small_frame
+from sightline.types import num, require, small_frame, sql_num
 
 
 def _pairs(table, names: list[str] | None) -> tuple[TableStats, list[str], dict]:
@@ -21,7 +21,9 @@ def _pairs(table, names: list[str] | None) -> tuple[TableStats, list[str], dict]
 def correlation_matrix(table, names: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every ordered pair, long form; null where a side does not vary."""
     s, names, pairs = _pairs(table, names)
-    varies = {c: bool(s.moments[c].var_pop) if c in s.moments else True for c in names}
+    row = s.df.agg(*[F.expr(f"coalesce(min({sql_num(c)}) < max({sql_num(c)}), false)").alias(f"v{i}")
+                     for i, c in enumerate(names)]).first()
+    varies = {c: row[f"v{i}"] for i, c in enumerate(names)}
     rows = []
     for a in names:
         for b in names:

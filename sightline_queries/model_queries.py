@@ -87,3 +87,9 @@ def _(spark, read):
 def _(spark, read):
     return anomaly.dbscan(read("customer"), ["c_acctbal", "c_nationkey"], eps=0.3, min_samples=15).select(
         "c_custkey", "cluster")
+
+
+@query("local_outlier_factor")
+def _(spark, read):
+    return anomaly.local_outlier_factor(read("customer"), ["c_acctbal", "c_nationkey"], 20).select(
+        "c_custkey", "factor", "label")

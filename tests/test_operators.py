@@ -214,3 +214,26 @@ def test_chart_dispatch(frame):
     assert charts.chart_data(df, {"type": "radar", "x_column": "t"}) is None
     assert charts.chart_data(df, {"type": "pie", "x_column": "t"}).count() == 2
     assert charts.chart_data(df, {"type": "bar", "x_column": "x"}).count() == 30
+
+
+def brute_lof(p, k):
+    """Factors of all rows, copies are neighbours of each other."""
+    dist = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    np.fill_diagonal(dist, np.inf)
+    near = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    d = np.take_along_axis(dist, near, 1)
+    reach = np.maximum(d[:, -1][near], d)
+    lrd = 1.0 / (reach.mean(1) + 1e-10)
+    return lrd[near].mean(1) / lrd
+
+
+@pytest.mark.parametrize("leaf", [40, 2000])
+def test_lof_equals_brute_force(spark, monkeypatch, leaf):
+    monkeypatch.setattr(anomaly, "LEAF", leaf)
+    monkeypatch.setattr(anomaly, "QUERY_CHUNK", 25)
+    rng = np.random.default_rng(9)
+    p = np.concatenate([rng.normal(0, .1, (200, 2)), rng.normal(4, 1, (100, 2)), rng.uniform(-20, 20, (20, 2)),
+                        np.repeat([[1.0, 1.0]], 100, 0)])
+    df = spark.createDataFrame(pd.DataFrame({"id": range(len(p)), "a": p[:, 0], "b": p[:, 1]}))
+    got = anomaly.local_outlier_factor(df, ["a", "b"], 10, scale=False).toPandas().sort_values("id")
+    assert np.allclose(got["factor"], brute_lof(p, 10), rtol=1e-9)
