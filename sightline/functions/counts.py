@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.types import chunks, col, is_nested, is_string
+from sightline.session import cut_lineage
+from sightline.types import chunks, col, is_nested
 
 SPLIT_LIMIT = 1_000_000  # hashes of repeated rows that may be broadcast (8 bytes each)
 
@@ -74,15 +75,28 @@ def repeated_hashes(df: DataFrame) -> DataFrame:
             .filter("_k > 1").select("_h"))
 
 
+def few_repeated(df: DataFrame) -> tuple[int, DataFrame | None]:
+    """Number of repeated hashes, and the hashes themselves for a broadcast if they are few enough."""
+    found = cut_lineage(repeated_hashes(df).limit(SPLIT_LIMIT + 1))
+    n = found.count()
+    return n, (F.broadcast(found) if n <= SPLIT_LIMIT else None)
+
+
 def duplicate_groups(df: DataFrame, name: str = "copies") -> DataFrame:
     """Every distinct row that occurs more than once, with its number of copies (nulls are equal).
 
-    The hash only selects candidates; equality is decided on the whole rows of the candidates.
+    The hash only selects candidates; equality is decided on the whole rows of the candidates.  While the
+    repeated hashes are few, only the candidates are shuffled.
     """
-    keys = [comparable(df, n).alias(n) for n in df.columns]
-    hashed = df.select(row_hash(df).alias("_h"), *keys)
-    candidates = hashed.join(repeated_hashes(df), "_h", "left_semi")
-    return (candidates.groupBy(*[col(n) for n in df.columns]).agg(F.count(F.lit(1)).alias(name))
+    n, few = few_repeated(df)
+    keys = [comparable(df, c).alias(c) for c in df.columns]
+    if n == 0:
+        candidates = df.select(*keys).filter(F.lit(False))
+    elif few is None:
+        candidates = df.select(*keys)
+    else:
+        candidates = df.select(row_hash(df).alias("_h"), *keys).join(few, "_h", "left_semi")
+    return (candidates.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(name))
             .filter(col(name) > 1))
 
 
@@ -100,14 +114,12 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """
     if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
         raise TypeError("map and variant columns cannot be compared; convert them first")
-    hashes = repeated_hashes(df)
-    repeated = hashes.limit(SPLIT_LIMIT + 1).count()
-    if repeated == 0:
+    n, few = few_repeated(df)
+    if n == 0:
         return df
-    if repeated > SPLIT_LIMIT:
+    if few is None:
         return df.dropDuplicates()
     hashed = df.withColumn("_h", row_hash(df))
-    few = F.broadcast(hashes)
     single = hashed.join(few, "_h", "left_anti").drop("_h")
     shared = hashed.join(few, "_h", "left_semi").drop("_h").dropDuplicates()
     return single.unionByName(shared)
@@ -116,16 +128,16 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 def column_value_summary(df: DataFrame, names: list[str]) -> DataFrame:
     """Per column: distinct values, most frequent value (ties to the smallest), its count, rarest count.
 
-    Text columns also get the number of distinct values after lower-casing.  Two partial aggregations; no
-    value list is built.
+    The counted values are reduced by column map-side; no value list is built.
     """
-    counts = value_counts_long(df, names)
-    texts = [n for n in names if is_string(df.schema[n].dataType)]
-    folded = F.when(F.col("column").isin(texts), F.lower("value")).otherwise(F.col("value"))
-    by_fold = counts.groupBy("column", folded.alias("_fold")).agg(
-        F.count(F.lit(1)).alias("d"), F.sum("cnt").alias("s"), F.max("cnt").alias("hi"), F.min("cnt").alias("lo"),
-        F.min(F.struct((-F.col("cnt")).alias("k"), "number", "value")).alias("best"))
-    return by_fold.groupBy("column").agg(
-        F.sum("d").cast("bigint").alias("unique_values"), F.sum("s").cast("bigint").alias("non_null"),
-        F.min("best")["value"].alias("most_frequent"), F.max("hi").cast("bigint").alias("frequency"),
-        F.min("lo").cast("bigint").alias("rarest"), F.count(F.lit(1)).cast("bigint").alias("folded_values"))
+    return value_counts_long(df, names).groupBy("column").agg(
+        F.count(F.lit(1)).alias("unique_values"), F.sum("cnt").cast("bigint").alias("non_null"),
+        F.min(F.struct((-F.col("cnt")).alias("k"), "number", "value"))["value"].alias("most_frequent"),
+        F.max("cnt").alias("frequency"), F.min("cnt").alias("rarest"))
+
+
+def folded_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """Per text column: distinct values before and after lower-casing."""
+    folds = value_counts_long(df, names).groupBy("column", F.lower("value").alias("_f")).agg(
+        F.count(F.lit(1)).alias("d"))
+    return folds.groupBy("column").agg(F.sum("d").cast("bigint").alias("before"), F.count(F.lit(1)).alias("after"))

@@ -76,7 +76,6 @@ class ValueStats:
     top: str | None = None
     top_count: int = 0
     rarest: int = 0
-    folded: int = 0
 
 
 class TableStats:
@@ -146,6 +145,13 @@ class TableStats:
         self.__dict__.setdefault("values", {c: found[c] for c in self.strings})
         return found
 
+    @cached_property
+    def mixed_case(self) -> list[str]:
+        """Text columns with values that differ in case only."""
+        if not self.strings:
+            return []
+        return [r["column"] for r in counts.folded_counts(self.df, self.strings).collect() if r["after"] < r["before"]]
+
     @cached_property
     def duplicates(self) -> int:
         return counts.duplicate_count(self.df).first()[0]
@@ -207,7 +213,7 @@ def value_stats(df: DataFrame, names: list[str]) -> dict[str, ValueStats]:
     if names:
         for r in counts.column_value_summary(df, names).collect():  # one row per column
             out[r["column"]] = ValueStats(r["unique_values"], r["non_null"], r["most_frequent"], r["frequency"],
-                                          r["rarest"], r["folded_values"])
+                                          r["rarest"])
     return out
 
 

@@ -71,10 +71,11 @@ def hierarchy_rollup(df: DataFrame, levels: list[str], value: str = "count") ->
     require(df, *levels)
     if not 1 <= len(levels) <= 3:
         raise ValueError("give one to three levels")
-    rolled = df.dropna(subset=levels).rollup(*[col(c) for c in levels]).agg(
-        _measure(df, value).alias("total"), F.grouping_id().alias("_g"))
+    # the rows are reduced to leaves first, so only leaves are multiplied by the number of levels
+    rolled = hierarchy_leaves(df, levels, value).rollup(*[col(c) for c in levels]).agg(
+        F.sum("total").alias("_total"), F.grouping_id().alias("_g"))
     depth = F.lit(len(levels)) - F.bit_count("_g")
-    return rolled.select(*[col(c) for c in levels], depth.cast("int").alias("depth"), "total")
+    return rolled.select(*[col(c) for c in levels], depth.cast("int").alias("depth"), F.col("_total").alias("total"))
 
 
 def hierarchy_leaves(df: DataFrame, levels: list[str], value: str = "count") -> DataFrame:

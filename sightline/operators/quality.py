@@ -384,7 +384,7 @@ def quality_score(table) -> DataFrame:
         return small_frame(s.spark, [(None,) * 5], SCORE_SCHEMA)
     completeness = 100.0 * (s.cells - s.missing_cells) / s.cells
     uniqueness = 100.0 * (s.rows - s.duplicates) / s.rows
-    mixed = sum(1 for v in s.values.values() if v.folded < v.unique)
+    mixed = len(s.mixed_case)
     consistency = 100.0 - 100.0 * mixed / len(s.strings) if s.strings else 100.0
     rules = validity_rules(s.df, money=False)
     broken = sum(1 for k in violation_counts(s.df, rules) if k)

@@ -19,6 +19,7 @@ def build_session(master: str = "local[*]", partitions: int = 8, app: str = "sig
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("_", "."), value)

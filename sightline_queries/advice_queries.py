@@ -78,7 +78,7 @@ def _(spark, read):
     return advice.readiness_status(scores)
 
 
-@query("suggest_algorithms", "select row_number() over (order by score desc, i)::int as position, name, score from (select 1 as i, "
+@query("suggest_algorithms", "select row_number() over (order by score desc, i)::int as position, name, score::double as score from (select 1 as i, "
        "'Random Forest' as name, 8.5 + case when n > 1000 then 0.5 else 0 end + 0.5 as score from (select count(*) as n "
        "from lineitem) union all select 2, 'Logistic Regression', 8.5 union all select 3, 'Gradient Boosting (XGBoost)', "
        "8.0 + case when n > 5000 then 1 else 0 end from (select count(*) as n from lineitem) union all select 4, "

@@ -292,7 +292,7 @@ def _(spark, read):
 
 
 @query("qq_points", union([
-    f"select {i} as point, round({0.01 + (0.99 - 0.01) * i / 98!r}, 6) as probability, "
+    f"select {i} as point, round({0.01 + (0.99 - 0.01) * i / 98!r}::double, 6) as probability, "
     f"round(quantile_cont(value, {0.01 + (0.99 - 0.01) * i / 98!r}), 6) as sample from events" for i in range(99)]))
 def _(spark, read):
     return distribution.qq_points(read("events"), "value").drop("theoretical")

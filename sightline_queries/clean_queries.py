@@ -164,9 +164,9 @@ def _(spark, read):
 
 
 @query("completeness_metrics", "select 'completeness' as metric, round(100.0 * (2 * count(*) + count(q) + count(p) + "
-       f"count(rf)) / (5 * count(*)), 6) as original_pct, 100.0 as cleaned_pct from {duck('fx_nulls')} union all "
+       f"count(rf)) / (5 * count(*)), 6) as original_pct, 100.0::double as cleaned_pct from {duck('fx_nulls')} union all "
        f"select 'uniqueness', round(100.0 * (count(*) - {dup_sql('fx_nulls', columns('fx_nulls'))}) / count(*), 6), "
-       f"100.0 from {duck('fx_nulls')}")
+       f"100.0::double from {duck('fx_nulls')}")
 def _(spark, read):
     rows = read("fx_nulls")
     return cleaning.completeness_metrics(rows, cleaning.clean(rows)[0])

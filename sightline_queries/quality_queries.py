@@ -264,7 +264,7 @@ def _(spark, read):
 
 def _score_sql(t: str, completeness: str, consistency: str, validity: str) -> str:
     return (f"select *, round(0.3 * completeness + 0.3 * uniqueness + 0.2 * consistency + 0.2 * validity, 6) as overall "
-            f"from (select round({completeness}, 6) as completeness, round(100.0 * (count(*) - "
+            f"from (select round(({completeness})::double, 6) as completeness, round(100.0 * (count(*) - "
             f"{dup_sql(t, columns(t))}) / count(*), 6) as uniqueness, {consistency}::double as consistency, "
             f"{validity}::double as validity from {duck(t)})")
 

@@ -43,11 +43,11 @@ SOURCES = {"fx_nulls": "lineitem", "fx_dups": "orders", "fx_cats": "orders", "fx
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or a view derived from one."""
+    """A given table (none holds NaN), or a view derived from one."""
     if name not in VIEWS:
-        return load_table(spark, f"{sf_dir}/{name}.parquet")
+        return load_table(spark, f"{sf_dir}/{name}.parquet", has_nan=False)
     source = SOURCES[name]
-    load_table(spark, f"{sf_dir}/{source}.parquet").createOrReplaceTempView(source)
+    load_table(spark, f"{sf_dir}/{source}.parquet", has_nan=False).createOrReplaceTempView(source)
     return spark.sql(VIEWS[name].format(string="string", double="double"))
 
 

@@ -125,7 +125,7 @@ def test_generated_sample(spark):
     df = load.generate_sample_dataset(spark, 1000)
     s = TableStats(df)
     assert s.rows == 1010 and s.duplicates == 10 and s.nulls["mostly_null"] >= 950
-    assert s.values["department"].folded == 4 and s.values["department"].unique == 6
+    assert s.values["department"].unique == 6 and s.mixed_case == ["department"]
     found = {r["issue"] for r in quality.issue_summary(s, only_found=True).collect()}
     assert {"missing_data", "outliers", "duplicate_rows", "inconsistent_categories", "invalid_values"} <= found
 
