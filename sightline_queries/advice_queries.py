@@ -89,25 +89,48 @@ def _(spark, read):
         "position", "name", F.col("score"))
 
 
-@query("compare_algorithms")
+@query("compare_algorithms", "select row_number() over (order by score desc, i)::int as position, name, "
+       "score::double as score, c::double as complexity_score, s::double as speed_score, r::double as "
+       "interpretability_score, a::double as accuracy_potential from (select 1 as i, 'Random Forest Regressor' as name, "
+       "8.0 + case when n > 1000 then 0.5 else 0 end as score, 6 as c, 7 as s, 8 as r, 8 as a from (select count(*) as n "
+       "from orders) union all select 2, 'Linear Regression', 8.0, 2, 10, 10, 6 union all select 3, "
+       "'Gradient Boosting Regressor', 8.5, 8, 5, 6, 9 union all select 4, 'Support Vector Regression', 6.5 + case when "
+       "n < 10000 then 1 else 0 end, 7, 6, 4, 7 from (select count(*) as n from orders))")
 def _(spark, read):
     return advice.compare_algorithms(advice.suggest_algorithms(read("orders"), "Regression", "o_totalprice"))
 
 
-@query("feature_engineering")
+def _counted(frame: DataFrame) -> DataFrame:
+    return frame.select("topic", "reason", "level", F.size("columns").alias("column_count"))
+
+
+@query("feature_engineering", "select topic, reason, level, k::int as column_count from (select 'Missing Value "
+       "Imputation' as topic, concat(k, ' columns have missing values') as reason, 'High' as level, k, k > 0 as ok from "
+       "(select (count(q) < count(*))::int + (count(p) < count(*))::int + (count(rf) < count(*))::int as k from "
+       f"{duck('fx_nulls')}) union all select 'Categorical Encoding', '1 categorical columns need encoding', 'High', 1, "
+       "true union all select 'Feature Scaling', 'Features have very different scales', 'Medium', 4, greatest(a, b, c, d) "
+       "/ least(a, b, c, d) > 100 from (select max(l_orderkey) - min(l_orderkey) as a, max(l_linenumber) - "
+       f"min(l_linenumber) as b, max(q) - min(q) as c, max(p) - min(p) as d from {duck('fx_nulls')}) union all select "
+       "'Outlier Treatment', concat(count(*), ' columns have significant outliers'), 'Medium', count(*), count(*) > 0 "
+       f"from ({outlier_sql('fx_nulls', NUMERIC['fx_nulls'])}) where outlier_pct > 5) where ok")
 def _(spark, read):
-    return advice.feature_engineering(read("fx_nulls"), "rf")
+    return _counted(advice.feature_engineering(read("fx_nulls"), "rf"))
 
 
-@query("preprocessing_steps")
+@query("preprocessing_steps", f"select 'Remove Duplicates' as topic, concat('Remove ', {dup_sql('fx_dups', columns('fx_dups'))}, "
+       "' duplicate rows') as reason, 'High' as level, 3 as column_count union all select 'Encode Categorical "
+       "Variables', 'Convert categorical variables to numerical format', 'High', 2")
 def _(spark, read):
-    return advice.preprocessing_steps(read("fx_dups"), "Classification", "o_orderstatus")
+    return _counted(advice.preprocessing_steps(read("fx_dups"), "Classification", "o_orderstatus"))
 
 
-@query("evaluation_strategy")
+@query("evaluation_strategy", "select 'MAE, MSE, RMSE, R-squared' as metrics, 'K-Fold Cross-Validation' as "
+       "validation_method, 5 as cv_folds, 0.2::double as test_size from (select count(distinct o_totalprice) as u, "
+       "count(o_totalprice) as n from orders) where u > 10 and u / n >= 0.05")
 def _(spark, read):
     rows = read("orders")
-    return advice.evaluation_strategy(spark, advice.target_task(rows, "o_totalprice"))
+    plan = advice.evaluation_strategy(spark, advice.target_task(rows, "o_totalprice"))
+    return plan.withColumn("metrics", F.array_join("metrics", ", "))
 
 
 @query("leakage_check", "select 'correlation' as \"check\", 'l_quantity' as \"column\", round(abs(corr(l_quantity, q2)), 6) "
@@ -116,7 +139,15 @@ def _(spark, read):
     return advice.leakage_check(read("fx_coll"), "q2")
 
 
-@query("tips_and_challenges")
+@query("tips_and_challenges", "select kind, text from (select 'tip' as kind, 'Consider using sampling for initial model "
+       "development' as text, count(*) > 100000 as ok from lineitem union all select 'tip', 'Use algorithms that scale "
+       "well with large datasets', count(*) > 100000 from lineitem union all select 'tip', 'Focus on data cleaning before "
+       f"model building', 10 - 100.0 * {dup_sql('fx_nulls', columns('fx_nulls'))} / count(*) < 7 from lineitem union all "
+       "select 'challenge', 'High missing data rate may impact model performance', 10 - 50.0 * (3 * count(*) - count(q) - "
+       f"count(p) - count(rf)) / (5 * count(*)) < 7 from {duck('fx_nulls')} union all select 'challenge', 'Small dataset "
+       "size may limit model complexity', count(*) < 100 from lineitem union all select 'challenge', 'Imbalanced target "
+       f"classes may require special handling', min(k) < 0.1 * (select count(*) from lineitem) from (select count(*) as k "
+       f"from {duck('fx_nulls')} where rf is not null group by rf)) where ok")
 def _(spark, read):
     return advice.tips_and_challenges(read("fx_nulls"), "Classification", "rf")
 

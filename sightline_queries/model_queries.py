@@ -89,7 +89,28 @@ def _(spark, read):
         "c_custkey", "cluster")
 
 
-@query("local_outlier_factor")
+POINTS = ("pts as (select c_custkey as id, (c_acctbal - ma) / sa as x, (c_nationkey - mn) / sn as y from customer, "
+          "(select avg(c_acctbal) as ma, stddev_pop(c_acctbal) as sa, avg(c_nationkey) as mn, "
+          "stddev_pop(c_nationkey) as sn from customer))")
+
+
+@query("dbscan_noise", f"with {POINTS}, near as (select p.id, o.id as other from pts p join pts o on "
+       "(p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) <= 0.09), core as (select id from near group by id having "
+       "count(*) >= 15) select pts.id as c_custkey, not exists (select 1 from near n where n.id = pts.id and n.other in "
+       "(select id from core)) as noise from pts")
+def _(spark, read):
+    """Which rows belong to no cluster; border points may belong to either of two clusters, noise is unambiguous."""
+    found = anomaly.dbscan(read("customer"), ["c_acctbal", "c_nationkey"], eps=0.3, min_samples=15)
+    return found.select("c_custkey", (F.col("cluster") < 0).alias("noise"))
+
+
+@query("local_outlier_factor", f"with {POINTS}, near as (select p.id, o.id as other, sqrt((p.x - o.x) * (p.x - o.x) + "
+       "(p.y - o.y) * (p.y - o.y)) as d from pts p join pts o on p.id <> o.id qualify row_number() over (partition by p.id "
+       "order by d, o.id) <= 20), far as (select id, max(d) as k from near group by id), dense as (select n.id, "
+       "1 / (avg(greatest(far.k, n.d)) + 1e-10) as lrd from near n join far on far.id = n.other group by n.id) "
+       "select c_custkey, round(f, 4) as factor, case when f > 1.5 then -1 else 1 end as label from (select n.id as "
+       "c_custkey, avg(o.lrd) / any_value(s.lrd) as f from near n join dense o on o.id = n.other join dense s on "
+       "s.id = n.id group by n.id)", digits=4)
 def _(spark, read):
     return anomaly.local_outlier_factor(read("customer"), ["c_acctbal", "c_nationkey"], 20).select(
         "c_custkey", "factor", "label")

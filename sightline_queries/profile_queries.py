@@ -254,7 +254,11 @@ def _(spark, read):
     return overview.summary_table(read("part"))
 
 
-@query("data_overview")
+@query("data_overview", union([
+    f"select *, null::bigint as unique_values, null::varchar as most_frequent, null::bigint as frequency "
+    f"from ({describe_sql('part', NUMERIC['part'])})"]
+    + [f"select \"column\", count, null::double, null::double, null::double, null::double, null::double, null::double, "
+       f"null::double, unique_values, most_frequent, frequency from ({top_value_sql('part', c)})" for c in TEXT["part"]]))
 def _(spark, read):
     parts = overview.data_overview(read("part"))
     return parts["numeric"].unionByName(parts["categorical"], allowMissingColumns=True)
