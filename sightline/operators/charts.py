@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sightline.functions.parsing import to_moment, to_number
 from sightline.operators import correlation, distribution, groups
-from sightline.types import col, is_numeric, is_string, is_temporal, num, numeric_names, require
+from sightline.types import col, is_numeric, is_string, num, numeric_names, require
 
 
 def _number(df: DataFrame, name: str) -> Column:

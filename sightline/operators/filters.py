@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.counts import row_hash
-from sightline.types import col, num, numeric_names, require, small_frame, string_names
+from sightline.types import col, num, numeric_names, require, string_names
 
 WIDE = 20
 WIDE_NUMERIC, WIDE_STRING = 15, 5

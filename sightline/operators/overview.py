@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sightline.functions.counts import long_numbers
 from sightline.functions.tablestats import TableStats, number_stats, share
-from sightline.types import col, is_numeric, is_string, is_temporal, num, require, small_frame
+from sightline.types import col, is_numeric, is_string, is_temporal, small_frame
 
 DESCRIBE_SCHEMA = ("column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
                    "q75 double, max double")

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.parsing import to_moment, to_number
+from sightline.functions.parsing import to_moment
 from sightline.functions.tablestats import TableStats
 from sightline.types import GEO_WORDS, col, name_has, small_frame
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import charts, correlation, distribution, groups, hypothesis, transforms
 from sightline.plans import dashboard
-from sightline_queries.registry import NUMERIC, corr_sql, duck, fences_sql, query, union
+from sightline_queries.registry import NUMERIC, corr_sql, duck, query, union
 
 PRICE = "l_extendedprice"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline.operators import filters, overview, typing
 from sightline.plans import profile
 from sightline.sources import export, load
-from sightline_queries.registry import (NUMERIC, TEXT, columns, corr_sql, describe_sql, duck, dup_sql, query,
+from sightline_queries.registry import (NUMERIC, TEXT, columns, describe_sql, duck, dup_sql, query,
                                         top_value_sql, union)
 
 ORDERS = columns("orders")

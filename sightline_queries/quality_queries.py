@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import quality
 from sightline_queries.registry import (NUMERIC, TEXT, columns, corr_sql, duck, dup_sql, fences_sql, outlier_sql,
-                                        query, top_value_sql, union)
+                                        query, union)
 from sightline_queries.profile_queries import _rates
 
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(13)"
