@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sightline.llm import exact_dedup, simhash
+from sightline.llm import decontaminate, exact_dedup, line_dedup, quality, sentencepiece, simhash
 from sightline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,59 @@ def query(name: str, sql: str | None = None):
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+@query("op1_line_dedup", f"""
+    with d as (select *, string_split(text, chr(10)) as parts from documents),
+    l as (select doc_id, source, unnest(parts) as line, unnest(range(len(parts))) as pos from d),
+    n as (select *, trim({_LOWER.replace("text", "line")}, ' ') as norm from l),
+    m as (select *, row_number() over (partition by norm order by doc_id, pos) as nth from n),
+    s as (select norm from n where norm <> '' group by norm having count(distinct source) >= {line_dedup.MIN_SITES}),
+    k as (select m.*, (s.norm is null or nth = 1) as stays from m left join s using (norm))
+    select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (where stays), '') as text,
+           count(*) as n_lines, count(*) filter (where not stays) as n_removed
+    from k group by doc_id""")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.remove_boilerplate(docs, n_lines="n_lines", n_removed="n_removed").drop("source")
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip(read(spark, sf_dir, "documents"))
+
+
+@query("op3_quality")
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
+_WORDS = "regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query("op4_decontaminate", f"""
+    with d as (select doc_id, {_WORDS.format(lower=_LOWER)} as w from documents),
+    b as (select item_id, {_WORDS.format(lower=_LOWER)} as w from benchmark),
+    e as (select *, least(13, len(w)) as size from b where len(w) > 0),
+    i as (select distinct item_id, size, array_to_string(w[p:p + size - 1], ' ') as span
+          from (select *, unnest(range(1, len(w) - size + 2)) as p from e)),
+    sizes as (select distinct size from i),
+    x as (select doc_id, size, w, unnest(range(1, len(w) - size + 2)) as p from d, sizes where len(w) >= size),
+    h as (select doc_id, p, size, array_to_string(w[p:p + size - 1], ' ') as span from x),
+    hits as (select h.*, i.item_id from h join i using (size, span)),
+    covered as (select doc_id, count(distinct spot) as n_hit
+                from (select doc_id, unnest(range(p, p + size)) as spot from hits) group by doc_id),
+    named as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as items
+              from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+    select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+           sha256(coalesce(items, '')) as items_sha256,
+           coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+    from d left join covered using (doc_id) left join named using (doc_id)""")
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op9_exact_dedup", f"""
     with d as (select doc_id, sha256({_LOWER}) as text_sha256 from documents)
     select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
