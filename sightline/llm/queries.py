@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import decontaminate, exact_dedup, line_dedup, quality, sentencepiece, simhash
+from sightline.llm import (decontaminate, exact_dedup, html_text, licenses, line_dedup, passages, privacy, quality,
+                           sentencepiece, simhash)
 from sightline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +80,35 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@query("op5_privacy")
+def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.pseudonymise(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op6_passages", f"""
+    with d as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+               from documents),
+    x as (select doc_id, unnest(range(0, len(w) - {passages.SPAN} + 1)) as at, w from d where len(w) >= {passages.SPAN}),
+    h as (select doc_id, at, md5(array_to_string(w[at + 1:at + {passages.SPAN}], ' ')) as span from x),
+    r as (select doc_id, at from h where span in (select span from h group by span having count(*) > 1)),
+    g as (select *, at - lag(at) over (partition by doc_id order by at) > {passages.SPAN} as apart from r),
+    n as (select *, sum(case when apart is distinct from false then 1 else 0 end)
+                    over (partition by doc_id order by at) as run from g)
+    select doc_id, min(at) as start, max(at) + {passages.SPAN} - min(at) as n_words from n group by doc_id, run""")
+def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op8_html")
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op9_exact_dedup", f"""
     with d as (select doc_id, sha256({_LOWER}) as text_sha256 from documents)
     select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
