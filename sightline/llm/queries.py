@@ -86,15 +86,15 @@ def op5_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("op6_passages", f"""
-    with d as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), x -> x <> '') as w
+    with d as (select doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
                from documents),
-    x as (select doc_id, unnest(range(0, len(w) - {passages.SPAN} + 1)) as at, w from d where len(w) >= {passages.SPAN}),
-    h as (select doc_id, at, md5(array_to_string(w[at + 1:at + {passages.SPAN}], ' ')) as span from x),
-    r as (select doc_id, at from h where span in (select span from h group by span having count(*) > 1)),
-    g as (select *, at - lag(at) over (partition by doc_id order by at) > {passages.SPAN} as apart from r),
+    x as (select doc_id, unnest(range(0, len(w) - {passages.SPAN} + 1)) as p, w from d where len(w) >= {passages.SPAN}),
+    h as (select doc_id, p, md5(array_to_string(w[p + 1:p + {passages.SPAN}], ' ')) as span from x),
+    r as (select doc_id, p from h where span in (select span from h group by span having count(*) > 1)),
+    g as (select *, p - lag(p) over (partition by doc_id order by p) > {passages.SPAN} as apart from r),
     n as (select *, sum(case when apart is distinct from false then 1 else 0 end)
-                    over (partition by doc_id order by at) as run from g)
-    select doc_id, min(at) as start, max(at) + {passages.SPAN} - min(at) as n_words from n group by doc_id, run""")
+                    over (partition by doc_id order by p) as run from g)
+    select doc_id, min(p) as start, max(p) + {passages.SPAN} - min(p) as n_words from n group by doc_id, run""")
 def op6_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
