@@ -61,25 +61,37 @@ def _blocked(df: DataFrame, names: list[str]) -> dict:
     p = len(names)
 
     def reduce_batches(batches):
-        total = None
+        total = lows = highs = None
         for pdf in batches:
+            if not len(pdf):
+                continue
             x = pdf.to_numpy(dtype="float64")
             mask = (~np.isnan(x)).astype("float64")
             x = np.nan_to_num(x)
             x2 = x * x
             part = np.stack([mask.T @ mask, x.T @ mask, x2.T @ mask, x.T @ x])
-            total = part if total is None else total + part
+            # range of column i over the rows where column j exists
+            low = np.stack([np.where(mask[:, [j]] * mask > 0, x, np.inf).min(axis=0) for j in range(p)], axis=1)
+            high = np.stack([np.where(mask[:, [j]] * mask > 0, x, -np.inf).max(axis=0) for j in range(p)], axis=1)
+            if total is None:
+                total, lows, highs = part, low, high
+            else:
+                total, lows, highs = total + part, np.minimum(lows, low), np.maximum(highs, high)
         if total is not None:
             i, j = np.triu_indices(p, 1)
             import pandas as pd
             yield pd.DataFrame({"i": i, "j": j, "n": total[0][i, j], "sx": total[1][i, j], "sy": total[1][j, i],
-                                "sxx": total[2][i, j], "syy": total[2][j, i], "sxy": total[3][i, j]})
+                                "sxx": total[2][i, j], "syy": total[2][j, i], "sxy": total[3][i, j],
+                                "lx": lows[i, j], "ly": lows[j, i], "hx": highs[i, j], "hy": highs[j, i]})
 
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
+    schema = ("i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double, lx double, ly double, "
+              "hx double, hy double")
     sums = shifted.mapInPandas(reduce_batches, schema).groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
+        *[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")], F.min("lx").alias("lx"),
+        F.min("ly").alias("ly"), F.max("hx").alias("hx"), F.max("hy").alias("hy"))
+    varies = (F.col("lx") < F.col("hx")) & (F.col("ly") < F.col("hy"))  # as for fewer columns
     cov = F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")
     spread = F.sqrt(F.greatest(F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx"), F.lit(0.0))) * F.sqrt(
         F.greatest(F.col("n") * F.col("syy") - F.col("sy") * F.col("sy"), F.lit(0.0)))
-    found = sums.select("i", "j", F.try_divide(cov, spread).alias("r")).collect()  # p * (p - 1) / 2 rows
+    found = sums.select("i", "j", F.when(varies, F.try_divide(cov, spread)).alias("r")).collect()  # p * (p - 1) / 2 rows
     return {(names[r["i"]], names[r["j"]]): _clip(r["r"]) for r in found}

@@ -82,13 +82,13 @@ def few_repeated(df: DataFrame) -> tuple[int, DataFrame | None]:
     return n, (F.broadcast(found) if n <= SPLIT_LIMIT else None)
 
 
-def duplicate_groups(df: DataFrame, name: str = "copies") -> DataFrame:
+def duplicate_groups(df: DataFrame, name: str = "copies", found: tuple | None = None) -> DataFrame:
     """Every distinct row that occurs more than once, with its number of copies (nulls are equal).
 
     The hash only selects candidates; equality is decided on the whole rows of the candidates.  While the
-    repeated hashes are few, only the candidates are shuffled.
+    repeated hashes are few, only the candidates are shuffled. ``found`` is what ``few_repeated`` gave, if known.
     """
-    n, few = few_repeated(df)
+    n, few = found or few_repeated(df)
     keys = [comparable(df, c).alias(c) for c in df.columns]
     if n == 0:
         candidates = df.select(*keys).filter(F.lit(False))
@@ -100,13 +100,13 @@ def duplicate_groups(df: DataFrame, name: str = "copies") -> DataFrame:
             .filter(col(name) > 1))
 
 
-def duplicate_count(df: DataFrame) -> DataFrame:
+def duplicate_count(df: DataFrame, found: tuple | None = None) -> DataFrame:
     """One row: rows beyond the first of every group of equal rows."""
-    return duplicate_groups(df, "_copies").agg(
+    return duplicate_groups(df, "_copies", found).agg(
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def drop_duplicate_rows(df: DataFrame) -> DataFrame:
+def drop_duplicate_rows(df: DataFrame, found: tuple | None = None) -> DataFrame:
     """One of every group of equal rows.
 
     Rows whose hash is unique need no shuffle.  That split is used while the repeated hashes are few enough
@@ -114,7 +114,7 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
     """
     if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
         raise TypeError("map and variant columns cannot be compared; convert them first")
-    n, few = few_repeated(df)
+    n, few = found or few_repeated(df)
     if n == 0:
         return df
     if few is None:

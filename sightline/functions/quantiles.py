@@ -27,6 +27,8 @@ GROUP_K, GROUP_SLACK = 1_000, 0.01
 GRID = 100  # ranks read from the sketch of one group
 COLUMNS_PER_JOB = 16
 COUNTED_PER_JOB = 24
+NARROWED_PER_JOB = 24  # brackets whose counts and sketches share one scan
+FINE = 500  # ranks read from the sketch of one bracket
 
 
 @dataclass
@@ -75,7 +77,7 @@ def exact_quantiles(df: DataFrame, names: list[str], probs=(0.25, 0.5, 0.75), ke
 def _solve(df, brackets, exprs, limits, keep) -> dict:
     solved = {}
     while brackets:
-        brackets = [b if b.bound <= keep else _narrow(df, b, F.expr(exprs[b.name]), keep) for b in brackets]
+        brackets = _narrow(df, brackets, exprs, limits, keep)
         missed = []
         for group in chunks(brackets, 3 * COLUMNS_PER_JOB):
             tables = _inside_counts(df, group, exprs)
@@ -89,29 +91,50 @@ def _solve(df, brackets, exprs, limits, keep) -> dict:
     return solved
 
 
-def _narrow(df: DataFrame, b: Bracket, x: Column, keep: int) -> Bracket:
-    """Shrink one bracket until it holds at most ``keep`` rows between its ends."""
+def _narrow(df: DataFrame, brackets: list[Bracket], exprs, limits, keep: int) -> list[Bracket]:
+    """Shrink brackets until each holds at most ``keep`` rows between its ends.
+
+    A round is one aggregate over the table for all brackets still open (``NARROWED_PER_JOB`` at a time): rows below and
+    on the ends, and a sketch of the rows between, from which the next and much narrower ends are read.
+    """
+    brackets = list(brackets)
     while True:
-        row = df.agg(F.count_if(x < b.lo).alias("below"), F.count_if(x <= b.lo).alias("to_lo"),
-                     F.count_if(x < b.hi).alias("under"), F.count_if(x <= b.hi).alias("to_hi")).first()
-        r0, r1 = b.ranks
-        if r0 < row["below"] or r1 >= row["to_hi"]:  # missed: open that side
-            low, high = df.agg(F.min(x), F.max(x)).first()
-            b = replace(b, lo=low if r0 < row["below"] else b.lo, hi=high if r1 >= row["to_hi"] else b.hi)
-            continue
-        if r1 < row["to_lo"]:
-            return replace(b, hi=b.lo, bound=0.0)
-        if r0 >= row["under"]:
-            return replace(b, lo=b.hi, bound=0.0)
-        inside = row["under"] - row["to_lo"]
-        if inside <= keep:
-            return replace(b, bound=inside)
-        first, last = (r0 - row["to_lo"]) / inside, (r1 - row["to_lo"]) / inside
-        slack = max(SLACK, 2.0 / inside)
-        s = df.filter((x > b.lo) & (x < b.hi)).agg(F.kll_sketch_agg_double(x, SKETCH_K).alias("s"))
-        lo, hi = s.select(F.kll_sketch_get_quantile_double("s", F.lit(max(0.0, first - slack))),
-                          F.kll_sketch_get_quantile_double("s", F.lit(min(1.0, last + slack)))).first()
-        b = replace(b, lo=b.lo if first - slack <= 0 else lo, hi=b.hi if last + slack >= 1 else hi)
+        still_open = [i for i, b in enumerate(brackets) if b.bound > keep]
+        if not still_open:
+            return brackets
+        for group in chunks(still_open, NARROWED_PER_JOB):
+            grid = ", ".join(sql_lit(i / FINE) for i in range(FINE + 1))
+            counted = df.agg(*[F.expr(e).alias(f"{k}{j}") for j, i in enumerate(group) for k, e in _bracket_counts(
+                exprs[brackets[i].name], brackets[i])])
+            row = counted.select("*", *[F.expr(
+                f"if(kll_sketch_get_n_double(s{j}) > 0, kll_sketch_get_quantile_double(s{j}, array({grid})), null)").alias(
+                f"q{j}") for j in range(len(group))]).drop(*[f"s{j}" for j in range(len(group))]).first()
+            for j, i in enumerate(group):
+                brackets[i] = _shrunk(brackets[i], row[f"a{j}"], row[f"b{j}"], row[f"c{j}"], row[f"d{j}"], row[f"q{j}"],
+                                      limits[brackets[i].name], keep)
+
+
+def _bracket_counts(x: str, b: Bracket) -> list[tuple[str, str]]:
+    lo, hi = sql_lit(b.lo), sql_lit(b.hi)
+    return [("a", f"count_if({x} < {lo})"), ("b", f"count_if({x} <= {lo})"), ("c", f"count_if({x} < {hi})"),
+            ("d", f"count_if({x} <= {hi})"),
+            ("s", f"kll_sketch_agg_double(if({x} > {lo} and {x} < {hi}, {x}, null), {SKETCH_K})")]
+
+
+def _shrunk(b: Bracket, below: int, to_lo: int, under: int, to_hi: int, grid, limits, keep: int) -> Bracket:
+    r0, r1 = b.ranks
+    if r0 < below or r1 >= to_hi:  # missed: open that side
+        return replace(b, lo=limits[0] if r0 < below else b.lo, hi=limits[1] if r1 >= to_hi else b.hi, bound=math.inf)
+    if r1 < to_lo:
+        return replace(b, hi=b.lo, bound=0.0)
+    if r0 >= under:
+        return replace(b, lo=b.hi, bound=0.0)
+    inside = under - to_lo
+    if inside <= keep:
+        return replace(b, bound=inside)
+    left = math.floor((r0 - to_lo) / inside * FINE) - 1
+    right = math.ceil((r1 - to_lo) / inside * FINE) + 1
+    return replace(b, lo=b.lo if left <= 0 else grid[left], hi=b.hi if right >= FINE else grid[right])
 
 
 def _inside_counts(df: DataFrame, group: list[Bracket], exprs) -> dict[int, list[tuple[float, int]]]:

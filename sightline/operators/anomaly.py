@@ -20,6 +20,8 @@ from sightline.types import num, numeric_names
 
 SEED = 42
 SUBSAMPLE = 256
+MAX_AXES = 8  # dimensions that are searched; more need principal components, asked for by the caller
+GRID_AXES = 3  # axes by which cells are looked up; distances always use all of them
 
 
 # ---------------------------------------------------------------- isolation forest
@@ -72,7 +74,7 @@ def isolation_forest(df: DataFrame, names: list[str] | None = None, trees: int =
         return rows.withColumns({"score": F.lit(None).cast("double"), "label": F.lit(None).cast("int")})
     size = min(SUBSAMPLE, n)
     # a row enters a tree with a probability that gives a little more than the wanted size, then the size is cut
-    scale = 1_000_000_000
+    scale = 1 << 62  # fine enough for any number of rows
     rate = min(1.0, (size + 6 * math.sqrt(size)) / n)
     draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
         t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col("_u")), F.lit(scale)).alias("draw")))
@@ -121,14 +123,15 @@ def anomaly_counts(labelled: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- shared: standardised points and grid cells
 
-def _points(df: DataFrame, names: list[str], scale: bool) -> tuple[DataFrame, list[Column]]:
-    """Complete rows and their coordinates: standardised, beyond three columns as principal components."""
+def _points(df: DataFrame, names: list[str], scale: bool, components: int | None) -> tuple[DataFrame, list[Column]]:
+    """Complete rows and their coordinates: all columns, standardised if asked, or that many principal components."""
     rows = complete_rows(df, names)
-    if not scale:
-        return rows, [num(c) for c in names]
-    if len(names) > 3:
-        return rows, Projection.fit(df, names, 3).columns()
-    return rows, standard_columns(rows, names)
+    if components is not None and components < len(names):
+        return rows, Projection.fit(df, names, components).columns()
+    if len(names) > MAX_AXES:
+        raise ValueError(f"{len(names)} columns: space is only searched in up to {MAX_AXES} dimensions; choose columns, "
+                         "or pass components to work on principal components instead")
+    return rows, standard_columns(rows, names) if scale else [num(c) for c in names]
 
 
 def _distinct_points(rows: DataFrame, coords: list[Column]) -> tuple[DataFrame, list[str]]:
@@ -148,42 +151,54 @@ def _square(axes: list[str], left: str, right: str) -> str:
 
 # ---------------------------------------------------------------- DBSCAN
 
-def _near_offsets(d: int) -> list[tuple[int, ...]]:
-    """Cell offsets that can hold a point within eps when the cell side is eps / sqrt(d)."""
-    reach = math.ceil(math.sqrt(d))
-    return [o for o in product(range(-reach, reach + 1), repeat=d)
-            if sum(max(0, abs(k) - 1) ** 2 for k in o) <= d]
+def _lookup(d: int) -> tuple[list[Column], list[tuple[int, ...]]]:
+    """How cells of side eps / sqrt(d) are looked up: grid columns from the cell's, and the grid offsets that can hold a
+    point within eps.
+
+    Up to three axes the cells are the grid. Beyond, the number of cells around one explodes, so cells are gathered in
+    blocks wider than eps along the first three axes and looked up in the 27 blocks around.
+    """
+    if d <= GRID_AXES:
+        reach = math.ceil(math.sqrt(d))
+        return [F.col(f"c{i}") for i in range(d)], [o for o in product(range(-reach, reach + 1), repeat=d)
+                                                    if sum(max(0, abs(k) - 1) ** 2 for k in o) <= d]
+    width = math.floor(math.sqrt(d)) + 1
+    return ([F.floor(F.col(f"c{i}") / F.lit(width)).cast("bigint") for i in range(GRID_AXES)],
+            list(product((-1, 0, 1), repeat=GRID_AXES)))
 
 
 def dbscan(df: DataFrame, names: list[str] | None = None, eps: float = 0.5, min_samples: int = 5,
-           scale: bool = True) -> DataFrame:
-    """Rows with their cluster number (from 0) or -1 for noise; exact, on at most three coordinates.
+           scale: bool = True, components: int | None = None) -> DataFrame:
+    """Rows with their cluster number (from 0) or -1 for noise; exact on all columns (at most ``MAX_AXES``).
 
-    Space is cut into cells whose diagonal is eps, so all points of a cell are neighbours: a cell with
+    With ``components`` the principal components are clustered instead, which is another result. Space is cut into cells whose diagonal is eps, so all points of a cell are neighbours: a cell with
     ``min_samples`` rows is core without comparing points.  Only points of thin cells are compared with the
     cells around them, and two dense cells are linked by refining boxes around their nearest points, so no
     step compares all pairs of a crowded region.  Clusters are the connected components of core cells.
     """
     names = names or numeric_names(df)
-    rows, coords = _points(df, names, scale)
+    rows, coords = _points(df, names, scale, components)
     points, axes = _distinct_points(rows, coords)
     d = len(axes)
     side = eps / math.sqrt(d) * (1 - 1e-12)
     cells = [f"c{i}" for i in range(d)]
-    points = cut_lineage(points.select("*", *_cell(axes, side)))
+    grid, offsets = _lookup(d)
+    g = len(grid)
+    points = points.select("*", *_cell(axes, side))
+    points = cut_lineage(points.select("*", *[x.alias(f"g{i}") for i, x in enumerate(grid)]))
     sizes = points.groupBy(*cells).agg(F.sum("w").alias("cell_rows"))
     dense = sizes.filter(F.col("cell_rows") >= min_samples).select(*cells)
     thin = points.join(dense, cells, "left_anti")  # fewer than min_samples rows per cell
-    near = F.array(*[F.struct(*[F.lit(k).cast("bigint").alias(f"o{i}") for i, k in enumerate(o)])
-                     for o in _near_offsets(d)])
+    near = F.array(*[F.struct(*[F.lit(k).cast("bigint").alias(f"o{i}") for i, k in enumerate(o)]) for o in offsets])
+    places = [f"g{i}" for i in range(g)]
 
     def around(table: DataFrame, keep: list[str]) -> DataFrame:
-        """One row per point and cell around it (cell columns n0, n1, ...)."""
-        spread = table.select(*keep, F.inline(near), *cells)
-        return spread.select(*keep, *[(F.col(f"c{i}") + F.col(f"o{i}")).alias(f"n{i}") for i in range(d)])
+        """One row per point and grid place around it (columns n0, n1, ...)."""
+        spread = table.select(*keep, F.inline(near), *places)
+        return spread.select(*keep, *[(F.col(f"g{i}") + F.col(f"o{i}")).alias(f"n{i}") for i in range(g)])
 
-    query = around(thin.select(*[F.col(a).alias(f"q{a}") for a in axes], *cells), [f"q{a}" for a in axes])
-    on = [F.col(f"n{i}") == F.col(f"c{i}") for i in range(d)]
+    query = around(thin.select(*[F.col(a).alias(f"q{a}") for a in axes], *places), [f"q{a}" for a in axes])
+    on = [F.col(f"n{i}") == F.col(f"g{i}") for i in range(g)]
     within = F.expr(f"{_square(axes, 'q', '')} <= {eps * eps!r}D")
     keys = [f"q{a}" for a in axes]
     counted = query.join(points, on).filter(within).groupBy(*keys).agg(F.sum("w").alias("seen"))
@@ -193,11 +208,11 @@ def dbscan(df: DataFrame, names: list[str] | None = None, eps: float = 0.5, min_
 
     links = _cell_links(core, dense, cells, axes, eps, near)
     labels = _components(core.select(*cells).distinct(), links, cells)
-    numbered = cut_lineage(core.join(labels, cells).select(*axes, *cells, "root"))
+    numbered = cut_lineage(core.join(labels, cells).select(*axes, *places, "root"))
 
     # border points: the smallest cluster with a core point within eps
     border = around(thin.join(thin_core.select(*axes), axes, "left_anti").select(
-        *[F.col(a).alias(f"q{a}") for a in axes], *cells), keys)
+        *[F.col(a).alias(f"q{a}") for a in axes], *places), keys)
     claimed = (border.join(numbered, on).filter(within).groupBy(*keys).agg(F.min("root").alias("root"))
                .select(*[F.col(f"q{a}").alias(a) for a in axes], "root"))
     known = numbered.select(*axes, "root").unionByName(claimed)
@@ -219,12 +234,14 @@ def _cell_links(core: DataFrame, dense: DataFrame, cells: list[str], axes: list[
     left, right = [f"a{i}" for i in range(d)], [f"b{i}" for i in range(d)]
     extent = [f(a).alias(f"{k}{a}") for a in axes for k, f in (("lo", F.min), ("hi", F.max))]
     side = eps / math.sqrt(d) * (1 - 1e-12)
-    members = core.select(*cells).distinct()
-    spread = members.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cells)], F.inline(near))
-    pairs = spread.select(*left, *[(F.col(f"a{i}") + F.col(f"o{i}")).alias(f"b{i}") for i in range(d)])
-    later = F.struct(*left) < F.struct(*right)
-    open_pairs = pairs.filter(later).join(
-        members.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cells)]), right, "left_semi")
+    places = [c for c in core.columns if c[0] == "g"]
+    members = core.select(*cells, *places).distinct()
+    spread = members.select(*[F.col(c).alias(f"a{i}") for i, c in enumerate(cells)], F.inline(near), *places)
+    spread = spread.select(*left, *[(F.col(p) + F.col(f"o{i}")).alias(f"n{i}") for i, p in enumerate(places)])
+    others = members.select(*[F.col(c).alias(f"b{i}") for i, c in enumerate(cells)], *places)
+    apart = sum(F.pow(F.greatest(F.abs(F.col(a) - F.col(b)) - 1, F.lit(0)), 2) for a, b in zip(left, right))
+    open_pairs = (spread.join(others, [F.col(f"n{i}") == F.col(p) for i, p in enumerate(places)])
+                  .filter((F.struct(*left) < F.struct(*right)) & (apart <= d)).select(*left, *right))
     gap = " + ".join(f"pow(greatest(0D, r.lo{a} - l.hi{a}, l.lo{a} - r.hi{a}), 2D)" for a in axes)
     far = " + ".join(f"pow(greatest(r.hi{a} - l.lo{a}, l.hi{a} - r.lo{a}), 2D)" for a in axes)
     linked = None
@@ -261,8 +278,8 @@ def _cell_links(core: DataFrame, dense: DataFrame, cells: list[str], axes: list[
         rest = cut_lineage(judged.filter(~F.col("links")).join(sure, left + right, "left_anti").drop("links", "may"))
         boxes_of_pairs = rest
         if rest.isEmpty():
-            break
-    return linked
+            return linked
+    raise RuntimeError("core cells are still undecided at the finest boxes: coordinates differ by less than a double shows")
 
 
 def _components(nodes: DataFrame, links: DataFrame, cells: list[str]) -> DataFrame:
@@ -426,10 +443,14 @@ def nearest_neighbours(points: DataFrame, axes: list[str], k: int, total: int) -
 
 
 def local_outlier_factor(df: DataFrame, names: list[str] | None = None, k: int = 20,
-                         contamination: float | None = None, scale: bool = True) -> DataFrame:
-    """Rows with their local outlier factor and a label: -1 above 1.5, or for the most outlying share."""
+                         contamination: float | None = None, scale: bool = True,
+                         components: int | None = None) -> DataFrame:
+    """Rows with their local outlier factor and a label: -1 above 1.5, or for the most outlying share.
+
+    Exact on all columns (at most ``MAX_AXES``); with ``components`` on that many principal components instead.
+    """
     names = names or numeric_names(df)
-    rows, coords = _points(df, names, scale)
+    rows, coords = _points(df, names, scale, components)
     points, axes = _distinct_points(rows, coords)
     points = cut_lineage(points.withColumn("pid", F.monotonically_increasing_id()))
     total = points.agg(F.sum("w")).first()[0] or 0

@@ -15,6 +15,7 @@ from sightline.functions.quantiles import exact_quantiles
 from sightline.functions.tablestats import TableStats, count_outside, share, value_stats
 from sightline.operators.transforms import standardize
 from sightline.operators.typing import CONVERT_ABOVE
+from sightline.session import cut_lineage
 from sightline.types import col, num, small_frame, string_names
 
 Log = list[str]
@@ -59,8 +60,11 @@ def impute(table, numeric: str = "median", categorical: str = "mode") -> tuple[D
 
 
 def drop_duplicates(table) -> tuple[DataFrame, Log]:
-    s = TableStats.of(table)
-    return counts.drop_duplicate_rows(s.df), [f"Removed {s.duplicates} duplicate rows"]
+    """One of every group of equal rows; the hashes found once serve the log and the result."""
+    df = TableStats.of(table).df
+    found = counts.few_repeated(df)
+    removed = counts.duplicate_count(df, found).first()[0] if found[0] else 0
+    return counts.drop_duplicate_rows(df, found), [f"Removed {removed} duplicate rows"]
 
 
 def fix_types(table, dates: bool = True) -> tuple[DataFrame, Log]:
@@ -132,7 +136,10 @@ STAGES = {"missing": impute, "duplicates": drop_duplicates, "types": fix_types,
 
 
 def clean(df: DataFrame, options: dict[str, bool] | None = None) -> tuple[DataFrame, Log]:
-    """The seven stages in fixed order; by default only the first two are on."""
+    """The seven stages in fixed order; by default only the first two are on.
+
+    A stage that shuffled (duplicates) is checkpointed on shared storage if further stages read its rows again.
+    """
     chosen = OPTIONS | (options or {})
     unknown = set(chosen) - set(OPTIONS)
     if unknown:
@@ -146,6 +153,8 @@ def clean(df: DataFrame, options: dict[str, bool] | None = None) -> tuple[DataFr
         before = s.missing_cells if name == "missing" else None
         current, lines = stage(s)
         log += lines
+        if name == "duplicates" and any(chosen[later] for later in list(STAGES)[list(STAGES).index(name) + 1:]):
+            current = cut_lineage(current)
         if before is not None:
             log.append(f"Missing values reduced from {before} to {TableStats(current).missing_cells}")
     return current, log

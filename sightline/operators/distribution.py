@@ -5,14 +5,14 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.quantiles import exact_quantiles, grouped_quantiles
 from sightline.functions.tablestats import number_stats
-from sightline.types import chunks, col, num, require, small_frame, sql_lit, sql_num
-
-POINTS_PER_JOB = 25  # density points per generated aggregate
+from sightline.types import col, num, require, small_frame
 
 
 def _range(df: DataFrame, *names: str) -> list[tuple[float, float]]:
@@ -112,51 +112,75 @@ def _grid(lo: float, hi: float, points: int) -> list[float]:
 def kde(df: DataFrame, names: list[str], points: int = 200, bandwidth: float | None = None) -> DataFrame:
     """Gaussian density of whole columns at evenly spaced points between minimum and maximum.
 
-    Each point is one sum over all rows inside a code-generated aggregate: nothing is joined or shuffled
-    but the partial sums.  The default bandwidth is n^(-1/5) times the standard deviation.
+    One scan for all columns and points: every task adds up the kernels of its rows, only those sums are shuffled.
+    The default bandwidth is n^(-1/5) times the standard deviation.
     """
     require(df, *names)
     stats = number_stats(df, names, quartiles=False)
-    rows = []
+    made = {}
     for name in names:
         st = stats[name]
         h = bandwidth if bandwidth is not None else (st.std * st.n ** -0.2 if st.n > 1 else 0.0)
-        if st.n < 2 or not h:
-            continue
-        grid = _grid(st.low, st.high, points)
-        sums: list[float] = []
-        for part in chunks(grid, POINTS_PER_JOB):
-            sums += list(df.agg(*[F.expr(kernel_sum(sql_num(name), sql_lit(g), sql_lit(h))).alias(f"p{i}")
-                                  for i, g in enumerate(part)]).first())
-        rows += [(name, i, g, total / (st.n * h * math.sqrt(2 * math.pi)))
-                 for i, (g, total) in enumerate(zip(grid, sums))]
-    return small_frame(df.sparkSession, rows, "column string, point int, x double, density double")
-
-
-def kernel_sum(x: str, at: str, h: str) -> str:
-    return f"sum(exp(-0.5D * pow(({x} - {at}) / {h}, 2D)))"
+        if st.n >= 2 and h:
+            made[name] = (st.n, h, _grid(st.low, st.high, points))
+    if not made:
+        return small_frame(df.sparkSession, [], "column string, point int, x double, density double")
+    rows = df.select(*[num(c).alias(f"x{i}") for i, c in enumerate(made)])
+    settings = list(made.values())
+
+    def add_up(batches):
+        totals = [np.zeros(points) for _ in settings]
+        for batch in batches:
+            for i, (_, h, grid) in enumerate(settings):
+                totals[i] += kernel_sums(batch[f"x{i}"].to_numpy(dtype="float64"), np.asarray(grid), h)
+        yield pd.DataFrame({"i": np.repeat(np.arange(len(settings)), points), "point": np.tile(np.arange(points), len(settings)),
+                            "total": np.concatenate(totals)})
+
+    sums = rows.mapInPandas(add_up, "i int, point int, total double").groupBy("i", "point").agg(F.sum("total").alias("total"))
+    out = [(c, p, x, n * h * math.sqrt(2 * math.pi), i) for i, (c, (n, h, grid)) in enumerate(made.items())
+           for p, x in enumerate(grid)]
+    grid = small_frame(df.sparkSession, out, "column string, point int, x double, scale double, i int")
+    return grid.join(sums, ["i", "point"]).select("column", "point", "x", (F.col("total") / F.col("scale")).alias("density"))
+
+
+def kernel_sums(x: np.ndarray, grid: np.ndarray, h: float, step: int = 2_000) -> np.ndarray:
+    """Sum of the kernels of all values at every point, a bounded block of values at a time; missing values are nothing."""
+    x = x[~np.isnan(x)]
+    total = np.zeros(len(grid))
+    for start in range(0, len(x), step):
+        z = (x[start:start + step, None] - grid) / h
+        total += np.exp(-0.5 * z * z).sum(axis=0)
+    return total
 
 
 def kde_by_group(df: DataFrame, name: str, by: str, points: int = 100, bandwidth: float | None = None) -> DataFrame:
-    """Density of every group over the group's own range; partial sums only are shuffled."""
+    """Density of every group over the group's own range; rows meet their group's range in one join, and every task adds
+    up its rows' kernels per group, so only sums are shuffled afterwards."""
     require(df, name, by)
     rows = df.select(col(by).alias("_g"), num(name).alias("_x")).filter("_g is not null and _x is not null")
     params = rows.groupBy("_g").agg(F.count("_x").alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"),
                                     F.stddev_samp("_x").alias("_s"))
     h = F.lit(float(bandwidth)) if bandwidth is not None else F.col("_s") * F.pow("_n", F.lit(-0.2))
-    params = params.withColumn("_h", h).filter("_n > 1 and _h > 0 and _hi > _lo")
+    params = params.withColumn("_h", h).filter("_n > 1 and _h > 0 and _hi > _lo").drop("_s")
     joined = rows.join(params, "_g")
-    out = None
-    for start in range(0, points, POINTS_PER_JOB):
-        index = range(start, min(start + POINTS_PER_JOB, points))
-        at = [f"(_lo + (_hi - _lo) * {i} / {points - 1})" for i in index]
-        sums = joined.groupBy("_g", "_n", "_lo", "_hi", "_h").agg(
-            *[F.expr(kernel_sum("_x", a, "_h")).alias(f"p{i}") for i, a in zip(index, at)])
-        scale = f"(_n * _h * {sql_lit(math.sqrt(2 * math.pi))})"
-        cells = ", ".join(f"struct({i} as point, {a} as x, p{i} / {scale} as density)" for i, a in zip(index, at))
-        part = sums.select(F.col("_g").alias(by), F.expr(f"inline(array({cells}))"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    kind = rows.schema["_g"].dataType.simpleString()
+    share = np.arange(points) / (points - 1) if points > 1 else np.zeros(1)
+
+    def add_up(batches):
+        for batch in batches:
+            parts = []
+            for key, part in batch.groupby("_g", sort=False):
+                n, lo, hi, h = part[["_n", "_lo", "_hi", "_h"]].iloc[0]
+                grid = lo + (hi - lo) * share
+                parts.append(pd.DataFrame({"_g": [key] * points, "point": np.arange(points), "x": grid,
+                                           "scale": n * h * math.sqrt(2 * math.pi),
+                                           "total": kernel_sums(part["_x"].to_numpy(), grid, h)}))
+            if parts:
+                yield pd.concat(parts)
+
+    sums = joined.mapInPandas(add_up, f"_g {kind}, point int, x double, scale double, total double")
+    return sums.groupBy("_g", "point").agg(F.first("x").alias("x"), (F.sum("total") / F.first("scale")).alias("density")).select(
+        F.col("_g").alias(by), "point", "x", "density")
 
 
 def normal_curve(df: DataFrame, name: str, points: int = 200) -> DataFrame:

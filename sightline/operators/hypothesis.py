@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sightline.types import col, num, require, small_frame
 
-SHAPIRO_LIMIT = 5000
+SHAPIRO_LIMIT = 5000  # values up to which the approximation of the p-value holds
 
 # Polynomial coefficients of Royston's approximation (Applied Statistics 44, 1995), low order first.
 WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -84,16 +84,17 @@ def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
     return w, 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def shapiro_test(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Shapiro-Wilk per group (or the whole column) of at most 5000 values; larger ones are reported untested.
+def shapiro_test(df: DataFrame, name: str, by: str | None = None, limit: int = SHAPIRO_LIMIT) -> DataFrame:
+    """Shapiro-Wilk per group (or the whole column) of at most ``limit`` values; larger ones get the status "too large".
 
-    Sizes are counted first, so only groups of bounded size are ever gathered in one task.
+    Sizes are counted first, so only groups of bounded size are ever gathered in one task. Beyond 5000 values the test's
+    approximation is not defined; ``ks_normal_test`` works at any size.
     """
     require(df, name, *([by] if by else []))
     key = col(by).cast("string") if by else F.lit("all")
     rows = df.select(key.alias("group"), num(name).alias("x")).filter("group is not null and x is not null")
     sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("row_count"))
-    fits = sizes.filter(F.col("row_count") <= SHAPIRO_LIMIT).select("group")
+    fits = sizes.filter(F.col("row_count") <= limit).select("group")
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
         w, p = shapiro_wilk(pdf["x"].to_numpy())
@@ -104,5 +105,5 @@ def shapiro_test(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         test, "group string, statistic double, p_value double, normal boolean")
     return sizes.join(tested, "group", "left").select(
         "group", "row_count", "statistic", "p_value", "normal",
-        F.when(F.col("row_count") > SHAPIRO_LIMIT, "too large").when(F.col("statistic").isNull(), "no variation")
+        F.when(F.col("row_count") > limit, "too large").when(F.col("statistic").isNull(), "no variation")
         .otherwise("tested").alias("status"))

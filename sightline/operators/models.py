@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 from sightline.functions.counts import row_hash
 from sightline.functions.ranks import lags, with_position
 from sightline.functions.tablestats import value_stats
-from sightline.types import col, num, numeric_names, require, small_frame, sql_num, string_names
+from sightline.types import col, is_temporal, num, numeric_names, require, small_frame, sql_num, string_names
 
 SEED = 42
 MAX_LABELS = 10_000  # classes a target may have (their index is held on the driver)
-MAX_CATEGORIES = 100  # distinct texts of a feature that is indexed
+MAX_CATEGORIES = 100  # distinct texts of a feature up to which each is a category; more are hashed into that many
 TEST_SHARE = 0.2
 
 
@@ -129,20 +129,46 @@ def cluster_summary(df: DataFrame, names: list[str] | None = None, k: int | None
 
 
 def hash_split(df: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows by seeded hash: the same rows on every run and in every class the same share."""
+    """Train and test rows by seeded hash: the same rows on every run; shares hold in expectation."""
     bucket = F.pmod(F.xxhash64(F.lit(seed), row_hash(df)), F.lit(10_000))
     return df.filter(bucket >= int(share * 10_000)), df.filter(bucket < int(share * 10_000))
 
 
+def stratified_split(df: DataFrame, target: str, share: float = TEST_SHARE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """Train and test rows with the same share of every class, rounded to whole rows.
+
+    Rows are placed within their class by a seeded hash over range partitions, so no class gathers in one task. A class
+    of one or two rows stays in the training part.
+    """
+    placed = with_position(df.withColumn("_order", F.xxhash64(F.lit(seed), row_hash(df))), [target], ["_order"], "_place")
+    sizes = df.groupBy(col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+    joined = placed.join(sizes, col(target).eqNullSafe(F.col("_class"))).drop("_order", "_class")
+    test = F.col("_place") <= F.round(F.col("_n") * share)
+    return joined.filter(~test).drop("_place", "_n"), joined.filter(test).drop("_place", "_n")
+
+
 def feature_stages(df: DataFrame, target: str, names: list[str] | None) -> tuple[list, list[str], DataFrame]:
-    """Imputation, text indexes and assembly; texts with too many distinct values stay out."""
+    """Imputation, text indexes and assembly of all usable columns.
+
+    Dates count as seconds. Texts with at most ``MAX_CATEGORIES`` values are indexed; others are hashed into that many
+    categories, so no column is left out.
+    """
     chosen = [c for c in (names or df.columns) if c != target]
-    numeric = [c for c in chosen if c in numeric_names(df)]
+    numeric = [c for c in chosen if c in numeric_names(df) or is_temporal(df.schema[c].dataType)]
     texts = [c for c in chosen if c in string_names(df)]
     sizes = value_stats(df, texts)
-    texts = [c for c in texts if 0 < sizes[c].unique <= MAX_CATEGORIES]
-    work = df.select(col(target).alias("_target"), *[num(c).alias(f"n_{i}") for i, c in enumerate(numeric)],
-                     *[col(c).alias(f"t_{i}") for i, c in enumerate(texts)])
+    texts = [c for c in texts if sizes[c].unique]
+
+    def number(c):
+        return F.unix_seconds(col(c).cast("timestamp")).cast("double") if is_temporal(df.schema[c].dataType) else num(c)
+
+    def category(c):
+        if sizes[c].unique <= MAX_CATEGORIES:
+            return col(c)
+        return F.when(col(c).isNotNull(), F.format_string("%03d", F.pmod(F.xxhash64(col(c)), F.lit(MAX_CATEGORIES))))
+
+    work = df.select(col(target).alias("_target"), *[number(c).alias(f"n_{i}") for i, c in enumerate(numeric)],
+                     *[category(c).alias(f"t_{i}") for i, c in enumerate(texts)])
     n_in, t_in = [f"n_{i}" for i in range(len(numeric))], [f"t_{i}" for i in range(len(texts))]
     stages = []
     if n_in:
@@ -156,11 +182,11 @@ def feature_stages(df: DataFrame, target: str, names: list[str] | None) -> tuple
 
 CLASSIFIERS = {"random_forest": lambda b: RandomForestClassifier(numTrees=100, maxDepth=10, maxBins=b, seed=SEED),
                "logistic": lambda b: LogisticRegression(regParam=0.01),
-               "gradient_boosting": lambda b: GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED),
+               "gradient_boosting": lambda b: GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED),
                "linear_svm": lambda b: LinearSVC(regParam=0.1), "naive_bayes": lambda b: NaiveBayes()}
 REGRESSORS = {"linear": lambda b: LinearRegression(),
               "random_forest": lambda b: RandomForestRegressor(numTrees=100, maxDepth=10, maxBins=b, seed=SEED),
-              "gradient_boosting": lambda b: GBTRegressor(maxIter=20, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED)}
+              "gradient_boosting": lambda b: GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED)}
 
 
 def _cross_validate(pipeline, evaluator, train, folds) -> tuple[float | None, float | None]:
@@ -187,15 +213,16 @@ def fit_classifier(df: DataFrame, target: str, algorithm: str = "random_forest",
         raise ValueError(f"the target has {labels} classes")
     stages, used, work = feature_stages(df.filter(col(target).isNotNull()), target, names)
     work = work.withColumn("_target", F.col("_target").cast("string"))
-    stages = [StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc")] + stages
-    widest = max([v.unique for v in value_stats(df, [c for c in used if c in string_names(df)]).values()], default=0)
-    estimator = CLASSIFIERS[algorithm](max(32, widest + 2))
+    # fitted on all labelled rows: a class may fall into the test part only
+    index = StringIndexer(inputCol="_target", outputCol="label", stringOrderType="alphabetAsc").fit(work)
+    work = index.transform(work)
+    estimator = CLASSIFIERS[algorithm](MAX_CATEGORIES + 2)
     if labels > 2 and algorithm in ("gradient_boosting", "linear_svm"):
         estimator = OneVsRest(classifier=estimator.setFeaturesCol("_features"))
     scaler = (lambda **k: MinMaxScaler(**k)) if algorithm == "naive_bayes" else (
         lambda **k: StandardScaler(withMean=False, withStd=True, **k))
     pipeline = _pipeline(stages, estimator, scaler)
-    train, test = hash_split(work)
+    train, test = [part.cache() for part in stratified_split(work, "_target")]
     return pipeline, pipeline.fit(train), used, train, test, labels
 
 
@@ -223,10 +250,9 @@ def fit_regressor(df: DataFrame, target: str, algorithm: str = "random_forest",
         raise ValueError(f"unknown algorithm; one of {list(REGRESSORS)}")
     stages, used, work = feature_stages(df.filter(col(target).isNotNull()), target, names)
     work = work.withColumn("label", F.col("_target").cast("double")).drop("_target")
-    widest = max([v.unique for v in value_stats(df, [c for c in used if c in string_names(df)]).values()], default=0)
-    pipeline = _pipeline(stages, REGRESSORS[algorithm](max(32, widest + 2)),
+    pipeline = _pipeline(stages, REGRESSORS[algorithm](MAX_CATEGORIES + 2),
                          lambda **k: StandardScaler(withMean=False, withStd=True, **k))
-    train, test = hash_split(work)
+    train, test = [part.cache() for part in hash_split(work)]
     return pipeline, pipeline.fit(train), used, train, test
 
 
@@ -263,9 +289,17 @@ def lag_features(df: DataFrame, date: str, y: str, count: int = 12, partition_by
 
 def forecast_baseline(df: DataFrame, date: str, y: str, count: int = 12, partition_by: list[str] | None = None,
                       max_iter: int = 300) -> DataFrame:
-    """Boosted trees on lag features, tested on the last fifth of every series: MAE, RMSE, MAPE."""
+    """Boosted trees on lag features, tested on the last fifth of every series: MAE, RMSE, MAPE.
+
+    Positions are computed once: without missing values the rows that have all lags are those from ``count + 1`` on.
+    Missing values leave holes, so then the rows that remain are placed again.
+    """
     keys = partition_by or []
-    table = with_position(lag_features(df, date, y, count, keys).drop("position"), keys, [date, "y"])
+    lagged = lag_features(df, date, y, count, keys)
+    if df.filter(num(y).isNull() & col(date).isNotNull()).isEmpty():
+        table = lagged.withColumn("position", F.col("position") - count)
+    else:
+        table = with_position(lagged.drop("position"), keys, [date, "y"])
     sizes = table.groupBy(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max("position").alias("_n"))
     on = F.lit(True)
     for i, k in enumerate(keys):
@@ -274,7 +308,7 @@ def forecast_baseline(df: DataFrame, date: str, y: str, count: int = 12, partiti
     early = F.col("position") <= F.floor(F.col("_n") * 0.8)
     inputs = [f"lag_{i}" for i in range(1, count + 1)]
     vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(joined.withColumn("_early", early))
-    vectors = vectors.select("features", F.col("y").alias("label"), "_early")
+    vectors = vectors.select("features", F.col("y").alias("label"), "_early").cache()  # read by every boosting round
     model = GBTRegressor(maxIter=max_iter, stepSize=0.05, maxDepth=3, seed=SEED).fit(vectors.filter("_early"))
     scored = model.transform(vectors.filter(~F.col("_early")))
     gap = F.abs(F.col("label") - F.col("prediction"))

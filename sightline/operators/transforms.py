@@ -10,7 +10,7 @@ from sightline.operators.filters import filter_domain_range
 from sightline.operators.typing import geo_column_names
 from sightline.types import col, is_numeric, num, require, sql_lit, sql_num
 
-BOXCOX_LOW, BOXCOX_HIGH, BOXCOX_STEPS, BOXCOX_ROUNDS = -5.0, 5.0, 20, 5
+BOXCOX_START, BOXCOX_STEPS, BOXCOX_ROUNDS = 5.0, 20, 5  # first bracket -5 to 5, points per scan, refinements
 
 
 def _replace(df: DataFrame, changed: dict[str, Column]) -> DataFrame:
@@ -86,31 +86,38 @@ def boxcox_value(x: Column, lam: float) -> Column:
     return F.ln(x) if abs(lam) < 1e-9 else (F.exp(F.lit(lam) * F.ln(x)) - 1.0) / F.lit(lam)
 
 
-def _boxcox_sql(name: str, lam: float) -> str:
-    x, g = sql_num(name), sql_lit(lam)
-    return f"ln({x})" if abs(lam) < 1e-9 else f"(exp({g} * ln({x})) - 1D) / {g}"
+def _boxcox_sql(name: str, lam: float, log_mean: float) -> str:
+    """Variance of the transform of values divided by their geometric mean, whose logarithms sum to zero."""
+    y, g = f"(ln({sql_num(name)}) - {sql_lit(log_mean)})", sql_lit(lam)
+    return f"var_pop({y})" if abs(lam) < 1e-9 else f"var_pop((exp({g} * {y}) - 1D) / {g})"
 
 
 def boxcox_lambda(df: DataFrame, name: str) -> float | None:
-    """The exponent of highest likelihood: a grid of likelihoods per scan, refined around its best point."""
+    """The exponent of highest likelihood: a grid of likelihoods per scan, refined around its best point.
+
+    The bracket is open: while the best point is an end of it, the bracket moves on and doubles.
+    """
     require(df, name)
     x = num(name)
-    low, n, logs = df.agg(F.min(x), F.count(x), F.sum(F.ln(F.when(x > 0, x)))).first()
-    if not n:
+    low, high, n, log_mean = df.agg(F.min(x), F.max(x), F.count(x), F.avg(F.ln(F.when(x > 0, x)))).first()
+    if not n or low == high:
         return None
     if low <= 0:
         raise ValueError(f"Box-Cox needs positive values; the minimum of {name!r} is {low}")
-    lo, hi = BOXCOX_LOW, BOXCOX_HIGH
-    best = 1.0
-    for _ in range(BOXCOX_ROUNDS):
-        grid = [lo + (hi - lo) * i / BOXCOX_STEPS for i in range(BOXCOX_STEPS + 1)]
-        row = df.agg(*[F.expr(f"ln(nullif(var_pop({_boxcox_sql(name, g)}), 0D))").alias(f"v{i}")
-                       for i, g in enumerate(grid)]).first()
-        score = {g: -0.5 * n * row[f"v{i}"] + (g - 1.0) * logs for i, g in enumerate(grid) if row[f"v{i}"] is not None}
-        if not score:
-            return None
-        best = max(score, key=score.get)
+    lo, hi, refined, best = -BOXCOX_START, BOXCOX_START, 0, None
+    while refined < BOXCOX_ROUNDS:
         step = (hi - lo) / BOXCOX_STEPS
+        grid = [lo + step * i for i in range(BOXCOX_STEPS + 1)]
+        row = df.agg(*[F.expr(_boxcox_sql(name, g, log_mean)).alias(f"v{i}") for i, g in enumerate(grid)]).first()
+        spread = {g: row[f"v{i}"] for i, g in enumerate(grid)}
+        spread = {g: v for g, v in spread.items() if v is not None and 0 < v < float("inf")}
+        if not spread:
+            return best
+        best = min(spread, key=spread.get)
+        if not refined and best in (grid[0], grid[-1]):  # overflow ends this, long before any sensible exponent
+            lo, hi = (best - 2 * (hi - lo), best + step) if best == grid[0] else (best - step, best + 2 * (hi - lo))
+            continue
+        refined += 1
         lo, hi = best - step, best + step
     return best
 
@@ -120,6 +127,22 @@ def boxcox(df: DataFrame, name: str) -> DataFrame:
     return df if lam is None else df.withColumn(name, boxcox_value(num(name), lam))
 
 
+def skew_transforms(df: DataFrame, name: str) -> dict[str, DataFrame]:
+    """The column as it is and made more symmetric: logarithm, square root, Box-Cox; those its values do not allow are
+    left out (logarithm and Box-Cox need positive values, the root none below zero)."""
+    require(df, name)
+    rows = df.select(col(name))
+    low = _limits(rows, [name])[name][0]
+    made = {"original": rows}
+    if low is not None and low > 0:
+        made["log"] = log_transform(rows, name)
+    if low is not None and low >= 0:
+        made["sqrt"] = sqrt_transform(rows, name)
+    if low is not None and low > 0:
+        made["boxcox"] = boxcox(rows, name)
+    return made
+
+
 def lowercase(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.lower(col(name)))
 

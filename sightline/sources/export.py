@@ -17,8 +17,9 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """CSV with header, one file per partition."""
-    flat(df).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with header, one file per partition; text is quoted and kept as it is, blanks and newlines included."""
+    flat(df).write.mode(mode).csv(path, header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False,
+                                  ignoreTrailingWhiteSpace=False)
 
 
 def _rows(df: DataFrame):

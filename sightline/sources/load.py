@@ -15,12 +15,13 @@ NA_TOKENS = ["", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN",
 INTEGER_PATTERN = r"^\s*[+-]?\d{1,18}\s*$"
 
 
-def load_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
+def load_csv(spark: SparkSession, path: str, sep: str = ",", multi_line: bool = True) -> DataFrame:
     """CSV with a header: a column is bigint, double or boolean if all its values read so, else text.
 
-    Every row takes part in the decision (one aggregate over the file); dates stay text.
+    Every row takes part in the decision (one aggregate over the file); dates stay text. Quoted text may hold newlines;
+    for large files known to hold none ``multi_line=False`` lets Spark split a file among tasks.
     """
-    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=False, escape='"')
+    raw = spark.read.csv(path, header=True, sep=sep, inferSchema=False, multiLine=multi_line, escape='"')
     text = raw.select(*[F.when(~col(c).isin(NA_TOKENS), col(c)).alias(c) for c in raw.columns])
     kinds: dict[str, str] = {}
     for group in chunks(text.columns, 40):

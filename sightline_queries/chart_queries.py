@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sightline.operators import charts, correlation, distribution, groups, hypothesis, transforms
 from sightline.plans import dashboard
-from sightline_queries.registry import NUMERIC, corr_sql, duck, query, union
+from sightline_queries.registry import NUMERIC, boxcox_best_sql, corr_sql, duck, query, union
 
 PRICE = "l_extendedprice"
 
@@ -305,9 +305,9 @@ def _(spark, read):
 
 
 @query("correlation_matrix_missing", "select column_1, column_2, round(r, 6) as correlation from (" + corr_sql(
-    "fx_nulls", [(a, b) for a in ("l_linenumber", "q", "p") for b in ("l_linenumber", "q", "p")]) + ")")
+    "fx_nulls", [(a, b) for a in NUMERIC["fx_nulls"] for b in NUMERIC["fx_nulls"]]) + ")")
 def _(spark, read):
-    return correlation.correlation_matrix(read("fx_nulls").drop("l_orderkey"))
+    return correlation.correlation_matrix(read("fx_nulls"))
 
 
 PAIRS = [(a, b) for i, a in enumerate(NUMERIC["fx_coll"]) for b in NUMERIC["fx_coll"][i + 1:]]
@@ -404,13 +404,43 @@ def _(spark, read):
     return distribution.bar_3d(read("lineitem"), "l_quantity", "l_linenumber", PRICE)
 
 
-@query("skew_transforms")
+@query("correlation_pairs_bottom", f"select column_1, column_2, round(r, 6) as correlation, {STRENGTH} as strength "
+       f"from ({corr_sql('lineitem', [(a, b) for i, a in enumerate(NUMERIC['lineitem']) for b in NUMERIC['lineitem'][i + 1:]])}) "
+       "where r < 0 order by r limit 5")
 def _(spark, read):
-    rows = read("orders").select("o_totalprice")
-    made = {"original": rows, "log": transforms.log_transform(rows, "o_totalprice"),
-            "sqrt": transforms.sqrt_transform(rows, "o_totalprice"), "boxcox": transforms.boxcox(rows, "o_totalprice")}
-    return reduce(DataFrame.unionByName, [distribution.histogram(d, "o_totalprice", 30).withColumn("variant", F.lit(v))
-                                          for v, d in made.items()])
+    return correlation.correlation_pairs(read("lineitem"), top=5, sign="negative")
+
+
+@query("chart_data_line", "select o_orderdate as x, o_totalprice as y from orders")
+def _(spark, read):
+    return charts.chart_data(read("orders"), {"type": "line", "x_column": "o_orderdate", "y_column": "o_totalprice"})
+
+
+@query("chart_data_scatter", "select l_quantity as x, l_extendedprice as y, l_returnflag as category, 8.0::double as "
+       "marker_size from lineitem")
+def _(spark, read):
+    return charts.chart_data(read("lineitem"), {"type": "scatter", "x_column": "l_quantity", "y_column": "l_extendedprice",
+                                                "color_column": "l_returnflag"})
+
+
+def _skew_sql() -> str:
+    """Histograms with 30 bins of the four variants; the exponent is that of ``boxcox_sql``."""
+    variants = {"original": "o_totalprice", "log": "ln(o_totalprice)", "sqrt": "sqrt(o_totalprice)",
+                "boxcox": "(exp(g * ln(o_totalprice)) - 1) / g"}
+    parts = []
+    for v, e in variants.items():
+        source = f"(select {e} as x from orders{', (select g from best5)' if v == 'boxcox' else ''})"
+        parts.append(f"select '{v}' as variant, bin, row_count from (select least(floor((x - lo) / ((hi - lo) / 30)), 29)::int "
+                     f"as bin, count(*) as row_count from {source}, (select min(x) as lo, max(x) as hi from {source}) group by 1)")
+    return boxcox_best_sql("orders", "o_totalprice") + " " + " union all ".join(parts)
+
+
+@query("skew_transforms", _skew_sql())
+def _(spark, read):
+    made = transforms.skew_transforms(read("orders"), "o_totalprice")
+    return reduce(DataFrame.unionByName, [
+        distribution.histogram(d, "o_totalprice", 30).filter("row_count > 0").select(F.lit(v).alias("variant"), "bin", "row_count")
+        for v, d in made.items()])
 
 
 # Standard normal distribution as its power series, enough terms for |z| < 7.

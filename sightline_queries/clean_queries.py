@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sightline.operators import cleaning, transforms
 from sightline.plans import cleaning_plan
 from sightline.sources import export
-from sightline_queries.registry import columns, duck, dup_sql, fences_sql, query, union
+from sightline_queries.registry import boxcox_best_sql, columns, duck, dup_sql, fences_sql, query, union
 
 
 def _filled(q: str, p: str) -> str:
@@ -60,7 +60,8 @@ def _(spark, read):
     return transforms.square_transform(read("events").select("event_id", "value"), "value")
 
 
-@query("boxcox")
+@query("boxcox", boxcox_best_sql("orders", "o_totalprice") + " select o_orderkey, (exp(g * ln(o_totalprice)) - 1) / g as "
+       "o_totalprice from orders, best5")
 def _(spark, read):
     return transforms.boxcox(read("orders").select("o_orderkey", "o_totalprice"), "o_totalprice")
 
@@ -133,7 +134,36 @@ _CAPPED = f"(select event_id, least(greatest(value, lo), hi) as v from events, {
        f"from {_CAPPED})")
 def _(spark, read):
     options = {"types": True, "outliers": True, "scale": True, "categories": True, "low_variance": True}
-    return cleaning.clean(read("fx_const").drop("k_num"), options)[0]
+    return cleaning.clean(read("fx_const"), options)[0]
+
+
+PLAN_MEDIAN = {"priority_issues": [{"issue": "Missing values", "strategy": "fill with the median"}]}
+PLAN_CAP = {"priority_issues": [{"issue": "Outliers in value", "strategy": "cap them at the fences"}]}
+PLAN_CLIP = {"priority_issues": [{"issue": "Outlier rows", "strategy": "clip"}]}
+PLAN_TYPE = {"priority_issues": [{"issue": "Wrong data types", "strategy": "convert"}]}
+
+
+@query("apply_cleaning_plan_median", _filled("quantile_cont(q, 0.5)", "quantile_cont(p, 0.5)"))
+def _(spark, read):
+    return cleaning_plan.apply_cleaning_plan(read("fx_nulls"), PLAN_MEDIAN)[0]
+
+
+@query("apply_cleaning_plan_cap", "select event_id, round(least(greatest(value, lo), hi), 6) as value from events, "
+       f"{fences_sql('events', 'value')}")
+def _(spark, read):
+    return cleaning_plan.apply_cleaning_plan(read("events"), PLAN_CAP)[0].select("event_id", "value")
+
+
+@query("apply_cleaning_plan_clip", "select l_orderkey, l_linenumber, round(least(greatest(l_extendedprice, lo), hi), 6) as "
+       f"l_extendedprice from lineitem, {fences_sql('lineitem', 'l_extendedprice')}")
+def _(spark, read):
+    return cleaning_plan.apply_cleaning_plan(read("lineitem"), PLAN_CLIP)[0].select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("apply_cleaning_plan_type", "select event_id, try_cast(num_txt as double) as num_txt, date_txt, event_type "
+       f"from {duck('fx_types')}")
+def _(spark, read):
+    return cleaning_plan.apply_cleaning_plan(read("fx_types"), PLAN_TYPE)[0]
 
 
 PLAN = {"priority_issues": [

@@ -37,12 +37,46 @@ def _(spark, read):
 
 @query("baseline_classifier")
 def _(spark, read):
-    return models.baseline_classifier(read("lineitem").drop("l_shipdate"), "l_linestatus", "logistic", folds=2)
+    return models.baseline_classifier(read("lineitem"), "l_linestatus", "logistic")
+
+
+def _labelled(read):
+    """Quality marks with what is known of their documents."""
+    return read("labels").join(read("documents").drop("text"), "doc_id")
+
+
+def _register_classifiers():
+    for name in ("random_forest", "gradient_boosting", "linear_svm", "naive_bayes"):
+        @query(f"baseline_classifier_{name}")
+        def _(spark, read, name=name):
+            return models.baseline_classifier(_labelled(read), "quality", name)
+
+
+_register_classifiers()
 
 
 @query("baseline_regressor")
 def _(spark, read):
-    return models.baseline_regressor(read("lineitem").drop("l_shipdate"), "l_extendedprice", "linear", folds=2)
+    return models.baseline_regressor(read("lineitem"), "l_extendedprice", "linear")
+
+
+def _register_regressors():
+    for name in ("random_forest", "gradient_boosting"):
+        @query(f"baseline_regressor_{name}")
+        def _(spark, read, name=name):
+            return models.baseline_regressor(read("part"), "p_retailprice", name)
+
+
+_register_regressors()
+
+
+@query("stratified_split", "select l_linenumber as class, count(*) - round(0.2 * count(*))::bigint as train_rows, "
+       "round(0.2 * count(*))::bigint as test_rows from lineitem group by 1")
+def _(spark, read):
+    train, test = models.stratified_split(read("lineitem"), "l_linenumber")
+    return train.groupBy("l_linenumber").agg(F.count("*").alias("train_rows")).join(
+        test.groupBy("l_linenumber").agg(F.count("*").alias("test_rows")), "l_linenumber").withColumnRenamed(
+        "l_linenumber", "class")
 
 
 @query("feature_importance")
@@ -75,7 +109,7 @@ def _(spark, read):
 
 @query("forecast_baseline")
 def _(spark, read):
-    return models.forecast_baseline(read("events"), "ts", "value", 12, ["user_id"], max_iter=10)
+    return models.forecast_baseline(read("events"), "ts", "value", 12, ["user_id"])
 
 
 @query("isolation_forest")
@@ -104,6 +138,48 @@ def _(spark, read):
     return found.select("c_custkey", (F.col("cluster") < 0).alias("noise"))
 
 
+FIVE = {"p_partkey": "p_partkey", "p_size": "p_size", "p_retailprice": "p_retailprice", "name_chars": "length(p_name)",
+        "type_chars": "length(p_type)"}
+
+
+def _five_sql() -> str:
+    raw = "(select " + ", ".join(f"{e} as {c}" for c, e in FIVE.items()) + " from part)"
+    scaled = ", ".join(f"({c} - m{i}) / s{i} as x{i}" for i, c in enumerate(FIVE))
+    moments = ", ".join(f"avg({c}) as m{i}, stddev_pop({c}) as s{i}" for i, c in enumerate(FIVE))
+    square = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(5))
+    return (f"with p as (select p_partkey, {scaled} from {raw}, (select {moments} from {raw})), near as (select a.p_partkey as "
+            f"id, b.p_partkey as other from p a join p b on {square} <= 0.64), core as (select id from near group by id having "
+            "count(*) >= 8) select p_partkey, not exists (select 1 from near n where n.id = p.p_partkey and n.other in "
+            "(select id from core)) as noise from p")
+
+
+@query("dbscan_five_columns", _five_sql())
+def _(spark, read):
+    """All five columns take part; noise is unambiguous, border points are not."""
+    rows = read("part").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("name_chars"),
+                               F.length("p_type").alias("type_chars"))
+    found = anomaly.dbscan(rows, rows.columns, eps=0.8, min_samples=8)
+    return found.select("p_partkey", (F.col("cluster") < 0).alias("noise"))
+
+
+def _lof_five_sql() -> str:
+    base = _five_sql().split(", near as")[0]
+    square = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(5))
+    return (f"{base}, near as (select a.p_partkey as id, b.p_partkey as other, sqrt({square}) as d from p a join p b on "
+            "a.p_partkey <> b.p_partkey qualify row_number() over (partition by a.p_partkey order by d, b.p_partkey) <= 20), "
+            "far as (select id, max(d) as k from near group by id), dense as (select n.id, 1 / (avg(greatest(far.k, n.d)) + "
+            "1e-10) as lrd from near n join far on far.id = n.other group by n.id) select p_partkey, round(f, 4) as factor "
+            "from (select n.id as p_partkey, avg(o.lrd) / any_value(s.lrd) as f from near n join dense o on o.id = n.other "
+            "join dense s on s.id = n.id group by n.id)")
+
+
+@query("local_outlier_factor_five_columns", _lof_five_sql(), digits=4)
+def _(spark, read):
+    rows = read("part").select("p_partkey", "p_size", "p_retailprice", F.length("p_name").alias("name_chars"),
+                               F.length("p_type").alias("type_chars"))
+    return anomaly.local_outlier_factor(rows, rows.columns, 20).select("p_partkey", "factor")
+
+
 @query("local_outlier_factor", f"with {POINTS}, near as (select p.id, o.id as other, sqrt((p.x - o.x) * (p.x - o.x) + "
        "(p.y - o.y) * (p.y - o.y)) as d from pts p join pts o on p.id <> o.id qualify row_number() over (partition by p.id "
        "order by d, o.id) <= 20), far as (select id, max(d) as k from near group by id), dense as (select n.id, "

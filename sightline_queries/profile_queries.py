@@ -139,10 +139,10 @@ def _(spark, read):
 
 
 @query("column_samples", union([
-    f"select '{c}' as \"column\", (select string_agg(v, ', ' order by v) from (select distinct {c} as v from part "
-    f"order by v limit 3)) as sample_values" for c in TEXT["part"]]))
+    f"select '{c}' as \"column\", (select string_agg(cast(v as varchar), ', ' order by v) from (select distinct {c} as v "
+    f"from part order by v limit 3)) as sample_values" for c in columns("part")]))
 def _(spark, read):
-    return overview.sample_values(read("part").select(*TEXT["part"]), 3)
+    return overview.sample_values(read("part"), 3)
 
 
 @query("dtype_distribution", "select * from (values ('bigint', 3), ('int', 1), ('double', 4), ('string', 2), "
@@ -237,9 +237,9 @@ def _(spark, read):
 @query("column_quality_table", union([
     f"select \"column\", '{t}' as dtype, round(100.0 * (n - count) / n, 6) as missing_pct, unique_values, "
     f"cast(most_frequent as varchar) as most_frequent from ({top_value_sql('fx_nulls', c)}), "
-    f"(select count(*) as n from lineitem)" for c, t in TYPES.items() if c in ("l_orderkey", "l_linenumber", "rf")]))
+    f"(select count(*) as n from lineitem)" for c, t in TYPES.items()]))
 def _(spark, read):
-    return overview.column_quality_table(read("fx_nulls").select("l_orderkey", "l_linenumber", "rf"))
+    return overview.column_quality_table(read("fx_nulls"))
 
 
 @query("summarize", union(
@@ -344,3 +344,13 @@ def _(spark, read):
     export.write_csv(read("fx_types").withColumn("num_txt", F.concat(F.lit("u"), "num_txt")), path)
     back = load.load_csv(spark, path)
     return back.withColumn("num_txt", F.substring("num_txt", 2, 20))
+
+
+@query("load_csv_text", "select * from documents")
+def _(spark, read):
+    """Whole documents, newlines included, written as CSV and read back."""
+    import uuid
+    from sightline.session import scratch_folder
+    path = f"{scratch_folder(spark)}/csv-{uuid.uuid4().hex}"
+    export.write_csv(read("documents"), path)
+    return load.load_csv(spark, path)

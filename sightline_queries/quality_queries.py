@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightline.operators import quality
-from sightline_queries.registry import (NUMERIC, TEXT, columns, corr_sql, duck, dup_sql, fences_sql, outlier_sql,
+from sightline_queries.registry import (NUMERIC, TEXT, TIME, columns, corr_sql, duck, dup_sql, fences_sql, outlier_sql,
                                         query, union)
 from sightline_queries.profile_queries import _rates
 
@@ -131,9 +131,9 @@ def _(spark, read):
 @query("skewness_table", union([
     f"select '{c}' as \"column\", round(s, 6) + 0.0 as skewness, case when abs(s) > 1 then 'Highly Skewed' "
     f"when abs(s) > 0.5 then 'Moderately Skewed' else 'Approximately Normal' end as interpretation "
-    f"from {_pop_skew('lineitem', c)}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")]))
+    f"from {_pop_skew('lineitem', c)}" for c in NUMERIC["lineitem"]]))
 def _(spark, read):
-    return quality.skewness_table(read("lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return quality.skewness_table(read("lineitem"))
 
 
 @query("sample_moments", union([
@@ -147,7 +147,7 @@ def _low_variance_sql(t: str) -> str:
     rows = [f"select '{c}' as \"column\", 'numeric' as kind, round(var_samp({c}), 6) as variance, "
             f"null::double as unique_ratio, var_samp({c}) < 0.01 as low from {duck(t)}" for c in NUMERIC[t]]
     rows += [f"select '{c}', 'categorical', null, round(count(distinct {c}) / count(*), 6), "
-             f"count(distinct {c}) / count(*) < 0.01 from {duck(t)}" for c in TEXT[t]]
+             f"count(distinct {c}) / count(*) < 0.01 from {duck(t)}" for c in TEXT[t] + TIME.get(t, [])]
     return f"select * exclude (low) from ({union(rows)}) where low"
 
 
@@ -158,7 +158,7 @@ def _(spark, read):
 
 @query("detect_low_variance_lineitem", _low_variance_sql("lineitem"))
 def _(spark, read):
-    return quality.detect_low_variance(read("lineitem").drop("l_shipdate"))
+    return quality.detect_low_variance(read("lineitem"))
 
 
 @query("low_variance_details", "select 'k_num' as \"column\", 'numeric' as kind, round(var_samp(k_num), 6) as variance, "
@@ -236,7 +236,7 @@ def _summary_sql(t: str) -> str:
 
 @query("issue_summary", _summary_sql("events"))
 def _(spark, read):
-    return quality.issue_summary(read("events").drop("ts"))
+    return quality.issue_summary(read("events"))
 
 
 @query("issue_summary_found", f"select * from ({_summary_sql('part')}) where issue_count > 0")
@@ -259,7 +259,7 @@ def _all_issues_sql(t: str) -> str:
 
 @query("detect_all_issues", _all_issues_sql("events"))
 def _(spark, read):
-    return quality.all_issues_table(read("events").drop("ts"))
+    return quality.all_issues_table(read("events"))
 
 
 def _score_sql(t: str, completeness: str, consistency: str, validity: str) -> str:

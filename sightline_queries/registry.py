@@ -116,6 +116,19 @@ def columns(name: str) -> list[str]:
         name, NUMERIC.get(name, []) + TEXT.get(name, []))
 
 
+def boxcox_best_sql(t: str, c: str) -> str:
+    """CTEs best1 to best5: the exponent g of the smallest variance on values over their geometric mean, first among -5 to
+    5 in steps of a half, then four times among a tenth of the step around it (an inner optimum is assumed)."""
+    parts, step = [f"v as (select ln({c}) - (select avg(ln({c})) from {t}) as y from {t})"], 0.5
+    for k in range(1, 6):
+        low = "-5.0::double" if k == 1 else f"(select g from best{k - 1}) - {step * 10!r}::double"
+        parts.append(f"grid{k} as (select {low} + {step!r}::double * i as g from range(21) r(i))")
+        parts.append(f"best{k} as (select arg_min(g, s) as g from (select g, var_pop(case when abs(g) < 1e-9 then y else "
+                     f"(exp(g * y) - 1) / g end) as s from v, grid{k} group by g))")
+        step /= 10
+    return "with " + ", ".join(parts)
+
+
 def describe_sql(t: str, cols: list[str]) -> str:
     return union([f"select '{c}' as \"column\", count({c}) as count, round(avg({c}), 6) as mean, "
                   f"round(stddev_samp({c}), 6) as std, round(cast(min({c}) as double), 6) as min, "
