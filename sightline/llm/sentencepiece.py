@@ -76,6 +76,8 @@ def load(path: str = MODEL) -> Pieces:
     names = [p for p, _, _ in rows]
     if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in names):
         raise ValueError("the model has pieces across words")
+    if len(model.pieces) >= 1 << 17 or max(map(len, names)) > 31 or min(r[2] for r in rows) < -100 * MICRO:
+        raise ValueError("the model does not fit the packed lattice edges")
     # a letter and a mark behind it are cut apart if no piece has them together
     cut = not any(re.search(f"[{_LETTER}][{_MARK}]", p) for p in names)
     n = LONGEST
@@ -85,8 +87,20 @@ def load(path: str = MODEL) -> Pieces:
                   max(map(len, names)), pattern, len(model.pieces), tuple(texts))
 
 
-def words_of(text: str | None, find) -> list[str]:
-    return find(SPACE + text.replace(" ", SPACE)) if text else []
+def chunks(text: str | None) -> list[str]:
+    """The text between blanks; a blank before each is understood. Blanks in a row stay in one chunk with what follows."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text:
+        return [c[1:] for c in _RUN.findall(" " + text)]
+    return text.split(" ")
+
+
+_RUN = re.compile(" +[^ ]*")
+
+
+def words_of(chunk: str, find) -> list[str]:
+    return find(SPACE + chunk.replace(" ", SPACE))
 
 
 def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> DataFrame:
@@ -97,14 +111,17 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
         find, held = re.compile(pattern).findall, Counter()
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())],
-                                             names=["word", "n"])
+            counts: Counter = Counter()
+            for chunk, n in held.items():
+                for word in words_of(chunk, find):
+                    counts[word] += n
             held.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
+                                              names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0):
-                held.update(words_of(text.as_py(), find))
+                held.update(chunks(text.as_py()))
                 if len(held) > 300_000:
                     yield flush()
         yield flush()
@@ -113,92 +130,111 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+# an edge of the lattice is one long: end (11 bits), 31 - length (5), cost (27), id + 1 (17; 0 is a character without a piece),
+# so edges sort by end and then by start
+_END, _LENGTH, _COST, _ID = 49, 44, 17, 0
 
 
-def best_path(edges: Column) -> Column:
-    """Ids along the best path over edges (end, start, score, id), sorted; of equal paths, longer last pieces win.
+def _part(edge: Column, at: int, bits: int) -> Column:
+    return F.shiftright(edge, at).bitwiseAND(F.lit((1 << bits) - 1))
 
-    The fold keeps the best way to the boundary being reached, and those to all earlier boundaries.
-    """
-    way = "struct<score:bigint,start:int,id:int>"
 
-    def step(acc: Column, e: Column) -> Column:
-        more = e["end"] > acc["end"]
-        past = F.when(more, F.concat(acc["past"], F.array(F.struct(acc["score"], acc["start"], acc["id"])))).otherwise(acc["past"])
+def _end(edge: Column) -> Column:
+    return F.shiftright(edge, _END).cast("int")
+
+
+def _start(edge: Column) -> Column:
+    return (F.shiftright(edge, _END) + _part(edge, _LENGTH, 5) - 31).cast("int")
 
-        def reached(past: Column) -> Column:
-            score = F.get(past, e["start"])["score"] + e["score"]
-            return _let(F.struct(past.alias("past"), score.alias("score")), lambda c: F.when(
-                more | (c["score"] > acc["score"]),
-                F.struct(e["end"].alias("end"), c["score"].alias("score"), e["start"].alias("start"), e["id"].alias("id"),
-                         c["past"].alias("past"))).otherwise(acc))
-        return _let(past, reached)
 
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("score"), F.lit(0).alias("start"),
-                     F.lit(0).alias("id"), F.expr("array()").cast(f"array<{way}>").alias("past"))
+def best_path(edges: Column) -> Column:
+    """The edges along the cheapest path, from sorted edges; of equal paths, the one with the longer last piece.
 
-    def back(acc: Column, i: Column, ways: Column) -> Column:
-        return F.when(i != acc["at"], acc).otherwise(_let(F.get(ways, i), lambda w: F.struct(
-            w["start"].alias("at"), F.concat(F.array(F.struct(w["id"].alias("id"), w["start"].alias("start"), i.alias("end"))),
-                                             acc["path"]).alias("path"))))
+    The fold keeps the cheapest edge to the boundary being reached, and cost and edge of all earlier boundaries.
+    """
+    def step(acc: Column, e: Column) -> Column:
+        further = _end(e) > acc["end"]
+        before = F.when(_start(e) == acc["end"], acc["cost"]).otherwise(F.get(acc["costs"], _start(e)))
+        cost = before + _part(e, _COST, 27)
+        state = lambda end, costs, edges: F.struct(end.alias("end"), cost.alias("cost"), e.alias("edge"), costs.alias("costs"),
+                                                   edges.alias("edges"))
+        return (F.when(further, state(_end(e), F.concat(acc["costs"], F.array(acc["cost"])), F.concat(acc["edges"], F.array(acc["edge"]))))
+                .when(cost < acc["cost"], state(acc["end"], acc["costs"], acc["edges"])).otherwise(acc))
+
+    none = F.expr("array()").cast("array<bigint>")
+    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("edge"),
+                     none.alias("costs"), none.alias("edges"))
 
     def trace(last: Column) -> Column:
-        ways = F.concat(last["past"], F.array(F.struct(last["score"], last["start"], last["id"])))
-        empty = F.expr("array()").cast("array<struct<id:int,start:int,end:int>>")
-        return _let(ways, lambda ways: F.aggregate(
-            F.sequence(last["end"], F.lit(1), F.lit(-1)), F.struct(last["end"].alias("at"), empty.alias("path")),
-            lambda acc, i: back(acc, i, ways), lambda acc: acc["path"]))
+        ways = F.concat(last["edges"], F.array(last["edge"]))  # by boundary
+
+        def back(acc: Column, way: Column) -> Column:
+            return F.when(_end(way) == acc["at"], F.struct(_start(way).alias("at"), F.concat(F.array(way), acc["path"]).alias("path"))
+                          ).otherwise(acc)
+        return F.aggregate(F.reverse(F.slice(ways, 2, F.greatest(last["end"], F.lit(1)))),
+                           F.struct(last["end"].alias("at"), none.alias("path")), back, lambda acc: acc["path"])
 
     return F.aggregate(edges, start, step, trace)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, n, path: the pieces (id, start, end) of every distinct word; id -1 is a character without a piece."""
+    """word, n, path: the lattice edges of the best path through every distinct word."""
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score bigint"))  # the fixed vocabulary
     subs = (words.select("word", "n", F.length("word").alias("chars"))
             .select("*", F.explode(F.sequence(F.lit(0), F.col("chars") - 1)).alias("start"))
             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))).alias("len"))
             .select("word", "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")))
+    edge = (F.call_function("shiftleft", (F.col("start") + F.col("len")).cast("bigint"), F.lit(_END))
+            .bitwiseOR(F.call_function("shiftleft", (31 - F.col("len")).cast("bigint"), F.lit(_LENGTH)))
+            .bitwiseOR(F.call_function("shiftleft", -F.coalesce("score", F.lit(pieces.unknown)).cast("bigint"), F.lit(_COST)))
+            .bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("bigint")))
     edges = (subs.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-             .select("word", "n", F.struct((F.col("start") + F.col("len")).alias("end"), "start",
-                                           F.coalesce("score", F.lit(pieces.unknown)).alias("score"),
-                                           F.coalesce("id", F.lit(-1)).alias("id")).alias("edge")))
+             .select("word", "n", edge.alias("edge")))
     return edges.groupBy("word", "n").agg(best_path(F.sort_array(F.collect_list("edge"))).alias("path"))
 
 
 def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, n, ids: characters without a piece become the ids of their UTF-8 bytes."""
     table = F.array(*[F.lit(i) for i in pieces.byte_ids])
-    ids = F.flatten(F.transform("path", lambda p: F.when(p["id"] >= 0, F.array(p["id"])).otherwise(
-        _let(F.hex(F.encode(F.substring(F.col("word"), p["start"] + 1, F.lit(1)), "UTF-8")), lambda h: F.transform(
-            F.sequence(F.lit(0), (F.length(h) / 2).cast("int") - 1), lambda k: F.get(table, F.conv(
-                F.substring(h, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))))))
+
+    def spelled(edge: Column) -> Column:
+        code = F.hex(F.encode(F.substring(F.col("word"), _start(edge) + 1, F.lit(1)), "UTF-8"))
+        return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(
+            table, F.conv(F.substring(code, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
+
+    number = lambda edge: (_part(edge, _ID, 17) - 1).cast("int")
+    ids = F.when(F.exists("path", lambda e: number(e) < 0), F.flatten(F.transform(
+        "path", lambda e: F.when(number(e) < 0, spelled(e)).otherwise(F.array(number(e)))))).otherwise(
+        F.transform("path", number))
     return words.select("word", "n", ids.alias("ids"))
 
 
 class _Known:
-    """Ids of words by a sorted table of 64-bit hashes, with a bounded memory of words just met."""
+    """Ids of chunks, put together from a sorted table of words' 64-bit hashes, with a bounded memory of chunks just met."""
 
-    def __init__(self, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bytes):
-        self.hashes, self.starts, self.ends, self.ids, self.met = hashes, starts, ends, ids, {}
+    def __init__(self, pattern: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bytes):
+        self.find, self.hashes, self.starts, self.ends, self.ids = re.compile(pattern).findall, hashes, starts, ends, ids
+        self.met: dict[str, bytes | None] = {}
 
-    def learn(self, words: set[str]) -> dict[str, bytes | None]:
+    def words(self, wanted: list[str]) -> dict[str, bytes | None]:
         """The bytes of each word's ids, None for words that are not in the table."""
-        if len(self.met) > 300_000:
+        if not wanted or not len(self.hashes):
+            return dict.fromkeys(wanted)
+        codes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in wanted), np.uint64, len(wanted))
+        at = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
+        return {w: self.ids[a:b] if ok else None for w, a, b, ok in zip(
+            wanted, self.starts[at].tolist(), self.ends[at].tolist(), (self.hashes[at] == codes).tolist())}
+
+    def learn(self, chunks: set[str]) -> dict[str, bytes | None]:
+        """The bytes of each chunk's ids, None for chunks with a word that is not in the table."""
+        if len(self.met) > 150_000:
             self.met = {}
-        new = [w for w in words if w not in self.met]
-        if new and len(self.hashes):
-            wanted = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in new), np.uint64, len(new))
-            at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-            found = self.hashes[at] == wanted
-            for w, a, b, ok in zip(new, self.starts[at].tolist(), self.ends[at].tolist(), found.tolist()):
-                self.met[w] = self.ids[a:b] if ok else None
-        else:
-            self.met.update(dict.fromkeys(new))
+        new = {c: words_of(c, self.find) for c in chunks if c not in self.met}
+        known = self.words(list({w for words in new.values() for w in words}))
+        for c, words in new.items():
+            parts = [known[w] for w in words]
+            self.met[c] = None if None in parts else b"".join(parts)
         return self.met
 
 
@@ -222,75 +258,87 @@ def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text",
            table_words: int = TABLE_WORDS) -> DataFrame:
-    """id, text, ids: the ids of each text's pieces, one row per row of ``docs``.
+    """id, text, ids, lossless: the ids of each text's pieces and whether they decode to it; a row per row of ``docs``.
 
-    Null and empty texts have no ids. Repeated rows share their ids. A run of over 1,024 letters is encoded in parts of
-    that length; nothing is left out. An empty table gives no rows.
+    Null and empty texts have no ids and are lossless; U+2581 comes back as a blank. Repeated rows share their ids. A run of
+    over 1,024 letters is encoded in parts of that length; nothing is left out. An empty table gives no rows.
     """
     pieces = pieces or load()
-    spark, pattern = docs.sparkSession, pieces.pattern
+    spark = docs.sparkSession
     words = written(_with_bytes(encode_words(count_words(docs, pieces, text_col), pieces), pieces))
     table, kind, all_held = _table(words, table_words, pieces)
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast((pieces.pattern, *table))
+    spelling = spark.sparkContext.broadcast(pieces.texts)
     own, keys = keyed(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), "id", "text")
-    id_type = own.schema["id"].dataType.simpleString()
-
-    def in_parts(texts: pa.Array) -> Iterator[tuple[list[str], dict]]:
-        """Words of each text with the ids of those in the table, looked up for many texts at once."""
-        find, known, held, size = re.compile(pattern).findall, _Known(*shared.value), [], 0
-        for batch in texts:
-            for text in batch:
-                held.append(words_of(text.as_py(), find))
-                size += len(held[-1])
-                if size > 200_000:
-                    met = known.learn(set().union(*held))
-                    yield from ((w, met) for w in held)
-                    held, size = [], 0
-            met = known.learn(set().union(*held))
-            yield from ((w, met) for w in held)
-            held, size = [], 0
+
+    def in_parts(texts: pa.Array, known: _Known) -> Iterator[list[tuple[int, list[str], dict]]]:
+        """Place and chunks of some texts at a time, with the ids of the chunks that the table can spell."""
+        held, size = [], 0
+        for i, text in enumerate(texts):
+            held.append((i, chunks(text.as_py())))
+            size += len(held[-1][1])
+            if size > 100_000:
+                met = known.learn({c for _, own_chunks in held for c in own_chunks})
+                yield [(i, c, met) for i, c in held]
+                held, size = [], 0
+        met = known.learn({c for _, own_chunks in held for c in own_chunks})
+        yield [(i, c, met) for i, c in held]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of texts all of whose words are known, from the table or from column extra; others give no row."""
+        known, piece = _Known(*shared.value), spelling.value.__getitem__
         for batch in batches:
-            keep, offsets, blobs = [], [0], []
             extras = batch.column(2) if batch.num_columns > 2 else None
-            for i, (own_words, met) in enumerate(in_parts([batch.column(1)])):
-                if extras is not None:
-                    more = {x["word"]: np.array(x["ids"], kind).tobytes() for x in extras[i].as_py() or ()}
-                    parts = [met[w] or more.get(w) for w in own_words]
-                else:
-                    parts = [met[w] for w in own_words]
-                if None not in parts:
-                    keep.append(i)
-                    blobs.append(b"".join(parts))
-                    offsets.append(offsets[-1] + len(blobs[-1]) // np.dtype(kind).itemsize)
-            rows = batch.take(pa.array(keep, pa.int32()))
-            values = np.frombuffer(b"".join(blobs), kind).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(values))], names=["id", "text", "ids"])
-
-    out = f"id {id_type}, text string, ids array<int>"
+            for some in in_parts(batch.column(1), known):
+                keep, offsets, lists, same = [], [0], [], []
+                for i, own_chunks, met in some:
+                    parts = [met[c] for c in own_chunks]
+                    if extras is not None and None in parts:
+                        more = {x["word"]: np.array(x["ids"], kind).tobytes() for x in extras[i].as_py()}
+                        for k, c in enumerate(own_chunks):
+                            if parts[k] is None:
+                                words = words_of(c, known.find)
+                                found = known.words(words) | more
+                                parts[k] = b"".join(found[w] for w in words)
+                    if None not in parts:
+                        ids = np.frombuffer(b"".join(parts), kind)
+                        keep.append(i)
+                        lists.append(ids)
+                        offsets.append(offsets[-1] + len(ids))
+                        text = batch.column(1)[i].as_py() or ""
+                        same.append(b"".join(map(piece, ids.tolist()))[1:] == text.encode("utf-8", "replace"))
+                rows = batch.take(pa.array(keep, pa.int32()))
+                values = np.concatenate([*lists, np.zeros(0, kind)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.ListArray.from_arrays(
+                    pa.array(offsets, pa.int32()), pa.array(values)), pa.array(same, pa.bool_())],
+                    names=["id", "text", "ids", "lossless"])
+
+    out = f"id {own.schema['id'].dataType.simpleString()}, text string, ids array<int>, lossless boolean"
     easy = own.select("id", "text").mapInArrow(whole, out)
     if all_held:  # no text can hold another word
         return easy
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words that are not in the table, for every text that has any."""
+        known = _Known(*shared.value)
         for batch in batches:
-            lists = [sorted({w for w in own_words if met[w] is None}) for own_words, met in in_parts([batch.column(3)])]
-            keep = pa.array([i for i, x in enumerate(lists) if x], pa.int32())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(keep) for k in range(4)], pa.array(
-                [x for x in lists if x], pa.list_(pa.string()))], names=[*keys, "text", "words"])
-
-    types = {k: own.schema[k].dataType.simpleString() for k in keys}
-    open_texts = own.select(*keys, "text").mapInArrow(others, ", ".join(f"{k} {t}" for k, t in types.items()) +
-                                                     ", text string, words array<string>")
-    missing = open_texts.select(*keys, F.explode("words").alias("word")).distinct()
+            for some in in_parts(batch.column(3), known):
+                keep, lists = [], []
+                for i, own_chunks, met in some:
+                    words = list({w for c in own_chunks if met[c] is None for w in words_of(c, known.find)})
+                    missing = sorted(w for w, ids in known.words(words).items() if ids is None)
+                    if missing:
+                        keep.append(i)
+                        lists.append(missing)
+                rows = batch.take(pa.array(keep, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(lists, pa.list_(pa.string()))], names=[*keys, "words"])
+
+    types = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
+    missing = own.select(*keys, "text").mapInArrow(others, f"{types}, words array<string>").select(
+        *keys, F.explode("words").alias("word")).distinct()
     extras = (missing.join(words.select("word", "ids"), "word").groupBy(*keys)
               .agg(F.collect_list(F.struct("word", "ids")).alias("extra")))
-    hard = own.join(extras, keys).select("id", "text", "extra").mapInArrow(whole, out)
-    return easy.unionByName(hard)
+    return easy.unionByName(own.join(extras, keys).select("id", "text", "extra").mapInArrow(whole, out))
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -310,8 +358,6 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids
 
 def round_trip(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text",
                table_words: int = TABLE_WORDS) -> DataFrame:
-    """id, ids, n_pieces, lossless: whether decoding gives the text back (null as empty; U+2581 comes back as a blank)."""
-    pieces = pieces or load()
-    both = decode(encode(docs, pieces, id_col, text_col, table_words), pieces)
-    return both.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_pieces"),
-                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
+    """id, ids, n_pieces, lossless: whether decoding gives the text back."""
+    done = encode(docs, pieces, id_col, text_col, table_words)
+    return done.select(F.col("id").alias(id_col), "ids", F.size("ids").cast("long").alias("n_pieces"), "lossless")

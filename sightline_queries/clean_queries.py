@@ -202,6 +202,18 @@ def _(spark, read):
     return cleaning.completeness_metrics(rows, cleaning.clean(rows)[0])
 
 
+@query("cleaning_report_shape", "select *, before - after as reduction from (select 'rows' as metric, count(*) as before, "
+       f"(select count(*) from (select distinct * from {duck('fx_dups')})) as after from {duck('fx_dups')} union all "
+       "select 'columns', 3, 3 union all select 'missing_cells', 0, 0 union all select 'duplicate_rows', "
+       f"{dup_sql('fx_dups', columns('fx_dups'))}, 0)")
+def _(spark, read):
+    """The shapes inside the report."""
+    rows = read("fx_dups")
+    report = export.cleaning_report(rows, *cleaning.clean(rows))
+    schema = "shape array<struct<metric: string, before: bigint, after: bigint, reduction: bigint>>"
+    return report.select(F.from_json("document", schema).alias("d")).select(F.expr("inline(d.shape)"))
+
+
 @query("cleaning_report")
 def _(spark, read):
     rows = read("fx_dups")

@@ -20,6 +20,14 @@ def _(spark, read):
     return models.pca_variance(read("lineitem"), LINE).drop("loadings")
 
 
+@query("pca_variance_two", "select component, round(ratio, 6) as ratio, round(total, 6) as running_total from (select 1 as "
+       "component, (1 + abs(r)) / 2 as ratio, (1 + abs(r)) / 2 as total from (select corr(l_quantity, l_extendedprice) as r from "
+       "lineitem) union all select 2, (1 - abs(r)) / 2, 1.0 from (select corr(l_quantity, l_extendedprice) as r from lineitem))")
+def _(spark, read):
+    """Two standardised columns: the eigenvalues are one plus and minus the correlation."""
+    return models.pca_variance(read("lineitem"), ["l_quantity", "l_extendedprice"]).drop("loadings")
+
+
 @query("kmeans")
 def _(spark, read):
     return models.kmeans(read("lineitem"), LINE).select("l_orderkey", "l_linenumber", "cluster", "pc1", "pc2", "pc3")

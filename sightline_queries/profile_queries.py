@@ -264,7 +264,26 @@ def _(spark, read):
     return parts["numeric"].unionByName(parts["categorical"], allowMissingColumns=True)
 
 
-@query("profile")
+def _profile_sql() -> str:
+    """Column information, type suggestions and quality scores of part, which has neither nulls nor text that converts."""
+    n, dup = "(select count(*) from part)", dup_sql("part", columns("part"))
+    types = {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int",
+             "p_retailprice": "double"}
+    rows = []
+    for i, (c, t) in enumerate(types.items()):
+        few = f"(select count(distinct {c}) < 0.1 * count(*) from part)" if t == "string" else "false"
+        share = f"(select count(distinct {c}) / count(*) from part)"
+        rows.append(
+            f"select '{c}' as \"column\", {i} as position, '{t}' as dtype, '{'categorical' if t == 'string' else 'numeric'}' as "
+            f"kind, 0::bigint as missing_count, {n} as row_count, {dup} as duplicate_rows, '{t}' as current_type, case when {few} "
+            f"then 'category' else '{t}' end as suggested_type, case when {few} then round({share}, 6) end as ratio, case when "
+            f"{few} then concat('Only ', printf('%.1f%%', 100.0 * {share}), ' unique values - good candidate for categorical') "
+            f"else 'No change needed' end as reason, 100.0::double as completeness, round(100.0 * ({n} - {dup}) / {n}, 6) as "
+            f"uniqueness, 100.0::double as consistency, 100.0::double as validity, round(70 + 30.0 * ({n} - {dup}) / {n}, 6) as overall")
+    return union(rows)
+
+
+@query("profile", _profile_sql())
 def _(spark, read):
     parts = profile.profile(read("part"))
     return parts["basic_info"].join(parts["type_suggestions"], "column").join(F.broadcast(parts["quality_scores"]))
@@ -275,6 +294,49 @@ def _(spark, read):
     return profile.dataset_context(read("customer"))
 
 
+def _parsed(frame, schema: str, part: str):
+    """One list of a JSON document as rows."""
+    return frame.select(F.from_json("document", schema).alias("d")).select(F.expr(f"inline(d.{part})"))
+
+
+STATISTICS = "array<struct<column: string, count: bigint, mean: double, std: double, min: double, q25: double, q50: double, " \
+             "q75: double, max: double>>"
+
+
+@query("dataset_context_statistics", describe_sql("customer", NUMERIC["customer"]))
+def _(spark, read):
+    """The statistics inside the document."""
+    return _parsed(profile.dataset_context(read("customer")), f"summary_stats {STATISTICS}", "summary_stats")
+
+
+@query("dataset_context_sample", "select cast(c_custkey as varchar) as c_custkey, c_name, cast(c_nationkey as varchar) as "
+       "c_nationkey, cast(c_acctbal as varchar) as c_acctbal, c_mktsegment from customer order by customer.c_custkey limit 3")
+def _(spark, read):
+    fields = ", ".join(f"{c}: string" for c in columns("customer"))
+    return _parsed(profile.dataset_context(read("customer")), f"sample_data array<struct<{fields}>>", "sample_data")
+
+
+@query("export_summary_numeric", describe_sql("part", NUMERIC["part"]))
+def _(spark, read):
+    """The numeric summary inside the document."""
+    return _parsed(export.export_summary(read("part")), f"numeric {STATISTICS}", "numeric")
+
+
+@query("export_summary_categorical", union([top_value_sql("part", c) for c in TEXT["part"]]))
+def _(spark, read):
+    return _parsed(export.export_summary(read("part")), "categorical array<struct<column: string, count: bigint, unique_values: "
+                   "bigint, most_frequent: string, frequency: bigint>>", "categorical")
+
+
+@query("sample_rows_properties", "select least(5000, count(*)) as row_count, 0::bigint as foreign_rows from lineitem")
+def _(spark, read):
+    """The sample has the asked number of rows, all of them rows of the table."""
+    rows = read("lineitem")
+    sample = filters.sample_rows(rows, 5000)
+    foreign = sample.join(rows.distinct(), rows.columns, "left_anti").agg(F.count("*").alias("foreign_rows"))
+    return sample.agg(F.count("*").alias("row_count")).join(F.broadcast(foreign))  # one row each
+
+
 @query("export_summary")
 def _(spark, read):
     return export.export_summary(read("part"))
