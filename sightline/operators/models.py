@@ -8,7 +8,7 @@ from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegress
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator, ClusteringEvaluator,
                                    MulticlassClassificationEvaluator, RegressionEvaluator)
-from pyspark.ml.feature import PCA, Imputer, MinMaxScaler, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, Imputer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -183,7 +183,9 @@ def feature_stages(df: DataFrame, target: str, names: list[str] | None) -> tuple
 CLASSIFIERS = {"random_forest": lambda b: RandomForestClassifier(numTrees=100, maxDepth=10, maxBins=b, seed=SEED),
                "logistic": lambda b: LogisticRegression(regParam=0.01),
                "gradient_boosting": lambda b: GBTClassifier(maxIter=100, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED),
-               "linear_svm": lambda b: LinearSVC(regParam=0.1), "naive_bayes": lambda b: NaiveBayes()}
+               "linear_svm": lambda b: LinearSVC(regParam=0.1, tol=1e-4),
+               # normal densities per class: values outside the range seen in training are no fault
+               "naive_bayes": lambda b: NaiveBayes(modelType="gaussian")}
 REGRESSORS = {"linear": lambda b: LinearRegression(),
               "random_forest": lambda b: RandomForestRegressor(numTrees=100, maxDepth=10, maxBins=b, seed=SEED),
               "gradient_boosting": lambda b: GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED)}
@@ -219,9 +221,7 @@ def fit_classifier(df: DataFrame, target: str, algorithm: str = "random_forest",
     estimator = CLASSIFIERS[algorithm](MAX_CATEGORIES + 2)
     if labels > 2 and algorithm in ("gradient_boosting", "linear_svm"):
         estimator = OneVsRest(classifier=estimator.setFeaturesCol("_features"))
-    scaler = (lambda **k: MinMaxScaler(**k)) if algorithm == "naive_bayes" else (
-        lambda **k: StandardScaler(withMean=False, withStd=True, **k))
-    pipeline = _pipeline(stages, estimator, scaler)
+    pipeline = _pipeline(stages, estimator, lambda **k: StandardScaler(withMean=False, withStd=True, **k))
     train, test = [part.cache() for part in stratified_split(work, "_target")]
     return pipeline, pipeline.fit(train), used, train, test, labels
 
