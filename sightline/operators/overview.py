@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from sightline.functions.counts import long_numbers
 from sightline.functions.tablestats import TableStats, number_stats, share
-from sightline.types import col, is_numeric, is_string, is_temporal, small_frame
+from sightline.types import col, is_nested, is_numeric, is_string, is_temporal, small_frame
 
 DESCRIBE_SCHEMA = ("column string, count bigint, mean double, std double, min double, q25 double, q50 double, "
                    "q75 double, max double")
@@ -74,23 +74,23 @@ def column_types(table, samples: int = 3) -> DataFrame:
 
 
 def sample_values(df: DataFrame, k: int) -> DataFrame:
-    """The k smallest distinct values of every column as text, found by k aggregates in turn."""
+    """The k smallest distinct values of every column as text, found by k aggregates in turn.
+
+    Arrays, structs and maps are compared and shown as JSON text.
+    """
     found: dict[str, list] = {c: [] for c in df.columns}
-    usable = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    shown = {f.name: F.to_json(col(f.name)) if is_nested(f.dataType) else col(f.name) for f in df.schema.fields}
     last: dict[str, object] = {}
     for step in range(k):
-        active = [c for c in usable if step == 0 or c in last]
+        active = [c for c in df.columns if step == 0 or c in last]
         if not active:
             break
-        smallest = [F.min(col(c) if step == 0 else F.when(col(c) > F.lit(last[c]), col(c))).alias(f"m{i}")
+        smallest = [F.min(shown[c] if step == 0 else F.when(shown[c] > F.lit(last[c]), shown[c])).alias(f"m{i}")
                     for i, c in enumerate(active)]
         row = df.agg(*smallest).first()
-        texts = {}
-        last = {c: row[f"m{i}"] for i, c in enumerate(active)
-                if row[f"m{i}"] is not None and not isinstance(row[f"m{i}"], (list, tuple))}
+        last = {c: row[f"m{i}"] for i, c in enumerate(active) if row[f"m{i}"] is not None}
         for c, v in last.items():
-            texts[c] = str(v)
-            found[c].append(texts[c])
+            found[c].append(str(v))
     return small_frame(df.sparkSession, [(c, ", ".join(v)) for c, v in found.items()],
                        "column string, sample_values string")
 
