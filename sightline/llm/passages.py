@@ -75,6 +75,25 @@ def _starts(hashes: np.ndarray, span: int, gram: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+class _Rows:
+    """Hashes with the place of their text and their position, gathered into frames."""
+
+    def __init__(self):
+        self.hashes, self.places, self.at, self.size = [], [], [], 0
+
+    def add(self, place: int, hashes: np.ndarray, at: np.ndarray) -> None:
+        self.hashes.append(hashes)
+        self.places.append(np.full(len(at), place, dtype=np.int64))
+        self.at.append(at)
+        self.size += len(at)
+
+    def frame(self) -> pd.DataFrame:
+        parts = [np.concatenate([*x, np.zeros(0, kind)]).astype(kind, copy=False) for x, kind in (
+            (self.hashes, np.uint64), (self.places, np.int64), (self.at, np.int32))]
+        self.__init__()
+        return pd.DataFrame({"hash": parts[0].view(np.int64), "place": parts[1], "at": parts[2]})
+
+
 def _repeated(rows: DataFrame, partitions: int) -> DataFrame:
     """The (place, at) of rows of (hash, place, at) whose hash another row has, found among sorted neighbours.
 
@@ -126,7 +145,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
-            found = []
+            out = _Rows()
             for place, text in zip(batch["place"], batch["text"]):
                 own_words = words(text)
                 if len(own_words) >= span:
@@ -134,9 +153,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     heads = _rolled(h, span - span // 2, _mix)  # the words that a shared passage has from there on
                     at = _starts(h, span, gram)
                     at = at[at < len(heads)]
-                    found.append(pd.DataFrame({"hash": heads[at].view(np.int64), "place": place, "at": at.astype(np.int32)}))
-            if found:
-                yield pd.concat(found)
+                    out.add(place, heads[at], at)
+                    if out.size > 500_000:
+                        yield out.frame()
+            yield out.frame()
 
     kept = tagged.select("place", "text").mapInPandas(suffixes, "hash bigint, place bigint, at int")
     seeds = _repeated(kept, partitions).groupBy("place").agg(F.array_sort(F.collect_set("at")).alias("seeds"))
@@ -144,7 +164,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = _Words()
         for batch in batches:
-            found = []
+            out = _Rows()
             for place, text, at in zip(batch["place"], batch["text"], batch["seeds"]):
                 h = np.fromiter(map(known.__getitem__, words(text)), np.uint64)
                 whole = _rolled(h, span, _mix)
@@ -153,9 +173,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 np.add.at(near, np.clip(at - span // 2 + 1, 0, len(whole)), 1)
                 np.add.at(near, np.minimum(at + 1, len(whole)), -1)
                 start = np.flatnonzero(np.cumsum(near[:-1]) > 0)
-                found.append(pd.DataFrame({"hash": whole[start].view(np.int64), "place": place, "at": start.astype(np.int32)}))
-            if found:
-                yield pd.concat(found)
+                out.add(place, whole[start], start)
+                if out.size > 500_000:
+                    yield out.frame()
+            yield out.frame()
 
     around = tagged.join(seeds, "place").select("place", "text", "seeds").mapInPandas(
         windows, "hash bigint, place bigint, at int")
