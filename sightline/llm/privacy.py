@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import col, components, keyed, written  # noqa: F401
+from sightline.llm.common import col, keyed, written
 
 KEY = b"replace me by a secret of your own"
 
@@ -29,7 +29,8 @@ PATTERNS = {
     "card": r"(?<![\d.+-])(?:\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|\d{15,16})(?![\d-])",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-])",
+    "phone": r"(?<![\w.])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\+(?!1\b)\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})"
+             r"(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w-]|\.\d)",
     "name": r"\b(?:{titles})\.? +(?:{capital}(?: +(?={capital})|\b)){{1,3}}|\b(?:{given}) +{capital}",
 }
 TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Doña Lady Signora Госпожа", "m": "Mr Herr Monsieur Señor Sr Don Sir Signor Господин",
