@@ -1,8 +1,8 @@
 """Repeated passages by sparse suffix arrays.
 
 Suffixes are kept only at positions chosen by content: the smallest hash of a few words in every window of words
-(minimisers), so the same passage keeps the same positions wherever it stands. The kept suffixes are sorted by their
-leading words and compared with their sorted neighbours; where two agree, the match is extended left and right: all
+(minimisers), so the same passage keeps the same positions wherever it stands. The kept suffixes are sorted by the hash
+of their leading words and compared with their sorted neighbours; where two agree, the match is extended left and right: all
 windows of the full length around such positions are sorted and compared in the same way. A passage of at least SPAN
 words that occurs twice holds a minimiser in its first half, so none is missed.
 """
@@ -75,8 +75,15 @@ def _starts(hashes: np.ndarray, span: int, gram: int) -> np.ndarray:
     return np.flatnonzero(chosen)
 
 
+ROWS = "key bigint, place bigint, at int, asks boolean, sure boolean"
+
+
 class _Rows:
-    """Hashes with the place of their text and their position, gathered into frames."""
+    """Hashes with the place of their text and their position, gathered into frames of ``ROWS``.
+
+    A hash that a frame holds several times is sure to be repeated, and only its first row asks for more under that key; the
+    others travel under keys of their own. So a hash on a third of all rows meets as one row per frame.
+    """
 
     def __init__(self):
         self.hashes, self.places, self.at, self.size = [], [], [], 0
@@ -88,46 +95,37 @@ class _Rows:
         self.size += len(at)
 
     def frame(self) -> pd.DataFrame:
-        parts = [np.concatenate([*x, np.zeros(0, kind)]).astype(kind, copy=False) for x, kind in (
+        hashes, places, at = [np.concatenate([*x, np.zeros(0, kind)]).astype(kind, copy=False) for x, kind in (
             (self.hashes, np.uint64), (self.places, np.int64), (self.at, np.int32))]
         self.__init__()
-        return pd.DataFrame({"hash": parts[0].view(np.int64), "place": parts[1], "at": parts[2]})
+        _, first, which, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        asks = np.zeros(len(hashes), dtype=bool)
+        asks[first] = True
+        own = _mix(_mix(hashes, places.view(np.uint64)), at.astype(np.uint64))
+        return pd.DataFrame({"key": np.where(asks, hashes, own).view(np.int64), "place": places, "at": at, "asks": asks,
+                             "sure": count[which] > 1})
 
 
 def _repeated(rows: DataFrame, partitions: int) -> DataFrame:
-    """The (place, at) of rows of (hash, place, at) whose hash another row has, found among sorted neighbours.
-
-    Rows are range-partitioned by hash, place and position, so a hash on a third of all rows fills several partitions.
-    The first and last row of each, whose neighbours may lie in the next partition, are compared among themselves.
-    """
+    """The (place, at) of rows whose hash another row has, found among neighbours sorted by key."""
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None  # the newest row: its right neighbour is not known yet
-        matched, begun = False, False
         for batch in batches:
             frame = batch if held is None else pd.concat([held, batch], ignore_index=True)
             if len(frame) == 0:
                 continue
-            h = frame["hash"].to_numpy()
-            same = np.zeros(len(h), dtype=bool)
-            same[1:] = h[1:] == h[:-1]
-            same[:-1] |= same[1:].copy()
-            same[0] |= matched
-            edge = np.zeros(len(h), dtype=bool)
-            edge[0] = not begun
-            if len(h) > 1:
-                keep = (same | edge)[:-1]
-                yield frame[:-1][keep].assign(same=same[:-1][keep], edge=edge[:-1][keep])
-                begun = True
-            held, matched = frame[-1:], bool(same[-1])
+            key, asks = frame["key"].to_numpy(), frame["asks"].to_numpy()
+            equal = (key[1:] == key[:-1]) & asks[1:] & asks[:-1]
+            found = frame["sure"].to_numpy().copy()
+            found[1:] |= equal
+            found[:-1] |= equal
+            yield frame.loc[:, ["place", "at"]][:-1][found[:-1]]
+            held = frame[-1:].assign(sure=found[-1:])
         if held is not None:
-            yield held.assign(same=matched, edge=True)
+            yield held.loc[held["sure"], ["place", "at"]]
 
-    marked = (rows.repartitionByRange(partitions, "hash", "place", "at").sortWithinPartitions("hash", "place", "at")
-              .mapInPandas(compare, "hash bigint, place bigint, at int, same boolean, edge boolean"))
-    borders = marked.where("edge")
-    across = borders.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    return (marked.where("same").select("place", "at")
-            .unionByName(borders.where("not same").join(across, "hash", "left_semi").select("place", "at")))
+    return (rows.repartition(partitions, "key").sortWithinPartitions("key", "asks")
+            .mapInPandas(compare, "place bigint, at int"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN,
@@ -158,7 +156,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                         yield out.frame()
             yield out.frame()
 
-    kept = tagged.select("place", "text").mapInPandas(suffixes, "hash bigint, place bigint, at int")
+    kept = tagged.select("place", "text").mapInPandas(suffixes, ROWS)
     seeds = _repeated(kept, partitions).groupBy("place").agg(F.array_sort(F.collect_set("at")).alias("seeds"))
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -179,7 +177,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             yield out.frame()
 
     around = tagged.join(seeds, "place").select("place", "text", "seeds").mapInPandas(
-        windows, "hash bigint, place bigint, at int")
+        windows, ROWS)
     hits = _repeated(around, partitions).groupBy("place").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     # runs: windows that overlap or touch are one
     empty = F.expr("array()").cast("array<struct<start:int,stop:int>>")
