@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,13 +34,13 @@ LONGEST = 1024  # characters of a word; a longer run is cut into words of that l
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as unigram models have it
 UNIGRAM = 1
-MICRO = 1_000_000
+UNIT = 1 << 16  # scores are whole numbers of this fraction, so sums are exact
 _LETTER, _MARK = r"0-9A-Za-zÀ-ɏ", r"!-/:-@\[-`{-~"
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """The piece table: (piece, id, score in millionths), the ids of the 256 bytes, the pattern of words."""
+    """The piece table: (piece, id, score in units), the ids of the 256 bytes, the pattern of words."""
 
     rows: list[tuple[str, int, int]]
     byte_ids: tuple[int, ...]
@@ -67,7 +68,7 @@ def load(path: str = MODEL) -> Pieces:
             texts.append(bytes([int(p.piece[3:5], 16)]))
         elif p.type in (kind.NORMAL, kind.USER_DEFINED):
             score = p.score if unigram else -math.log(max(0.0, -p.score) + 2) - 5
-            rows.append((p.piece, i, round(score * MICRO)))
+            rows.append((p.piece, i, round(score * UNIT)))
             texts.append(p.piece.replace(SPACE, " ").encode())
         else:
             texts.append(b"")
@@ -76,14 +77,14 @@ def load(path: str = MODEL) -> Pieces:
     names = [p for p, _, _ in rows]
     if any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in names):
         raise ValueError("the model has pieces across words")
-    if len(model.pieces) >= 1 << 17 or max(map(len, names)) > 31 or min(r[2] for r in rows) < -100 * MICRO:
+    if len(model.pieces) >= (1 << 17) - 1 or min(r[2] for r in rows) < (UNKNOWN_PENALTY - 63) * UNIT:
         raise ValueError("the model does not fit the packed lattice edges")
     # a letter and a mark behind it are cut apart if no piece has them together
     cut = not any(re.search(f"[{_LETTER}][{_MARK}]", p) for p in names)
     n = LONGEST
     pattern = f"\n{{1,{n}}}" + (f"|{SPACE}{{0,{n}}}+[{_LETTER}]{{1,{n}}}+(?![^{_MARK}{SPACE}\n])" if cut else "") + \
         f"|{SPACE}{{0,{n}}}[^{SPACE}\n]{{1,{n}}}|{SPACE}{{1,{n}}}"
-    return Pieces(rows, tuple(byte_ids[b] for b in range(256)), min(s for _, _, s in rows) - round(UNKNOWN_PENALTY * MICRO),
+    return Pieces(rows, tuple(byte_ids[b] for b in range(256)), min(s for _, _, s in rows) - round(UNKNOWN_PENALTY * UNIT),
                   max(map(len, names)), pattern, len(model.pieces), tuple(texts))
 
 
@@ -99,7 +100,33 @@ def chunks(text: str | None) -> list[str]:
 _RUN = re.compile(" +[^ ]*")
 
 
+def chunk_lists(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
+    """Rows and their chunks for about ``most`` bytes of text at a time: texts that need no care all at once by Arrow, the
+    others one by one."""
+    texts = pc.fill_null(texts, "")
+    ends = np.concatenate([[0], np.cumsum(pc.binary_length(texts).to_numpy())])
+    for rows in _slices(ends, most):
+        part = texts.slice(rows[0], len(rows))
+        odd = pc.or_(pc.or_(pc.equal(part, ""), pc.starts_with(part, " ")), pc.match_substring(part, "  "))
+        apart = odd.to_numpy(zero_copy_only=False)
+        if not apart.all():
+            yield rows[~apart], pc.split_pattern(part.filter(pc.invert(odd)), " ")
+        if apart.any():
+            yield rows[apart], pa.array([chunks(t.as_py()) for t in part.filter(odd)], pa.list_(pa.string()))
+
+
+def _slices(bounds: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Stretches of rows with about that many items, one row at least."""
+    first = 0
+    while first < len(bounds) - 1:
+        last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + most, side="right")) - 1)
+        yield np.arange(first, last)
+        first = last
+
+
 def words_of(chunk: str, find) -> list[str]:
+    if chunk.isalnum() and len(chunk) < LONGEST:  # the pattern would find one word
+        return [SPACE + chunk]
     return find(SPACE + chunk.replace(" ", SPACE))
 
 
@@ -108,31 +135,37 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
     pattern = pieces.pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, held = re.compile(pattern).findall, Counter()
+        find = re.compile(pattern).findall
+        held: Counter = Counter()
 
-        def flush():
-            counts: Counter = Counter()
-            for chunk, n in held.items():
-                for word in words_of(chunk, find):
-                    counts[word] += n
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], names=["word", "n"])
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())],
-                                              names=["word", "n"])
+            return out
 
         for batch in batches:
-            for text in batch.column(0):
-                held.update(chunks(text.as_py()))
-                if len(held) > 300_000:
+            for _, lists in chunk_lists(batch.column(0), 6_000_000):
+                counted = lists.flatten().value_counts()
+                values, counts = counted.field("values"), counted.field("counts")
+                plain = pc.and_(pc.utf8_is_alnum(values), pc.less(pc.utf8_length(values), LONGEST))  # one word each
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(SPACE, values.filter(plain), ""),
+                                                  counts.filter(plain)], names=["word", "n"])
+                mixed = pc.invert(plain)
+                for chunk, n in zip(values.filter(mixed).to_pylist(), counts.filter(mixed).to_pylist()):
+                    for word in words_of(chunk, find):
+                        held[word] += n
+                if len(held) > 100_000:
                     yield flush()
+            pa.default_memory_pool().release_unused()
         yield flush()
 
     return (docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-# an edge of the lattice is one long: end (11 bits), 31 - length (5), cost (27), id + 1 (17; 0 is a character without a piece),
-# so edges sort by end and then by start
-_END, _LENGTH, _COST, _ID = 49, 44, 17, 0
+# an edge of the lattice is one long: end (11 bits), start (11), cost (22), id + 1 (17; 0 is a character without a piece), so
+# that edges sort by end and then by start
+_END, _START, _COST = 50, 39, 17
 
 
 def _part(edge: Column, at: int, bits: int) -> Column:
@@ -140,11 +173,11 @@ def _part(edge: Column, at: int, bits: int) -> Column:
 
 
 def _end(edge: Column) -> Column:
-    return F.shiftright(edge, _END).cast("int")
+    return F.shiftright(edge, _END)
 
 
 def _start(edge: Column) -> Column:
-    return (F.shiftright(edge, _END) + _part(edge, _LENGTH, 5) - 31).cast("int")
+    return _part(edge, _START, 11)
 
 
 def best_path(edges: Column) -> Column:
@@ -153,26 +186,25 @@ def best_path(edges: Column) -> Column:
     The fold keeps the cheapest edge to the boundary being reached, and cost and edge of all earlier boundaries.
     """
     def step(acc: Column, e: Column) -> Column:
-        further = _end(e) > acc["end"]
-        before = F.when(_start(e) == acc["end"], acc["cost"]).otherwise(F.get(acc["costs"], _start(e)))
-        cost = before + _part(e, _COST, 27)
+        before = F.when(_start(e) == acc["end"], acc["cost"]).otherwise(F.get(acc["costs"], _start(e).cast("int")))
+        cost = before + _part(e, _COST, 22)
         state = lambda end, costs, edges: F.struct(end.alias("end"), cost.alias("cost"), e.alias("edge"), costs.alias("costs"),
                                                    edges.alias("edges"))
-        return (F.when(further, state(_end(e), F.concat(acc["costs"], F.array(acc["cost"])), F.concat(acc["edges"], F.array(acc["edge"]))))
+        return (F.when(_end(e) > acc["end"], state(_end(e), F.concat(acc["costs"], F.array(acc["cost"])),
+                                                   F.concat(acc["edges"], F.array(acc["edge"]))))
                 .when(cost < acc["cost"], state(acc["end"], acc["costs"], acc["edges"])).otherwise(acc))
 
-    none = F.expr("array()").cast("array<bigint>")
-    start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("cost"), F.lit(0).cast("bigint").alias("edge"),
-                     none.alias("costs"), none.alias("edges"))
+    none, zero = F.expr("array()").cast("array<bigint>"), F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("end"), zero.alias("cost"), zero.alias("edge"), none.alias("costs"), none.alias("edges"))
 
     def trace(last: Column) -> Column:
-        ways = F.concat(last["edges"], F.array(last["edge"]))  # by boundary
+        ways = F.concat(F.array(last["edge"]), F.reverse(last["edges"]))  # the last boundary's first, at the end a nought
 
         def back(acc: Column, way: Column) -> Column:
             return F.when(_end(way) == acc["at"], F.struct(_start(way).alias("at"), F.concat(F.array(way), acc["path"]).alias("path"))
                           ).otherwise(acc)
-        return F.aggregate(F.reverse(F.slice(ways, 2, F.greatest(last["end"], F.lit(1)))),
-                           F.struct(last["end"].alias("at"), none.alias("path")), back, lambda acc: acc["path"])
+        return F.aggregate(F.slice(ways, 1, F.size(last["edges"])), F.struct(last["end"].alias("at"), none.alias("path")), back,
+                           lambda acc: acc["path"])
 
     return F.aggregate(edges, start, step, trace)
 
@@ -186,7 +218,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))).alias("len"))
             .select("word", "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")))
     edge = (F.call_function("shiftleft", (F.col("start") + F.col("len")).cast("bigint"), F.lit(_END))
-            .bitwiseOR(F.call_function("shiftleft", (31 - F.col("len")).cast("bigint"), F.lit(_LENGTH)))
+            .bitwiseOR(F.call_function("shiftleft", F.col("start").cast("bigint"), F.lit(_START)))
             .bitwiseOR(F.call_function("shiftleft", -F.coalesce("score", F.lit(pieces.unknown)).cast("bigint"), F.lit(_COST)))
             .bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("bigint")))
     edges = (subs.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
@@ -199,11 +231,11 @@ def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
     def spelled(edge: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("word"), _start(edge) + 1, F.lit(1)), "UTF-8"))
+        code = F.hex(F.encode(F.substring(F.col("word"), _start(edge).cast("int") + 1, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(
             table, F.conv(F.substring(code, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
 
-    number = lambda edge: (_part(edge, _ID, 17) - 1).cast("int")
+    number = lambda edge: (_part(edge, 0, 17) - 1).cast("int")
     ids = F.when(F.exists("path", lambda e: number(e) < 0), F.flatten(F.transform(
         "path", lambda e: F.when(number(e) < 0, spelled(e)).otherwise(F.array(number(e)))))).otherwise(
         F.transform("path", number))
@@ -211,54 +243,82 @@ def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Known:
-    """Ids of chunks, put together from a sorted table of words' 64-bit hashes, with a bounded memory of chunks just met."""
+    """Ids of chunks, put together from a sorted table of words' 64-bit hashes."""
 
-    def __init__(self, pattern: str, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, ids: bytes):
-        self.find, self.hashes, self.starts, self.ends, self.ids = re.compile(pattern).findall, hashes, starts, ends, ids
-        self.met: dict[str, bytes | None] = {}
+    def __init__(self, pattern: str, hashes: np.ndarray, offsets: np.ndarray, ids: bytes, kind: np.dtype, spelling: tuple[bytes, ...]):
+        self.find, self.hashes, self.offsets, self.ids = re.compile(pattern).findall, hashes, offsets, ids
+        self.kind, self.piece = kind, spelling.__getitem__
 
-    def words(self, wanted: list[str]) -> dict[str, bytes | None]:
+    def find_words(self, wanted: list[str]) -> Iterator[bytes | None]:
         """The bytes of each word's ids, None for words that are not in the table."""
         if not wanted or not len(self.hashes):
-            return dict.fromkeys(wanted)
-        codes = np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in wanted), np.uint64, len(wanted))
+            return iter([None] * len(wanted))
+        codes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in wanted], np.uint64)
         at = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
-        return {w: self.ids[a:b] if ok else None for w, a, b, ok in zip(
-            wanted, self.starts[at].tolist(), self.ends[at].tolist(), (self.hashes[at] == codes).tolist())}
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes | None]:
-        """The bytes of each chunk's ids, None for chunks with a word that is not in the table."""
-        if len(self.met) > 150_000:
-            self.met = {}
-        new = {c: words_of(c, self.find) for c in chunks if c not in self.met}
-        known = self.words(list({w for words in new.values() for w in words}))
-        for c, words in new.items():
+        found, ids = self.hashes[at] == codes, self.ids
+        return (ids[a:b] if ok else None for a, b, ok in zip(self.offsets[at].tolist(), self.offsets[at + 1].tolist(), found.tolist()))
+
+    def spell(self, chunks: list[str], more: dict[str, bytes]) -> list[bytes | None]:
+        """The bytes of each distinct chunk's ids, None for chunks with a word that is neither in the table nor in ``more``."""
+        out: list[bytes | None] = [None] * len(chunks)
+        plain = [i for i, c in enumerate(chunks) if c.isalnum() and len(c) < LONGEST]  # one word each
+        words = [SPACE + chunks[i] for i in plain]
+        for i, w, ids in zip(plain, words, self.find_words(words)):
+            out[i] = more.get(w) if ids is None else ids
+        mixed = {i: words_of(c, self.find) for i, c in enumerate(chunks) if not c.isalnum() or len(c) >= LONGEST}
+        wanted = list({w for words in mixed.values() for w in words})
+        known = dict(zip(wanted, self.find_words(wanted))) | more
+        for i, words in mixed.items():
             parts = [known[w] for w in words]
-            self.met[c] = None if None in parts else b"".join(parts)
-        return self.met
+            if None not in parts:
+                out[i] = parts[0] if len(parts) == 1 else b"".join(parts)
+        return out
+
+    def unknown(self, chunks: list[str]) -> list[str]:
+        words = list({w for c in chunks for w in words_of(c, self.find)})
+        return [w for w, ids in zip(words, self.find_words(words)) if ids is None]
+
+    def decoded(self, ids: bytes) -> bytes:
+        return b"".join(map(self.piece, np.frombuffer(ids, self.kind).tolist()))
+
+    def lossy(self, chunks: list[str], ids: list[bytes | None]) -> np.ndarray:
+        """Which chunks decode to something else; one by one only if all together are not the same."""
+        done = [(c, x) for c, x in zip(chunks, ids) if x is not None]
+        if self.decoded(b"".join(x for _, x in done)) == "".join(" " + c for c, _ in done).encode("utf-8", "replace"):
+            return np.zeros(len(chunks), dtype=bool)
+        return np.array([x is not None and self.decoded(x) != (" " + c).encode("utf-8", "replace") for c, x in zip(chunks, ids)])
 
 
 def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
-    """The words met most often, at most ``most``, as arrays for ``_Known``, and whether those are all."""
-    top = 1 << 16
-    sizes = words.groupBy(F.least("n", F.lit(top)).alias("n")).count().toPandas().sort_values("n", ascending=False)
-    total = sizes["count"].cumsum()
-    least = int(sizes["n"][total <= most].min()) if (total <= most).any() else None
-    held = words.where(F.col("n") >= least) if least else words.limit(0)
+    """The words met most often, at most ``most``, as arrays for ``_Known``; the type of the ids; whether those are all."""
+    sizes = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().toPandas().sort_values("n", ascending=False)
+    fits = sizes["count"].cumsum() <= most
+    held = words.where(F.col("n") >= int(sizes["n"][fits].min())) if fits.any() else words.limit(0)
     got = held.select(F.xxhash64("word").alias("h"), "ids").toArrow()
+    kind = np.dtype(np.uint16 if pieces.size <= 1 << 16 else np.int32)
     hashes = got.column("h").to_numpy().view(np.uint64)
-    ids = got.column("ids").combine_chunks()
-    ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-    kind = np.uint16 if pieces.size <= 1 << 16 else np.int32
-    offsets, width = ids.offsets.to_numpy().astype(np.int64), np.dtype(kind).itemsize
     order = np.argsort(hashes)
-    data = ids.values.to_numpy().astype(kind).tobytes()
-    return (hashes[order], (offsets[:-1] * width)[order], (offsets[1:] * width)[order], data), kind, bool((total <= most).all())
+    lists = got.column("ids")
+    lengths = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in lists.chunks]])
+    flat = np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy().astype(kind) for c in lists.chunks]])
+    starts = np.cumsum(lengths) - lengths
+    # the ids in the order of the hashes, so that one offset per word is enough
+    lengths = lengths[order]
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    flat = flat[np.repeat(starts[order] - offsets[:-1], lengths) + np.arange(len(flat))]
+    offsets = offsets * kind.itemsize
+    return (hashes[order], offsets.astype(np.uint32 if offsets[-1] < 1 << 32 else np.int64), flat.tobytes()), kind, bool(fits.all())
+
+
+def _any(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether any flag is set in each of the stretches between the bounds."""
+    total = np.concatenate([[0], np.cumsum(flags)])
+    return total[at[1:]] > total[at[:-1]]
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text",
            table_words: int = TABLE_WORDS) -> DataFrame:
-    """id, text, ids, lossless: the ids of each text's pieces and whether they decode to it; a row per row of ``docs``.
+    """id, ids, lossless: the ids of each text's pieces and whether they decode to it; a row per row of ``docs``.
 
     Null and empty texts have no ids and are lossless; U+2581 comes back as a blank. Repeated rows share their ids. A run of
     over 1,024 letters is encoded in parts of that length; nothing is left out. An empty table gives no rows.
@@ -267,53 +327,43 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     words = written(_with_bytes(encode_words(count_words(docs, pieces, text_col), pieces), pieces))
     table, kind, all_held = _table(words, table_words, pieces)
-    shared = spark.sparkContext.broadcast((pieces.pattern, *table))
-    spelling = spark.sparkContext.broadcast(pieces.texts)
+    shared = spark.sparkContext.broadcast((pieces.pattern, *table, kind, pieces.texts))
     own, keys = keyed(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), "id", "text")
 
-    def in_parts(texts: pa.Array, known: _Known) -> Iterator[list[tuple[int, list[str], dict]]]:
-        """Place and chunks of some texts at a time, with the ids of the chunks that the table can spell."""
-        held, size = [], 0
-        for i, text in enumerate(texts):
-            held.append((i, chunks(text.as_py())))
-            size += len(held[-1][1])
-            if size > 100_000:
-                met = known.learn({c for _, own_chunks in held for c in own_chunks})
-                yield [(i, c, met) for i, c in held]
-                held, size = [], 0
-        met = known.learn({c for _, own_chunks in held for c in own_chunks})
-        yield [(i, c, met) for i, c in held]
-
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of texts all of whose words are known, from the table or from column extra; others give no row."""
-        known, piece = _Known(*shared.value), spelling.value.__getitem__
+        known = _Known(*shared.value)
         for batch in batches:
-            extras = batch.column(2) if batch.num_columns > 2 else None
-            for some in in_parts(batch.column(1), known):
-                keep, offsets, lists, same = [], [0], [], []
-                for i, own_chunks, met in some:
-                    parts = [met[c] for c in own_chunks]
-                    if extras is not None and None in parts:
-                        more = {x["word"]: np.array(x["ids"], kind).tobytes() for x in extras[i].as_py()}
-                        for k, c in enumerate(own_chunks):
-                            if parts[k] is None:
-                                words = words_of(c, known.find)
-                                found = known.words(words) | more
-                                parts[k] = b"".join(found[w] for w in words)
-                    if None not in parts:
-                        ids = np.frombuffer(b"".join(parts), kind)
-                        keep.append(i)
-                        lists.append(ids)
-                        offsets.append(offsets[-1] + len(ids))
-                        text = batch.column(1)[i].as_py() or ""
-                        same.append(b"".join(map(piece, ids.tolist()))[1:] == text.encode("utf-8", "replace"))
-                rows = batch.take(pa.array(keep, pa.int32()))
-                values = np.concatenate([*lists, np.zeros(0, kind)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.ListArray.from_arrays(
-                    pa.array(offsets, pa.int32()), pa.array(values)), pa.array(same, pa.bool_())],
-                    names=["id", "text", "ids", "lossless"])
-
-    out = f"id {own.schema['id'].dataType.simpleString()}, text string, ids array<int>, lossless boolean"
+            more = {}
+            if batch.num_columns > 2:
+                more = {x["word"]: np.array(x["ids"], kind).tobytes() for xs in batch.column(2).to_pylist() for x in xs}
+            for rows, lists in chunk_lists(batch.column(1)):
+                # every distinct chunk of the batch is spelled once; texts are gathered from those by number
+                coded = lists.flatten().dictionary_encode()
+                distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                ids = known.spell(distinct, more)
+                lossy, missing = known.lossy(distinct, ids), np.array([x is None for x in ids], dtype=bool)
+                sizes = np.array([len(x) // kind.itemsize if x else 0 for x in ids], dtype=np.int64)
+                pool, firsts = np.frombuffer(b"".join(x for x in ids if x), kind), np.cumsum(sizes) - sizes
+                bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+                for some in _slices(bounds, 200_000):
+                    own_codes = codes[bounds[some[0]]:bounds[some[-1] + 1]]
+                    at = bounds[some[0]:some[-1] + 2] - bounds[some[0]]
+                    keep = ~_any(missing[own_codes], at)
+                    same = ~_any(lossy[own_codes], at)
+                    own_codes = own_codes[np.repeat(keep, np.diff(at))]
+                    lengths = sizes[own_codes]
+                    ends = np.cumsum(lengths)
+                    values = pool[np.repeat(firsts[own_codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
+                    at = np.concatenate([[0], np.cumsum(np.diff(at)[keep])])
+                    offsets = np.concatenate([[0], ends])[at]
+                    yield pa.RecordBatch.from_arrays([
+                        batch.column(0).take(pa.array(rows[some][keep])), pa.ListArray.from_arrays(
+                            pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32))), pa.array(same[keep])],
+                        names=["id", "ids", "lossless"])
+            pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
+
+    out = f"id {own.schema['id'].dataType.simpleString()}, ids array<int>, lossless boolean"
     easy = own.select("id", "text").mapInArrow(whole, out)
     if all_held:  # no text can hold another word
         return easy
@@ -322,16 +372,16 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
         """Words that are not in the table, for every text that has any."""
         known = _Known(*shared.value)
         for batch in batches:
-            for some in in_parts(batch.column(3), known):
-                keep, lists = [], []
-                for i, own_chunks, met in some:
-                    words = list({w for c in own_chunks if met[c] is None for w in words_of(c, known.find)})
-                    missing = sorted(w for w, ids in known.words(words).items() if ids is None)
-                    if missing:
-                        keep.append(i)
-                        lists.append(missing)
-                rows = batch.take(pa.array(keep, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(lists, pa.list_(pa.string()))], names=[*keys, "words"])
+            for rows, lists in chunk_lists(batch.column(3)):
+                coded = lists.flatten().dictionary_encode()
+                distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+                missing = {i: known.unknown([c]) for i, (c, x) in enumerate(zip(distinct, known.spell(distinct, {}))) if x is None}
+                bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+                found = [sorted({w for i in codes[a:b].tolist() if i in missing for w in missing[i]}) for a, b in zip(bounds, bounds[1:])]
+                keep = [i for i, x in enumerate(found) if x]
+                taken = batch.take(pa.array(rows[keep]))
+                yield pa.RecordBatch.from_arrays([*taken.columns[:3], pa.array([found[i] for i in keep], pa.list_(pa.string()))],
+                                                 names=[*keys, "words"])
 
     types = ", ".join(f"{k} {own.schema[k].dataType.simpleString()}" for k in keys)
     missing = own.select(*keys, "text").mapInArrow(others, f"{types}, words array<string>").select(
