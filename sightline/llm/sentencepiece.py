@@ -12,6 +12,8 @@ that, not the order of merges. Decoding joins the pieces and is exact for any pa
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import re
 from collections import Counter
@@ -23,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import col, keyed, written
@@ -100,6 +102,15 @@ def chunks(text: str | None) -> list[str]:
 _RUN = re.compile(" +[^ ]*")
 
 
+def _give_back() -> None:
+    """Python workers outlive a task: memory it no longer needs goes back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunk_lists(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
     """Rows and their chunks for about ``most`` bytes of text at a time: texts that need no care all at once by Arrow, the
     others one by one."""
@@ -156,8 +167,8 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
                         held[word] += n
                 if len(held) > 100_000:
                     yield flush()
-            pa.default_memory_pool().release_unused()
         yield flush()
+        _give_back()
 
     return (docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -243,11 +254,14 @@ def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class _Known:
-    """Ids of chunks, put together from a sorted table of words' 64-bit hashes."""
+    """Ids of chunks, put together from a sorted table of words' 64-bit hashes, with a bounded memory of chunks just met."""
 
     def __init__(self, pattern: str, hashes: np.ndarray, offsets: np.ndarray, ids: bytes, kind: np.dtype, spelling: tuple[bytes, ...]):
         self.find, self.hashes, self.offsets, self.ids = re.compile(pattern).findall, hashes, offsets, ids
         self.kind, self.piece = kind, spelling.__getitem__
+        self.met: dict[str, bytes | None] = {}
+        self.before: dict[str, bytes | None] = {}
+        self.bad: set[str] = set()  # chunks that decode to something else
 
     def find_words(self, wanted: list[str]) -> Iterator[bytes | None]:
         """The bytes of each word's ids, None for words that are not in the table."""
@@ -258,8 +272,21 @@ class _Known:
         found, ids = self.hashes[at] == codes, self.ids
         return (ids[a:b] if ok else None for a, b, ok in zip(self.offsets[at].tolist(), self.offsets[at + 1].tolist(), found.tolist()))
 
-    def spell(self, chunks: list[str], more: dict[str, bytes]) -> list[bytes | None]:
-        """The bytes of each distinct chunk's ids, None for chunks with a word that is neither in the table nor in ``more``."""
+    def spell(self, chunks: list[str]) -> list[bytes | None]:
+        """The bytes of each distinct chunk's ids, None for chunks with a word that is not in the table."""
+        if len(self.met) > 60_000:  # what is still in use is taken over, the rest forgotten
+            self.met, self.before = {}, self.met
+        met, before = self.met, self.before
+        new = [c for c in chunks if c not in met]
+        met.update((c, before[c]) for c in new if c in before)
+        new = [c for c in new if c not in met] if before else new
+        ids = self.join(new, {})
+        self.check(new, ids)
+        met.update(zip(new, ids))
+        return list(map(met.__getitem__, chunks))
+
+    def join(self, chunks: list[str], more: dict[str, bytes]) -> list[bytes | None]:
+        """The same without memory, with the words of ``more`` besides those of the table."""
         out: list[bytes | None] = [None] * len(chunks)
         plain = [i for i, c in enumerate(chunks) if c.isalnum() and len(c) < LONGEST]  # one word each
         words = [SPACE + chunks[i] for i in plain]
@@ -281,12 +308,14 @@ class _Known:
     def decoded(self, ids: bytes) -> bytes:
         return b"".join(map(self.piece, np.frombuffer(ids, self.kind).tolist()))
 
-    def lossy(self, chunks: list[str], ids: list[bytes | None]) -> np.ndarray:
-        """Which chunks decode to something else; one by one only if all together are not the same."""
+    def check(self, chunks: list[str], ids: list[bytes | None]) -> None:
+        """Decodes what was encoded; one by one only if all together are not the same."""
         done = [(c, x) for c, x in zip(chunks, ids) if x is not None]
-        if self.decoded(b"".join(x for _, x in done)) == "".join(" " + c for c, _ in done).encode("utf-8", "replace"):
-            return np.zeros(len(chunks), dtype=bool)
-        return np.array([x is not None and self.decoded(x) != (" " + c).encode("utf-8", "replace") for c, x in zip(chunks, ids)])
+        if self.decoded(b"".join(x for _, x in done)) != "".join(" " + c for c, _ in done).encode("utf-8", "replace"):
+            self.bad.update(c for c, x in done if self.decoded(x) != (" " + c).encode("utf-8", "replace"))
+
+    def lossy(self, chunks: list[str]) -> np.ndarray:
+        return np.array([c in self.bad for c in chunks], dtype=bool) if self.bad else np.zeros(len(chunks), dtype=bool)
 
 
 def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
@@ -341,8 +370,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 # every distinct chunk of the batch is spelled once; texts are gathered from those by number
                 coded = lists.flatten().dictionary_encode()
                 distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-                ids = known.spell(distinct, more)
-                lossy, missing = known.lossy(distinct, ids), np.array([x is None for x in ids], dtype=bool)
+                ids = known.spell(distinct)
+                if more:
+                    rest = [i for i, x in enumerate(ids) if x is None]
+                    spelled = known.join([distinct[i] for i in rest], more)
+                    known.check([distinct[i] for i in rest], spelled)
+                    for i, x in zip(rest, spelled):
+                        ids[i] = x
+                lossy, missing = known.lossy(distinct), np.array([x is None for x in ids], dtype=bool)
                 sizes = np.array([len(x) // kind.itemsize if x else 0 for x in ids], dtype=np.int64)
                 pool, firsts = np.frombuffer(b"".join(x for x in ids if x), kind), np.cumsum(sizes) - sizes
                 bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
@@ -361,7 +396,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                         batch.column(0).take(pa.array(rows[some][keep])), pa.ListArray.from_arrays(
                             pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32))), pa.array(same[keep])],
                         names=["id", "ids", "lossless"])
-            pa.default_memory_pool().release_unused()  # workers live on; what a batch needed goes back
+        del known
+        _give_back()
 
     out = f"id {own.schema['id'].dataType.simpleString()}, ids array<int>, lossless boolean"
     easy = own.select("id", "text").mapInArrow(whole, out)
@@ -375,7 +411,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
             for rows, lists in chunk_lists(batch.column(3)):
                 coded = lists.flatten().dictionary_encode()
                 distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-                missing = {i: known.unknown([c]) for i, (c, x) in enumerate(zip(distinct, known.spell(distinct, {}))) if x is None}
+                missing = {i: known.unknown([c]) for i, (c, x) in enumerate(zip(distinct, known.spell(distinct))) if x is None}
                 bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
                 found = [sorted({w for i in codes[a:b].tolist() if i in missing for w in missing[i]}) for a, b in zip(bounds, bounds[1:])]
                 keep = [i for i, x in enumerate(found) if x]
