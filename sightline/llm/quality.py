@@ -18,25 +18,25 @@ from pyspark.sql import functions as F
 from sightline.llm.common import col
 
 BUCKETS = 1 << 20
-SAMPLE = 12_000  # expected number of labelled documents that are fitted on
+SAMPLE = 6_000  # expected number of labelled documents that are fitted on, in one task
 SMOOTHING = 1.0
 COST = 1.0
 EPOCHS = 12
 MIX = 0.25  # weight of the fitted model against the mean weight
 ACCEPT = 0.7
-CACHE = 400_000  # words whose hash and shape a task remembers
+CACHE = 150_000  # words whose hash and shape a task remembers
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 _WORD, _PAIR, _SHAPE = np.uint64(1), np.uint64(2), np.uint64(3)
 
 
 class _Words(dict):
-    """Word (bytes) to its hash and shape, remembered up to a bound."""
+    """Word (bytes) to 56 bits of its hash and 8 of its shape, remembered up to a bound."""
 
-    def __missing__(self, word: bytes) -> tuple[int, int]:
+    def __missing__(self, word: bytes) -> int:
         if len(self) >= CACHE:
             self.clear()
-        value = self[word] = (xxhash.xxh64_intdigest(word), shape(word))
+        value = self[word] = xxhash.xxh64_intdigest(word) & ~0xFF | shape(word)
         return value
 
 
@@ -68,11 +68,11 @@ def _mixed(parts: list[np.ndarray], kind: np.uint64) -> np.ndarray:
 
 def features(text: str | None, words: _Words, buckets: int = BUCKETS) -> np.ndarray:
     """Distinct buckets of the text's n-grams: one and two words, one to three shapes. Bucket 0 is always there."""
-    known = [words[w] for w in (text or "").encode("utf-8", "replace").split()]
+    known = list(map(words.__getitem__, (text or "").encode("utf-8", "replace").split()))
     if not known:
         return np.zeros(1, dtype=np.int32)
-    hashes = np.fromiter((k[0] for k in known), dtype=np.uint64, count=len(known))
-    shapes = np.fromiter((k[1] for k in known), dtype=np.uint64, count=len(known)) << np.uint64(1)
+    hashes = np.array(known, dtype=np.uint64)
+    shapes = (hashes & np.uint64(0xFF)) << np.uint64(1)
     shapes[1:] |= (hashes[1:] == hashes[:-1]).astype(np.uint64)  # a repeated word has a shape of its own
     grams = [_mixed([hashes], _WORD), _mixed([hashes[:-1], hashes[1:]], _PAIR)]
     for n in (1, 2, 3):
@@ -85,17 +85,18 @@ def features(text: str | None, words: _Words, buckets: int = BUCKETS) -> np.ndar
 # fitting, on a bounded sample in one task
 
 def _log_ratio(rows: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarray:
-    sums = [np.bincount(np.concatenate([r for r, c in zip(rows, y) if c == k] or [np.zeros(0, np.int64)]),
-                        minlength=buckets) + SMOOTHING for k in (1, -1)]
-    return np.log((sums[0] / sums[0].sum()) / (sums[1] / sums[1].sum()))
+    good, bad = np.full(buckets, SMOOTHING), np.full(buckets, SMOOTHING)
+    for row, c in zip(rows, y):  # the buckets of a row are distinct
+        (good if c == 1 else bad)[row] += 1
+    return np.log((good / good.sum()) / (bad / bad.sum()))
 
 
 def _weights(rows: list[np.ndarray], y: np.ndarray, buckets: int, seed: int = 11) -> np.ndarray:
     """Weight per bucket, log-count ratio included, for indicators of unit length."""
     ratio = _log_ratio(rows, y, buckets)
     ratio[0] = 0.0  # there for every text: the sigmoid's offset stands for it
-    values = [ratio[r] / np.sqrt(len(r)) for r in rows]
-    squares = np.array([v @ v for v in values])
+    values = [(ratio[r] / np.sqrt(len(r))).astype(np.float32) for r in rows]
+    squares = np.array([float(v @ v) for v in values])
     diagonal = 0.5 / COST  # squared hinge loss: a diagonal term and no upper bound on the duals
     w, dual = np.zeros(buckets), np.zeros(len(rows))
     rng = np.random.default_rng(seed)
@@ -106,7 +107,9 @@ def _weights(rows: list[np.ndarray], y: np.ndarray, buckets: int, seed: int = 11
             if step:
                 dual[i] += step
                 w[rows[i]] += step * y[i] * values[i]
-    seen = np.unique(np.concatenate(rows))
+    seen = np.zeros(buckets, dtype=bool)
+    for row in rows:
+        seen[row] = True
     mean = np.abs(w[seen]).mean()
     w[seen] = (1 - MIX) * mean + MIX * w[seen]  # every ratio counts a little, as naive Bayes has it
     return w * ratio
@@ -163,10 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
                                 "row": [features(t, words, buckets) for t in batch["text"]]})
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_rows = pd.concat([pd.DataFrame({"place": [], "y": [], "row": []}), *batches]).sort_values("place")
-        if len(all_rows):
-            y = np.where(all_rows["y"].to_numpy(dtype=int) == 1, 1, -1)
-            weights, a, b = fit([np.asarray(r, dtype=np.int64) for r in all_rows["row"]], y, buckets)
+        rows = sorted(((p, int(y), np.array(r, dtype=np.int32)) for batch in batches
+                       for p, y, r in zip(batch["place"], batch["y"], batch["row"])), key=lambda r: r[:2])
+        if rows:
+            weights, a, b = fit([r for *_, r in rows], np.array([1 if y == 1 else -1 for _, y, _ in rows]), buckets)
             yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "a": [a], "b": [b]})
 
     rows = texts.select(F.xxhash64("id", "text").alias("place"), "y", "text").mapInPandas(
