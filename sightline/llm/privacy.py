@@ -47,8 +47,10 @@ GENDER_OF_TITLE = {t: g for g, words in TITLES.items() for t in words.split()}
 GENDER_OF_GIVEN = {n: g for g, words in GIVEN.items() for n in words.split()}
 _FOUND = re.compile("|".join(f"(?P<{k}>" + (p.format(titles="|".join(GENDER_OF_TITLE), capital=CAPITAL, given="|".join(GENDER_OF_GIVEN))
                                             if k == "name" else p) + ")" for k, p in PATTERNS.items()))
-# a text without any of these holds no entity
-_MAY = re.compile(r"\d\d|@|\b(?:" + "|".join([*GENDER_OF_TITLE, *GENDER_OF_GIVEN]) + r")\b")
+# what every match of a pattern holds, so a text without any of these holds no entity
+NEEDS = {"email": "@", "iban": r"\d\d", "secret": r"AKIA|(?:sk|ghp|pk|xoxb)[-_]|[0-9a-f]{32}|[0-9A-F]{32}", "card": r"\d\d",
+         "ip": r"\d\.\d", "ssn": r"\d\d", "phone": r"\d\d", "name": r"\b(?:" + "|".join([*GENDER_OF_TITLE, *GENDER_OF_GIVEN]) + r")\b"}
+_MAY = re.compile("|".join(dict.fromkeys(NEEDS[k] for k in PATTERNS)))
 
 
 def mentions(text: str | None) -> list[tuple[int, int, str, str]]:
