@@ -86,15 +86,22 @@ SPELLINGS = {"licence": "license", "sub-license": "sublicense", "organisation":
              "copyright owner": "copyright holder", "https:": "http:", "per cent": "percent", "fulfilment": "fulfillment",
              "share-alike": "sharealike", "no-derivatives": "noderivatives", "non-infringement": "noninfringement"}
 COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright\b(?=.*(\d{4}|\(c\)|©))|\(c\)|©|all rights reserved)[^\n]*$"
-# every canonical text has one of these, so a unit without any needs no digest
+# every canonical text has one of these, so a unit without any, however spelled, needs no digest
 TRIGGERS = ("licen", "gpl", "cc by", "cc0", "mpl", "permission")
+BETWEEN = r"[^\p{L}\p{N}]+"  # what a blank of a canonical text may have been
 
 
 def canonical(text: Column) -> Column:
     text = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
     for other, one in SPELLINGS.items():
         text = F.replace(text, F.lit(other), F.lit(one))
-    return F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    return F.trim(F.regexp_replace(text, BETWEEN, " "))
+
+
+def may_be_known(unit: Column) -> Column:
+    """Whether the canonical text can hold a trigger, told from the text as it is."""
+    low = F.lower(unit)
+    return F.greatest(*[low.rlike(t.replace(" ", BETWEEN)) if " " in t else F.contains(low, F.lit(t)) for t in TRIGGERS])
 
 
 def known_digests(spark: SparkSession) -> DataFrame:
@@ -114,11 +121,10 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own, keys = keyed(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), "id", "text")
     # the units are exploded one list after the other, so a text is never copied more than once per list
     lists = [F.array("text"), F.split("text", r"\n[ \t\r]*\n", -1), F.split("text", "\n", -1)]
-    low = F.lower(F.col("unit"))
     found = None
     for k, units in enumerate(lists):
         part = own.select(*keys, F.explode(units).alias("unit"))
-        part = part.where(F.greatest(*[F.contains(low, F.lit(t)) for t in TRIGGERS]))
+        part = part.where(may_be_known(F.col("unit")))
         part = part.select(*keys, F.sha2(canonical(F.col("unit")), 256).alias("digest"), F.lit(k == 0).alias("is_whole"))
         found = part if found is None else found.unionByName(part)
     hits = (found.join(F.broadcast(known_digests(docs.sparkSession)), "digest").groupBy(*keys)

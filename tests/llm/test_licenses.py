@@ -1,5 +1,7 @@
 """Licence texts in other spellings, and what is none."""
 
+import re
+
 from sightline.llm import licenses as li
 
 SCHEMA = "doc_id long, text string, license string, digest string, whole string"
@@ -27,5 +29,15 @@ def test_every_known_text_has_a_trigger_and_one_licence(spark):
     assert all(any(t in x.lower() for t in li.TRIGGERS) for x in texts)
 
 
+def test_names_in_any_punctuation(spark):
+    """Every known name and grant with its blanks and marks replaced, and the hyphenated identifiers."""
+    texts = [(i, g.format(n)) for i, names in li.NAMES.items() for n in names for g in li.GRANTS]
+    rows = [(i, re.sub(r"[^\w]+", lambda m, b=b: b, x)) for i, x in texts for b in ("-", "  ", "\n", " * ", "_")]
+    rows += [(i, g.format(i)) for i in li.NAMES if i.startswith("CC-BY") for g in li.GRANTS]
+    docs = spark.createDataFrame([(k, x, i, "b", "c") for k, (i, x) in enumerate(rows)], SCHEMA)
+    got = {r.id: r.whole for r in li.licenses(docs).collect()}
+    assert [(i, x) for k, (i, x) in enumerate(rows) if got[k] != i] == []
+
+
 def test_empty_table(spark):
     assert li.licenses(spark.createDataFrame([], SCHEMA)).count() == 0
