@@ -26,6 +26,7 @@ PENALTY = 0.02
 
 # HTML's element names and common class-name words, by what they stand for.
 HIDDEN = frozenset("script style noscript template svg math iframe object textarea select datalist canvas audio video".split())
+RAW = frozenset("script style textarea iframe noscript".split())  # hidden, and their content is no markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt "
                     "ruby s samp small span strike strong sub sup time tt u var wbr").split())
@@ -56,6 +57,7 @@ _MAIN_BITS = sum(1 << PLACE[f"tag {t}"] for t in MAIN_TAGS) | 1 << PLACE["class
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|"
                     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?=[a-zA-Z/][^<]*\Z)[^<]*", re.S)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*")
 
@@ -118,7 +120,7 @@ def blocks(page: str | None) -> list[Block]:
             if name == tag:
                 return
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         if m.start() > at and not hidden:
             text(page[at:m.start()])
         at = m.end()
@@ -127,6 +129,10 @@ def blocks(page: str | None) -> list[Block]:
             if not hidden and m[0].startswith("<![CDATA["):
                 text(m[0][9:-3])
             continue
+        if tag in RAW and not m[1] and not m[3].endswith("/"):
+            end = _RAW_END[tag].search(page, at)
+            at = end.end() if end else len(page)
+            continue
         if hidden:
             hidden = "" if m[1] and tag == hidden else hidden
             continue

@@ -59,6 +59,17 @@ def test_blocks():
     assert ht.blocks("<b>" * 20_000 + "x" + "y&amp;" * 20_000)[0].text.startswith("xy&y&")
 
 
+@pytest.mark.parametrize("raw", [
+    "<script>for(i=0;i<n;i++){f()}</script>", "<SCRIPT type='a>b'>if(a<b){c='</p>'}</SCRIPT >", "<script><!-- no end\nif(a<b)</script>",
+    "<script>var t=\"it's <a href='\";</script>", "<style>/* a<b ' */ p{}</style>", "<textarea>x <b 'open</textarea>",
+    "<iframe><p \"</iframe>", "<noscript><img alt='a></noscript>", "<svg><style>a<b</style></svg>",
+    "<template><script>a<b;'</script></template>", "<script>'</scripts>'; i<n</script>", "<script src=x></script>"])
+def test_contents_of_raw_elements(raw):
+    got = ht.blocks(f"<p>Before {raw}it.</p>{raw}<article><p>First.</p></article>{raw}<p>Last.</p>")
+    assert [b.text for b in got] == ["Before it.", "First.", "Last."]
+    assert ht.blocks("<p>Before</p><script>a<b <p>no end</p>")[0].text == "Before" and len(ht.blocks("<script>a<b <p>x")) == 0
+
+
 def test_viterbi_is_the_best_path(weights):
     rng = np.random.default_rng(2)
     width = len(ht.NAMES)
