@@ -256,12 +256,10 @@ def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
 class _Known:
     """Ids of chunks, put together from a sorted table of words' 64-bit hashes, with a bounded memory of chunks just met."""
 
-    def __init__(self, pattern: str, hashes: np.ndarray, offsets: np.ndarray, ids: bytes, kind: np.dtype, spelling: tuple[bytes, ...]):
+    def __init__(self, pattern: str, hashes: np.ndarray, offsets: np.ndarray, ids: bytes):
         self.find, self.hashes, self.offsets, self.ids = re.compile(pattern).findall, hashes, offsets, ids
-        self.kind, self.piece = kind, spelling.__getitem__
         self.met: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
-        self.bad: set[str] = set()  # chunks that decode to something else
 
     def find_words(self, wanted: list[str]) -> Iterator[bytes | None]:
         """The bytes of each word's ids, None for words that are not in the table."""
@@ -280,9 +278,7 @@ class _Known:
         new = [c for c in chunks if c not in met]
         met.update((c, before[c]) for c in new if c in before)
         new = [c for c in new if c not in met] if before else new
-        ids = self.join(new, {})
-        self.check(new, ids)
-        met.update(zip(new, ids))
+        met.update(zip(new, self.join(new, {})))
         return list(map(met.__getitem__, chunks))
 
     def join(self, chunks: list[str], more: dict[str, bytes]) -> list[bytes | None]:
@@ -305,18 +301,6 @@ class _Known:
         words = list({w for c in chunks for w in words_of(c, self.find)})
         return [w for w, ids in zip(words, self.find_words(words)) if ids is None]
 
-    def decoded(self, ids: bytes) -> bytes:
-        return b"".join(map(self.piece, np.frombuffer(ids, self.kind).tolist()))
-
-    def check(self, chunks: list[str], ids: list[bytes | None]) -> None:
-        """Decodes what was encoded; one by one only if all together are not the same."""
-        done = [(c, x) for c, x in zip(chunks, ids) if x is not None]
-        if self.decoded(b"".join(x for _, x in done)) != "".join(" " + c for c, _ in done).encode("utf-8", "replace"):
-            self.bad.update(c for c, x in done if self.decoded(x) != (" " + c).encode("utf-8", "replace"))
-
-    def lossy(self, chunks: list[str]) -> np.ndarray:
-        return np.array([c in self.bad for c in chunks], dtype=bool) if self.bad else np.zeros(len(chunks), dtype=bool)
-
 
 def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
     """The words met most often, at most ``most``, as arrays for ``_Known``; the type of the ids; whether those are all."""
@@ -347,7 +331,8 @@ def _any(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id", text_col: str = "text",
            table_words: int = TABLE_WORDS) -> DataFrame:
-    """id, ids, lossless: the ids of each text's pieces and whether they decode to it; a row per row of ``docs``.
+    """id, ids, lossless: the ids of each text's pieces and whether they decode to it; a row per row of ``docs``. The ids
+    that are returned are decoded text by text as ``decode`` does, in the task that puts them together.
 
     Null and empty texts have no ids and are lossless; U+2581 comes back as a blank. Repeated rows share their ids. A run of
     over 1,024 letters is encoded in parts of that length; nothing is left out. An empty table gives no rows.
@@ -356,12 +341,13 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     spark = docs.sparkSession
     words = written(_with_bytes(encode_words(count_words(docs, pieces, text_col), pieces), pieces))
     table, kind, all_held = _table(words, table_words, pieces)
-    shared = spark.sparkContext.broadcast((pieces.pattern, *table, kind, pieces.texts))
+    shared = spark.sparkContext.broadcast((pieces.pattern, *table, pieces.texts))
     own, keys = keyed(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), "id", "text")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of texts all of whose words are known, from the table or from column extra; others give no row."""
-        known = _Known(*shared.value)
+        *known_words, spelling = shared.value
+        known = _Known(*known_words)
         for batch in batches:
             more = {}
             if batch.num_columns > 2:
@@ -373,11 +359,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                 ids = known.spell(distinct)
                 if more:
                     rest = [i for i, x in enumerate(ids) if x is None]
-                    spelled = known.join([distinct[i] for i in rest], more)
-                    known.check([distinct[i] for i in rest], spelled)
-                    for i, x in zip(rest, spelled):
+                    for i, x in zip(rest, known.join([distinct[i] for i in rest], more)):
                         ids[i] = x
-                lossy, missing = known.lossy(distinct), np.array([x is None for x in ids], dtype=bool)
+                missing = np.array([x is None for x in ids], dtype=bool)
                 sizes = np.array([len(x) // kind.itemsize if x else 0 for x in ids], dtype=np.int64)
                 pool, firsts = np.frombuffer(b"".join(x for x in ids if x), kind), np.cumsum(sizes) - sizes
                 bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
@@ -385,17 +369,16 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                     own_codes = codes[bounds[some[0]]:bounds[some[-1] + 1]]
                     at = bounds[some[0]:some[-1] + 2] - bounds[some[0]]
                     keep = ~_any(missing[own_codes], at)
-                    same = ~_any(lossy[own_codes], at)
                     own_codes = own_codes[np.repeat(keep, np.diff(at))]
                     lengths = sizes[own_codes]
                     ends = np.cumsum(lengths)
                     values = pool[np.repeat(firsts[own_codes] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)]
                     at = np.concatenate([[0], np.cumsum(np.diff(at)[keep])])
                     offsets = np.concatenate([[0], ends])[at]
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column(0).take(pa.array(rows[some][keep])), pa.ListArray.from_arrays(
-                            pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32))), pa.array(same[keep])],
-                        names=["id", "ids", "lossless"])
+                    taken = pa.array(rows[some][keep])
+                    done = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.astype(np.int32)))
+                    same = come_back(batch.column(1).take(taken), done, spelling)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), done, same], names=["id", "ids", "lossless"])
         del known
         _give_back()
 
@@ -406,7 +389,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
 
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Words that are not in the table, for every text that has any."""
-        known = _Known(*shared.value)
+        known = _Known(*shared.value[:-1])
         for batch in batches:
             for rows, lists in chunk_lists(batch.column(3)):
                 coded = lists.flatten().dictionary_encode()
@@ -427,6 +410,18 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     return easy.unionByName(own.join(extras, keys).select("id", "text", "extra").mapInArrow(whole, out))
 
 
+def decoded(ids: np.ndarray, spelling: tuple[bytes, ...]) -> str:
+    """The text of one list of ids; the blank before its first word goes. Long lists are spelled part by part."""
+    parts = [b"".join(map(spelling.__getitem__, ids[k:k + 50_000].tolist())) for k in range(0, len(ids), 50_000)]
+    return b"".join(parts).decode("utf-8", "replace")[1:]
+
+
+def come_back(texts: pa.Array, lists: pa.ListArray, spelling: tuple[bytes, ...]) -> pa.Array:
+    """Whether each whole text is what its own ids decode to; a null text counts as empty."""
+    flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
+    return pa.array([decoded(flat[a:b], spelling) == (text or "") for text, a, b in zip(texts.to_pylist(), ends, ends[1:])], pa.bool_())
+
+
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids. Null ids give null, no ids the empty text; control pieces give nothing."""
     pieces = pieces or load()
@@ -434,10 +429,8 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        at = shared.value.__getitem__
         for lists in batches:
-            yield pd.Series([None if ids is None else b"".join(map(at, ids.tolist())).decode("utf-8", "replace")[1:]
-                             for ids in lists], dtype=object)
+            yield pd.Series([None if ids is None else decoded(ids, shared.value) for ids in lists], dtype=object)
 
     return encoded.withColumn(out_col, text(col(ids_col)))
 

@@ -4,6 +4,7 @@ import random
 
 import pytest
 import sentencepiece as library
+from pyspark import cloudpickle
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from sightline.llm import sentencepiece as sp
@@ -81,6 +82,24 @@ def test_documents_as_the_library_has_them(spark, pieces, unigram):
     assert len(different) <= len(got) // 10
 
 
+def test_returned_ids_are_decoded(spark, pieces, monkeypatch):
+    """Ids of one chunk given to another are right by themselves, but not those of the text."""
+    right = sp._Known.spell
+
+    def turned(self, chunks):
+        got = right(self, chunks)
+        return got[1:] + got[:1]
+
+    docs = spark.createDataFrame([(1, "one two three", "w", 1, 2), (2, "four five", "w", 1, 2), (3, "", "w", 1, 2)], SCHEMA).coalesce(1)
+    assert all(r.lossless for r in sp.round_trip(docs, pieces).collect())
+    cloudpickle.register_pickle_by_value(sp)
+    try:
+        monkeypatch.setattr(sp._Known, "spell", turned)
+        assert {r.doc_id: r.lossless for r in sp.round_trip(docs, pieces).collect()} == {1: False, 2: False, 3: True}
+    finally:
+        cloudpickle.unregister_pickle_by_value(sp)
+
+
 def test_empty_table(spark, pieces):
     docs = spark.createDataFrame([], SCHEMA)
     assert sp.round_trip(docs, pieces).count() == 0
