@@ -3,7 +3,8 @@
 Texts are cut into words where no piece reaches across. Every distinct word of the corpus is encoded once: its substrings
 up to the longest piece are exploded, equi-joined to the piece table, grouped by word as lattice edges, and the best path
 is found by a Viterbi fold with Spark's ``aggregate``. Texts are then put together from their words' ids: the words most
-often met, up to a fixed number, are broadcast; documents with any other word get those by a join.
+often met, up to a fixed number, are broadcast; documents with any other word get those by a join. A word is never cut: one
+too long for the packed edges, such as a page without blanks, has the same fold done over it in Python.
 
 The scores of a unigram model are log-probabilities and are used as they are. Those of a merge (BPE) model are negated
 merge ranks, whose sums mean nothing, so a piece of rank r counts as -log(r + 2) - 5: the path found is the best one under
@@ -16,6 +17,7 @@ import ctypes
 import gc
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +34,7 @@ from sightline.llm.common import col, keyed, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TABLE_WORDS = 1 << 22  # words that are broadcast, some 20 bytes each
-LONGEST = 1024  # characters of a word; a longer run is cut into words of that length
+LONGEST = 1024  # characters of a word that the packed lattice holds; longer ones have their path found by ``whole_paths``
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as unigram models have it
 UNIGRAM = 1
@@ -83,9 +85,9 @@ def load(path: str = MODEL) -> Pieces:
         raise ValueError("the model does not fit the packed lattice edges")
     # a letter and a mark behind it are cut apart if no piece has them together
     cut = not any(re.search(f"[{_LETTER}][{_MARK}]", p) for p in names)
-    n = LONGEST
-    pattern = f"\n{{1,{n}}}" + (f"|{SPACE}{{0,{n}}}+[{_LETTER}]{{1,{n}}}+(?![^{_MARK}{SPACE}\n])" if cut else "") + \
-        f"|{SPACE}{{0,{n}}}[^{SPACE}\n]{{1,{n}}}|{SPACE}{{1,{n}}}"
+    # no piece holds a newline, so a run of those may be cut anywhere
+    pattern = f"\n{{1,{LONGEST}}}" + (f"|{SPACE}*+[{_LETTER}]++(?![^{_MARK}{SPACE}\n])" if cut else "") + \
+        f"|{SPACE}*+[^{SPACE}\n]++|{SPACE}++"
     return Pieces(rows, tuple(byte_ids[b] for b in range(256)), min(s for _, _, s in rows) - round(UNKNOWN_PENALTY * UNIT),
                   max(map(len, names)), pattern, len(model.pieces), tuple(texts))
 
@@ -136,7 +138,7 @@ def _slices(bounds: np.ndarray, most: int) -> Iterator[np.ndarray]:
 
 
 def words_of(chunk: str, find) -> list[str]:
-    if chunk.isalnum() and len(chunk) < LONGEST:  # the pattern would find one word
+    if chunk.isalnum():  # the pattern would find one word
         return [SPACE + chunk]
     return find(SPACE + chunk.replace(" ", SPACE))
 
@@ -158,7 +160,7 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
             for _, lists in chunk_lists(batch.column(0), 6_000_000):
                 counted = lists.flatten().value_counts()
                 values, counts = counted.field("values"), counted.field("counts")
-                plain = pc.and_(pc.utf8_is_alnum(values), pc.less(pc.utf8_length(values), LONGEST))  # one word each
+                plain = pc.utf8_is_alnum(values)  # one word each
                 yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(SPACE, values.filter(plain), ""),
                                                   counts.filter(plain)], names=["word", "n"])
                 mixed = pc.invert(plain)
@@ -221,11 +223,12 @@ def best_path(edges: Column) -> Column:
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, n, path: the lattice edges of the best path through every distinct word."""
+    """word, n, path: the lattice edges of the best path through every distinct word; of words over ``LONGEST`` characters only
+    those of the first character, to keep their row."""
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score bigint"))  # the fixed vocabulary
     subs = (words.select("word", "n", F.length("word").alias("chars"))
-            .select("*", F.explode(F.sequence(F.lit(0), F.col("chars") - 1)).alias("start"))
+            .select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("chars") > LONGEST, 0).otherwise(F.col("chars") - 1))).alias("start"))
             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))).alias("len"))
             .select("word", "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")))
     edge = (F.call_function("shiftleft", (F.col("start") + F.col("len")).cast("bigint"), F.lit(_END))
@@ -238,7 +241,7 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, n, ids: characters without a piece become the ids of their UTF-8 bytes."""
+    """word, n, ids: characters without a piece become the ids of their UTF-8 bytes. Null for words over ``LONGEST``."""
     table = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
     def spelled(edge: Column) -> Column:
@@ -250,7 +253,41 @@ def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
     ids = F.when(F.exists("path", lambda e: number(e) < 0), F.flatten(F.transform(
         "path", lambda e: F.when(number(e) < 0, spelled(e)).otherwise(F.array(number(e)))))).otherwise(
         F.transform("path", number))
-    return words.select("word", "n", ids.alias("ids"))
+    return words.select("word", "n", F.when(F.length("word") <= LONGEST, ids).alias("ids"))
+
+
+def whole_path(word: str, table: dict[str, tuple[int, int]], longest: int, unknown: int, byte_ids: tuple[int, ...]) -> list[int]:
+    """The ids along the best path through a word of any length, by the rules of ``best_path``."""
+    scores, starts, pieces = array("q", [0]), array("q", [0]), array("i", [0])
+    lost = (-1, unknown)
+    for end in range(1, len(word) + 1):
+        best = None
+        for start in range(max(0, end - longest), end):  # the longer last piece first
+            found = table.get(word[start:end], lost if end - start == 1 else None)
+            if found and (best is None or scores[start] + found[1] > best[0]):
+                best = (scores[start] + found[1], start, found[0])
+        scores.append(best[0])
+        starts.append(best[1])
+        pieces.append(best[2])
+    ids, at = [], len(word)
+    while at:
+        ids += [pieces[at]] if pieces[at] >= 0 else [byte_ids[b] for b in reversed(word[starts[at]:at].encode("utf-8", "replace"))]
+        at = starts[at]
+    return ids[::-1]
+
+
+def whole_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, n, ids of words too long for the packed lattice."""
+    shared = words.sparkSession.sparkContext.broadcast(
+        ({p: (i, s) for p, i, s in pieces.rows}, pieces.longest, pieces.unknown, pieces.byte_ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, word in enumerate(batch.column(0)):
+                ids = pa.array([whole_path(word.as_py(), *shared.value)], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, ids], names=["word", "n", "ids"])
+
+    return words.select("word", "n").mapInArrow(run, "word string, n bigint, ids array<int>")
 
 
 class _Known:
@@ -284,11 +321,11 @@ class _Known:
     def join(self, chunks: list[str], more: dict[str, bytes]) -> list[bytes | None]:
         """The same without memory, with the words of ``more`` besides those of the table."""
         out: list[bytes | None] = [None] * len(chunks)
-        plain = [i for i, c in enumerate(chunks) if c.isalnum() and len(c) < LONGEST]  # one word each
+        plain = [i for i, c in enumerate(chunks) if c.isalnum()]  # one word each
         words = [SPACE + chunks[i] for i in plain]
         for i, w, ids in zip(plain, words, self.find_words(words)):
             out[i] = more.get(w) if ids is None else ids
-        mixed = {i: words_of(c, self.find) for i, c in enumerate(chunks) if not c.isalnum() or len(c) >= LONGEST}
+        mixed = {i: words_of(c, self.find) for i, c in enumerate(chunks) if not c.isalnum()}
         wanted = list({w for words in mixed.values() for w in words})
         known = dict(zip(wanted, self.find_words(wanted))) | more
         for i, words in mixed.items():
@@ -334,12 +371,13 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     """id, ids, lossless: the ids of each text's pieces and whether they decode to it; a row per row of ``docs``. The ids
     that are returned are decoded text by text as ``decode`` does, in the task that puts them together.
 
-    Null and empty texts have no ids and are lossless; U+2581 comes back as a blank. Repeated rows share their ids. A run of
-    over 1,024 letters is encoded in parts of that length; nothing is left out. An empty table gives no rows.
+    Null and empty texts have no ids and are lossless; U+2581 comes back as a blank. Repeated rows share their ids. Runs
+    of any length are encoded whole. An empty table gives no rows.
     """
     pieces = pieces or load()
     spark = docs.sparkSession
     words = written(_with_bytes(encode_words(count_words(docs, pieces, text_col), pieces), pieces))
+    words = words.where("ids is not null").unionByName(written(whole_paths(words.where("ids is null"), pieces)))
     table, kind, all_held = _table(words, table_words, pieces)
     shared = spark.sparkContext.broadcast((pieces.pattern, *table, pieces.texts))
     own, keys = keyed(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), "id", "text")

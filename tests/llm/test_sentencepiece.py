@@ -82,6 +82,19 @@ def test_documents_as_the_library_has_them(spark, pieces, unigram):
     assert len(different) <= len(got) // 10
 
 
+@pytest.mark.parametrize("table_words", [sp.TABLE_WORDS, 0])
+def test_long_runs_are_not_cut(spark, pieces, table_words):
+    rng = random.Random(2)
+    some = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(1, "a" * 3000), (2, some("日本語中文的是不了人我在有他这", 2500)), (3, some("ABCDabcdeinorst0123+/", 5000) + "=="),
+            (4, "x" + " " * 3000 + "y"), (5, "\n" * 2500 + "end"), (6, some("function(){return};,.=", 4000) + " tail"),
+            (7, "the" * 341 + "re"), (8, "b " + "information" * 300 + ", é" + "=" * 1100), (9, "ab" * 512), (10, "💩" * 1500)]
+    got = run(spark, rows, pieces, table_words=table_words)
+    texts = dict(rows)
+    assert len(got) == len(rows)
+    assert [r.id for r in got if list(r.ids) != viterbi(texts[r.id], pieces) or r.decoded != texts[r.id] or not r.lossless] == []
+
+
 def test_returned_ids_are_decoded(spark, pieces, monkeypatch):
     """Ids of one chunk given to another are right by themselves, but not those of the text."""
     right = sp._Known.spell
