@@ -1,7 +1,7 @@
 """Licence texts by canonical digest, in DataFrame functions only.
 
-A text is made canonical - copyright lines dropped, lower case, equivalent spellings made one, punctuation made single
-blanks - and its SHA-256 is hash-joined to the digests of known licence texts, made canonical the same way. The units
+A text is made canonical - copyright lines dropped, lower case, punctuation made single blanks, equivalent spellings made
+one - and its SHA-256 is hash-joined to the digests of known licence texts, made canonical the same way. The units
 compared in full are the whole document, its blocks between blank lines, and its lines.
 """
 
@@ -81,21 +81,114 @@ Unless required by applicable law or agreed to in writing, software distributed
 IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License.""",
 }
-SPELLINGS = {"licence": "license", "sub-license": "sublicense", "organisation": "organization", "favour": "favor",
-             "acknowledgement": "acknowledgment", "non-commercial": "noncommercial", "merchantibility": "merchantability",
-             "copyright owner": "copyright holder", "https:": "http:", "per cent": "percent", "fulfilment": "fulfillment",
-             "share-alike": "sharealike", "no-derivatives": "noderivatives", "non-infringement": "noninfringement"}
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. {}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+        "the following disclaimer in the documentation and/or other materials provided with the distribution. {}THIS SOFTWARE IS "
+        "PROVIDED BY THE {} \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
+        "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE {} BE LIABLE FOR ANY DIRECT, "
+        "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+        "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+        "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+        "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD_BY = [("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDER OR CONTRIBUTORS"),
+           ("COPYRIGHT HOLDERS AND CONTRIBUTORS", "COPYRIGHT HOLDERS OR CONTRIBUTORS"),
+           ("AUTHOR AND CONTRIBUTORS", "AUTHOR OR CONTRIBUTORS"), ("AUTHORS AND CONTRIBUTORS", "AUTHORS OR CONTRIBUTORS")]
+_BSD_THIRD = ["Neither the name of the {} nor the names of {}contributors may be used to endorse or promote products derived from this "
+              "software without specific prior written permission. ".format(*x)
+              for x in [("copyright holder", "its "), ("copyright holders", "its "), ("copyright holders", "their "),
+                        ("author", "its "), ("author", ""), ("authors", "their ")]]
+_BSD_THIRD.append("The name of the author may not be used to endorse or promote products derived from this software without specific "
+                  "prior written permission. ")
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a
+compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of
+our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and
+future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES
+OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY
+CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION
+WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_GNU = ("This {what} is free software{colon} you can redistribute it and/or modify it under the terms of the GNU {kind} as published by "
+        "the Free Software Foundation{version}. This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more "
+        "details.{end}")
+_GNU_ENDS = ["", " You should have received a copy of the GNU {kind} along with this {what}. If not, see <http://www.gnu.org/licenses/>."]
+_GNU_ENDS += [" You should have received a copy of the GNU {kind} along with this {what}; if not, write to the Free Software Foundation, "
+              "Inc., " + place for place in ("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, "
+                                             "Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA")]
+_GNU_KINDS = [("GPL-2.0", "General Public License", "2"), ("GPL-3.0", "General Public License", "3"),
+              ("LGPL-2.1", "Lesser General Public License", "2.1"), ("LGPL-3.0", "Lesser General Public License", "3"),
+              ("AGPL-3.0", "Affero General Public License", "3")]
+_MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed "
+        "with this file, You can obtain one at ")
+_EPL = "This program and the accompanying materials are made available under the terms of the Eclipse Public License {}"
+_CC0 = ("To the extent possible under law, the {} associated CC0 with this work {} waived all copyright and related or neighboring "
+        "rights to this work.")
+_CC = [("CC-BY-4.0", "Attribution", "by"), ("CC-BY-SA-4.0", "Attribution-ShareAlike", "by-sa"),
+       ("CC-BY-NC-4.0", "Attribution-NonCommercial", "by-nc"), ("CC-BY-ND-4.0", "Attribution-NoDerivatives", "by-nd")]
+
+
+def _entire() -> list[tuple[str, str]]:
+    """Identifier and text of every short licence and notice in its usual variants, each with and without a heading."""
+    mit, isc = TEXTS["MIT"].partition("\n\n")[2], TEXTS["ISC"].partition("\n\n")[2]
+    bodies = [("MIT", mit), ("MIT", mit.replace("permission notice shall", "permission notice (including the next paragraph) shall")),
+              ("ISC", isc), ("ISC", isc.replace("and/or distribute", "and distribute")), ("Zlib", TEXTS["Zlib"]),
+              ("Apache-2.0", TEXTS["Apache-2.0"]), ("Unlicense", _UNLICENSE),
+              ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org/>"),
+              ("Unlicense", _UNLICENSE + "\n\nFor more information, please refer to <http://unlicense.org>")]
+    for by in _BSD_BY:
+        for one, two, three in (("1. ", "2. ", "3. "), ("(1) ", "(2) ", "(3) "), ("a. ", "b. ", "c. "), ("* ", "* ", "* ")):
+            bodies.append(("BSD-2-Clause", _BSD.format(one, two, "", *by)))
+            bodies += [("BSD-3-Clause", _BSD.format(one, two, three + x, *by)) for x in _BSD_THIRD]
+    for i, kind, number in _GNU_KINDS:
+        for what in ("program", "library", "software", "file"):
+            for version in (f", either version {number} of the License, or (at your option) any later version", f", version {number} of "
+                            "the License", f"; either version {number} of the License, or (at your option) any later version",
+                            f"; version {number} of the License", f"; version {number}"):
+                bodies += [(i, _GNU.format(what=what, colon=":", kind=kind, version=version, end=e.format(what=what, kind=kind)))
+                           for e in _GNU_ENDS]
+    bodies += [("MPL-2.0", _MPL + x) for x in ("https://mozilla.org/MPL/2.0/.", "https://www.mozilla.org/MPL/2.0/.")]
+    bodies += [("EPL-2.0", _EPL.format(v) + x + "https://www.eclipse.org/legal/epl-2.0" + y)
+               for v in ("2.0", "v2.0", "v. 2.0") for x in (" which is available at ", ", which is available at ", " which accompanies this "
+               "distribution, and is available at ") for y in ("/", "/ SPDX-License-Identifier: EPL-2.0")]
+    bodies += [("CC0-1.0", _CC0.format(*who) + x) for who in (("person who", "has"), ("author(s)", "have")) for x in (
+        "", " You should have received a copy of the CC0 legalcode along with this work. If not, see "
+        "<http://creativecommons.org/publicdomain/zero/1.0/>.")]
+    bodies += [(i, f"This work is licensed under {a} Creative Commons {name} 4.0 International License. To view a copy of this license, "
+                f"visit http://creativecommons.org/licenses/{path}/4.0/{x}") for i, name, path in _CC for a in ("the", "a") for x in (
+                    "", " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.")]
+    names = {**NAMES, "Zlib": ["zlib License"], "Unlicense": ["Unlicense"]}
+    out = []
+    for i, body in bodies:
+        short = i.removesuffix("-Clause").replace("-", " ")
+        for name in [*names[i], i]:
+            out += [(i, f"{head}\n\n{body}") for head in (name, f"The {name}", f"{name} ({short})", f"The {name} ({short})")]
+        out.append((i, body))
+    return out
+
+
+SPELLINGS = {"licence": "license", "sub license": "sublicense", "organisation": "organization", "favour": "favor",
+             "acknowledgement": "acknowledgment", "non commercial": "noncommercial", "merchantibility": "merchantability",
+             "copyright owner": "copyright holder", "https": "http", "per cent": "percent", "fulfilment": "fulfillment",
+             "share alike": "sharealike", "no derivatives": "noderivatives", "non infringement": "noninfringement"}
 COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright\b(?=.*(\d{4}|\(c\)|©))|\(c\)|©|all rights reserved)[^\n]*$"
 # every canonical text has one of these, so a unit without any, however spelled, needs no digest
-TRIGGERS = ("licen", "gpl", "cc by", "cc0", "mpl", "permission")
+TRIGGERS = ("licen", "gpl", "cc by", "cc0", "mpl", "permission", "permitted", "public domain")
 BETWEEN = r"[^\p{L}\p{N}]+"  # what a blank of a canonical text may have been
 
 
 def canonical(text: Column) -> Column:
     text = F.lower(F.regexp_replace(text, COPYRIGHT_LINE, ""))
-    for other, one in SPELLINGS.items():
+    text = F.trim(F.regexp_replace(text, BETWEEN, " "))
+    for other, one in SPELLINGS.items():  # of whatever marks and line breaks their words had between them
         text = F.replace(text, F.lit(other), F.lit(one))
-    return F.trim(F.regexp_replace(text, BETWEEN, " "))
+    return text
 
 
 def may_be_known(unit: Column) -> Column:
@@ -106,17 +199,21 @@ def may_be_known(unit: Column) -> Column:
 
 def known_digests(spark: SparkSession) -> DataFrame:
     """license, digest: a fixed small table, built from names and grants by rule, and from the full texts."""
-    rows = [(i, g.format(n)) for i, names in NAMES.items() for n in names for g in GRANTS] + list(TEXTS.items())
-    texts = spark.createDataFrame(rows, "license string, text string")
+    rows = [(i, g.format(n)) for i, names in NAMES.items() for n in names for g in GRANTS] + list(TEXTS.items()) + _entire()
+    return _digests(spark.createDataFrame(rows, "license string, text string"))
+
+
+def _digests(texts: DataFrame) -> DataFrame:
     return texts.select("license", F.sha2(canonical(F.col("text")), 256).alias("digest")).distinct()
 
 
-def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             known: DataFrame | None = None) -> DataFrame:
     """id, whole, licenses, n_matches: one row per row of ``docs``.
 
     ``whole`` is the licence that the entire text is (null: none), ``licenses`` the sorted distinct licences of the text,
     its blocks or its lines, ``n_matches`` the number of distinct units found. Null and empty texts have none. Repeated
-    rows share their result. An empty table gives no rows.
+    rows share their result. An empty table gives no rows. ``known`` (license, text) adds texts to the fixed table.
     """
     own, keys = keyed(docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")), "id", "text")
     # the units are exploded one list after the other, so a text is never copied more than once per list
@@ -124,10 +221,14 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     found = None
     for k, units in enumerate(lists):
         part = own.select(*keys, F.explode(units).alias("unit"))
-        part = part.where(may_be_known(F.col("unit")))
+        if known is None:  # given texts need not have any trigger
+            part = part.where(may_be_known(F.col("unit")))
         part = part.select(*keys, F.sha2(canonical(F.col("unit")), 256).alias("digest"), F.lit(k == 0).alias("is_whole"))
         found = part if found is None else found.unionByName(part)
-    hits = (found.join(F.broadcast(known_digests(docs.sparkSession)), "digest").groupBy(*keys)
+    table = F.broadcast(known_digests(docs.sparkSession))
+    if known is not None:  # of any size, so the planner picks the join
+        table = known_digests(docs.sparkSession).unionByName(_digests(known.select("license", "text"))).distinct()
+    hits = (found.join(table, "digest").groupBy(*keys)
             .agg(F.min(F.when(F.col("is_whole"), F.col("license"))).alias("whole"),
                  F.array_sort(F.collect_set("license")).alias("licenses"), F.count_distinct("digest").alias("n_matches")))
     return own.select("id", *keys).join(hits, keys, "left").select(

@@ -39,5 +39,67 @@ def test_names_in_any_punctuation(spark):
     assert [(i, x) for k, (i, x) in enumerate(rows) if got[k] != i] == []
 
 
+BSD = """Copyright (c) 2019, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+OWNER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+
+
+def test_entire_texts(spark):
+    mit = li.TEXTS["MIT"].partition("\n\n")[2]
+    wanted = {mit: "MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A B\n\n" + mit: "MIT", BSD.format(""): "BSD-2-Clause",
+              "BSD 2-Clause License\n\n" + BSD.format(""): "BSD-2-Clause", BSD.format(THIRD): "BSD-3-Clause",
+              "BSD 3-Clause License\n\n" + BSD.format(THIRD): "BSD-3-Clause", li._UNLICENSE: "Unlicense", GPL: "GPL-3.0",
+              GPL.replace("version 3", "version 2"): "GPL-2.0", li._MPL + "http://mozilla.org/MPL/2.0/.": "MPL-2.0",
+              "My own terms:\ndo as you like.": "Own", "my OWN terms do as you like": "Own", "My own terms.": None}
+    docs = spark.createDataFrame([(k, x, "a", "b", "c") for k, x in enumerate(wanted)], SCHEMA)
+    known = spark.createDataFrame([("Own", "My own terms: do as you like")], "license string, text string")
+    expected = list(wanted.values())
+    assert [r.whole for r in sorted(li.licenses(docs, known=known).collect())] == expected
+    assert [r.whole for r in sorted(li.licenses(docs).collect())] == [None if w == "Own" else w for w in expected]
+    entire = li._entire()
+    assert {i for i, _ in entire} == {*li.NAMES, "Zlib"}
+    texts = spark.createDataFrame(entire, "license string, text string")
+    assert texts.where(~li.may_be_known(texts.text)).count() == 0
+
+
 def test_empty_table(spark):
     assert li.licenses(spark.createDataFrame([], SCHEMA)).count() == 0
