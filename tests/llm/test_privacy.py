@@ -32,6 +32,21 @@ def test_entities_alone_in_their_text():
             assert found == [kind] and pv.mentions(f"see {text} here") and re.search(pv.NEEDS[kind], text), text
 
 
+def test_names_found_again_without_title():
+    text = "Smith’s house: Mrs Anna Smith's and Mr O'Brien met. O'Brien said Anna, SMITH, Smithson, Smith@x.org, Smith-Brown. Smith left. Prof left."
+    found = pv.mentions(text)
+    assert [text[a:b] for a, b, _, _ in found] == ["Smith", "Anna", "Smith", "O'Brien", "O'Brien", "Anna", "Smith@x.org", "Smith", "Smith"]
+    assert {e: k for _, _, k, e in found} == {"Smith": "surname", "Anna": "given f", "O'Brien": "surname", "smith@x.org": "email"}
+    assert pv.mentions("Smith said.") == []
+
+
+def test_later_surname_gets_the_same_surrogate(spark):
+    text = "Mrs Anna Smith. Smith said."
+    got = pv.pseudonymise(spark.createDataFrame([(1, text, "k", 1, 2)], SCHEMA)).first()
+    made = re.fullmatch(r"Mrs (\w+) (\w+)\. (\w+) said\.", got.text)
+    assert made and made[2] == made[3] != "Smith" and "Smith" not in got.text and got.n_entities == 3
+
+
 def test_format_is_kept():
     for kind, text in [("phone", "+1 (305) 555-0199"), ("card", "4539 5787 6362 1486"), ("ip", "192.168.10.7"), ("ssn", "123-45-6789"),
                        ("secret", "0123456789abcdef0123456789abcdef"), ("iban", "DE89 3704 0044 0532 0130 00"), ("email", "a.b9@x1.org")]:
