@@ -1,4 +1,4 @@
-"""Helpers the operators share: reading tables, ASCII lower case, row keys, written tables, connected components."""
+"""Helpers the operators share: reading tables, ASCII lower case, row keys, written tables, places in order, components."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sightline.session import scratch_folder
 
@@ -53,6 +54,41 @@ def keyed(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[st
     return df.withColumns(dict(zip(names, parts))), names
 
 
+def placed(df: DataFrame, keys: list[str], order: list[str], group: str = "group", place: str = "place",
+           size: str = "size") -> DataFrame:
+    """Adds to every row a number of its key (ascending with it), its place from 0 within the key, and the key's rows.
+
+    Rows are range-partitioned by key and order (nulls first) and numbered in their partition, so a key that holds a third
+    of all rows lies in many partitions; a random last column spreads repeated rows. Only one row per key and partition is
+    needed to turn numbers into places. The numbered rows are a written table, so they never change. ``df`` is read twice.
+    """
+    at, tie, part, first, rows, start = [free_name(df, f"{n}__") for n in ("at", "tie", "part", "first", "rows", "start")]
+    by = [col(c).asc_nulls_first() for c in keys + order] + [F.col(tie)]
+    in_order = df.withColumn(tie, F.rand(7)).repartitionByRange(*by).sortWithinPartitions(*by).drop(tie)
+    numbered = written(in_order.withColumn(at, F.monotonically_increasing_id()))
+    parted = numbered.withColumn(part, F.shiftright(at, 33))
+    counted = parted.groupBy(*[col(k) for k in keys], part).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(rows))
+    of_key = Window.partitionBy(*[col(k) for k in keys])  # at most one row per partition
+    before = of_key.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(
+        *[col(k).alias(f"{start}{i}") for i, k in enumerate(keys)], F.col(part).alias(f"{start}p"), F.col(first),
+        F.coalesce(F.sum(rows).over(before), F.lit(0)).alias(start), F.min(first).over(of_key).alias(group),
+        F.sum(rows).over(of_key).alias(size))
+    on = F.col(part) == F.col(f"{start}p")
+    for i, k in enumerate(keys):
+        on = on & col(k).eqNullSafe(F.col(f"{start}{i}"))
+    return parted.join(starts, on).select(*[col(c) for c in df.columns], group,
+                                          (F.col(at) - F.col(first) + F.col(start)).alias(place), size)
+
+
+def salted_join(rows: DataFrame, few: DataFrame, on: str, salt: Column, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined with ``few``, which has one row per key: every key is dealt to ``salts`` tasks by ``salt``."""
+    extra = free_name(rows, "salt__")
+    spread = few.withColumn(extra, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    dealt = rows.withColumn(extra, F.pmod(F.xxhash64(salt), F.lit(salts)).cast("int"))
+    return dealt.join(spread, [on, extra], how).drop(extra)
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 

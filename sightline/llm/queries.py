@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import (decontaminate, exact_dedup, html_text, licenses, line_dedup, passages, privacy, quality,
+from sightline.llm import (decontaminate, exact_dedup, html_text, licenses, line_dedup, merkle, passages, privacy, quality,
                            sentencepiece, simhash)
 from sightline.llm.common import read
 
@@ -122,3 +122,63 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = simhash.as_hex(simhash.near_duplicates(read(spark, sf_dir, "documents")))
     return grouped.selectExpr("id as doc_id", "fingerprint", "component as component_id")
+
+
+def _tree_sql(name: str, base: str, levels: int = 6) -> str:
+    """CTEs of a 16-ary tree per key over ``base`` (k, i, h): nodes of each level, its root, and the siblings of each leaf."""
+    parts = [f"{name}0 as (select k, i, h, count(*) over (partition by k) as n from {base})"]
+    for v in range(levels):
+        parts.append(f"""{name}{v + 1} as (select k, i // 16 as i,
+            case when any_value(n) > 1 then sha256(string_agg(h, '' order by i)) else any_value(h) end as h,
+            (any_value(n) + 15) // 16 as n from {name}{v} group by k, i // 16)""")
+    return ",\n    ".join(parts)
+
+
+def _walk_sql(name: str, tree: str, start: str, levels: int = 6) -> str:
+    """CTEs that fold every row of ``start`` (k, i, folded, proof) up its tree, level by level."""
+    parts, last = [], start
+    for v in range(levels):
+        side = "(select coalesce(string_agg(t.h, '' order by t.i), '') from {0} t where t.k = w.k and t.i // 16 = w.spot // 16 and t.i {1} w.spot)"
+        parts.append(f"""{name}{v}a as (select w.*, {side.format(tree + str(v), "<")} as l, {side.format(tree + str(v), ">")} as r,
+            (select any_value(n) from {tree}{v} t where t.k = w.k) as n from {last} w)""")
+        parts.append(f"""{name}{v} as (select * exclude (l, r, n, spot, folded, proof), spot // 16 as spot,
+            case when n > 1 then sha256(l || folded || r) else folded end as folded, proof || l || r as proof from {name}{v}a)""")
+        last = f"{name}{v}"
+    return ",\n    ".join(parts)
+
+
+def _field_sql(value: str) -> str:
+    return f"coalesce(strlen(cast({value} as varchar)) || ':' || cast({value} as varchar), '-')"
+
+
+_CRC = """xor(4294967295, list_reduce(list_concat([4294967295::bigint], flatten(list_transform(string_split({0}, ''),
+    lambda c: list_transform(range(8), lambda b: (ascii(c) >> b) & 1)))),
+    lambda c, b: xor(c >> 1, 3988292384 * (xor(c, b) & 1))))"""
+
+
+@query("op11_merkle", f"""
+    with d as (select *, case when {_CRC.format("cast(doc_id as varchar)")} % 5 = 0
+                         then translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else text end as other
+               from documents),
+    f as (select *, {" || ".join(map(_field_sql, ("doc_id", "source", "lang", "n_chars")))} as head from d),
+    l as (select doc_id, source, sha256(head || {_field_sql("text")}) as leaf, sha256(head || {_field_sql("other")}) as other
+          from f),
+    g as (select source, row_number() over (order by source nulls first) as k from (select distinct source from documents)),
+    o as (select l.*, g.k, row_number() over (partition by g.k order by doc_id nulls first, leaf) - 1 as i
+          from l join g on l.source is not distinct from g.source),
+    b as (select k, i, leaf as h from o),
+    {_tree_sql("t", "b")},
+    s as (select 0 as k, k - 1 as i, h from t6),
+    {_tree_sql("u", "s")},
+    start as (select doc_id, leaf, k, i as spot, other as folded, '' as proof from o),
+    {_walk_sql("v", "t", "start")},
+    middle as (select v5.* exclude (k, spot), t6.h as subroot, 0 as k, v5.k - 1 as spot from v5 join t6 using (k)),
+    {_walk_sql("w", "u", "middle")}
+    select doc_id, leaf, subroot, u6.h as root, sha256(proof) as proof_sha256, folded as folded_root, folded = u6.h as verified
+    from w5, u6""")
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = merkle.tampered(read(spark, sf_dir, "documents"), "tampered_text")
+    found = merkle.manifest(docs, altered={"text": F.col("tampered_text")})
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
+                        merkle.folded(F.col("altered_leaf"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
