@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import (decontaminate, exact_dedup, html_text, licenses, line_dedup, merkle, passages, privacy, quality,
-                           sentencepiece, simhash)
+from sightline.llm import (conversations, decontaminate, embeddings, exact_dedup, html_text, licenses, line_dedup, merkle,
+                           passages, privacy, quality, sentencepiece, simhash)
 from sightline.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,85 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"),
                         merkle.folded(F.col("altered_leaf"), F.col("path")).alias("folded_root")).withColumn(
         "verified", F.col("folded_root") == F.col("root"))
+
+
+def _repair_sql() -> str:
+    """Rows one after another; each state holds its cheapest edits, of those the least, and the text they leave."""
+    kind = "struct(c bigint, a varchar, o varchar)"
+    states = ("none", "sys", "usr", "ast")
+
+    def edit(state: str, cost: str, letter: str, line: str | None) -> str:
+        text = f"{state}.o" if line is None else f"{state}.o || chr(10) || {line}"
+        return (f"case when {state} is null then null else {{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', "
+                f"'o': {text}}} end")
+
+    def best(*options: str) -> str:
+        return f"list_sort(list_filter([{', '.join(options)}], lambda x: x is not null))[1]"
+
+    def inserts(source: str) -> str:
+        one = f"""(select * replace ({best("usr", *[edit(s, "3", "I", "'user:'") for s in ("none", "sys", "ast")])} as usr) from {source})"""
+        return f"""(select * replace ({best("ast", edit("usr", "3", "I", "'assistant:'"))} as ast) from {one})"""
+
+    def kept(state: str, initial: str) -> str:
+        return f"case when ini = '{initial}' and not gone then {edit(state, 'cut', 'K', 'role || chr(58) || text')} end"
+
+    def reroled(state: str, role: str) -> str:
+        return f"case when not gone then {edit(state, '3 + cut', 'R', repr(role + ':') + ' || text')} end"
+
+    deleted = {s: edit(s, "4", "D", None) for s in states}
+    blank = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+    with recursive k as (select *, {_CRC.format("coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ')")} % 20 as kind
+               from conversations),
+    d as (select conv_id, turn, case when kind = 4 then 'user' else coalesce(role, ' ') end as role,
+                 case kind when 1 then '' when 2 then translate(coalesce(text, ' '), '.!?', '') else coalesce(text, ' ') end as text,
+                 unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+          from k where kind <> 0),
+    p as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) - 1 as i,
+                 rtrim(text, {blank}) as bare, substr(role, 1, 1) as ini from d),
+    q as (select *, bare = '' as blank, lag(ini) over (partition by conv_id order by i) || ini as pair,
+                 bare <> '' and row_number() over (partition by conv_id, role, text order by i) > 1 as duplicate from p),
+    r as (select *, blank or duplicate as gone,
+                 not blank and not duplicate and right(bare, 1) not in ('.', '!', '?') as truncated from q),
+    f as (select conv_id, i, role, text, ini, gone, case when truncated then 3 else 0 end as cut from r),
+    w as (select conv_id, 0 as i, {{'c': 0, 'a': '', 'o': ''}}::{kind} as none, null::{kind} as sys, null::{kind} as usr,
+                 null::{kind} as ast from (select distinct conv_id from f)
+          union all
+          select conv_id, i + 1, {best(deleted["none"])}, {best(deleted["sys"], kept("none", "s"))},
+                 {best(deleted["usr"], kept("none", "u"), kept("sys", "u"), kept("ast", "u"), reroled("none", "user"),
+                       reroled("sys", "user"), reroled("ast", "user"))},
+                 {best(deleted["ast"], kept("usr", "a"), reroled("usr", "assistant"))}
+          from {inserts("(select w.*, f.* exclude (conv_id, i) from w join f on w.conv_id is not distinct from f.conv_id and w.i = f.i)")}),
+    z as (select conv_id, {best("none", "ast")} as won from {inserts(
+          "(select * from w qualify row_number() over (partition by conv_id order by i desc) = 1)")}),
+    n as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                 count(*) filter (where blank) as blank, count(*) filter (where duplicate) as duplicate,
+                 count(*) filter (where truncated) as truncated,
+                 count(*) filter (where pair not in ('su', 'ua', 'au')) as illegal from r group by conv_id)
+    select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+           coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(won.c, 0) as cost,
+           coalesce(won.a, '') as audit, sha256(substr(coalesce(won.o, ''), 2)) as repaired_sha256
+    from (select distinct conv_id from conversations) o left join n on o.conv_id is not distinct from n.conv_id
+    left join z on o.conv_id is not distinct from z.conv_id"""
+
+
+@query("op13_conversations", _repair_sql())
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    return conversations.repair_report(conversations.damaged(rows), rows)
+
+
+@query("op12_embeddings", f"""
+    with recursive v as (select row_number() over () as r, vec_id, cast(embedding as double[]) as e from embeddings),
+    ok as (select r, e from v where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0
+           and len(list_filter(e, lambda x: x <> 0)) > 0),
+    l as (select a.r as u, b.r as w from ok a join ok b on a.r <> b.r where case when len(a.e) = len(b.e)
+          then list_cosine_similarity(a.e, b.e) >= {embeddings.THRESHOLD} else false end),
+    n as (select u as r, count(*) as n_links from l group by u),
+    c as (select r, r as w from v union select c.r, l.w from c join l on c.w = l.u),
+    s as (select c.r, min(v.vec_id) as component_id from c join v on c.w = v.r group by c.r)
+    select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id is not distinct from component_id as kept
+    from v join s using (r) left join n using (r)""")
+def op12_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+    return found.selectExpr("id as vec_id", "links as n_links", "component as component_id", "kept")
