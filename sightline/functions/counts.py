@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 from sightline.session import cut_lineage
 from sightline.types import chunks, col, is_nested
 
-SPLIT_LIMIT = 1_000_000  # hashes of repeated rows that may be broadcast (8 bytes each)
+MAX_WORDS = 1 << 23  # 64-bit words of the largest table of bits that is broadcast
+MOST_LOADED = 0.7  # hashes per bit beyond which half of all rows would be candidates
 
 
 def comparable(df: DataFrame, name: str) -> Column:
@@ -75,54 +78,75 @@ def repeated_hashes(df: DataFrame) -> DataFrame:
             .filter("_k > 1").select("_h"))
 
 
-def few_repeated(df: DataFrame) -> tuple[int, DataFrame | None]:
-    """Number of repeated hashes, and the hashes themselves for a broadcast if they are few enough."""
-    found = cut_lineage(repeated_hashes(df).limit(SPLIT_LIMIT + 1))
-    n = found.count()
-    return n, (F.broadcast(found) if n <= SPLIT_LIMIT else None)
+@dataclass
+class Repeats:
+    """The hashes of repeated rows as a table of bits, some sixteen per hash, packed in 64-bit words."""
 
+    count: int
+    bits: int
+    words: DataFrame | None  # word, mask; None if the rows have to be shuffled
 
-def duplicate_groups(df: DataFrame, name: str = "copies", found: tuple | None = None) -> DataFrame:
+    @classmethod
+    def of(cls, df: DataFrame) -> "Repeats":
+        found = cut_lineage(repeated_hashes(df))
+        n = found.count()
+        bits = min(MAX_WORDS * 64, 1 << max(10, math.ceil(math.log2(16 * n + 1))))
+        if n == 0 or n > MOST_LOADED * bits:
+            return cls(n, bits, None)
+        place = F.col("_h").bitwiseAND(F.lit(bits - 1))
+        words = found.select(place.alias("_p")).groupBy(F.shiftright("_p", 6).alias("_word")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(_p & 63 as int))")).alias("_mask"))
+        return cls(n, bits, F.broadcast(cut_lineage(words)))  # at most MAX_WORDS rows of 16 bytes
+
+    def marked(self, rows: DataFrame) -> DataFrame:
+        """``rows``, which have the hash _h, with _maybe: true for every repeated row and a few others."""
+        place = F.col("_h").bitwiseAND(F.lit(self.bits - 1))
+        met = rows.withColumn("_p", place).withColumn("_word", F.shiftright("_p", 6)).join(self.words, "_word", "left")
+        hit = F.expr("shiftrightunsigned(_mask, cast(_p & 63 as int)) & 1L") == 1
+        return met.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_p", "_word", "_mask")
+
+
+def duplicate_groups(df: DataFrame, name: str = "copies", found: Repeats | None = None) -> DataFrame:
     """Every distinct row that occurs more than once, with its number of copies (nulls are equal).
 
-    The hash only selects candidates; equality is decided on the whole rows of the candidates.  While the
-    repeated hashes are few, only the candidates are shuffled. ``found`` is what ``few_repeated`` gave, if known.
+    The hash only selects candidates; equality is decided on the whole rows of the candidates, and only those are shuffled.
+    ``found`` is what ``Repeats.of`` gave, if known.
     """
-    n, few = found or few_repeated(df)
+    found = found or Repeats.of(df)
     keys = [comparable(df, c).alias(c) for c in df.columns]
-    if n == 0:
+    if found.count == 0:
         candidates = df.select(*keys).filter(F.lit(False))
-    elif few is None:
+    elif found.words is None:
         candidates = df.select(*keys)
     else:
-        candidates = df.select(row_hash(df).alias("_h"), *keys).join(few, "_h", "left_semi")
+        candidates = found.marked(df.select(row_hash(df).alias("_h"), *keys)).filter("_maybe")
     return (candidates.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(name))
             .filter(col(name) > 1))
 
 
-def duplicate_count(df: DataFrame, found: tuple | None = None) -> DataFrame:
+def duplicate_count(df: DataFrame, found: Repeats | None = None) -> DataFrame:
     """One row: rows beyond the first of every group of equal rows."""
     return duplicate_groups(df, "_copies", found).agg(
         F.coalesce(F.sum(F.col("_copies") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
 
 
-def drop_duplicate_rows(df: DataFrame, found: tuple | None = None) -> DataFrame:
+def drop_duplicate_rows(df: DataFrame, found: Repeats | None = None) -> DataFrame:
     """One of every group of equal rows.
 
-    Rows whose hash is unique need no shuffle.  That split is used while the repeated hashes are few enough
-    to broadcast (counted first); otherwise all rows are shuffled once by the built-in operator.
+    Rows whose hash is unique pass through without a shuffle: a broadcast table of bits, sized by the number of repeated
+    hashes, tells them from the candidates. Only a table with more repeats than the bits can tell apart (some ``MAX_WORDS`` *
+    ``MOST_LOADED`` * 64) is shuffled once by the built-in operator.
     """
     if any(isinstance(f.dataType, (T.MapType, T.VariantType)) for f in df.schema.fields):
         raise TypeError("map and variant columns cannot be compared; convert them first")
-    n, few = found or few_repeated(df)
-    if n == 0:
+    found = found or Repeats.of(df)
+    if found.count == 0:
         return df
-    if few is None:
+    if found.words is None:
         return df.dropDuplicates()
-    hashed = df.withColumn("_h", row_hash(df))
-    single = hashed.join(few, "_h", "left_anti").drop("_h")
-    shared = hashed.join(few, "_h", "left_semi").drop("_h").dropDuplicates()
-    return single.unionByName(shared)
+    marked = found.marked(df.withColumn("_h", row_hash(df)))
+    names = [col(c) for c in df.columns]
+    return marked.filter("not _maybe").select(*names).unionByName(marked.filter("_maybe").select(*names).dropDuplicates())
 
 
 def column_value_summary(df: DataFrame, names: list[str]) -> DataFrame:

@@ -62,8 +62,8 @@ def impute(table, numeric: str = "median", categorical: str = "mode") -> tuple[D
 def drop_duplicates(table) -> tuple[DataFrame, Log]:
     """One of every group of equal rows; the hashes found once serve the log and the result."""
     df = TableStats.of(table).df
-    found = counts.few_repeated(df)
-    removed = counts.duplicate_count(df, found).first()[0] if found[0] else 0
+    found = counts.Repeats.of(df)
+    removed = counts.duplicate_count(df, found).first()[0] if found.count else 0
     return counts.drop_duplicate_rows(df, found), [f"Removed {removed} duplicate rows"]
 
 

@@ -75,7 +75,7 @@ def test_duplicates(frame):
 
 
 def test_duplicates_beyond_the_broadcast_limit(frame, monkeypatch):
-    monkeypatch.setattr(counts, "SPLIT_LIMIT", 1)
+    monkeypatch.setattr(counts, "MAX_WORDS", 0)
     df = frame([(i % 7,) for i in range(50)], "a int")
     assert counts.drop_duplicate_rows(df).count() == 7
 
