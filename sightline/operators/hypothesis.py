@@ -11,9 +11,12 @@ from pyspark.ml.stat import KolmogorovSmirnovTest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.normal import normal_quantile
+from sightline.functions.ranks import with_position
+from sightline.session import cut_lineage
 from sightline.types import col, num, require, small_frame
 
-SHAPIRO_LIMIT = 5000  # values up to which the approximation of the p-value holds
+SHAPIRO_LIMIT = 5000  # values up to which the approximation of the p-value was fitted
 
 # Polynomial coefficients of Royston's approximation (Applied Statistics 44, 1995), low order first.
 WEIGHT_LAST = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
@@ -61,49 +64,79 @@ def _shapiro_weights(n: int) -> np.ndarray:
     return a
 
 
-def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
-    """Statistic and p-value of one sample of 3 to 5000 values."""
-    x = np.sort(np.asarray(values, dtype="float64"))
-    n = len(x)
-    if n < 3 or x[-1] == x[0]:
-        return None, None
-    centred = x - x.mean()
-    w = min(1.0, float(_shapiro_weights(n) @ x) ** 2 / float(centred @ centred))
+def _shapiro_p(w: float, n: int) -> float:
     if n == 3:
-        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
-        return w, max(0.0, p)
+        return max(0.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75))))
     y = math.log(max(1 - w, 1e-300))
     if n <= 11:
         gamma = _poly(GAMMA_SMALL, n)
         if y >= gamma:
-            return w, 1e-19
+            return 1e-19
         z = (-math.log(gamma - y) - _poly(MU_SMALL, n)) / math.exp(_poly(SIGMA_SMALL, n))
     else:
         k = math.log(n)
         z = (y - _poly(MU_LARGE, k)) / math.exp(_poly(SIGMA_LARGE, k))
-    return w, 0.5 * math.erfc(z / math.sqrt(2))
+    return 0.5 * math.erfc(z / math.sqrt(2))
+
+
+def shapiro_wilk(values: np.ndarray) -> tuple[float | None, float | None]:
+    """Statistic and p-value of one sample of 3 or more values."""
+    x = np.sort(np.asarray(values, dtype="float64"))
+    n = len(x)
+    if n < 3 or x[-1] == x[0]:
+        return None, None
+    centred = x - x.mean()
+    w = min(1.0, float(_shapiro_weights(n) @ centred) ** 2 / float(centred @ centred))
+    return w, _shapiro_p(w, n)
 
 
 def shapiro_test(df: DataFrame, name: str, by: str | None = None, limit: int = SHAPIRO_LIMIT) -> DataFrame:
-    """Shapiro-Wilk per group (or the whole column) of at most ``limit`` values; larger ones get the status "too large".
+    """Shapiro-Wilk per group (or the whole column) of any size: statistic, p-value and a status.
 
-    Sizes are counted first, so only groups of bounded size are ever gathered in one task. Beyond 5000 values the test's
-    approximation is not defined; ``ks_normal_test`` works at any size.
+    A value's weight follows from its position in its group, so the statistic is a sum over positions that are found by range
+    partitions: no group is gathered, and one that holds a third of the rows is spread over all tasks. The approximation of
+    the p-value was fitted up to 5,000 values; larger groups (beyond ``limit``) use it too and have the status
+    "approximate p". Groups without variation or of fewer than three values have no statistic.
     """
     require(df, name, *([by] if by else []))
     key = col(by).cast("string") if by else F.lit("all")
     rows = df.select(key.alias("group"), num(name).alias("x")).filter("group is not null and x is not null")
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("row_count"))
-    fits = sizes.filter(F.col("row_count") <= limit).select("group")
-
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        w, p = shapiro_wilk(pdf["x"].to_numpy())
-        return pd.DataFrame({"group": [pdf["group"].iloc[0]], "statistic": [w], "p_value": [p],
-                             "normal": [None if p is None else bool(p > 0.05)]})
-
-    tested = rows.join(fits, "group", "left_semi").groupBy("group").applyInPandas(
-        test, "group string, statistic double, p_value double, normal boolean")
-    return sizes.join(tested, "group", "left").select(
-        "group", "row_count", "statistic", "p_value", "normal",
-        F.when(F.col("row_count") > limit, "too large").when(F.col("statistic").isNull(), "no variation")
-        .otherwise("tested").alias("status"))
+    sizes = cut_lineage(rows.groupBy("group").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), (F.min("x") < F.max("x")).alias("varies")))
+    tested = sizes.filter("varies and n > 2").select("group", "n", "mean")
+    placed = with_position(rows, ["group"], ["x"], "i").join(tested, "group")
+    i, n, m = F.col("i"), F.col("n"), F.col("m")
+    weighed = placed.withColumn("p", (i - 0.375) / (n + 0.25)).withColumn("m", normal_quantile("p"))
+    weighed = weighed.withColumn("c", F.col("x") - F.col("mean"))
+    edge = F.when(n > 5, 2).otherwise(1)  # values on both sides that have weights of their own
+    inner = (i > edge) & (i <= n - edge)
+
+    def at(place):
+        return F.max(F.when(i == place, F.col("c")))
+
+    sums = weighed.groupBy("group", "n").agg(
+        F.sum(m * m).alias("total"), (F.sum(F.col("c") * F.col("c")) - F.sum("c") * F.sum("c") / n).alias("squares"), F.sum(F.when(inner, m * F.col("c")).otherwise(0.0)).alias("inside"),
+        (at(n) - at(1)).alias("outer"), (at(n - 1) - at(2)).alias("next"), F.max(F.when(i == n, m)).alias("m1"),
+        F.max(F.when(i == n - 1, m)).alias("m2"))
+    u = 1 / F.sqrt("n")
+
+    def poly(coefficients):
+        return sum((F.lit(c) * F.pow(u, F.lit(k)) for k, c in enumerate(coefficients) if k), F.lit(coefficients[0]))
+
+    last = F.when(n == 3, F.lit(math.sqrt(0.5))).otherwise(F.col("m1") / F.sqrt("total") + poly(WEIGHT_LAST))
+    second = F.when(n > 5, F.col("m2") / F.sqrt("total") + poly(WEIGHT_NEXT)).otherwise(0.0)
+    left = F.col("total") - 2 * F.pow("m1", F.lit(2)) - F.when(n > 5, 2 * F.pow("m2", F.lit(2))).otherwise(0.0)
+    phi = left / (1 - 2 * last * last - 2 * second * second)
+    middle = F.when(n == 3, 0.0).otherwise(F.col("inside") / F.sqrt(phi))
+    w = sums.withColumn("numerator", last * F.col("outer") + second * F.coalesce("next", F.lit(0.0)) + middle)
+
+    @F.pandas_udf("double")
+    def p_value(w: pd.Series, n: pd.Series) -> pd.Series:  # one row per group
+        return pd.Series([_shapiro_p(a, b) for a, b in zip(w, n)], dtype="float64")
+
+    found = w.withColumn(
+        "statistic", F.least(F.lit(1.0), F.col("numerator") * F.col("numerator") / F.col("squares")))
+    found = found.withColumn("p_value", p_value("statistic", "n")).select("group", "statistic", "p_value")
+    return sizes.join(found, "group", "left").select(
+        "group", n.alias("row_count"), "statistic", "p_value", (F.col("p_value") > 0.05).alias("normal"),
+        F.when(F.col("statistic").isNull(), "no variation").when(n > limit, "approximate p").otherwise("tested").alias("status"))
