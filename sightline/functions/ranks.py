@@ -50,3 +50,28 @@ def lags(df: DataFrame, keys: list[str], position: str, value: Column, count: in
     w = Window.partitionBy(*[col(k) for k in keys], "_block").orderBy(position)
     lagged = spread.withColumns({f"{prefix}{i}": F.lag("_value", i).over(w) for i in range(1, count + 1)})
     return lagged.filter(F.col("_block") == F.col("_home")).drop("_value", "_home", "_block")
+
+
+HASH_BITS = 63
+DIGITS = (16, 16, 16, 15)  # bits settled per round; a round has at most 2^16 counts per key
+
+
+def hash_ranks(hashes: DataFrame, ranks: DataFrame) -> DataFrame:
+    """key, rank, cut, below, ties: the ``rank``-th smallest hash of every key (from 1), the rows under it and those on it.
+
+    ``hashes`` has key and h (from 0, below 2^63), ``ranks`` has key and rank. Digit by digit: the rows that share the digits
+    found so far are counted by their next digit (map-side first), and the digit in which the rank falls is kept. Only counts
+    move, one row per key and digit value, so a key that holds a third of the rows is no special case.
+    """
+    known, left = ranks.select("key", "rank", F.lit(0).cast("bigint").alias("cut"), F.lit(0).cast("bigint").alias("below")), HASH_BITS
+    for width in DIGITS:
+        left -= width
+        state = cut_lineage(known.select(F.col("key").alias("_key"), "rank", "cut", "below"))
+        inside = hashes.join(state, F.col("key").eqNullSafe(F.col("_key")) & (
+            F.shiftright("h", left + width) == F.col("cut"))).drop("_key", "cut")
+        counted = inside.groupBy("key", "rank", "below", F.shiftright("h", left).alias("cut")).agg(F.count(F.lit(1)).alias("ties"))
+        upto = Window.partitionBy("key").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
+        run = counted.withColumn("_to", F.col("below") + F.sum("ties").over(upto)).withColumn("_from", F.col("_to") - F.col("ties"))
+        known = run.filter((F.col("_from") < F.col("rank")) & (F.col("rank") <= F.col("_to"))).select(
+            "key", "rank", "cut", F.col("_from").alias("below"), "ties")
+    return cut_lineage(known)

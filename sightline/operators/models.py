@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.functions.counts import row_hash
-from sightline.functions.ranks import lags, with_position
+from sightline.functions.ranks import hash_ranks, lags, with_position
 from sightline.functions.tablestats import value_stats
+from sightline.session import cut_lineage
 from sightline.types import col, is_temporal, num, numeric_names, require, small_frame, sql_num, string_names
 
 SEED = 42
@@ -96,15 +97,18 @@ def cluster_count(rows: int) -> int:
     return min(8, max(2, rows // 50))
 
 
-def kmeans(df: DataFrame, names: list[str] | None = None, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """Rows without nulls in the named columns, with cluster and the first three principal components."""
+def kmeans(df: DataFrame, names: list[str] | None = None, k: int | None = None, seed: int = SEED, max_iter: int = 20,
+           tol: float = 1e-4) -> DataFrame:
+    """Rows without nulls in the named columns, with cluster and the first three principal components.
+
+    With ``tol`` 0 and enough rounds the clusters are a fixed point: each row is nearest to the mean of its own cluster."""
     names = names or numeric_names(df)
     k = k or cluster_count(df.count())
     p = Projection.fit(df, names)
     scaled = p.transform(df).withColumns({f"_x{i}": x for i, x in enumerate(_standard(p.centres))})
     inputs = [f"_x{i}" for i in range(len(names))]
     vectors = VectorAssembler(inputCols=inputs, outputCol="_features").transform(scaled).drop(*inputs)
-    model = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster").fit(vectors)
+    model = KMeans(k=k, seed=seed, maxIter=max_iter, tol=tol, featuresCol="_features", predictionCol="cluster").fit(vectors)
     return model.transform(vectors)
 
 
@@ -137,14 +141,25 @@ def hash_split(df: DataFrame, share: float = TEST_SHARE, seed: int = SEED) -> tu
 def stratified_split(df: DataFrame, target: str, share: float = TEST_SHARE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Train and test rows with the same share of every class, rounded to whole rows.
 
-    Rows are placed within their class by a seeded hash over range partitions, so no class gathers in one task. A class
-    of one or two rows stays in the training part.
+    The test rows of a class are those with its smallest row hashes: the hash at the cut is found from counts over a table of
+    hashes, and then every row decides for itself, without being moved. Only copies of the very row at a cut, of which
+    some belong to either side, are placed. A class of one or two rows stays in the training part.
     """
-    placed = with_position(df.withColumn("_order", F.xxhash64(F.lit(seed), row_hash(df))), [target], ["_order"], "_place")
-    sizes = df.groupBy(col(target).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
-    joined = placed.join(sizes, col(target).eqNullSafe(F.col("_class"))).drop("_order", "_class")
-    test = F.col("_place") <= F.round(F.col("_n") * share)
-    return joined.filter(~test).drop("_place", "_n"), joined.filter(test).drop("_place", "_n")
+    hashed = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), row_hash(df)), 1))
+    hashes = cut_lineage(hashed.select(col(target).alias("key"), F.col("_h").alias("h")))
+    wanted = hashes.groupBy("key").agg(F.round(F.count(F.lit(1)) * share).cast("bigint").alias("rank")).filter("rank > 0")
+    cuts = hash_ranks(hashes, wanted).select(F.col("key").alias("_class"), "cut", (F.col("rank") - F.col("below")).alias("due"), "ties")
+    few = cuts.count() <= MAX_LABELS
+    marked = hashed.join(F.broadcast(cuts) if few else cuts, col(target).eqNullSafe(F.col("_class")), "left")
+    edge = F.coalesce((F.col("_h") == F.col("cut")) & (F.col("due") < F.col("ties")), F.lit(False))
+    chosen = F.coalesce(F.col("_h") <= F.col("cut"), F.lit(False))
+    names = [col(c) for c in df.columns]
+    train, test = marked.filter(~chosen).select(*names), marked.filter(chosen & ~edge).select(*names)
+    if not cuts.filter("due < ties").isEmpty():
+        copies = with_position(marked.filter(edge).select(*names, "due"), [target], ["due"], "_place")
+        test = test.unionByName(copies.filter("_place <= due").select(*names))
+        train = train.unionByName(copies.filter("_place > due").select(*names))
+    return train, test
 
 
 def feature_stages(df: DataFrame, target: str, names: list[str] | None) -> tuple[list, list[str], DataFrame]:
