@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import counts, quantiles
 from sightline.functions.parsing import to_moment, to_number
+from sightline.session import cut_lineage
 from sightline.types import chunks, col, is_numeric, numeric_names, sql_lit, sql_num, string_names
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -176,6 +177,12 @@ class TableStats:
         from sightline.functions.correlate import pair_correlations
         return pair_correlations(self.df, self.numeric, self.non_null, self.rows)
 
+    @cached_property
+    def correlation_table(self) -> DataFrame:
+        """All pairs of numeric columns by position, for tables too wide to hold them on the driver."""
+        from sightline.functions.correlate import pair_table
+        return cut_lineage(pair_table(self.df, self.numeric))
+
     def is_numeric(self, name: str) -> bool:
         return is_numeric(self.df.schema[name].dataType)
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.functions import counts
+from sightline.functions.correlate import WIDE
 from sightline.functions.parsing import strip
 from sightline.functions.quantiles import exact_quantiles
 from sightline.functions.tablestats import TableStats, share
+from sightline.operators.correlation import named_pairs
 from sightline.operators.typing import CONVERT_ABOVE
 from sightline.types import (AGE_WORDS, MONEY_WORDS, PERCENT_WORDS, col, is_numeric, name_has, num, require,
                              small_frame)
@@ -240,9 +242,18 @@ def _collinear(s: TableStats) -> list[tuple]:
             if r is not None and abs(r) > 0.8]
 
 
+def _collinear_table(s: TableStats) -> DataFrame:
+    """The same for tables of very many columns, as a table."""
+    r = F.col("correlation")
+    return named_pairs(s, s.numeric).filter(F.abs(r) > 0.8).withColumn(
+        "strength", F.when(F.abs(r) > 0.9, "Very High").otherwise("High"))
+
+
 def detect_multicollinearity(table) -> DataFrame:
     """Pairs of numeric columns correlated above 0.8 in size."""
     s = TableStats.of(table)
+    if len(s.numeric) > WIDE:
+        return _collinear_table(s)
     return small_frame(s.spark, _collinear(s), "column_1 string, column_2 string, correlation double, strength string")
 
 
@@ -320,7 +331,7 @@ def _summary_rows(s: TableStats) -> list[tuple]:
     if len(s.numeric) < 2:
         out.append(("multicollinearity", 0, "Low", "Not enough numerical columns for multicollinearity analysis"))
     else:
-        n = len(_collinear(s))
+        n = _collinear_table(s).count() if len(s.numeric) > WIDE else len(_collinear(s))
         out.append(("multicollinearity", n, "High" if n else "Low", f"{n} highly correlated pairs detected"))
     rules = validity_rules(s.df)
     n = sum(1 for k in violation_counts(s.df, rules) if k)
