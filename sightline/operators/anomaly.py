@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from sightline.functions import space
+from sightline.functions.counts import row_hash
 from sightline.functions.quantiles import exact_quantiles
 from sightline.functions.ranks import with_position
 from sightline.operators.models import Projection, complete_rows, standard_columns
@@ -20,7 +22,7 @@ from sightline.types import num, numeric_names
 
 SEED = 42
 SUBSAMPLE = 256
-MAX_AXES = 8  # dimensions that are searched; more need principal components, asked for by the caller
+GRID_LIMIT = 8  # dimensions up to which DBSCAN cuts space into cells; beyond, points lie in a tree of boxes
 GRID_AXES = 3  # axes by which cells are looked up; distances always use all of them
 
 
@@ -60,12 +62,77 @@ def _grow(x: np.ndarray, seed: int) -> list[tuple]:
     return [tuple(n) for n in nodes]
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit integers spread over their whole range, each in a way of its own (an invertible mix of shifts and products)."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _uniform(keys: np.ndarray, step: int) -> np.ndarray:
+    """The ``step``-th number in (0, 1) of each key's own series."""
+    with np.errstate(over="ignore"):
+        state = keys + np.uint64(step + 1) * np.uint64(0x9E3779B97F4A7C15)
+    return ((_mixed(state) >> np.uint64(11)).astype("float64") + 0.5) * 2.0 ** -53
+
+
+def _drawn(keys: np.ndarray, copies: np.ndarray, first: np.ndarray, trees: int, rate: float) -> list[tuple]:
+    """(key, tree, draw) of the copies that enter a tree, each copy with probability ``rate`` in every tree.
+
+    The places tree by tree and copy by copy are passed in jumps of geometric length, so the work is that of the draws made;
+    ``first`` decides the first jump. ``draw`` orders the rows of a tree at random.
+    """
+    out, per_log = [], 1.0 / math.log1p(-rate) if rate < 1.0 else 0.0
+    open_rows = np.arange(len(keys))
+    place, u, step = np.zeros(len(keys)), first, 0
+    while len(open_rows):
+        place = place + np.floor(np.log(u) * per_log)
+        inside = place < trees * copies[open_rows]
+        open_rows, place = open_rows[inside], place[inside]
+        draws = _uniform(keys[open_rows], 2 * step + 1)
+        out += list(zip(keys[open_rows].view("int64").tolist(), (place // copies[open_rows]).astype("int64").tolist(), draws.tolist()))
+        place, u, step = place + 1, _uniform(keys[open_rows], 2 * step + 2), step + 1
+    return out
+
+
+def _subsamples(rows: DataFrame, names: list[str], n: int, size: int, trees: int, seed: int) -> DataFrame:
+    """tree, draw, x: a little more than ``size`` random rows for every tree, decided by hashes of whole rows only.
+
+    Whatever the partitioning, the same rows are drawn. Copies of a row are counted (eight bytes a row are shuffled) and drawn
+    one by one, so a row that fills a third of the table fills a third of every sample. The draws are bounded by trees and
+    sample size; the values of the rows drawn come from a second scan.
+    """
+    rate = min(1.0, (size + 6 * math.sqrt(size)) / n)
+    hashed = rows.withColumn("_h", row_hash(rows))
+    counted = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("copies"))
+    unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_h"), 11).cast("double") + 0.5) * F.lit(2.0 ** -53)
+    # the first jump stays inside trees * copies places for the rows that are drawn at all
+    reach = F.lit(trees).cast("double") * F.col("copies") * F.lit(math.log1p(-rate) if rate < 1.0 else 0.0)
+    candidates = counted.withColumn("_u", unit).filter((F.lit(rate) >= 1.0) | (F.ln("_u") > reach))
+
+    def draw(batches):
+        for pdf in batches:
+            made = _drawn(pdf["_h"].to_numpy().view("uint64") ^ np.uint64(seed), pdf["copies"].to_numpy(),
+                          pdf["_u"].to_numpy(), trees, rate)
+            keys = np.array([m[0] for m in made], dtype="int64").view("uint64") ^ np.uint64(seed)
+            yield pd.DataFrame({"_h": keys.view("int64"), "tree": np.array([m[1] for m in made], dtype="int64"),
+                                "draw": np.array([m[2] for m in made], dtype="float64")})
+
+    drawn = cut_lineage(candidates.mapInPandas(draw, "_h bigint, tree bigint, draw double"))
+    # rows of one hash are equal but for collisions, of which the least counts
+    values = hashed.join(F.broadcast(drawn.select("_h").distinct()), "_h").groupBy("_h").agg(
+        F.min(F.array(*[num(c) for c in names])).alias("x"))
+    return drawn.join(values, "_h").select("tree", "draw", "x")
+
+
 def isolation_forest(df: DataFrame, names: list[str] | None = None, trees: int = 100, contamination: float = 0.05,
                      seed: int = SEED) -> DataFrame:
     """Rows with an anomaly score in (0, 1) and a label: -1 for the most isolated share, else 1.
 
-    Every tree is grown in its own task from a bounded random subsample; the forest (at most
-    ``trees * (2 * 256 - 1)`` nodes) is small enough to ship with the scoring function.
+    Every tree is grown in its own task from the rows with the smallest draws, a bounded subsample that depends on the rows'
+    content and the seed alone; the forest (at most ``trees * (2 * 256 - 1)`` nodes) is small enough to ship with the scoring
+    function. The same table gets the same scores however it is partitioned.
     """
     names = names or numeric_names(df)
     rows = complete_rows(df, names)
@@ -73,16 +140,10 @@ def isolation_forest(df: DataFrame, names: list[str] | None = None, trees: int =
     if n == 0:
         return rows.withColumns({"score": F.lit(None).cast("double"), "label": F.lit(None).cast("int")})
     size = min(SUBSAMPLE, n)
-    # a row enters a tree with a probability that gives a little more than the wanted size, then the size is cut
-    scale = 1 << 62  # fine enough for any number of rows
-    rate = min(1.0, (size + 6 * math.sqrt(size)) / n)
-    draws = F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.pmod(F.xxhash64(F.lit(seed), t, F.col("_u")), F.lit(scale)).alias("draw")))
-    picked = rows.select(F.array(*[num(c) for c in names]).alias("x"), F.rand(seed).alias("_u")).select(
-        "x", F.inline(F.filter(draws, lambda d: d["draw"] < int(rate * scale))))
+    picked = _subsamples(rows, names, n, size, trees, seed)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.nsmallest(size, "draw")
+        pdf = pdf.assign(x=pdf["x"].map(tuple)).sort_values(["draw", "x"]).head(size)
         tree = int(pdf["tree"].iloc[0])
         made = _grow(np.stack(pdf["x"].to_numpy()), seed * 1000 + tree)
         return pd.DataFrame([(tree, *m) for m in made],
@@ -128,9 +189,6 @@ def _points(df: DataFrame, names: list[str], scale: bool, components: int | None
     rows = complete_rows(df, names)
     if components is not None and components < len(names):
         return rows, Projection.fit(df, names, components).columns()
-    if len(names) > MAX_AXES:
-        raise ValueError(f"{len(names)} columns: space is only searched in up to {MAX_AXES} dimensions; choose columns, "
-                         "or pass components to work on principal components instead")
     return rows, standard_columns(rows, names) if scale else [num(c) for c in names]
 
 
@@ -168,17 +226,22 @@ def _lookup(d: int) -> tuple[list[Column], list[tuple[int, ...]]]:
 
 
 def dbscan(df: DataFrame, names: list[str] | None = None, eps: float = 0.5, min_samples: int = 5,
-           scale: bool = True, components: int | None = None) -> DataFrame:
-    """Rows with their cluster number (from 0) or -1 for noise; exact on all columns (at most ``MAX_AXES``).
-
-    With ``components`` the principal components are clustered instead, which is another result. Space is cut into cells whose diagonal is eps, so all points of a cell are neighbours: a cell with
-    ``min_samples`` rows is core without comparing points.  Only points of thin cells are compared with the
-    cells around them, and two dense cells are linked by refining boxes around their nearest points, so no
-    step compares all pairs of a crowded region.  Clusters are the connected components of core cells.
+           scale: bool = True, components: int | None = None, with_core: bool = False) -> DataFrame:
+    """Rows with their cluster number (from 0) or -1 for noise; exact on all columns, however many.
+
+    ``with_core`` adds whether a row has ``min_samples`` rows around it. With ``components`` the principal components are clustered instead, which is another result. Up to ``GRID_LIMIT``
+    dimensions space is cut into cells whose diagonal is eps, so all points of a cell are neighbours: a cell with
+    ``min_samples`` rows is core without comparing points. Only points of thin cells are compared with the cells around them,
+    and two dense cells are linked by refining boxes around their nearest points, so no step compares all pairs of a crowded
+    region. Clusters are the connected components of core cells. In more dimensions a tree of boxes takes the place of the
+    cells (``_tree_clusters``).
     """
     names = names or numeric_names(df)
     rows, coords = _points(df, names, scale, components)
     points, axes = _distinct_points(rows, coords)
+    if len(axes) > GRID_LIMIT:
+        found = _tree_clusters(points, axes, eps, min_samples)
+        return _numbered(rows, coords, axes, found, with_core)
     d = len(axes)
     side = eps / math.sqrt(d) * (1 - 1e-12)
     cells = [f"c{i}" for i in range(d)]
@@ -215,13 +278,99 @@ def dbscan(df: DataFrame, names: list[str] | None = None, eps: float = 0.5, min_
         *[F.col(a).alias(f"q{a}") for a in axes], *places), keys)
     claimed = (border.join(numbered, on).filter(within).groupBy(*keys).agg(F.min("root").alias("root"))
                .select(*[F.col(f"q{a}").alias(a) for a in axes], "root"))
-    known = numbered.select(*axes, "root").unionByName(claimed)
-    roots = numbered.groupBy("root").agg(F.sum(F.lit(1)).alias("_k"))
-    order = with_position(roots.select("root"), [], ["root"], "cluster").select(
+    core_places = numbered.select(*axes, "root", F.lit(True).alias("core"))
+    known = core_places.unionByName(claimed.withColumn("core", F.lit(False)))
+    return _numbered(rows, coords, axes, known, with_core)
+
+
+def _numbered(rows: DataFrame, coords: list[Column], axes: list[str], known: DataFrame, with_core: bool) -> DataFrame:
+    """The rows with a number for each root that ``known`` gives a place (axes, root, core), -1 where it gives none."""
+    known = known if with_core else known.drop("core")
+    order = with_position(known.select("root").distinct(), [], ["root"], "cluster").select(
         "root", (F.col("cluster") - 1).cast("bigint").alias("cluster"))
     found = known.join(order, "root").drop("root")
     located = rows.select("*", *[c.alias(a) for c, a in zip(coords, axes)])
-    return located.join(found, axes, "left").drop(*axes).na.fill(-1, ["cluster"])
+    placed = located.join(found, axes, "left").drop(*axes).na.fill(-1, ["cluster"])
+    return placed.withColumn("core", F.coalesce("core", F.lit(False))) if with_core else placed
+
+
+def _touching(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """(point, smallest point reached) over the links between two sets of points, without those that reach none smaller."""
+    a, b = left.copy(), right.copy()
+    some_a, some_b = near.any(axis=1), near.any(axis=0)
+    top = np.iinfo(np.int64).max
+    while True:
+        to_b = np.minimum(b, np.where(near, a[:, None], top).min(axis=0, initial=top))
+        to_a = np.minimum(a, np.where(near, to_b[None, :], top).min(axis=1, initial=top))
+        if (to_a == a).all() and (to_b == b).all():
+            break
+        a, b = to_a, to_b
+    return [(int(p), int(q)) for p, q in (*zip(left[some_a], a[some_a]), *zip(right[some_b], b[some_b])) if p != q]
+
+
+def _tree_clusters(points: DataFrame, axes: list[str], eps: float, min_samples: int, leaf: int = space.LEAF) -> DataFrame:
+    """axes, root, core: the cluster of every place that has one, from pairs of boxes within eps.
+
+    Where two boxes lie wholly within eps of each other (a dense region is few such pairs), their rows are counted and linked
+    as sums and leaders of boxes, and handed down to the points; only points of other neighbouring leaves are compared.
+    """
+    square = eps * eps
+    located = points.select(F.monotonically_increasing_id().alias("pid"), "w", F.array(*axes).alias("x"))
+    tree = space.grow(cut_lineage(located), len(axes), leaf)
+    full, opened = space.pairs_within(tree, eps)
+    both = full.select(F.col("a_node").alias("node"), F.col("b_node").alias("other"), F.col("b_w").alias("w")).unionByName(
+        full.where("a_node <> b_node").select(F.col("b_node").alias("node"), F.col("a_node").alias("other"), F.col("a_w").alias("w")))
+    above = tree.nodes.where("leaf").select(F.col("node").alias("leaf"), F.explode(space.ancestors("node")).alias("node"))
+
+    def handed_down(of_nodes: DataFrame, value: Column, name: str) -> DataFrame:
+        """leaf, ``name``: what a leaf and the nodes above it have, put together by ``value``."""
+        return above.join(of_nodes, "node").groupBy("leaf").agg(value.alias(name))
+
+    def seen(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        near = space.squares(np.stack(a["x"]), np.stack(b["x"])) <= square
+        out = [pd.DataFrame({"pid": a["pid"], "seen": near @ b["w"].to_numpy()})]
+        if not same:
+            out.append(pd.DataFrame({"pid": b["pid"], "seen": a["w"].to_numpy() @ near}))
+        return pd.concat(out)
+
+    by_point = space.compared(tree.points, opened, seen, "pid bigint, seen bigint").groupBy("pid").agg(F.sum("seen").alias("seen"))
+    by_leaf = handed_down(both.groupBy("node").agg(F.sum("w").alias("w")), F.sum("w"), "all")
+    counted = tree.points.join(by_point, "pid", "left").join(by_leaf, "leaf", "left").select(
+        "pid", "w", "x", "leaf", (F.coalesce("seen", F.lit(0)) + F.coalesce("all", F.lit(0)) >= min_samples).alias("core"))
+    counted = cut_lineage(counted)
+    core = counted.where("core").drop("core")
+
+    def linked(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        near = space.squares(np.stack(a["x"]), np.stack(b["x"])) <= square
+        found = np.array(_touching(near, a["pid"].to_numpy(np.int64), b["pid"].to_numpy(np.int64)), dtype=np.int64)
+        return pd.DataFrame(found.reshape(-1, 2), columns=["a0", "b0"])
+
+    leaders = core.groupBy("leaf").agg(F.min("pid").alias("pid")).join(above, "leaf").groupBy("node").agg(F.min("pid").alias("lead"))
+    partners = cut_lineage(both.select("node", "other").join(leaders.toDF("other", "far"), "other").groupBy("node", "other").agg(
+        F.min("far").alias("far")))
+    edges = space.compared(core, opened, linked, "a0 bigint, b0 bigint").unionByName(
+        partners.join(leaders, "node").select(F.col("lead").alias("a0"), F.col("far").alias("b0"))).unionByName(
+        core.join(handed_down(partners.groupBy("node").agg(F.min("far").alias("far")), F.collect_set("far"), "fars"), "leaf").select(
+            F.col("pid").alias("a0"), F.explode("fars").alias("b0")))
+    labels = _components(core.select("pid"), edges.where("a0 <> b0"), ["pid"])
+    rooted = cut_lineage(core.join(labels, "pid"))
+
+    def claimed(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        near = space.squares(np.stack(a["x"]), np.stack(b["x"])) <= square
+        roots, order = b["root"].to_numpy(), np.argsort(b["root"].to_numpy())
+        first = near[:, order].argmax(axis=1)
+        hit = near.any(axis=1)
+        return pd.DataFrame({"pid": a["pid"].to_numpy()[hit], "root": roots[order][first][hit]})
+
+    thin = counted.where("not core").drop("core")
+    least = rooted.groupBy("leaf").agg(F.min("root").alias("root")).join(above, "leaf").groupBy("node").agg(F.min("root").alias("root"))
+    near_nodes = both.select("node", "other").join(least.toDF("other", "root"), "other").groupBy("node").agg(F.min("root").alias("root"))
+    border = space.compared(thin, opened, claimed, "pid bigint, root string", rooted).unionByName(
+        thin.join(handed_down(near_nodes, F.min("root"), "root"), "leaf").select("pid", "root"))
+    border = border.groupBy("pid").agg(F.min("root").alias("root")).join(thin.select("pid", "x"), "pid")
+    known = rooted.select("x", "root", F.lit(True).alias("core")).unionByName(
+        border.select("x", "root", F.lit(False).alias("core")))
+    return known.select(*[F.col("x")[i].alias(a) for i, a in enumerate(axes)], "root", "core")
 
 
 def _cell_links(core: DataFrame, dense: DataFrame, cells: list[str], axes: list[str], eps: float, near) -> DataFrame:
@@ -317,9 +466,7 @@ def cluster_counts(clustered: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- local outlier factor
 
-LEAF = 2_000  # distinct points that one task compares with each other
 QUERY_CHUNK = 20_000  # foreign queries that meet one copy of a leaf
-DEEPEST = 50
 CANDIDATES = "array<struct<dist: double, other: bigint, w: bigint>>"
 
 
@@ -331,7 +478,7 @@ def _nearest(q: np.ndarray, q_id: np.ndarray, need: np.ndarray, reach: np.ndarra
     out = []
     for start in range(0, len(q), 500):
         part = slice(start, start + 500)
-        dist = np.sqrt(((q[part, None, :] - p[None, :, :]) ** 2).sum(-1))
+        dist = np.sqrt(space.squares(q[part], p))
         dist[(p_id[None, :] == q_id[part, None]) | (dist > reach[part, None])] = np.inf
         ranked = np.argsort(dist, axis=1, kind="stable")[:, : int(max(need[part].max(), 1))]
         for i, row in enumerate(ranked):
@@ -345,93 +492,55 @@ def _nearest(q: np.ndarray, q_id: np.ndarray, need: np.ndarray, reach: np.ndarra
     return out
 
 
-def _leaves(points: DataFrame, axes: list[str], low: list[float], extent: float) -> DataFrame:
-    """Adds level and cell of the coarsest grid cell that holds at most ``LEAF`` points."""
-    open_points, done = points, None
-    for level in range(DEEPEST + 1):
-        n = 2 ** level
-        cell = F.array(*[F.least(F.floor((F.col(a) - F.lit(lo)) / F.lit(extent) * F.lit(float(n))), F.lit(n - 1))
-                         .cast("bigint") for a, lo in zip(axes, low)])
-        placed = open_points.withColumns({"level": F.lit(level), "cell": cell})
-        crowded = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("_k")).filter(F.col("_k") > LEAF).select("cell")
-        crowded = cut_lineage(crowded)
-        ready = placed if level == DEEPEST else placed.join(crowded, "cell", "left_anti")
-        done = ready if done is None else done.unionByName(ready)
-        if level == DEEPEST or crowded.isEmpty():
-            return done
-        open_points = cut_lineage(placed.join(crowded, "cell", "left_semi").drop("level", "cell"))
-
-
-def _shift(cell: str, levels: str) -> str:
-    """SQL: the ancestor cell some levels up."""
-    return f"transform({cell}, c -> shiftright(c, cast({levels} as int)))"
-
-
-def nearest_neighbours(points: DataFrame, axes: list[str], k: int, total: int) -> DataFrame:
+def nearest_neighbours(points: DataFrame, axes: list[str], k: int, total: int, leaf: int = space.LEAF) -> DataFrame:
     """``pid, w, need, other, dist, used``: for every distinct point the other points that hold its k nearest rows.
 
-    ``points`` has pid, the axes and w (rows at the point); copies of the point itself come first at distance
-    zero.  Space is cut into leaves of bounded size; a leaf answers its own points, and asks only those other
-    leaves that the ball around a point touches.  The result is exact.
+    ``points`` has pid, the axes and w (rows at the point); copies of the point itself come first at distance zero. Space is
+    cut into boxes of bounded size; a leaf answers its own points, and asks only those other leaves that the ball around a
+    point touches. The result is exact in any number of dimensions.
     """
-    d = len(axes)
-    row = points.agg(*[f(a).alias(f"{n}{a}") for a in axes for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    low = [row[f"lo{a}"] for a in axes]
-    extent = max([row[f"hi{a}"] - row[f"lo{a}"] for a in axes]) or 1.0
     need = F.greatest(F.lit(k) - (F.col("w") - 1), F.lit(0)).cast("bigint")
-    placed = cut_lineage(_leaves(points.withColumn("need", need), axes, low, extent))
+    located = cut_lineage(points.select("pid", "w", F.array(*axes).alias("x"), need.alias("need")))
+    tree = space.grow(located, len(axes), leaf)
+    placed = tree.points
     schema = "pid bigint, near " + CANDIDATES
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, ids, want = pdf[axes].to_numpy(), pdf["pid"].to_numpy(), pdf["need"].to_numpy()
+        x, ids, want = np.stack(pdf["x"]), pdf["pid"].to_numpy(), pdf["need"].to_numpy()
         near = _nearest(x, ids, want, np.full(len(x), np.inf), x, ids, pdf["w"].to_numpy())
         return pd.DataFrame({"pid": ids, "near": near})
 
-    own = cut_lineage(placed.groupBy("level", "cell").applyInPandas(inside, schema))
-    # the parent of a leaf was crowded, so its diagonal bounds the distance to the k-th row
-    bound = F.when(F.col("level") > 0, F.lit(2 * math.sqrt(d) * extent) / F.pow(F.lit(2.0), F.col("level"))).otherwise(
-        F.lit(math.sqrt(d) * extent))
+    own = cut_lineage(placed.groupBy("leaf").applyInPandas(inside, schema))
+    # a leaf with too few rows: the smallest box around it that holds more than k rows bounds the distance to the k-th
+    boxes = tree.nodes.select("node", "w", F.sqrt(space.furthest_square("lo", "hi", "lo", "hi")).alias("across"))
+    bounds = tree.nodes.where("leaf").select(F.col("node").alias("leaf"), F.explode(space.ancestors("node")).alias("node")).join(
+        boxes, "node").where((F.col("w") > k) | (F.col("node") == space.ROOT)).groupBy("leaf").agg(
+        F.max_by("across", F.length("node")).alias("bound"))
     have = F.aggregate("near", F.lit(0).cast("bigint"), lambda a, s: a + s["w"])
-    asked = placed.filter("need > 0").join(own, "pid").withColumn("r", F.when(
-        have >= F.col("need"), F.least(F.element_at("near", -1)["dist"], bound)).otherwise(bound)).drop("near")
-    at_level = F.least(F.col("level"), F.greatest(F.floor(F.log2(F.lit(extent) / F.greatest(
-        F.col("r"), F.lit(extent * 2.0 ** -DEEPEST)))), F.lit(0)).cast("int"))
-    asked = asked.withColumn("m", at_level).withColumn("_n", F.pow(F.lit(2.0), F.col("m")))
-    for i, (a, lo) in enumerate(zip(axes, low)):
-        def edge(sign, a=a, lo=lo):
-            place = F.floor((F.col(a) + sign * F.col("r") * (1 + 1e-12) - F.lit(lo)) / F.lit(extent) * F.col("_n"))
-            return F.least(F.greatest(place, F.lit(0)), F.col("_n") - 1).cast("bigint")
-        asked = asked.withColumn(f"n{i}", F.explode(F.sequence(edge(-1), edge(1))))
-    touched = asked.withColumn("at", F.array(*[F.col(f"n{i}") for i in range(d)])).select(
-        "pid", *axes, "need", "r", "m", "at", F.col("level").alias("home_level"), F.col("cell").alias("home"))
-    boxes = placed.groupBy("level", "cell").agg(*[f(a).alias(f"{n}{a}") for a in axes
-                                                  for n, f in (("lo", F.min), ("hi", F.max))])
-    finer = boxes.withColumn("m", F.explode(F.expr("sequence(0, level)"))).withColumn("at", F.expr(_shift("cell", "level - m")))
-    met_finer = touched.join(finer, ["m", "at"])
-    upward = touched.filter("m > 0").withColumn("up", F.explode(F.expr("sequence(0, m - 1)"))).withColumn(
-        "above", F.expr(_shift("at", "m - up"))).drop("m", "at").distinct()
-    met_coarser = upward.join(boxes, (F.col("up") == F.col("level")) & (F.col("above") == F.col("cell")))
-    gap = " + ".join(f"pow(greatest(0D, lo{a} - {a}, {a} - hi{a}), 2D)" for a in axes)
-    fields = ["pid", *axes, "need", "r", "home_level", "home", "level", "cell"]
-    visits = met_finer.filter(f"sqrt({gap}) <= r * (1 + 1e-12)").select(*fields).unionByName(
-        met_coarser.filter(f"sqrt({gap}) <= r * (1 + 1e-12)").select(*fields)).filter(
-        "not (home_level = level and home = cell)").select("pid", *axes, "need", "r", "level", "cell").distinct()
-    visits = cut_lineage(visits)
+    asked = placed.filter("need > 0").join(own, "pid").join(bounds, "leaf").withColumn("r", F.when(
+        have >= F.col("need"), F.least(F.element_at("near", -1)["dist"], F.col("bound"))).otherwise(F.col("bound"))).drop(
+        "near", "bound")
+    asked = cut_lineage(asked)
+    met = space.leaves_in_reach(tree, asked.groupBy("leaf").agg(F.max("r").alias("r")))
+    there = tree.nodes.select(F.col("node").alias("other"), "lo", "hi")
+    touched = asked.join(met, "leaf").join(there, "other").where(
+        space.nearest_square("x", "x", "lo", "hi") <= F.col("r") * F.col("r") * (1 + 2 * space.SLACK))
+    visits = cut_lineage(touched.select("pid", "x", "need", "r", F.col("other").alias("leaf")))
     # a leaf asked by very many points is copied, each copy answers a bounded chunk
-    load = visits.groupBy("level", "cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("copies"))
-    salted = visits.join(load, ["level", "cell"]).withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("copies")).cast("int"))
-    hosts = placed.join(load, ["level", "cell"]).withColumn("salt", F.explode(F.expr("sequence(0, copies - 1)")))
-    hosts = hosts.select(*[F.col(c).alias(f"h_{c}") for c in ("level", "cell", "salt", "pid", "w", *axes)])
+    load = visits.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("copies"))
+    salted = visits.join(load, "leaf").withColumn("salt", F.pmod(F.xxhash64("pid"), F.col("copies")).cast("int"))
+    hosts = placed.join(load, "leaf").withColumn("salt", F.explode(F.expr("sequence(0, copies - 1)")))
+    hosts = hosts.select(*[F.col(c).alias(f"h_{c}") for c in ("leaf", "salt", "pid", "w", "x")])
 
     def abroad(queries: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(host):
             return pd.DataFrame({"pid": pd.Series(dtype="int64"), "near": pd.Series(dtype="object")})
-        near = _nearest(queries[axes].to_numpy(), queries["pid"].to_numpy(), queries["need"].to_numpy(),
-                        queries["r"].to_numpy() * (1 + 1e-12), host[[f"h_{a}" for a in axes]].to_numpy(),
-                        host["h_pid"].to_numpy(), host["h_w"].to_numpy())
+        near = _nearest(np.stack(queries["x"]), queries["pid"].to_numpy(), queries["need"].to_numpy(),
+                        queries["r"].to_numpy() * (1 + 1e-12), np.stack(host["h_x"]), host["h_pid"].to_numpy(),
+                        host["h_w"].to_numpy())
         return pd.DataFrame({"pid": queries["pid"].to_numpy(), "near": near})
 
-    group = ["level", "cell", "salt"]
+    group = ["leaf", "salt"]
     foreign = salted.groupBy(*group).cogroup(hosts.groupBy(*[f"h_{g}" for g in group])).applyInPandas(abroad, schema)
     found = own.unionByName(foreign).select("pid", F.explode("near").alias("n")).select(
         "pid", F.col("n.other").alias("other"), F.col("n.dist").alias("dist"), F.col("n.w").alias("ow"))
@@ -447,7 +556,7 @@ def local_outlier_factor(df: DataFrame, names: list[str] | None = None, k: int =
                          components: int | None = None) -> DataFrame:
     """Rows with their local outlier factor and a label: -1 above 1.5, or for the most outlying share.
 
-    Exact on all columns (at most ``MAX_AXES``); with ``components`` on that many principal components instead.
+    Exact on all columns, however many; with ``components`` on that many principal components instead.
     """
     names = names or numeric_names(df)
     rows, coords = _points(df, names, scale, components)

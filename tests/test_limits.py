@@ -92,10 +92,8 @@ def test_dbscan_uses_all_columns(spark, dims):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-def test_too_many_columns_need_components(spark):
+def test_components_are_another_space(spark):
     df = spark.createDataFrame([tuple(float(i * j % 7) for j in range(12)) for i in range(30)], ", ".join(f"c{i} double" for i in range(12)))
-    with pytest.raises(ValueError, match="components"):
-        anomaly.dbscan(df)
     assert anomaly.dbscan(df, components=2).count() == 30
     assert anomaly.local_outlier_factor(df, components=2, k=3).count() == 30
 
