@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.functions.normal import quantile_sql
 from sightline.operators import charts, correlation, distribution, groups, hypothesis, transforms
 from sightline.plans import dashboard
 from sightline_queries.registry import NUMERIC, boxcox_best_sql, corr_sql, duck, query, union
@@ -456,6 +457,29 @@ def _(spark, read):
     return hypothesis.ks_normal_test(read("orders"), "o_totalprice").drop("p_value", "normal")
 
 
+def _shapiro_sql() -> str:
+    """The statistic from weights by position, for groups of more than five values."""
+    m = quantile_sql("p", lambda x: f"{x!r}::double")
+    poly = lambda c: " + ".join(f"({x!r}::double) * pow(u, {k})" for k, x in enumerate(c))
+    return (f"with o as (select user_id::varchar as g, value - avg(value) over w as c, row_number() over (partition by user_id "
+            "order by value) as i, count(*) over w as n from events where value is not null window w as (partition by user_id)), "
+            f"q as (select *, (i - 0.375::double) / (n + 0.25::double) as p from o), m as (select *, {m} as m from q), "
+            "s as (select g, any_value(n) as n, 1 / sqrt(any_value(n)) as u, sum(m * m) as t, sum(c * c) as ss, sum(m * c) filter "
+            "(where i > 2 and i <= n - 2) as d, max(c) filter (where i = n) - max(c) filter (where i = 1) as o1, max(c) filter "
+            "(where i = n - 1) - max(c) filter (where i = 2) as o2, max(m) filter (where i = n) as m1, max(m) filter (where "
+            f"i = n - 1) as m2 from m group by g), a as (select *, m1 / sqrt(t) + {poly(hypothesis.WEIGHT_LAST)} as a1, "
+            f"m2 / sqrt(t) + {poly(hypothesis.WEIGHT_NEXT)} as a2 from s) select g as \"group\", n as row_count, round(least(1, "
+            "pow(a1 * o1 + a2 * o2 + d / sqrt((t - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)), 2) / ss), 6) "
+            "as statistic from a where n > 5 and ss > 0")
+
+
+@query("shapiro_statistic", _shapiro_sql())
+def _(spark, read):
+    """Groups of more than five values; p-values need the error function, which SQL has not."""
+    found = hypothesis.shapiro_test(read("events"), "value", "user_id")
+    return found.filter("row_count > 5 and statistic is not null").select("group", "row_count", "statistic")
+
+
 @query("shapiro_test")
 def _(spark, read):
     return hypothesis.shapiro_test(read("events").withColumn("series", F.col("user_id").cast("string")), "value", "series")

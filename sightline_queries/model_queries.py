@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from sightline.operators import anomaly, models
@@ -28,6 +29,60 @@ def _(spark, read):
     return models.pca_variance(read("lineitem"), ["l_quantity", "l_extendedprice"]).drop("loadings")
 
 
+def _corr_pairs_sql() -> str:
+    return " union all ".join(f"select '{a}' as column_1, '{b}' as column_2, round(corr({a}, {b}), 6) as correlation from lineitem"
+                              for a in LINE for b in LINE)
+
+
+@query("pca_reconstruction", _corr_pairs_sql())
+def _(spark, read):
+    """All components together give the correlations back: the sum of variance times loading times loading."""
+    found = models.pca_variance(read("lineitem"), LINE, len(LINE))
+    first = found.select("component", "ratio", F.explode("loadings").alias("column_1", "a"))
+    second = found.select("component", F.explode("loadings").alias("column_2", "b"))  # a row per component and column
+    return first.join(second, "component").groupBy("column_1", "column_2").agg(
+        (F.sum(F.col("ratio") * F.col("a") * F.col("b")) * len(LINE)).alias("correlation"))
+
+
+@query("pca_scores", "select l_orderkey, l_linenumber, round(" + " + ".join(f"pow(({c} - m{i}) / s{i}, 2)" for i, c in enumerate(LINE))
+       + ", 4) as square from lineitem, (select " + ", ".join(f"avg({c}) as m{i}, stddev_pop({c}) as s{i}" for i, c in enumerate(LINE))
+       + " from lineitem)", digits=4)
+def _(spark, read):
+    """On all components a row has the length that it has on the standardised columns."""
+    found = models.pca(read("lineitem"), LINE, len(LINE))
+    return found.select("l_orderkey", "l_linenumber", sum(F.pow(f"pc{i + 1}", F.lit(2)) for i in range(len(LINE))).alias("square"))
+
+
+@query("kmeans_fixed_point", "select count(*) as row_count, least(8, greatest(2, count(*) // 50)) as clusters, 0 as misplaced, "
+       "round(avg(c_acctbal), 4) as c_acctbal, round(avg(c_nationkey), 4) as c_nationkey from customer", digits=4)
+def _(spark, read):
+    """Run to its end, no row is nearer to the mean of another cluster than to that of its own."""
+    names = ["c_acctbal", "c_nationkey"]
+    rows = read("customer").select("*", *[x.alias(f"z{i}") for i, x in enumerate(models.standard_columns(read("customer"), names))])
+    found = models.kmeans(rows, names, max_iter=500, tol=0.0)
+    means = found.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"z{i}").alias(f"m{i}") for i in range(2)],
+                                         *[F.sum(c).alias(c) for c in names])
+    centres = [(r["cluster"], r["m0"], r["m1"]) for r in means.collect()]  # at most eight clusters
+    distance = lambda m0, m1: F.pow(F.col("z0") - m0, F.lit(2)) + F.pow(F.col("z1") - m1, F.lit(2))
+    own = F.coalesce(*[F.when(F.col("cluster") == c, distance(a, b)) for c, a, b in centres])
+    bad = found.agg(F.count_if(F.least(*[distance(a, b) for _, a, b in centres]) < own - 1e-12).cast("int").alias("misplaced"))
+    totals = means.agg(F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("clusters"),
+                       *[(F.sum(c) / F.sum("n")).alias(c) for c in names])
+    return totals.join(F.broadcast(bad))
+
+
+@query("cluster_summary_totals", " union all ".join(
+    f"select '{c}' as \"column\", count(*) as row_count, round(avg({c}), 4) as mean, round(sum({c} * {c}::double) / count(*), 2) as "
+    f"mean_square, min({c})::double as min, max({c})::double as max from customer" for c in ("c_acctbal", "c_nationkey")), digits=4)
+def _(spark, read):
+    """Counts, means, deviations and ranges of the clusters put together are those of the table."""
+    found = models.cluster_summary(read("customer"), ["c_acctbal", "c_nationkey"])
+    n = F.col("row_count")
+    square = F.sum((n - 1) * F.pow(F.coalesce("std", F.lit(0.0)), F.lit(2)) + n * F.pow("mean", F.lit(2))) / F.sum("row_count")
+    return found.groupBy("column").agg(F.sum("row_count").alias("row_count"), (F.sum(n * F.col("mean")) / F.sum("row_count")).alias("mean"),
+                                       F.round(square, 2).alias("mean_square"), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
 @query("kmeans")
 def _(spark, read):
     return models.kmeans(read("lineitem"), LINE).select("l_orderkey", "l_linenumber", "cluster", "pc1", "pc2", "pc3")
@@ -87,6 +142,39 @@ def _(spark, read):
         "l_linenumber", "class")
 
 
+NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax"]
+
+
+@query("linear_regression_gradient", "select feature, (select count(*) from lineitem) as row_count, true as stationary from (select "
+       f"unnest({NUMBERS + ['intercept']}) as feature)")
+def _(spark, read):
+    """Least squares: on the training rows the residuals are orthogonal to every feature and add up to nothing."""
+    _, model, used, train, test = models.fit_regressor(read("lineitem"), "l_extendedprice", "linear", NUMBERS)
+    scored = model.transform(train).withColumn("r", F.col("label") - F.col("prediction")).withColumn("x", vector_to_array("_raw"))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("x")[i].alias("x")) for i, c in enumerate(used)],
+                    F.struct(F.lit("intercept").alias("feature"), F.lit(1.0).alias("x")))
+    cosine = F.sum(F.col("r") * F.col("x")) / F.sqrt(F.sum(F.col("r") * F.col("r")) * F.sum(F.col("x") * F.col("x")))
+    found = scored.select("r", F.inline(cells)).groupBy("feature").agg((F.abs(cosine) < 1e-6).alias("stationary"))
+    return found.withColumn("row_count", F.lit(train.count() + test.count()).cast("bigint"))
+
+
+@query("logistic_gradient", f"select feature, (select count(*) from lineitem) as row_count, true as stationary from (select "
+       f"unnest({NUMBERS + ['intercept']}) as feature)")
+def _(spark, read):
+    """Penalised likelihood: its slope is nought in every coefficient, and without penalty in the intercept."""
+    _, model, used, train, test, _ = models.fit_classifier(read("lineitem"), "l_linestatus", "logistic", NUMBERS)
+    fitted = model.stages[-1]
+    weights = [float(w) for w in fitted.coefficients] + [0.0]
+    scored = model.transform(train).select((vector_to_array("probability")[1] - F.col("label")).alias("r"),
+                                           vector_to_array("_features").alias("x"))
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col("x")[i].alias("x"), F.lit(weights[i]).alias("w"))
+                      for i, c in enumerate(used)],
+                    F.struct(F.lit("intercept").alias("feature"), F.lit(1.0).alias("x"), F.lit(0.0).alias("w")))
+    slope = F.avg(F.col("r") * F.col("x")) + fitted.getRegParam() * F.first("w")
+    found = scored.select("r", F.inline(cells)).groupBy("feature").agg((F.abs(slope) < 1e-3).alias("stationary"))
+    return found.withColumn("row_count", F.lit(train.count() + test.count()).cast("bigint"))
+
+
 @query("feature_importance")
 def _(spark, read):
     _, model, used, *_ = models.fit_regressor(read("part"), "p_retailprice", "gradient_boosting",
@@ -146,6 +234,18 @@ def _(spark, read):
     return found.select("c_custkey", (F.col("cluster") < 0).alias("noise"))
 
 
+@query("dbscan_clusters", f"with recursive {POINTS}, near as (select p.id, o.id as other from pts p join pts o on "
+       "(p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) <= 0.0225), core as (select id from near group by id having "
+       "count(*) >= 8), link as (select n.id, n.other from near n where n.id in (select id from core) and n.other in "
+       "(select id from core)), reach as (select id, id as other from core union select r.id, l.other from reach r join link l "
+       "on r.other = l.id) select id as c_custkey, min(other) as cluster_first from reach group by id")
+def _(spark, read):
+    """Core rows by cluster, a cluster named by its smallest core row; a border row may belong to either of two."""
+    found = anomaly.dbscan(read("customer"), ["c_acctbal", "c_nationkey"], eps=0.15, min_samples=8, with_core=True).filter("core")
+    names = found.groupBy("cluster").agg(F.min("c_custkey").alias("cluster_first"))
+    return found.join(names, "cluster").select("c_custkey", "cluster_first")
+
+
 FIVE = {"p_partkey": "p_partkey", "p_size": "p_size", "p_retailprice": "p_retailprice", "name_chars": "length(p_name)",
         "type_chars": "length(p_type)"}
 
