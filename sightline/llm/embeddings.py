@@ -36,6 +36,7 @@ SIMPLE = 16  # dimensions below which the normal law is no use: every pair of a
 LEVELS = 15  # steps that a query's coordinates are rounded to
 BITS = 4
 ROTATION_SEED = 20
+COMMON = 1000  # a vector with more than one row in so many is looked up apart from the others
 
 INDEX = ("node bigint, w bigint, dim int, vec array<double>, code array<bigint>, ones int, factor double, home bigint, "
          "visits array<bigint>")
@@ -227,7 +228,12 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     least = salted_join(lows.select("root", "node"), lows.groupBy("root").agg(F.min("low").alias("component")), "root",
                         F.col("node")).select("node", "component")
     known = vectors.join(counted, "node", "left").join(least, "node", "left").select(
-        "vec", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "low").alias("component"))
-    met = salted_join(own.where("vec is not null"), known, "vec", F.col("id")).select("id", "links", "component")
+        "vec", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "low").alias("component"))
+    # fewer than COMMON vectors can hold more than that share of the rows each, so those are sent to the rows
+    common = F.col("w") > (vectors.agg(F.sum("w")).first()[0] or 0) / COMMON
+    known, able = written(known), own.where("vec is not null")
+    often, rest = F.broadcast(known.where(common)), known.where(~common)
+    met = able.join(often, "vec").unionByName(able.join(often.select("vec"), "vec", "left_anti").join(rest, "vec")).select(
+        "id", "links", "component")
     alone = own.where("vec is null").select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("component"))
     return met.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))
