@@ -89,6 +89,20 @@ def salted_join(rows: DataFrame, few: DataFrame, on: str, salt: Column, how: str
     return dealt.join(spread, [on, extra], how).drop(extra)
 
 
+COMMON = 1000  # a key with more than one row in so many is joined apart from the others
+
+
+def met_by_size(rows: DataFrame, few: DataFrame, on: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with ``few``, a written table with one row per key and the key's number of rows in ``size``.
+
+    Fewer than ``COMMON`` keys can hold more than that share of all ``total`` rows each: those are sent to the rows, so that no
+    task gets the rows of a hot key. The others are joined by a shuffle.
+    """
+    common = F.col(size) > total / COMMON
+    often, rest = F.broadcast(few.where(common)), few.where(~common)
+    return rows.join(often, on).unionByName(rows.join(often.select(on), on, "left_anti").join(rest, on))
+
+
 def components(links: DataFrame) -> DataFrame:
     """Connected components by alternating large and small stars.
 

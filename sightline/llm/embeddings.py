@@ -25,21 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import col, components, salted_join, written
+from sightline.llm.common import col, components, met_by_size, salted_join, written
 
 THRESHOLD = 0.9
 SIGMAS = 5.0  # width of the confidence bound in deviations
-MISS = 1e-5  # likelihood of a linked partner outside the cells that a vector visits
+MISS = 1e-4  # likelihood of a linked partner outside the cells that a vector visits
 CELL = 4096  # vectors a cell should hold; the number of cells follows the number of vectors
 HOSTS, VISITORS = 4096, 8192  # vectors of a cell, and visitors, that one task compares
 SIMPLE = 16  # dimensions below which the normal law is no use: every pair of a single cell is computed exactly
-LEVELS = 15  # steps that a query's coordinates are rounded to
-BITS = 4
+TOGETHER = 256  # visitors whose estimates a task computes in one product
 ROTATION_SEED = 20
-COMMON = 1000  # a vector with more than one row in so many is looked up apart from the others
 
-INDEX = ("node bigint, w bigint, dim int, vec array<double>, code array<bigint>, ones int, factor double, home bigint, "
-         "visits array<bigint>")
+INDEX = "node bigint, w bigint, dim int, vec array<double>, code array<bigint>, factor double, home bigint, visits array<bigint>"
 
 
 @lru_cache(maxsize=4)
@@ -115,21 +112,17 @@ def index(vectors: DataFrame, threshold: float = THRESHOLD, miss: float = MISS,
                 yield pa.RecordBatch.from_arrays([
                     part.column("node"), part.column("w"), pa.array(np.full(len(own), dim, dtype=np.int32)),
                     pa.array(list(x), pa.list_(pa.float64())), pa.array(list(code.view(np.int64)), pa.list_(pa.int64())),
-                    pa.array((turned > 0).sum(axis=1).astype(np.int32)), pa.array(factor),
-                    pa.array([r[0] for r in reach], pa.int64()),
+                    pa.array(factor), pa.array([r[0] for r in reach], pa.int64()),
                     pa.array([[r[0], *r[1]] for r in reach], pa.list_(pa.int64()))],
-                    names=["node", "w", "dim", "vec", "code", "ones", "factor", "home", "visits"])
+                    names=["node", "w", "dim", "vec", "code", "factor", "home", "visits"])
 
     return written(vectors.select("node", "w", "vec").mapInArrow(run, INDEX))
 
 
-def _rounded(turned: np.ndarray, node: int) -> tuple[float, float, np.ndarray]:
-    """Least coordinate, step, and bit planes of a query whose coordinates are rounded at random, up or down."""
-    low = float(turned.min())
-    step = max((float(turned.max()) - low) / LEVELS, 1e-300)
-    steps = np.floor((turned - low) / step + np.random.default_rng(node & 0x7FFFFFFF).random(len(turned)))
-    steps = np.clip(steps, 0, LEVELS).astype(np.uint8)
-    return low, step, _packed(np.stack([steps >> j & 1 for j in range(BITS)]).astype(bool))
+def _signs(words: np.ndarray, dim: int) -> np.ndarray:
+    """Packed codes as rows of 1 and -1."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, count=dim, bitorder="little")
+    return bits.astype(np.float32) * 2 - 1
 
 
 def _linked(hosts: pd.DataFrame, guests: pd.DataFrame, cell: int, threshold: float, sigmas: float) -> pd.DataFrame:
@@ -139,37 +132,31 @@ def _linked(hosts: pd.DataFrame, guests: pd.DataFrame, cell: int, threshold: flo
     h_node, h_w = hosts["node"].to_numpy(np.int64), hosts["w"].to_numpy(np.int64)
     g_node, g_w = guests["node"].to_numpy(np.int64), guests["w"].to_numpy(np.int64)
     host, guest = (_unit(np.stack(f["vec"].to_numpy()).astype(np.float64)) for f in (hosts, guests))
-    factor, ones = hosts["factor"].to_numpy(), hosts["ones"].to_numpy().astype(np.float64)
-    words = np.stack(hosts["code"].to_numpy()).astype(np.int64).view(np.uint64)
-    turned = guest @ _rotation(dim)
+    factor = hosts["factor"].to_numpy()
+    signs = _signs(np.stack(hosts["code"].to_numpy()).astype(np.int64), dim)
+    turned = (guest @ _rotation(dim)).astype(np.float32)
     at_home = guests["home"].to_numpy(np.int64) == cell
-    root, dims = math.sqrt(dim), max(1, dim - 1)
-    own_error = (1.0 - threshold * threshold) * np.maximum(0.0, 1.0 - factor * factor) / dims
+    # a pair at the threshold has an estimate above ``least``, but for errors beyond the bound
+    bound = sigmas * np.sqrt((1.0 - threshold * threshold) * np.maximum(0.0, 1.0 - factor * factor) / max(1, dim - 1))
+    least = ((threshold * factor - bound) * math.sqrt(dim)).astype(np.float32) if dim >= SIMPLE else np.full(len(hosts), -np.inf, np.float32)
     linked = np.zeros(len(hosts) + len(guests), np.int64)
     label = np.concatenate([h_node, g_node])  # a vector that is host and guest is tied to itself by its node
-    for g, spot in enumerate(range(len(hosts), len(label))):
-        if dim >= SIMPLE:
-            low, step, planes = _rounded(turned[g], int(g_node[g]))
-            total = np.zeros(len(hosts))
-            for j in range(BITS):
-                total += np.bitwise_count(words & planes[j]).sum(axis=1) * float(1 << j)
-            guess = (2.0 * (low * ones + step * total) - turned[g].sum()) / root / factor
-            bound = sigmas * np.sqrt(own_error + step * step * ones / dim) / factor
-            near = np.flatnonzero(guess + bound >= threshold)
-        else:
-            near = np.arange(len(hosts))
-        if at_home[g]:  # both visit each other's cell: the greater node finds the smaller one
-            near = near[h_node[near] < g_node[g]]
-        near = near[host[near] @ guest[g] >= threshold]
-        if not len(near):
-            continue
-        linked[spot] += h_w[near].sum()
-        linked[near] += g_w[g]
-        met = np.unique(label[near])
-        lowest = min(met[0], label[spot])
-        if met[-1] != lowest:
-            label[np.isin(label, met)] = lowest
-        label[spot] = lowest
+    for start in range(0, len(guests), TOGETHER):
+        may = turned[start:start + TOGETHER] @ signs.T >= least
+        for g in (start + np.flatnonzero(may.any(axis=1))).tolist():
+            near, spot = np.flatnonzero(may[g - start]), len(hosts) + g
+            if at_home[g]:  # both visit each other's cell: the greater node finds the smaller one
+                near = near[h_node[near] < g_node[g]]
+            near = near[host[near] @ guest[g] >= threshold]
+            if not len(near):
+                continue
+            linked[spot] += h_w[near].sum()
+            linked[near] += g_w[g]
+            met = np.unique(label[near])
+            lowest = min(met[0], label[spot])
+            if met[-1] != lowest:
+                label[np.isin(label, met)] = lowest
+            label[spot] = lowest
     out = pd.DataFrame({"node": np.concatenate([h_node, g_node]), "links": linked, "root": label})
     return out[(out["links"] > 0) | (out["root"] != out["node"])]
 
@@ -200,7 +187,7 @@ def links(coded: DataFrame, threshold: float = THRESHOLD, sigmas: float = SIGMAS
 
     group = ["dim", "cell", "part", "chunk"]
     # both sides come from one table, so one of them gets names of its own
-    left = inside.select(*[F.col(c).alias(f"host_{c}") for c in (*group, "node", "w", "vec", "code", "ones", "factor")])
+    left = inside.select(*[F.col(c).alias(f"host_{c}") for c in (*group, "node", "w", "vec", "code", "factor")])
     left = left.groupBy(*[f"host_{c}" for c in group])
     right = outside.select(*group, "node", "w", "vec", "home").groupBy(*group)
     return written(left.cogroup(right).applyInPandas(meet, "node bigint, links bigint, root bigint"))
@@ -229,11 +216,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                         F.col("node")).select("node", "component")
     known = vectors.join(counted, "node", "left").join(least, "node", "left").select(
         "vec", "w", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("links"), F.coalesce("component", "low").alias("component"))
-    # fewer than COMMON vectors can hold more than that share of the rows each, so those are sent to the rows
-    common = F.col("w") > (vectors.agg(F.sum("w")).first()[0] or 0) / COMMON
-    known, able = written(known), own.where("vec is not null")
-    often, rest = F.broadcast(known.where(common)), known.where(~common)
-    met = able.join(often, "vec").unionByName(able.join(often.select("vec"), "vec", "left_anti").join(rest, "vec")).select(
-        "id", "links", "component")
+    total = vectors.agg(F.sum("w")).first()[0] or 0
+    met = met_by_size(own.where("vec is not null"), written(known), "vec", "w", total).select("id", "links", "component")
     alone = own.where("vec is null").select("id", F.lit(0).cast("bigint").alias("links"), F.col("id").alias("component"))
     return met.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component")))

@@ -99,18 +99,17 @@ def test_estimate_is_unbiased_and_bounded():
     dim, n = 64, 3000
     rotation = embeddings._rotation(dim)
     assert np.allclose(rotation @ rotation.T, np.eye(dim))
-    q = rng.standard_normal(dim)
-    q /= np.linalg.norm(q)
-    w = rng.standard_normal((n, dim))
-    w -= np.outer(w @ q, q)
+    q, w = rng.standard_normal((2, n, dim))
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    w -= (w * q).sum(axis=1, keepdims=True) * q
     o = 0.9 * q + np.sqrt(0.19) * w / np.linalg.norm(w, axis=1, keepdims=True)
     turned, factor = o @ rotation, np.abs(o @ rotation).sum(axis=1) / 8
-    words, ones = embeddings._packed(turned > 0), (turned > 0).sum(axis=1)
-    low, step, planes = embeddings._rounded(q @ rotation, 1)
-    total = sum(np.bitwise_count(words & planes[j]).sum(axis=1) * 2.0 ** j for j in range(embeddings.BITS))
-    error = (2 * (low * ones + step * total) - (q @ rotation).sum()) / 8 / factor - 0.9
-    sigma = np.sqrt(0.19 * (1 - factor ** 2) / 63 + step ** 2 * ones / dim) / factor
-    assert abs(error.mean()) < 0.05 and (np.abs(error) < embeddings.SIGMAS * sigma).all()
+    signs = embeddings._signs(embeddings._packed(turned > 0), dim)
+    assert ((signs > 0) == (turned > 0)).all()
+    error = (signs * (q @ rotation)).sum(axis=1) / 8 / factor - 0.9
+    sigma = np.sqrt(0.19 * (1 - factor ** 2) / 63) / factor
+    assert abs(error.mean()) < 0.02 and (np.abs(error) < embeddings.SIGMAS * sigma).all()
+    assert 0.7 < error.std() / sigma.mean() < 1.2
 
 
 def test_a_partner_lies_in_a_visited_cell():
