@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import ascii_lower, col, free_name, written
+from sightline.llm.common import ascii_lower, col, free_name, met_by_size, written
 
 HASHES = 3
 BITS_PER_ROW = 24
@@ -70,13 +70,13 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     rows = written(docs.select(col(id_col).alias("id"), digest(col(text_col)).alias("sha"))
                    .withColumn("row", F.monotonically_increasing_id()))
-    rows = rows.withColumn("maybe", repeat_filter(rows, "sha", max_bits)(F.col("sha")))
+    rows = written(rows.withColumn("maybe", repeat_filter(rows, "sha", max_bits)(F.col("sha"))))
     alone = rows.where("not maybe").select("id", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"),
                                            F.lit(True).alias("kept"), "sha")
     again = rows.where("maybe")
     # struct order puts null ids first, so the largest id wins and the row number only settles repeated rows
-    groups = again.groupBy("sha").agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top"))
-    met = again.join(groups, "sha").select("id", F.col("top.id").alias("keep"), "size",
+    groups = written(again.groupBy("sha").agg(F.count("*").alias("size"), F.max(F.struct("id", "row")).alias("top")))
+    met = met_by_size(again, groups, "sha", "size", again.count()).select("id", F.col("top.id").alias("keep"), "size",
                                            (F.col("row") == F.col("top.row")).alias("kept"), "sha")
     return alone.unionByName(met).select(F.col("id").alias(id_col), F.col("keep").alias("keep_id"),
                                          F.col("size").alias("group_size"), "kept", F.col("sha").alias("text_sha256"))
