@@ -91,22 +91,27 @@ def _log_ratio(rows: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarra
     return np.log((good / good.sum()) / (bad / bad.sum()))
 
 
-def _weights(rows: list[np.ndarray], y: np.ndarray, buckets: int, seed: int = 11) -> np.ndarray:
-    """Weight per bucket, log-count ratio included, for indicators of unit length."""
-    ratio = _log_ratio(rows, y, buckets)
-    ratio[0] = 0.0  # there for every text: the sigmoid's offset stands for it
-    values = [(ratio[r] / np.sqrt(len(r))).astype(np.float32) for r in rows]
-    squares = np.array([float(v @ v) for v in values])
-    diagonal = 0.5 / COST  # squared hinge loss: a diagonal term and no upper bound on the duals
+def _hinge(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, buckets: int, epochs: int = EPOCHS,
+           cost: float = COST, seed: int = 11) -> np.ndarray:
+    """Weights of least length and hinge loss, by coordinate descent on the duals, each kept between 0 and ``cost``."""
+    squares = np.array([max(float(v @ v), 1e-12) for v in values])
     w, dual = np.zeros(buckets), np.zeros(len(rows))
     rng = np.random.default_rng(seed)
-    for _ in range(EPOCHS):
+    for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            gradient = y[i] * (values[i] @ w[rows[i]]) - 1 + diagonal * dual[i]
-            step = max(dual[i] - gradient / (squares[i] + diagonal), 0.0) - dual[i]
+            gradient = y[i] * (values[i] @ w[rows[i]]) - 1
+            step = min(max(dual[i] - gradient / squares[i], 0.0), cost) - dual[i]
             if step:
                 dual[i] += step
                 w[rows[i]] += step * y[i] * values[i]
+    return w
+
+
+def _weights(rows: list[np.ndarray], y: np.ndarray, buckets: int) -> np.ndarray:
+    """Weight per bucket, log-count ratio included, for indicators of unit length."""
+    ratio = _log_ratio(rows, y, buckets)
+    ratio[0] = 0.0  # there for every text: the sigmoid's offset stands for it
+    w = _hinge(rows, [(ratio[r] / np.sqrt(len(r))).astype(np.float32) for r in rows], y, buckets)
     seen = np.zeros(buckets, dtype=bool)
     for row in rows:
         seen[row] = True

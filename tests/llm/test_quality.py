@@ -50,3 +50,34 @@ def test_repeated_words_share_features():
     one, two = quality.features("foo foo foo foo", words), quality.features("bars bars bars bars", words)
     assert len(np.intersect1d(one, two)) > 3
     assert quality.features(None, words).tolist() == quality.features("", words).tolist() == [0]
+
+
+def test_hinge_weights_equal_projected_gradient():
+    rng = np.random.default_rng(1)
+    rows = [np.sort(rng.choice(12, rng.integers(2, 6), replace=False)) for _ in range(40)]
+    values = [rng.normal(size=len(r)).astype(np.float32) for r in rows]
+    y = np.where(rng.random(40) < 0.5, 1, -1)
+    x = np.zeros((40, 12))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r] = v
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    dual, step = np.zeros(40), 1 / np.linalg.eigvalsh(gram).max()
+    for _ in range(60_000):
+        dual = np.clip(dual + step * (1 - gram @ dual), 0, 0.7)
+    got = quality._hinge(rows, values, y, 12, epochs=3000, cost=0.7)
+    assert np.allclose(got, (dual * y) @ x, atol=1e-3)
+    assert (dual > 0.699).any() and (dual < 1e-6).any()
+
+
+def test_scores_equal_plain_python(spark):
+    """The whole classifier again, with dictionaries of n-grams instead of arrays."""
+    import math
+    rows = [(i, ("kind words in a row " * 3 if i % 2 else "SPAM now!! 99 buy ") + f"tail {i % 7}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    weights, a, b = quality.train(docs, labels)
+    words = quality._Words()
+    for r in quality.scores(docs, labels).collect():
+        grams = set(quality.features(rows[r.id][1], words).tolist())
+        margin = sum(float(weights[g]) for g in grams) / math.sqrt(len(grams))
+        assert abs(r.score - 1 / (1 + math.exp(-(a * margin + b)))) < 1e-6
