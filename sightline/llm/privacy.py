@@ -3,7 +3,8 @@
 Entities are found by pattern. Every distinct entity gets one surrogate, made from a keyed hash, of the same type and
 format: e-mail for e-mail, digits for digits in the same grouping, a card number with a valid check digit for one, a name
 of the same gender and script. So the same entity reads the same everywhere. Surrogates that two entities would share, or
-that are themselves an entity of the corpus, are made anew until none is left, so different entities stay different.
+that are themselves an entity of the corpus, are made anew a few times; formats that have no room for that are exchanged by a
+keyed permutation. So different entities stay different, and it always ends.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ CAPITAL = r"[A-ZÀ-ÖØ-ÞА-Я][a-zß-öø-ÿа-я'’-]+"
 SYLLABLES = {"latin": "ba da fe ga ha jo ka li ma ne no pa ri ro sa se ta ti vo we", "cyrillic": "ба ва га да жо ка ли ма не но па ри ро са се та ти во зе фи"}
 ENDS = {("f", "latin"): "na la ra", ("m", "latin"): "n r s", ("f", "cyrillic"): "на ла ра", ("m", "cyrillic"): "н р с",
         ("", "latin"): "mer ton ler", ("", "cyrillic"): "мов нин лев"}
+SPECIAL = ("10", "127", "172", "192")  # first numbers of private and special address ranges
+TURNS, ROUNDS = 8, 8
 GENDER_OF_TITLE = {t: g for g, words in TITLES.items() for t in words.split()}
 GENDER_OF_GIVEN = {n: g for g, words in GIVEN.items() for n in words.split()}
 _FOUND = re.compile("|".join(f"(?P<{k}>" + (p.format(titles="|".join(GENDER_OF_TITLE), capital=CAPITAL, given="|".join(GENDER_OF_GIVEN))
@@ -161,7 +164,7 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
         octets = entity.split(".")
         low, high = {1: (1, 9), 2: (10, 99), 3: (100, 255)}, octets
         made = [low[len(o)][0] + s.below(low[len(o)][1] - low[len(o)][0] + 1) for o in high]
-        if octets[0] in ("10", "127", "172", "192"):  # private and special ranges stay what they are
+        if octets[0] in SPECIAL:  # these stay what they are
             made[0] = int(octets[0])
         return ".".join(map(str, made))
     if kind == "secret":
@@ -177,6 +180,110 @@ def surrogate(kind: str, entity: str, attempt: int = 0, key: bytes = KEY) -> str
     return s.alike(entity)
 
 
+# formats whose surrogates run out
+
+class _Format:
+    """The values that an entity's format has room for, as numbers: each varying part has an alphabet, the rest is kept."""
+
+    def __init__(self, kind: str, entity: str):
+        hexadecimal = "" if kind != "secret" or not re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", entity) else \
+            "0123456789abcdef" if entity == entity.lower() else "0123456789ABCDEF"
+        self.kind, self.tail = kind, 0
+        if kind == "ip":
+            octets = entity.split(".")
+            self.parts = [_octets(o, i == 0) for i, o in enumerate(octets)]
+            self.values, self.glue = octets, "."
+        else:
+            keep = 0
+            if kind == "phone":
+                keep = 0 if entity[0] != "+" else 2 if entity[1] in "17" else 3  # the country code
+            elif kind == "secret" and not hexadecimal:
+                keep = len(re.match(r"AKIA|(?:sk|ghp|pk|xoxb)[-_]|", entity).group())
+            elif kind == "iban":
+                keep = 2
+            elif kind == "card":  # the last digit follows from the others
+                keep, self.tail = 1, (int(entity[-1]) - _luhn(entity[:-1])) % 10
+            end = len(entity) - (kind == "card") if kind != "email" else entity.rindex(".")
+            self.parts = [_alphabet(c, hexadecimal) if keep <= i < end else [c] for i, c in enumerate(entity)]
+            if kind == "card":
+                self.parts.pop()
+            self.values, self.glue = entity[:len(self.parts)], ""
+        self.size = 1
+        for p in self.parts:
+            self.size *= len(p)
+
+    def label(self) -> str:
+        """The same for all entities whose surrogates could meet."""
+        shape = ".".join(str(len(v)) for v in self.values) if self.kind == "ip" else "".join(
+            f"{len(p)}{p[-1]}" if len(p) > 1 else "=" + p[0] for p in self.parts)
+        return f"{self.kind} {shape} {self.tail}"
+
+    def number(self) -> int:
+        total = 0
+        for p, v in zip(self.parts, self.values):
+            total = total * len(p) + p.index(v)
+        return total
+
+    def value(self, number: int) -> str:
+        out = []
+        for p in reversed(self.parts):
+            number, at = divmod(number, len(p))
+            out.append(p[at])
+        made = self.glue.join(reversed(out))
+        return made + str((_luhn(made) + self.tail) % 10) if self.kind == "card" else made
+
+
+def _alphabet(c: str, hexadecimal: str) -> list[str]:
+    if hexadecimal:
+        return list(hexadecimal)
+    if c.isascii() and c.isdigit():
+        return list("0123456789")
+    if c.isascii() and c.isalpha():
+        return [chr((65 if c.isupper() else 97) + i) for i in range(26)]
+    return [c]
+
+
+def _octets(octet: str, first: bool) -> list[str]:
+    """Octets of the same length; private and special ranges stay what they are."""
+    if first and octet in SPECIAL:
+        return [octet]
+    low, high = {1: (0, 9), 2: (10, 99), 3: (100, 255)}[len(octet)]
+    found = [str(i) for i in range(low, high + 1) if not (first and str(i) in SPECIAL)]
+    return found if octet in found else [octet]
+
+
+def _walk(key: bytes, label: str, x: int, size: int, rounds: range) -> int:
+    """A keyed permutation of 0 to size - 1 by a Feistel network, its inverse with the rounds turned round."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    while True:
+        left, right = x >> half, x & (1 << half) - 1
+        for r in rounds:
+            if rounds.step > 0:
+                left, right = right, left ^ _round(key, label, r, right, half)
+            else:
+                left, right = right ^ _round(key, label, r, left, half), left
+        x = left << half | right
+        if x < size:  # else on along the cycle
+            return x
+
+
+def _round(key: bytes, label: str, r: int, x: int, bits: int) -> int:
+    seed = f"{label}\x1f{r}\x1f{x}".encode()
+    wide = b"".join(hmac.new(key, seed + bytes([i]), hashlib.sha256).digest() for i in range(-(-bits // 256)))
+    return int.from_bytes(wide, "big") & (1 << bits) - 1
+
+
+def exchanged(kind: str, entity: str, key: bytes = KEY) -> str:
+    """The surrogate of an entity in a format without room: in a secret order of all values of the format, the next one. So
+    no two entities share one, none keeps its own, and every value may be used."""
+    form = _Format(kind, entity)
+    if form.size < 2:
+        return entity
+    label = form.label() + f" {form.parts[0][0] if kind == 'ip' and len(form.parts[0]) == 1 else ''}"
+    place = _walk(key, label, form.number(), form.size, range(ROUNDS))
+    return form.value(_walk(key, label, (place + 1) % form.size, form.size, range(ROUNDS - 1, -1, -1)))
+
+
 def formatted(kind: str, mention: str, made: str) -> str:
     """The surrogate in the mention's own format: its grouping, its case."""
     if kind in ("card", "phone", "ssn", "iban"):
@@ -187,15 +294,30 @@ def formatted(kind: str, mention: str, made: str) -> str:
     return made
 
 
-def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, entity, made: one surrogate for every distinct entity, none shared and none an entity itself."""
+def surrogates(entities: DataFrame, key: bytes = KEY, turns: int = TURNS) -> DataFrame:
+    """kind, entity, made: one surrogate for every distinct entity, none shared.
+
+    Surrogates are tried ``turns`` times, and none that is an entity itself is taken. Names grow with every third try, so
+    there always is another one. Formats of which some entity is left without a surrogate are short of values, such as the
+    addresses x@y.co of a very large corpus: their entities are all exchanged by one permutation of the format's values, which
+    needs no tries and has no two alike. Only there a surrogate may be another entity of the corpus.
+    """
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.assign(made=[surrogate(k, e, int(a), key) for k, e, a in zip(b["kind"], b["entity"], b["attempt"])])
 
+    def labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(label=[_Format(k, e).label() for k, e in zip(b["kind"], b["entity"])])
+
+    def exchange(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(made=[exchanged(k, e, key) for k, e in zip(b["kind"], b["entity"])])
+
     kind = F.substring_index("kind", " ", 1)  # given names of all genders are one space
+    is_name = kind.isin("given", "surname")
     real = written(entities.select("kind", "entity").distinct())
-    done, turn = None, real.withColumn("attempt", F.lit(0))
+    done, turn, attempt = None, real.withColumn("attempt", F.lit(0)), 0
     while turn is not None:
         made = turn.mapInPandas(make, "kind string, entity string, attempt int, made string")
         made = made.withColumn("fresh", F.lit(True))
@@ -207,9 +329,17 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
                   .join(taken.withColumn("real", F.lit(True)), ["space", "made"], "left")
                   .withColumn("ok", F.col("real").isNull() & (F.struct("fresh", "kind", "entity") == F.col("first"))))
         judged = written(judged.select("kind", "entity", "attempt", "made", "ok"))
-        done = judged.where("ok").drop("ok")
-        again = judged.where("not ok")
-        turn = again.select("kind", "entity", (F.col("attempt") + 1).alias("attempt")) if again.limit(1).count() else None
+        done, again = judged.where("ok").drop("ok"), judged.where("not ok")
+        attempt += 1
+        if attempt == turns and again.where(~is_name).limit(1).count():
+            short = again.where(~is_name).select("kind", "entity").mapInPandas(labelled, "kind string, entity string, label string")
+            full = real.where(~is_name).mapInPandas(labelled, "kind string, entity string, label string").join(
+                short.select("label").distinct(), "label", "left_semi").select("kind", "entity")
+            swapped = written(full.mapInPandas(exchange, "kind string, entity string, made string"))
+            done = written(done.join(swapped, ["kind", "entity"], "left_anti").unionByName(
+                swapped.withColumn("attempt", F.lit(turns))))
+            again = again.where(is_name)
+        turn = again.select("kind", "entity", F.lit(attempt).alias("attempt")) if again.limit(1).count() else None
     return done.select("kind", "entity", "made")
 
 
