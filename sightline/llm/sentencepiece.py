@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from sightline.llm.common import col, keyed, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TABLE_WORDS = 1 << 22  # words that are broadcast, some 20 bytes each
+TABLE_WORDS = 1 << 22  # words that are broadcast, some 18 bytes each
+TABLE_PARTS = 32  # tasks that put their words in order and pack them
 LONGEST = 1024  # characters of a word that the packed lattice holds; longer ones have their path found by ``whole_paths``
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as unigram models have it
@@ -302,7 +303,7 @@ class _Known:
         """The bytes of each word's ids, None for words that are not in the table."""
         if not wanted or not len(self.hashes):
             return iter([None] * len(wanted))
-        codes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in wanted], np.uint64)
+        codes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in wanted], np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
         found, ids = self.hashes[at] == codes, self.ids
         return (ids[a:b] if ok else None for a, b, ok in zip(self.offsets[at].tolist(), self.offsets[at + 1].tolist(), found.tolist()))
@@ -344,20 +345,28 @@ def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
     sizes = words.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).count().toPandas().sort_values("n", ascending=False)
     fits = sizes["count"].cumsum() <= most
     held = words.where(F.col("n") >= int(sizes["n"][fits].min())) if fits.any() else words.limit(0)
-    got = held.select(F.xxhash64("word").alias("h"), "ids").toArrow()
     kind = np.dtype(np.uint16 if pieces.size <= 1 << 16 else np.int32)
-    hashes = got.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(hashes)
-    lists = got.column("ids")
-    lengths = np.concatenate([np.zeros(0, np.int64), *[np.diff(c.offsets.to_numpy()) for c in lists.chunks]])
-    flat = np.concatenate([np.zeros(0, kind), *[c.flatten().to_numpy().astype(kind) for c in lists.chunks]])
-    starts = np.cumsum(lengths) - lengths
-    # the ids in the order of the hashes, so that one offset per word is enough
-    lengths = lengths[order]
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    flat = flat[np.repeat(starts[order] - offsets[:-1], lengths) + np.arange(len(flat))]
-    offsets = offsets * kind.itemsize
-    return (hashes[order], offsets.astype(np.uint32 if offsets[-1] < 1 << 32 else np.int64), flat.tobytes()), kind, bool(fits.all())
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row per task: hashes in order, the number of ids of each, and the ids, each as bytes."""
+        hashes, lengths, ids = [b""], [b""], [b""]
+        for batch in batches:
+            hashes.append(batch.column(0).to_numpy().tobytes())
+            lengths.append(np.diff(batch.column(1).offsets.to_numpy()).astype(np.uint32).tobytes())
+            ids.append(batch.column(1).flatten().to_numpy().astype(kind).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (hashes, lengths, ids)],
+                                         names=["hashes", "lengths", "ids"])
+
+    # ordered and packed by the tasks, so the driver only puts the parts in a row: some 18 bytes a word
+    got = (held.select(F.xxhash64("word").alias("h"), "ids").repartitionByRange(TABLE_PARTS, "h").sortWithinPartitions("h")
+           .mapInArrow(packed, "hashes binary, lengths binary, ids binary").toArrow())
+    parts = {name: [x.as_buffer() for x in got.column(name)] for name in got.column_names}
+    hashes = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in parts["hashes"]]])
+    lengths = np.concatenate([np.zeros(1, np.uint32), *[np.frombuffer(x, np.uint32) for x in parts["lengths"]]])
+    offsets = np.cumsum(lengths, dtype=np.int64) * kind.itemsize
+    if offsets[-1] < 1 << 32:
+        offsets = offsets.astype(np.uint32)
+    return (hashes, offsets, b"".join(parts["ids"])), kind, bool(fits.all())
 
 
 def _any(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -448,16 +457,22 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     return easy.unionByName(own.join(extras, keys).select("id", "text", "extra").mapInArrow(whole, out))
 
 
-def decoded(ids: np.ndarray, spelling: tuple[bytes, ...]) -> str:
-    """The text of one list of ids; the blank before its first word goes. Long lists are spelled part by part."""
+def spelled(ids: np.ndarray, spelling: tuple[bytes, ...]) -> bytes:
+    """The bytes of one list of ids; the blank before its first word goes. Long lists are spelled part by part."""
     parts = [b"".join(map(spelling.__getitem__, ids[k:k + 50_000].tolist())) for k in range(0, len(ids), 50_000)]
-    return b"".join(parts).decode("utf-8", "replace")[1:]
+    return b"".join(parts)[1:]
+
+
+def decoded(ids: np.ndarray, spelling: tuple[bytes, ...]) -> str:
+    """The text of one list of ids."""
+    return spelled(ids, spelling).decode("utf-8", "replace")
 
 
 def come_back(texts: pa.Array, lists: pa.ListArray, spelling: tuple[bytes, ...]) -> pa.Array:
     """Whether each whole text is what its own ids decode to; a null text counts as empty."""
     flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
-    return pa.array([decoded(flat[a:b], spelling) == (text or "") for text, a, b in zip(texts.to_pylist(), ends, ends[1:])], pa.bool_())
+    whole = texts.cast(pa.binary()).to_pylist()
+    return pa.array([spelled(flat[a:b], spelling) == (text or b"") for text, a, b in zip(whole, ends, ends[1:])], pa.bool_())
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
