@@ -1,9 +1,10 @@
 """Benchmark contamination by winnowing, in DataFrame functions only.
 
-Every window of 13 words is stood for by its smallest hash of 8 words, so texts that share 13 words or more share a
-fingerprint; neighbouring windows mostly share one too. Fingerprints of documents that a fixed-size bit table built from
-the benchmark may hold are joined with those of the benchmark, and each hit is extended left and right: all 13 words must
-agree. Benchmark items shorter than a window are one window of their own length, whose fingerprint is the hash of it all.
+Every window of 13 words chooses the position of its smallest hash of 8 words, so texts that share 13 words or more share a
+fingerprint; neighbouring windows mostly choose the same position, which is kept once. Fingerprints of documents that a
+fixed-size bit table built from the benchmark may hold are joined with those of the benchmark by the hash alone, and each hit is
+extended left and right word by word, as far as a window with it can reach: runs of 13 equal words or more are hits.
+Benchmark items shorter than a window are one window of their own length, whose fingerprint is the hash of it all.
 """
 
 from __future__ import annotations
@@ -53,29 +54,66 @@ def _rolled(rows: DataFrame, base: str, length: int, join, name: str) -> tuple[D
     return rows, now
 
 
-def _windows(rows: DataFrame, lengths: list[int], window: int, gram: int, test=None, whole: bool = False) -> DataFrame:
-    """Adds ``found``: windows of column words, as (fp, at, len, span), of ``window`` words and of the shorter lengths.
+def _prints(rows: DataFrame, lengths: list[int], window: int, gram: int) -> tuple[DataFrame, str, str, dict[int, str]]:
+    """Adds the hashes of grams, the smallest of every window, and the hashes of all runs of the given lengths."""
+    rows, grams = _rolled(rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w))), "h1", gram, F.xxhash64, "h")
+    rows, least = _rolled(rows, grams, window - gram + 1, F.least, "m")
+    runs = {}
+    for n in lengths:
+        rows, runs[n] = _rolled(rows, "h1", n, F.xxhash64, "h")
+    return rows, grams, least, runs
 
-    ``test`` picks fingerprints; with ``whole`` a shorter window must be the whole text.
-    """
-    rows = rows.withColumn("h1", F.transform("words", lambda w: F.xxhash64(w)))
-    parts = []
-    for n in [window, *lengths]:
-        rows, prints = _rolled(rows, "h1", gram if n == window else n, F.xxhash64, "h")
-        if n == window:
-            rows, prints = _rolled(rows, prints, window - gram + 1, F.least, "m")
-        at = F.transform(prints, lambda fp, i: F.when(test(fp), i) if test else i)
-        rows = rows.withColumn(f"at{n}", F.array_compact(at) if n == window or not whole else
-                               F.when(F.size("words") == n, F.array_compact(at)).otherwise(F.expr("array()").cast("array<int>")))
-        parts.append(_records(f"at{n}", prints, n))
-    return rows.withColumn("found", F.concat(*parts))
-
-
-def _records(at: str, prints: str, n: int) -> Column:
+
+def _chosen(windows: Column, grams: str, least: str, window: int, gram: int) -> Column:
+    """The fingerprints of windows, given by their starts: (fp, at, before, around), a position that several windows choose
+    only once. ``around`` are the words that a window with this gram can hold, ``before`` how many of them precede it."""
+    reach = window - gram
+    places = F.array_distinct(F.transform(windows, lambda i: (i + F.array_position(F.slice(grams, i + 1, reach + 1), F.get(
+        F.col(least), i)) - 1).cast("int")))
+    before = lambda p: F.least(p, F.lit(reach))
+    return F.transform(places, lambda p: F.struct(
+        F.get(F.col(grams), p).alias("fp"), p.alias("at"), before(p).alias("before"),
+        F.slice("words", p - before(p) + 1, before(p) + window).alias("around")))
+
+
+def _short(runs: dict[int, str], test=None) -> Column:
+    """Runs of the lengths of short items, as (fp, at, len, span); ``test`` picks fingerprints, else only whole texts count."""
+    parts = [F.expr("array()").cast("array<struct<fp: bigint, at: int, len: int, span: string>>")]
+    for n, prints in runs.items():
+        at = F.array_compact(F.transform(prints, lambda fp, i: F.when(test(fp), i))) if test else F.when(
+            F.size("words") == n, F.array(F.lit(0))).otherwise(F.expr("array()").cast("array<int>"))
+        parts.append(_runs(at, prints, n))
+    return F.concat(*parts)
+
+
+def _runs(at: Column, prints: str, n: int) -> Column:
     return F.transform(at, lambda i: F.struct(F.get(F.col(prints), i).alias("fp"), i.alias("at"), F.lit(n).alias("len"),
                                               F.array_join(F.slice("words", i + 1, n), " ").alias("span")))
 
 
+def _equal_ahead(a: Column, b: Column) -> Column:
+    """How many words two lists have in common from their start."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    return F.aggregate(same, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct(
+        (acc["n"] + (acc["on"] & x).cast("int")).alias("n"), (acc["on"] & x).alias("on")))["n"]
+
+
+def _extended(met: DataFrame, window: int, gram: int) -> DataFrame:
+    """row, at, len, windows: hits of a gram extended to both sides, word by word, where they reach a window's length."""
+    behind = lambda ctx, k: F.reverse(F.slice(ctx, F.lit(1), F.col(k)))
+    ahead = lambda ctx, k: F.slice(ctx, F.col(k) + gram + 1, window - gram)
+    grams = [F.slice(c, F.col(k) + 1, gram) for c, k in (("around", "before"), ("other", "prior"))]
+    sides = met.where(grams[0] == grams[1]).select(
+        "row", "at", "before", "around", _equal_ahead(behind("around", "before"), behind("other", "prior")).alias("left"),
+        _equal_ahead(ahead("around", "before"), ahead("other", "prior")).alias("right"))
+    length = F.col("left") + gram + F.col("right")
+    first = F.col("before") - F.col("left")
+    return sides.where(length >= window).select(
+        "row", (F.col("at") - F.col("left")).alias("at"), length.alias("len"),
+        F.transform(F.sequence(F.lit(0), length - window), lambda k: F.xxhash64(F.array_join(F.slice(
+            "around", first + k + 1, window), " "))).alias("windows"))
+
+
 def _bit(fp: Column, cells: int) -> tuple[Column, Column]:
     return fp.bitwiseAND(F.lit(cells - 1)).cast("int"), F.shiftright(fp, 40).bitwiseAND(F.lit(63)).cast("int")
 
@@ -106,21 +144,33 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     items = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("")).alias("item"),
                              words(col(item_text)).alias("words")).withColumn("n", F.size("words"))
     short = sorted(r.n for r in items.where((F.col("n") > 0) & (F.col("n") < window)).select("n").distinct().collect())
-    # inline would have the optimizer test for empty arrays below, repeating the nested computation many times over
-    known = written(_windows(items, short, window, gram, whole=True).select("item", F.inline_outer("found")))
-    known = known.where("span is not null").select("item", "fp", "span").distinct()
-    spans = known.select("fp", "span").distinct()
-    size = spans.count()
-    if size <= broadcast_windows:
-        spans = F.broadcast(spans)
-
-    test = _table_test(known.select("fp").distinct(), table_bits)
-    base = docs.select(col(id_col).alias("id"), words(col(text_col)).alias("words"))
-    base = written(_windows(base, short, window, gram, test).select("id", F.size("words").cast("long").alias("n_words"), "found")
+    every = lambda least: F.filter(F.sequence(F.lit(-1), F.size(least) - 1), lambda i: i >= 0)
+    rows, grams, least, runs = _prints(items, short, window, gram)
+    # written apart: inline would have the optimizer repeat the nested computation below many times over
+    held = written(rows.select(
+        "item", _chosen(every(least), grams, least, window, gram).alias("chosen"), _short(runs).alias("short"),
+        F.transform(every(least), lambda i: F.array_join(F.slice("words", i + 1, window), " ")).alias("spans")))
+    marks = held.select(F.inline("chosen")).select("fp", F.col("before").alias("prior"), F.col("around").alias("other")).distinct()
+    whole = held.select(F.inline("short")).select("fp", F.col("span").alias("known")).distinct()
+    known = held.select("item", F.explode("spans").alias("span")).unionByName(
+        held.select("item", F.inline("short")).select("item", "span")).distinct()
+    marks, whole = written(marks), written(whole)
+    prints = marks.select("fp").unionByName(whole.select("fp")).distinct()
+    if marks.count() + whole.count() <= broadcast_windows:
+        marks, whole = F.broadcast(marks), F.broadcast(whole)
+
+    test = _table_test(prints, table_bits)
+    base, grams, least, runs = _prints(docs.select(col(id_col).alias("id"), words(col(text_col)).alias("words")), short, window, gram)
+    base = base.withColumn("maybe", F.array_compact(F.transform(least, lambda fp, i: F.when(test(fp), i))))
+    base = written(base.select("id", F.size("words").cast("long").alias("n_words"), _short(runs, test).alias("short"),
+                               _chosen(F.col("maybe"), grams, least, window, gram).alias("chosen"))
                    .withColumn("row", F.monotonically_increasing_id()))
-    hits = (base.select("row", F.inline("found")).join(spans, ["fp", "span"])
-            .groupBy("row").agg(F.array_sort(F.collect_set(F.struct("at", "len"))).alias("places"),
-                                F.array_sort(F.collect_set(F.xxhash64("span"))).alias("windows")))
+    long_hits = _extended(base.select("row", F.inline("chosen")).join(marks, "fp"), window, gram)
+    short_hits = base.select("row", F.inline("short")).join(whole, "fp").where("span = known").select(
+        "row", "at", "len", F.array(F.xxhash64("span")).alias("windows"))
+    hits = long_hits.unionByName(short_hits).groupBy("row").agg(
+        F.array_sort(F.collect_set(F.struct("at", "len"))).alias("places"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("windows")))).alias("windows"))
     # words covered, counted once where windows overlap
     reach = F.aggregate("places", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
                         lambda acc, p: F.struct(F.greatest(acc["end"], p["at"] + p["len"]).alias("end"),
@@ -131,7 +181,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sets = (hits.groupBy("set").agg(F.first("windows").alias("windows")).select("set", F.explode("windows").alias("window"))
             .join(known.select("item", F.xxhash64("span").alias("window")), "window")
             .groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    got = base.drop("found").join(hits.select("row", "n_hit", "set").join(sets, "set", "left"), "row", "left")
+    got = base.drop("short", "chosen").join(hits.select("row", "n_hit", "set").join(sets, "set", "left"), "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.expr("array()").cast("array<string>"))
     return got.select("id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),
