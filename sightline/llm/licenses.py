@@ -37,6 +37,7 @@ GRANTS = ["Licensed under {}", "Licensed under the {}", "Released under the {}",
           "This work is licensed under the {}", "This work is licensed under {}", "This work is licensed under a {}",
           "This software is licensed under the {}", "This project is licensed under the {}",
           "Distributed under the {}", "Available under the {}", "License: {}", "{}"]
+TAGS = ["SPDX-License-Identifier: {}", "SPDX-License-Identifier: ({})", "The {} license", "{} license", "{} licensed"]
 TEXTS = {
     "MIT": """MIT License
 
@@ -177,9 +178,14 @@ SPELLINGS = {"licence": "license", "sub license": "sublicense", "organisation":
              "acknowledgement": "acknowledgment", "non commercial": "noncommercial", "merchantibility": "merchantability",
              "copyright owner": "copyright holder", "https": "http", "per cent": "percent", "fulfilment": "fulfillment",
              "share alike": "sharealike", "no derivatives": "noderivatives", "non infringement": "noninfringement"}
-COPYRIGHT_LINE = r"(?im)^[ \t]*(copyright\b(?=.*(\d{4}|\(c\)|©))|\(c\)|©|all rights reserved)[^\n]*$"
+# a line that names whose the copyright is: with a year or sign, or nothing but capitalised names behind the word
+_NAME = r"(?-i:[A-ZÀ-Þ][\p{L}\d.'’-]*)"
+COPYRIGHT_LINE = (r"(?im)^[ \t]*(copyright\b(?=.*(\d{4}|\(c\)|©))|\(c\)|©|all rights reserved|copyright(?: by)? (?!(?:the )?(?:holder|notice|"
+                  r"owner|law|statement|act|licen[cs])s?\b)(?-i:[A-ZÀ-Þ](?:[\p{L}'’-]*\p{Ll}[\p{L}'’-]*|\.))(?:,? (?:and |& )?" + _NAME
+                  + r"){0,5}[.,]?[ \t\r]*$)[^\n]*$")
 # every canonical text has one of these, so a unit without any, however spelled, needs no digest
-TRIGGERS = ("licen", "gpl", "cc by", "cc0", "mpl", "permission", "permitted", "public domain")
+TRIGGERS = ("licen", "gpl", "cc by", "cc0", "mpl", "permission", "permitted", "public domain", "released under", "distributed under",
+            "available under")
 BETWEEN = r"[^\p{L}\p{N}]+"  # what a blank of a canonical text may have been
 
 
@@ -197,9 +203,16 @@ def may_be_known(unit: Column) -> Column:
     return F.greatest(*[low.rlike(t.replace(" ", BETWEEN)) if " " in t else F.contains(low, F.lit(t)) for t in TRIGGERS])
 
 
+def _identifiers(i: str) -> list[str]:
+    """An identifier as files and manifests have it."""
+    short = [i.removesuffix(".0")] if i.startswith(("GPL", "LGPL", "AGPL")) else []
+    return [x + end for x in (i, *short) for end in (("", "-only", "-or-later", "+") if "GPL" in i else ("",))]
+
+
 def known_digests(spark: SparkSession) -> DataFrame:
-    """license, digest: a fixed small table, built from names and grants by rule, and from the full texts."""
+    """license, digest: a fixed small table, built from names, identifiers and grants by rule, and from the full texts."""
     rows = [(i, g.format(n)) for i, names in NAMES.items() for n in names for g in GRANTS] + list(TEXTS.items()) + _entire()
+    rows += [(i, g.format(x)) for i in [*NAMES, "Zlib"] for x in _identifiers(i) for g in [*GRANTS[:-1], *TAGS]]
     return _digests(spark.createDataFrame(rows, "license string, text string"))
 
 

@@ -103,3 +103,39 @@ def test_entire_texts(spark):
 
 def test_empty_table(spark):
     assert li.licenses(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_identifiers_and_copyright_lines_without_a_year(spark):
+    isc = li.TEXTS["ISC"].partition("\n\n")[2]
+    wanted = {"SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: GPL-3.0-or-later": "GPL-3.0", "License: MIT": "MIT",
+              "Licensed under MIT": "MIT", "Licensed under GPL-3.0": "GPL-3.0", "Licensed under the GPL-2": "GPL-2.0",
+              "Released under BSD-3-Clause.": "BSD-3-Clause", "# SPDX-License-Identifier: (Apache-2.0)": "Apache-2.0", "MIT license": "MIT",
+              "Copyright Jane Doe\n\n" + isc: "ISC", "Copyright by Jane van Doe\n\n" + isc: None, "Copyright J. Doe and Some Corp.\n" + isc: "ISC",
+              "Copyright is a matter of law\n" + isc: None, "Copyright Holders And Contributors\n" + isc: None,
+              "SPDX-License-Identifier: Something-1.0": None, "MIT": None}
+    docs = spark.createDataFrame([(k, x, "a", "b", "c") for k, x in enumerate(wanted)], SCHEMA)
+    got = [r.whole for r in sorted(li.licenses(docs).collect())]
+    assert [(x, w, g) for (x, w), g in zip(wanted.items(), got) if w != g] == []
+
+
+def test_equals_digests_in_plain_python(spark):
+    """Every unit of some texts made canonical by other means and looked up in a dictionary."""
+    import hashlib
+
+    def plain(text):
+        lines = [x for x in text.split("\n") if not re.match(r"\s*copyright \(c\)", x, re.I)]
+        words = " ".join(re.findall(r"[^\W_]+", "\n".join(lines).lower()))
+        for other, one in li.SPELLINGS.items():
+            words = words.replace(other, one)
+        return hashlib.sha256(words.encode()).hexdigest()
+
+    known = {r.digest: r.license for r in li.known_digests(spark).collect()}
+    texts = [f"Intro {i}.\n\nCopyright (c) 20{i:02d} X\n{t}\n\nReleased under {n}.\nLast line" for i, (t, n) in enumerate(
+        (li.TEXTS[t], n) for t in li.TEXTS for n in ("the MIT Licence", "CC-BY-SA 4.0", "nothing at all", "GPLv3"))]
+    texts += list(li.TEXTS.values())
+    docs = spark.createDataFrame([(k, x, "a", "b", "c") for k, x in enumerate(texts)], SCHEMA)
+    for r in li.licenses(docs).collect():
+        text = texts[r.id]
+        units = {text, *re.split(r"\n[ \t\r]*\n", text), *text.split("\n")}
+        hits = {d: known[d] for d in map(plain, units) if d in known}
+        assert (r.whole, list(r.licenses), r.n_matches) == (known.get(plain(text)), sorted(set(hits.values())), len(hits))
