@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,11 +26,15 @@ STEPS = 150
 PENALTY = 0.02
 
 # HTML's element names and common class-name words, by what they stand for.
-HIDDEN = frozenset("script style noscript template svg math iframe object textarea select datalist canvas audio video".split())
+HIDDEN = frozenset(("script style noscript template svg iframe object textarea select datalist canvas audio video annotation "
+                    "annotation-xml").split())
 RAW = frozenset("script style textarea iframe noscript".split())  # hidden, and their content is no markup
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt "
-                    "ruby s samp small span strike strong sub sup time tt u var wbr").split())
+                    "ruby s samp small span strike strong sub sup time tt u var wbr "
+                    # formulas stand in the line, but for their source
+                    "math maction menclose merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms "
+                    "mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics").split())
 # an element that a new one of the second list ends, if it is open inside the nearest element of the third
 ENDED_BY = {"p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"),
             "th": ("tr", "table"), "option": ("select",)}
@@ -55,8 +60,10 @@ NAMES = ([f"tag {t}" for t in TAGS] + [f"class {c}" for c in CLASSES] + ["aside
 PLACE = {name: i for i, name in enumerate(NAMES)}
 _MAIN_BITS = sum(1 << PLACE[f"tag {t}"] for t in MAIN_TAGS) | 1 << PLACE["class main"]
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|"
-                    r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(?=[a-zA-Z/][^<]*\Z)[^<]*", re.S)
+_OPEN = re.compile(r"<(?:[!?]|/?[a-zA-Z])")
+# quotes count only where an attribute's value begins
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
+_LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")  # to the next > whatever the quotes
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW}
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[A-Za-z][a-z]*")
@@ -87,7 +94,11 @@ def _mark(tag: str, attributes: str) -> int:
 
 
 def blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; hidden elements and markup left out, references decoded, white space made single."""
+    """Leaf blocks in page order; hidden elements and markup left out, references decoded, white space made single.
+
+    Hidden elements may be nested; one that is never closed ends with the element around it. Formulas stay, without their
+    source. A tag whose quotes never close ends at the next >. The time is that of a few passes over the page.
+    """
     out: list[Block] = []
     stack: list[tuple[str, int]] = [("", 0)]
     open_tags: dict[str, int] = {}
@@ -120,31 +131,67 @@ def blocks(page: str | None) -> list[Block]:
             if name == tag:
                 return
 
-    while m := _TOKEN.search(page, at):
+    tag_at, sections, inside, held = _TAG, True, [], Counter()  # the last two: elements open inside a hidden one
+    while m := _OPEN.search(page, at):
         if m.start() > at and not hidden:
             text(page[at:m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
-            if not hidden and m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+        at = m.start()
+        if page[at + 1] in "!?":
+            if page.startswith("<!--", at):
+                end = page.find("-->", at + 4)
+                at = end + 3 if end >= 0 else len(page)
+                continue
+            end = page.find("]]>", at) if sections and page.startswith("<![CDATA[", at) else -1
+            if end >= 0:
+                if not hidden:
+                    text(page[at + 9:end])
+                at = end + 3
+            else:
+                sections = sections and not page.startswith("<![CDATA[", at)  # none ends any more
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else len(page)
             continue
-        if tag in RAW and not m[1] and not m[3].endswith("/"):
+        m = tag_at.match(page, at)
+        if m is None and tag_at is _TAG:  # some quote is never closed: from here on tags end at the next >
+            tag_at = _LOOSE
+            m = tag_at.match(page, at)
+        if m is None:  # a tag that the page's end cuts off
+            at = len(page)
+            break
+        at = m.end()
+        tag, closing, alone = m[2].lower(), bool(m[1]), m[3].endswith("/")
+        if tag in RAW and not closing and not alone:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
         if hidden:
-            hidden = "" if m[1] and tag == hidden else hidden
-            continue
+            if not closing:
+                if tag not in VOID and not alone:
+                    inside.append(tag)
+                    held[tag] += 1
+                continue
+            if held[tag]:
+                name = ""
+                while name != tag:
+                    name = inside.pop()
+                    held[name] -= 1
+                continue
+            if tag == hidden:
+                hidden = ""
+                continue
+            if not open_tags.get(tag):
+                continue
+            hidden = ""  # never closed, so it ends with the element around it
         if tag in HIDDEN:
-            hidden = "" if m[1] or m[3].endswith("/") else tag
+            if not closing and not alone:
+                hidden, inside, held = tag, [], Counter()
             continue
         inline = tag in INLINE
         if not inline:
             flush()
         elif tag in ("br", "wbr", "img"):
             parts.append(" " if tag == "br" else "")
-        if m[1]:
+        if closing:
             if open_tags.get(tag):
                 close(tag)
             continue

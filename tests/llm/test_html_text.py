@@ -92,3 +92,29 @@ def test_awkward_rows(spark):
     assert len(got) == 6 and all(r.text is not None and r.n_chars == len(r.text) for r in got)
     assert all(r.text == "" for r in got if not r.html)
     assert ht.extract(pages.limit(0)).count() == 0
+
+
+def test_quotes_hidden_elements_and_formulas():
+    texts = lambda page: [b.text for b in ht.blocks(page)]
+    assert texts("<p data-x=it's>He said 'hello' and <b title = \"a>b\">went</b>.</p><p>Next</p>") == ["He said 'hello' and went.", "Next"]
+    assert texts('<p>One</p><p title="abc>text</p><p>Two') == ["One", "text", "Two"]
+    assert texts("<p a='b\"c>d' e=f\"g h>x</p><p i='>'>y</p>") == ["x", "y"]
+    assert texts("<article><p>Let <math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></semantics></math> be.</p>"
+                 "</article>") == ["Let x=2 be."]
+    assert texts("<div>a<svg><g><svg><text>in</text></svg><text>in</text></g></svg>b</div>c") == ["ab", "c"]
+    assert texts("<article><div><canvas>old browser</div><p>Stays.</p></article><p>Too.</p>") == ["Stays.", "Too."]
+    assert texts("<section><object><p>fallback</p><object>x</object></section><p>After.") == ["After."]
+    assert texts("<div><video><p>none</video>seen</div>") == ["seen"]
+    assert texts("a<![CDATA[b<c]]>d<![CDATA[e>f") == ["ab<cdf"]
+    assert texts("<p>x</p><a href='y") == ["x"] and texts("1 < 2 <") == ["1 < 2 <"] and texts("a </ b") == ["a </ b"]
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<a b=\"", "<a =\"> \"", "<![CDATA[>", "<!-- ", "<p x='", "<object>", "</p", "<a href=x'>", "<script"])
+def test_odd_pages_take_linear_time(unit):
+    import time
+    took = []
+    for size in (20_000, 200_000):
+        page, start = unit * (size // len(unit)), time.process_time()
+        ht.blocks("<p>text</p>" + page)
+        took.append(time.process_time() - start)
+    assert took[1] < 2.0 and took[1] < 40 * max(took[0], 0.01)
