@@ -47,15 +47,15 @@ def small_splits(spark):
     spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
-@pytest.mark.parametrize("kinds", [["spanning"], ["plain"], ["crlf"], ["stray"], ["spanning", "plain", "stray", "crlf"]])
+@pytest.mark.parametrize("kinds", [["crlf"], ["spanning", "plain", "stray", "crlf"]])
 def test_split_csv_equals_the_reader_of_whole_files(spark, tmp_path, small_splits, kinds):
     folder = tmp_path / "with blank"
     os.makedirs(folder)
     for kind in kinds:
-        write_csv(folder / f"{kind} 1.csv", 700, kind)
+        write_csv(folder / f"{kind} 1.csv", 300, kind)
     want = Counter(map(tuple, spark.read.csv(str(folder), header=True, multiLine=True, escape='"').collect()))
     assert Counter(map(tuple, load._split_csv(spark, str(folder), ",").collect())) == want
-    assert sum(want.values()) == 700 * len(kinds)
+    assert sum(want.values()) == 300 * len(kinds)
 
 
 def test_a_file_without_quoted_newlines_is_read_by_many_tasks(spark, tmp_path, small_splits):
@@ -225,7 +225,7 @@ def test_wide_table_results_stay_tables(spark, monkeypatch):
 
 # densities
 
-@pytest.mark.parametrize("scale", [1.0, 1e-7, 1e9])
+@pytest.mark.parametrize("scale", [1.0, 1e-7])
 def test_densities_from_cells_keep_their_bound(spark, scale):
     rng = np.random.default_rng(8)
     data = np.concatenate([rng.normal(size=3000), rng.exponential(5, 500), [400.0], np.full(900, 0.125)]) * scale

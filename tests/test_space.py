@@ -34,8 +34,7 @@ def same_clusters(found, x, eps, least):
         assert found[i] in set(found[near[i] & core])
 
 
-@pytest.mark.parametrize("dims", [2, 12])
-@pytest.mark.parametrize("eps", [0.6, 1.4])
+@pytest.mark.parametrize("dims,eps", [(2, 0.6), (12, 1.4)])
 def test_tree_dbscan_equals_all_pairs(spark, dims, eps):
     x = crowd(np.random.default_rng(dims), dims)
     names, df = table(spark, x)
@@ -54,7 +53,7 @@ def test_dbscan_of_twelve_columns(spark):
     same_clusters(np.array([got[i] for i in range(len(x))]), x, 1.2, 5)
 
 
-@pytest.mark.parametrize("dims,leaf", [(12, 25), (3, 10), (1, 8)])
+@pytest.mark.parametrize("dims,leaf", [(12, 25), (1, 8)])
 def test_nearest_neighbours_equal_all_pairs(spark, dims, leaf):
     rng = np.random.default_rng(dims)
     x = np.unique(crowd(rng, dims), axis=0)
