@@ -4,7 +4,8 @@ Fingerprints are made once per text. Two of them that differ in at most R of 64
 of B bit blocks, so each block has a vantage-point tree of its own with that smaller radius. A tree node keeps the points
 within a median distance of its vantage point on the inner side; by the triangle inequality only outer points no further
 out than the radius can have partners inside, and only those visit the inner side too. A leaf is a shard: its
-home points are compared with all points in it by the whole 64 bits, so every link found is exact and none is missed.
+home points are compared with all points in it by the whole 64 bits, so every link found is exact and none is missed. The
+trees are fitted on a bounded sample; a leaf that is too full for it is cut further by a tree fitted on its own points.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ MAX_BITS = 4
 BLOCKS = ((0, 22), (22, 21), (43, 21))  # first bit and width: with 4 bits allowed, some block differs in 1 at most
 SAMPLE = 1 << 17  # fingerprints the trees are fitted on; every fingerprint is indexed
 LEAF = 384  # home points a leaf should hold
+FAT = 8_000  # home points beyond which a leaf gets a tree of its own
+FIRST_LEAF, OWN_LEAVES = 1 << 20, 1 << 11  # so that leaves of any depth have numbers of their own
+OWN_SAMPLE, OWN_ROWS = 4_096, 100_000  # points that tree is fitted on, and home points that one task deals by it
 SHARD = 40_000  # points compared in one task; fuller leaves are compared in pairs of parts
 
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -93,10 +97,10 @@ def _grow(points: np.ndarray, radius: int, leaf: float, rng: np.random.Generator
     return nodes
 
 
-def _route(nodes: list[tuple], values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _route(nodes: list[tuple], values: np.ndarray, radius: int, at_home: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Leaf, index of the point and whether it is at home there, for every leaf that a point belongs to or visits."""
     out = []
-    stack = [(0, np.arange(len(values)), np.ones(len(values), dtype=bool))]
+    stack = [(0, np.arange(len(values)), at_home)]
     while stack:
         at, own, home = stack.pop()
         if not len(own):
@@ -144,8 +148,59 @@ def _linked(home: np.ndarray, visitors: np.ndarray, bits: int) -> list[tuple[int
     return found
 
 
+DEALT = "tree int, leaf bigint, home boolean, fp bigint"  # leaf: see FIRST_LEAF
+
+
+def _refined(dealt: DataFrame, blocks, radius: int, leaf: int, fat: int, seed: int) -> DataFrame:
+    """``dealt`` with every leaf of more than ``fat`` home points cut by a tree of its own, fitted on about ``OWN_SAMPLE`` of
+    them, and again until no leaf is that full or the points of a leaf cannot be told apart by its block.
+
+    So leaves stay bounded however many fingerprints there are: rounds grow with the logarithm of their number. A leaf's tree
+    stays with the leaf's rows; neither trees nor leaves are gathered.
+    """
+    done = None
+    while True:
+        sizes = dealt.groupBy("tree", "leaf").agg(F.count_if("home").alias("own"))
+        full = written(sizes.where(F.col("own") > fat))
+        if full.isEmpty():
+            return dealt if done is None else done.unionByName(dealt)
+        rest = dealt.join(full, ["tree", "leaf"], "left_anti")
+        done = rest if done is None else done.unionByName(rest)
+        inside = dealt.join(full, ["tree", "leaf"])
+        picked = inside.where(F.col("home") & (F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) / (1 << 30) * F.col("own") < OWN_SAMPLE))
+
+        def fit(at: tuple, group: pd.DataFrame) -> pd.DataFrame:
+            points = _block(group["fp"].to_numpy(dtype=np.int64).view(np.uint64), blocks[int(at[0])])
+            per_leaf = max(4.0, leaf * len(points) / int(group["own"].iloc[0]))
+            nodes = _grow(points, radius, per_leaf, np.random.default_rng(seed))
+            return pd.DataFrame({"tree": [int(at[0])], "leaf": [int(at[1])], "own": [int(group["own"].iloc[0])],
+                                 "nodes": [[int(x) for node in nodes for x in node]]})
+
+        fitted = written(picked.select("tree", "leaf", "own", "fp").groupBy("tree", "leaf").applyInPandas(
+            fit, "tree int, leaf bigint, own bigint, nodes array<bigint>"))
+        cut = fitted.where(F.size("nodes") > 4)  # one node is a leaf that stays as it is
+        done = done.unionByName(inside.select("tree", "leaf", "home", "fp").join(cut, ["tree", "leaf"], "left_anti"))
+        salts = F.ceil(F.col("own") / OWN_ROWS).cast("int")
+        trees = cut.withColumn("salts", salts).withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+        salted = inside.select("tree", "leaf", "home", "fp").join(cut.select("tree", "leaf", salts.alias("salts")), ["tree", "leaf"])
+        salted = salted.withColumn("salt", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("salts")).cast("int"))
+        trees = trees.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), F.col("salt").alias("s"), "nodes")
+
+        def deal(at: tuple, rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(own):
+                return pd.DataFrame({"tree": [], "leaf": [], "home": [], "fp": []}).astype({"tree": "int32", "leaf": "int64", "home": bool, "fp": "int64"})
+            flat = [int(x) for x in own["nodes"].iloc[0]]
+            nodes = [(np.uint64(flat[i]), *flat[i + 1:i + 4]) for i in range(0, len(flat), 4)]
+            prints = rows["fp"].to_numpy(dtype=np.int64)
+            leaf_at, index, home = _route(nodes, _block(prints.view(np.uint64), blocks[int(at[0])]), radius, rows["home"].to_numpy(bool))
+            return pd.DataFrame({"tree": np.full(len(index), int(at[0]), dtype=np.int32), "leaf": int(at[1]) * OWN_LEAVES + leaf_at,
+                                 "home": home, "fp": prints[index]})
+
+        dealt = written(salted.groupBy("tree", "leaf", "salt").cogroup(trees.groupBy("t", "l", "s")).applyInPandas(deal, DEALT))
+
+
 def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks=BLOCKS, sample: int = SAMPLE, leaf: int = LEAF,
-          shard: int = SHARD, seed: int = 7) -> DataFrame:
+          shard: int = SHARD, seed: int = 7, fat: int = FAT) -> DataFrame:
     """u, v: links between distinct fingerprints (column fp, no repeats) at ``max_bits`` or fewer differing bits.
 
     Within a shard a connected group is given as links to its smallest member, so its size and not its square counts;
@@ -165,8 +220,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks=BLOCKS, sample: in
         def flush():
             own = np.concatenate(held)
             for tree, (nodes, block) in enumerate(zip(trees.value, blocks)):
-                leaf_at, index, home = _route(nodes, _block(own, block), radius)
-                yield pd.DataFrame({"tree": np.full(len(index), tree, dtype=np.int32), "leaf": leaf_at.astype(np.int32),
+                leaf_at, index, home = _route(nodes, _block(own, block), radius, np.ones(len(own), dtype=bool))
+                yield pd.DataFrame({"tree": np.full(len(index), tree, dtype=np.int32), "leaf": leaf_at.astype(np.int64) + FIRST_LEAF,
                                     "home": home, "fp": own[index].view(np.int64)})
 
         for batch in batches:
@@ -177,11 +232,11 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks=BLOCKS, sample: in
         if held:
             yield from flush()
 
-    dealt = written(prints.select("fp").mapInPandas(route, "tree int, leaf int, home boolean, fp bigint"))
-    # at most one row per leaf of trees whose size the sample bounds
+    dealt = written(prints.select("fp").mapInPandas(route, DEALT))
+    dealt = _refined(dealt, blocks, radius, leaf, fat, seed)
     parts = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / shard).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    paired = (dealt.join(F.broadcast(parts), ["tree", "leaf"]).withColumn("own", own)
+    paired = (dealt.join(parts, ["tree", "leaf"]).withColumn("own", own)
               .withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
               .select("tree", "leaf", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
                       "home", "fp"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -114,3 +115,41 @@ def test_component_is_the_smallest_id_and_one_stays(spark):
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "u long, v long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{i: 0 for i in range(201)}, 500: 500, 501: 500}
+
+
+def test_leaves_stay_bounded_whatever_the_sample(spark, monkeypatch):
+    """Trees fitted on 300 fingerprints; leaves are cut further by trees of their own, and no link is lost."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 1 << 64, 30_000, dtype=np.uint64)
+    flips = np.bitwise_xor.reduce(np.uint64(1) << rng.integers(0, 64, (3000, 4)).astype(np.uint64), axis=1)
+    prints = np.unique(np.concatenate([base, base[:3000] ^ flips, base[:1] ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    seen = []
+    right = simhash._refined
+
+    def refined(*args):
+        out = right(*args).cache()
+        seen.append({(r.tree, r.leaf): r.own for r in out.groupBy("tree", "leaf").agg(F.count_if("home").alias("own")).collect()})
+        seen.append(args[0].groupBy("tree", "leaf").agg(F.count_if("home").alias("own")).agg(F.max("own")).first()[0])
+        return out
+
+    monkeypatch.setattr(simhash, "_refined", refined)
+    df = spark.createDataFrame([(int(p),) for p in prints.view(np.int64)], "fp long")
+    got = simhash.links(df, sample=300, leaf=100, fat=1500).collect()
+    assert seen[1] > 1500 >= max(seen[0].values()) and sum(seen[0].values()) == 3 * len(prints)
+    root = {int(p): int(p) for p in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for r in got:
+        u, v = (int(np.int64(x).astype(np.uint64)) for x in (r.u, r.v))
+        a, b = find(u), find(v)
+        root[max(a, b)] = min(a, b)
+    every = {int(p) for p in prints}
+    for x, f in zip(base[:3000].tolist(), flips.tolist()):
+        assert find(x) == find(x ^ f)
+    for i in range(64):
+        assert find(int(base[0])) == find(int(base[0]) ^ 1 << i)
+    assert len(every) == len(prints)
