@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import col
+from sightline.llm.common import col, give_back
 
 BUCKETS = 1 << 20
 SAMPLE = 6_000  # expected number of labelled documents that are fitted on, in one task
@@ -169,6 +169,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         for batch in batches:
             yield pd.DataFrame({"place": batch["place"], "y": batch["y"],
                                 "row": [features(t, words, buckets) for t in batch["text"]]})
+        words.clear()
+        give_back()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted(((p, int(y), np.array(r, dtype=np.int32)) for batch in batches
@@ -176,6 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         if rows:
             weights, a, b = fit([r for *_, r in rows], np.array([1 if y == 1 else -1 for _, y, _ in rows]), buckets)
             yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()], "a": [a], "b": [b]})
+            rows, weights = [], None
+        give_back()
 
     rows = texts.select(F.xxhash64("id", "text").alias("place"), "y", "text").mapInPandas(
         index, "place bigint, y int, row array<int>")
@@ -202,6 +206,8 @@ def scorer(docs: DataFrame, model: tuple[np.ndarray, float, float]):
         for texts in batches:
             margins = np.array([_margin(weights, features(t, words, len(weights))) for t in texts], dtype=float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(a * margins + b, -35, 35))))
+        words.clear()
+        give_back()
 
     return lambda text: score(text.cast("string"))
 

@@ -13,8 +13,6 @@ that, not the order of merges. Decoding joins the pieces and is exact for any pa
 
 from __future__ import annotations
 
-import ctypes
-import gc
 import math
 import re
 from array import array
@@ -30,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import col, keyed, written
+from sightline.llm.common import col, give_back, keyed, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 TABLE_WORDS = 1 << 22  # words that are broadcast, some 18 bytes each
@@ -105,15 +103,6 @@ def chunks(text: str | None) -> list[str]:
 _RUN = re.compile(" +[^ ]*")
 
 
-def _give_back() -> None:
-    """Python workers outlive a task: memory it no longer needs goes back to the system."""
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
-    if trim:
-        trim(0)
-
-
 def chunk_lists(texts: pa.Array, most: int = 3_000_000) -> Iterator[tuple[np.ndarray, pa.ListArray]]:
     """Rows and their chunks for about ``most`` bytes of text at a time: texts that need no care all at once by Arrow, the
     others one by one."""
@@ -171,7 +160,7 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
                 if len(held) > 100_000:
                     yield flush()
         yield flush()
-        _give_back()
+        give_back()
 
     return (docs.select(col(text_col).cast("string").alias("text")).mapInArrow(run, "word string, n bigint")
             .groupBy("word").agg(F.sum("n").alias("n")))
@@ -427,7 +416,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
                     same = come_back(batch.column(1).take(taken), done, spelling)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(taken), done, same], names=["id", "ids", "lossless"])
         del known
-        _give_back()
+        give_back()
 
     out = f"id {own.schema['id'].dataType.simpleString()}, ids array<int>, lossless boolean"
     easy = own.select("id", "text").mapInArrow(whole, out)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import col, components, free_name, keyed, written
+from sightline.llm.common import col, components, free_name, give_back, keyed, written
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -58,6 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), dtype=np.uint64,
                                  count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fp"])
+        give_back()
 
     rows = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp bigint")
@@ -231,6 +232,8 @@ def links(prints: DataFrame, max_bits: int = MAX_BITS, blocks=BLOCKS, sample: in
                 held.clear()
         if held:
             yield from flush()
+            held.clear()
+        give_back()
 
     dealt = written(prints.select("fp").mapInPandas(route, DEALT))
     dealt = _refined(dealt, blocks, radius, leaf, fat, seed)
