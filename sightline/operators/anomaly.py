@@ -466,6 +466,7 @@ def cluster_counts(clustered: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- local outlier factor
 
+LEAF = space.LEAF  # points that one task compares with each other
 QUERY_CHUNK = 20_000  # foreign queries that meet one copy of a leaf
 CANDIDATES = "array<struct<dist: double, other: bigint, w: bigint>>"
 
@@ -566,7 +567,7 @@ def local_outlier_factor(df: DataFrame, names: list[str] | None = None, k: int =
     k = min(k, total - 1)
     if k < 1:
         return rows.withColumns({"factor": F.lit(1.0), "label": F.lit(1)})
-    near = nearest_neighbours(points, axes, k, total)
+    near = nearest_neighbours(points, axes, k, total, LEAF)
     copies = F.least(F.col("w") - 1, F.lit(k))
     base = points.select("pid", "w", copies.alias("twins")).join(
         near.groupBy("pid").agg(F.max("dist").alias("kdist")), "pid", "left").na.fill(0.0, ["kdist"])
