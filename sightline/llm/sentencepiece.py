@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 from sightline.llm.common import col, give_back, keyed, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-TABLE_WORDS = 1 << 22  # words that are broadcast, some 18 bytes each
-TABLE_PARTS = 32  # tasks that put their words in order and pack them
+TABLE_WORDS = 1 << 22  # words that are broadcast, some 20 bytes each
 LONGEST = 1024  # characters of a word that the packed lattice holds; longer ones have their path found by ``whole_paths``
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0  # below the lowest score, as unigram models have it
@@ -283,8 +282,8 @@ def whole_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
 class _Known:
     """Ids of chunks, put together from a sorted table of words' 64-bit hashes, with a bounded memory of chunks just met."""
 
-    def __init__(self, pattern: str, hashes: np.ndarray, offsets: np.ndarray, ids: bytes):
-        self.find, self.hashes, self.offsets, self.ids = re.compile(pattern).findall, hashes, offsets, ids
+    def __init__(self, pattern: str, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, ids: bytes):
+        self.find, self.hashes, self.starts, self.lengths, self.ids = re.compile(pattern).findall, hashes, starts, lengths, ids
         self.met: dict[str, bytes | None] = {}
         self.before: dict[str, bytes | None] = {}
 
@@ -295,7 +294,7 @@ class _Known:
         codes = np.array([xxhash.xxh64_intdigest(w.encode("utf-8", "replace"), 42) for w in wanted], np.uint64).view(np.int64)
         at = np.minimum(np.searchsorted(self.hashes, codes), len(self.hashes) - 1)
         found, ids = self.hashes[at] == codes, self.ids
-        return (ids[a:b] if ok else None for a, b, ok in zip(self.offsets[at].tolist(), self.offsets[at + 1].tolist(), found.tolist()))
+        return (ids[a:a + n] if ok else None for a, n, ok in zip(self.starts[at].tolist(), self.lengths[at].tolist(), found.tolist()))
 
     def spell(self, chunks: list[str]) -> list[bytes | None]:
         """The bytes of each distinct chunk's ids, None for chunks with a word that is not in the table."""
@@ -337,7 +336,7 @@ def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
     kind = np.dtype(np.uint16 if pieces.size <= 1 << 16 else np.int32)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per task: hashes in order, the number of ids of each, and the ids, each as bytes."""
+        """One row per task: hashes, the number of ids of each, and the ids, each as bytes."""
         hashes, lengths, ids = [b""], [b""], [b""]
         for batch in batches:
             hashes.append(batch.column(0).to_numpy().tobytes())
@@ -346,16 +345,18 @@ def _table(words: DataFrame, most: int, pieces: Pieces) -> tuple:
         yield pa.RecordBatch.from_arrays([pa.array([b"".join(x)], pa.binary()) for x in (hashes, lengths, ids)],
                                          names=["hashes", "lengths", "ids"])
 
-    # ordered and packed by the tasks, so the driver only puts the parts in a row: some 18 bytes a word
-    got = (held.select(F.xxhash64("word").alias("h"), "ids").repartitionByRange(TABLE_PARTS, "h").sortWithinPartitions("h")
-           .mapInArrow(packed, "hashes binary, lengths binary, ids binary").toArrow())
+    # packed by the tasks; the driver puts the parts in a row and finds the order of the hashes, the ids stay where they are
+    got = held.select(F.xxhash64("word").alias("h"), "ids").mapInArrow(packed, "hashes binary, lengths binary, ids binary").toArrow()
     parts = {name: [x.as_buffer() for x in got.column(name)] for name in got.column_names}
     hashes = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in parts["hashes"]]])
-    lengths = np.concatenate([np.zeros(1, np.uint32), *[np.frombuffer(x, np.uint32) for x in parts["lengths"]]])
-    offsets = np.cumsum(lengths, dtype=np.int64) * kind.itemsize
-    if offsets[-1] < 1 << 32:
-        offsets = offsets.astype(np.uint32)
-    return (hashes, offsets, b"".join(parts["ids"])), kind, bool(fits.all())
+    lengths = np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(x, np.uint32) for x in parts["lengths"]]]) * np.uint32(kind.itemsize)
+    ids = b"".join(parts["ids"])
+    del got, parts
+    order = np.argsort(hashes)
+    starts = np.cumsum(lengths, dtype=np.int64)
+    starts -= lengths
+    starts = starts[order].astype(np.uint32 if len(ids) < 1 << 32 else np.int64)
+    return (hashes[order], starts, lengths[order].astype(np.min_scalar_type(int(lengths.max(initial=0)))), ids), kind, bool(fits.all())
 
 
 def _any(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
