@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
@@ -24,6 +26,8 @@ SEED = 42
 MAX_LABELS = 10_000  # classes a target may have (their index is held on the driver)
 MAX_CATEGORIES = 100  # distinct texts of a feature up to which each is a category; more are hashed into that many
 TEST_SHARE = 0.2
+TASK_ROWS = (20_000, 500_000)  # rows of a training task: with fewer it costs more to start than to run, more would fill its memory
+TREES = ("random_forest", "gradient_boosting")  # read their rows once for every level of every tree
 
 
 def complete_rows(df: DataFrame, names: list[str]) -> DataFrame:
@@ -162,6 +166,19 @@ def stratified_split(df: DataFrame, target: str, share: float = TEST_SHARE, seed
     return train, test
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows spread evenly over the cores, for models that read them very often.
+
+    A pass takes as long as its longest task and a start for each, so neither a file that is one partition nor hundreds of
+    partitions after a shuffle will do. Rows are dealt one by one, so copies cannot crowd a task, and lie there in order. Few
+    rows stay as they are.
+    """
+    cores, n = rows.sparkSession.sparkContext.defaultParallelism, rows.count()
+    few, most = TASK_ROWS
+    parts = math.ceil(n / few) if n < few * cores else cores * math.ceil(n / (most * cores))
+    return rows.coalesce(cores) if parts < 2 else rows.repartition(parts).sortWithinPartitions(*rows.columns)
+
+
 def feature_stages(df: DataFrame, target: str, names: list[str] | None) -> tuple[list, list[str], DataFrame]:
     """Imputation, text indexes and assembly of all usable columns.
 
@@ -237,7 +254,8 @@ def fit_classifier(df: DataFrame, target: str, algorithm: str = "random_forest",
     if labels > 2 and algorithm in ("gradient_boosting", "linear_svm"):
         estimator = OneVsRest(classifier=estimator.setFeaturesCol("_features"))
     pipeline = _pipeline(stages, estimator, lambda **k: StandardScaler(withMean=False, withStd=True, **k))
-    train, test = [part.cache() for part in stratified_split(work, "_target")]
+    train, test = stratified_split(work, "_target")
+    train, test = (dealt(train) if algorithm in TREES else train).cache(), test.cache()
     return pipeline, pipeline.fit(train), used, train, test, labels
 
 
@@ -267,7 +285,8 @@ def fit_regressor(df: DataFrame, target: str, algorithm: str = "random_forest",
     work = work.withColumn("label", F.col("_target").cast("double")).drop("_target")
     pipeline = _pipeline(stages, REGRESSORS[algorithm](MAX_CATEGORIES + 2),
                          lambda **k: StandardScaler(withMean=False, withStd=True, **k))
-    train, test = [part.cache() for part in hash_split(work)]
+    train, test = hash_split(work)
+    train, test = (dealt(train) if algorithm in TREES else train).cache(), test.cache()
     return pipeline, pipeline.fit(train), used, train, test
 
 
@@ -322,8 +341,9 @@ def forecast_baseline(df: DataFrame, date: str, y: str, count: int = 12, partiti
     joined = table.join(sizes if keys else F.broadcast(sizes), on)
     early = F.col("position") <= F.floor(F.col("_n") * 0.8)
     inputs = [f"lag_{i}" for i in range(1, count + 1)]
-    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(joined.withColumn("_early", early))
-    vectors = vectors.select("features", F.col("y").alias("label"), "_early").cache()  # read by every boosting round
+    table = dealt(cut_lineage(joined.select(*inputs, F.col("y").alias("label"), early.alias("_early"))))
+    vectors = VectorAssembler(inputCols=inputs, outputCol="features").transform(table)
+    vectors = vectors.select("features", "label", "_early").cache()  # read by every boosting round
     model = GBTRegressor(maxIter=max_iter, stepSize=0.05, maxDepth=3, seed=SEED).fit(vectors.filter("_early"))
     scored = model.transform(vectors.filter(~F.col("_early")))
     gap = F.abs(F.col("label") - F.col("prediction"))

@@ -251,3 +251,24 @@ def test_only_candidates_are_shuffled(spark):
     assert found.count == 5000 and 10_000 <= candidates < 10_000 + 0.08 * 200_000
     assert counts.drop_duplicate_rows(df, found).count() == 195_000
     assert counts.duplicate_groups(df, "n", found).agg(F.sum("n")).first()[0] == 10_000
+
+
+# models that read their rows very often
+
+def test_training_rows_are_dealt_over_the_cores_and_lie_there_in_order(spark):
+    df = spark.range(100_000).select((F.col("id") % 7).alias("a"), F.col("id").cast("double").alias("b"))
+    for rows in (df.coalesce(1), df.repartition(60)):
+        got = models.dealt(rows)
+        sizes = [r["n"] for r in got.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert len(sizes) == 5 and max(sizes) < 1.1 * min(sizes)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.collect()))
+    assert models.dealt(df.coalesce(1)).collect() == models.dealt(df.coalesce(1)).collect()
+    assert models.dealt(df.limit(900).repartition(60)).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert models.dealt(df.limit(900).coalesce(1)).rdd.getNumPartitions() == 1
+
+
+def test_trees_train_on_rows_of_one_file_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setitem(models.REGRESSORS, "gradient_boosting", lambda b: models.GBTRegressor(maxIter=1, maxDepth=1, maxBins=b))
+    df = spark.range(60_000).coalesce(1).select((F.col("id") % 50).alias("a"), (F.col("id") % 7).cast("double").alias("y"))
+    _, _, _, train, test = models.fit_regressor(df, "y", "gradient_boosting")
+    assert train.rdd.getNumPartitions() > 1 and train.count() + test.count() == 60_000
