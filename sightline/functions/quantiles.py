@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, small_side
 from sightline.types import chunks, col, sql_lit, sql_num
 
 KEEP = 20_000  # rows of one bracket that may be listed by value
@@ -230,7 +230,7 @@ def grouped_quantiles(df: DataFrame, keys: list[str], value: Column, probs=(0.25
 
 
 def _meet(base: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
-    s, b = state.alias("s"), base.alias("b")
+    s, b = small_side(state).alias("s"), base.alias("b")
     on = [F.col(f"b.`{k}`").eqNullSafe(F.col(f"s.`{k}`")) for k in keys]
     return b.join(s, on).select("s.*", "b._x")
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.quantiles import exact_quantiles, grouped_quantiles
 from sightline.functions.tablestats import number_stats
+from sightline.session import cut_lineage, small_side
 from sightline.types import col, num, require, small_frame
 
 
@@ -81,9 +82,9 @@ def box_stats(df: DataFrame, name: str, by: str | None = None, k: float = 1.5) -
     if by:
         rows = df.select(col(by), x.alias("_x")).filter(col(by).isNotNull() & F.col("_x").isNotNull())
         quart = grouped_quantiles(rows, [by], F.col("_x"))
-        bounds = quart.select(col(by).alias("_g"), *[F.col("quantiles")[i].alias(q)
-                                                     for i, q in enumerate(("q1", "median", "q3"))])
-        joined = rows.join(bounds, col(by) == F.col("_g")).drop("_g")
+        bounds = cut_lineage(quart.select(col(by).alias("_g"), *[F.col("quantiles")[i].alias(q)
+                                                                 for i, q in enumerate(("q1", "median", "q3"))]))
+        joined = rows.join(small_side(bounds), col(by) == F.col("_g")).drop("_g")
         keys = [col(by), F.col("q1"), F.col("median"), F.col("q3")]
     else:
         q1, median, q3 = exact_quantiles(df, [name])[name]

@@ -5,6 +5,9 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SMALL_TABLE = 10_000  # rows of a table that every task may hold
 
 
 def build_session(master: str = "local[*]", partitions: int = 8, app: str = "sightline", **conf) -> SparkSession:
@@ -49,3 +52,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the scratch folder."""
     scratch_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """A checkpointed table, to be broadcast if it has few rows: what it is joined to then stays where it is, so that a key
+    which many rows share fills no task."""
+    return F.broadcast(df) if df.count() <= SMALL_TABLE else df

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sightline.functions import correlate, counts, ranks
+from sightline import session
+from sightline.functions import correlate, counts, quantiles, ranks
 from sightline.functions.normal import normal_quantile
 from sightline.operators import anomaly, correlation, distribution, hypothesis, models, quality
 from sightline.sources import load
@@ -272,3 +273,24 @@ def test_trees_train_on_rows_of_one_file_in_many_tasks(spark, monkeypatch):
     df = spark.range(60_000).coalesce(1).select((F.col("id") % 50).alias("a"), (F.col("id") % 7).cast("double").alias("y"))
     _, _, _, train, test = models.fit_regressor(df, "y", "gradient_boosting")
     assert train.rdd.getNumPartitions() > 1 and train.count() + test.count() == 60_000
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_hot_key_stay_where_they_are(spark, monkeypatch):
+    rows = spark.range(3000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40)).alias("g"),
+                                    ((F.col("id") * 7919) % 1009).cast("double").alias("x"))
+    state = rows.groupBy("g").agg(F.max("x").alias("top")).checkpoint()
+    assert "BroadcastHashJoin" in plan(quantiles._meet(rows.select("g", F.col("x").alias("_x")), state, ["g"]))
+    assert "SortMergeJoin" not in plan(distribution.box_stats(rows, "x", "g"))
+    hashes = rows.select(F.col("g").alias("key"), F.shiftrightunsigned(F.xxhash64("x"), 1).alias("h"))
+    wanted = rows.groupBy(F.col("g").alias("key")).agg((F.count("x") / 5).cast("bigint").alias("rank"))
+
+    def found():
+        return [sorted(map(tuple, df.collect())) for df in (distribution.box_stats(rows, "x", "g"), ranks.hash_ranks(hashes, wanted))]
+
+    few = found()
+    monkeypatch.setattr(session, "SMALL_TABLE", 0)  # as with very many groups
+    assert found() == few
