@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sightline.functions.counts import row_hash
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, small_side
 from sightline.types import col
 
 BLOCK = 200_000  # rows of one series that share a window task
@@ -67,7 +67,7 @@ def hash_ranks(hashes: DataFrame, ranks: DataFrame) -> DataFrame:
     for width in DIGITS:
         left -= width
         state = cut_lineage(known.select(F.col("key").alias("_key"), "rank", "cut", "below"))
-        inside = hashes.join(state, F.col("key").eqNullSafe(F.col("_key")) & (
+        inside = hashes.join(small_side(state), F.col("key").eqNullSafe(F.col("_key")) & (
             F.shiftright("h", left + width) == F.col("cut"))).drop("_key", "cut")
         counted = inside.groupBy("key", "rank", "below", F.shiftright("h", left).alias("cut")).agg(F.count(F.lit(1)).alias("ties"))
         upto = Window.partitionBy("key").orderBy("cut").rowsBetween(Window.unboundedPreceding, 0)
