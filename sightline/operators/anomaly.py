@@ -22,7 +22,7 @@ from sightline.types import num, numeric_names
 
 SEED = 42
 SUBSAMPLE = 256
-GRID_LIMIT = 8  # dimensions up to which DBSCAN cuts space into cells; beyond, points lie in a tree of boxes
+GRID_LIMIT = 3  # dimensions up to which DBSCAN cuts space into cells; beyond, a point has too many cells around it and lies in a tree of boxes
 GRID_AXES = 3  # axes by which cells are looked up; distances always use all of them
 
 
@@ -298,13 +298,18 @@ def _touching(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
     """(point, smallest point reached) over the links between two sets of points, without those that reach none smaller."""
     a, b = left.copy(), right.copy()
     some_a, some_b = near.any(axis=1), near.any(axis=0)
-    top = np.iinfo(np.int64).max
-    while True:
-        to_b = np.minimum(b, np.where(near, a[:, None], top).min(axis=0, initial=top))
-        to_a = np.minimum(a, np.where(near, to_b[None, :], top).min(axis=1, initial=top))
-        if (to_a == a).all() and (to_b == b).all():
-            break
-        a, b = to_a, to_b
+    todo_a, todo_b = some_a.copy(), some_b.copy()
+    while todo_a.any():  # one connected part after the other; every row and column is looked at once
+        new = np.zeros(len(a), dtype=bool)
+        new[todo_a.argmax()] = True
+        part_a, part_b = new.copy(), np.zeros(len(b), dtype=bool)
+        while new.any():
+            todo_a &= ~new
+            met = near[new].any(axis=0) & todo_b
+            todo_b &= ~met
+            new = near[:, met].any(axis=1) & todo_a
+            part_a, part_b = part_a | new, part_b | met
+        a[part_a] = b[part_b] = min(left[part_a].min(), right[part_b].min())
     return [(int(p), int(q)) for p, q in (*zip(left[some_a], a[some_a]), *zip(right[some_b], b[some_b])) if p != q]
 
 
@@ -481,14 +486,17 @@ def _nearest(q: np.ndarray, q_id: np.ndarray, need: np.ndarray, reach: np.ndarra
         part = slice(start, start + 500)
         dist = np.sqrt(space.squares(q[part], p))
         dist[(p_id[None, :] == q_id[part, None]) | (dist > reach[part, None])] = np.inf
-        ranked = np.argsort(dist, axis=1, kind="stable")[:, : int(max(need[part].max(), 1))]
-        for i, row in enumerate(ranked):
+        most = min(int(max(need[part].max(), 1)), len(p))
+        last = np.partition(dist, most - 1, axis=1)[:, most - 1]  # only what is as near as that is put in order
+        for i, row in enumerate(dist):
             near, have = [], 0
-            for j in row:
-                if have >= need[start + i] or not np.isfinite(dist[i, j]):
+            close = np.flatnonzero(np.isfinite(row) & (row <= last[i]))
+            close = close[np.argsort(row[close], kind="stable")]
+            for d, j, w in zip(row[close].tolist(), p_id[close].tolist(), p_w[close].tolist()):
+                if have >= need[start + i]:
                     break
-                near.append((float(dist[i, j]), int(p_id[j]), int(p_w[j])))
-                have += int(p_w[j])
+                near.append((d, j, w))
+                have += w
             out.append(near)
     return out
 

@@ -102,3 +102,28 @@ def test_dense_region_is_few_pairs(spark):
     points = spark.createDataFrame([(i, 1, list(map(float, r))) for i, r in enumerate(x)], "pid bigint, w bigint, x array<double>")
     full, opened = space.pairs_within(space.grow(points, 10, most=50), 1.0)
     assert full.count() + opened.where("a_node <> b_node").count() < 400
+
+
+def test_five_columns_are_clustered_by_the_tree(spark, monkeypatch):
+    rows = [(i, *map(float, r)) for i, r in enumerate(np.random.default_rng(5).normal(size=(120, 5)))]
+    df, names, used, tree = spark.createDataFrame(rows, "i int, a double, b double, c double, d double, e double"), list("abcde"), [], anomaly._tree_clusters
+    monkeypatch.setattr(anomaly, "_tree_clusters", lambda *x: used.append(len(x[1])) or tree(*x))
+    found = anomaly.dbscan(df, names, eps=1.0, min_samples=4, scale=False, with_core=True).collect()
+    x = np.array([r[1:] for r in sorted(rows)])
+    near = ((x[:, None] - x[None]) ** 2).sum(axis=2) <= 1.0
+    core = near.sum(axis=1) >= 4
+    assert used == [5] and [r["core"] for r in sorted(found, key=lambda r: r["i"])] == core.tolist()
+    assert [r["cluster"] >= 0 for r in sorted(found, key=lambda r: r["i"])] == (near & core).any(axis=1).tolist()
+
+
+def test_links_between_leaves_by_parts():
+    near = np.array([[1, 0, 0, 0], [1, 1, 0, 0], [0, 0, 0, 1], [0, 0, 0, 0]], dtype=bool)
+    got = anomaly._touching(near, np.array([9, 3, 5, 1]), np.array([4, 8, 2, 7]))
+    assert sorted(got) == [(4, 3), (7, 5), (8, 3), (9, 3)]
+
+
+def test_equally_near_points_come_by_id():
+    p = np.array([[0.0], [1.0], [1.0], [1.0], [2.0]])
+    ids = np.array([5, 9, 3, 7, 1])
+    got = anomaly._nearest(p[:1], ids[:1], np.array([2]), np.array([np.inf]), p, ids, np.ones(5, int))
+    assert got == [[(1.0, 3, 1), (1.0, 7, 1)]]
