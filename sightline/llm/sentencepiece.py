@@ -165,67 +165,73 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-# an edge of the lattice is one long: end (11 bits), start (11), cost (22), id + 1 (17; 0 is a character without a piece), so
-# that edges sort by end and then by start
-_END, _START, _COST = 50, 39, 17
+# an edge of the lattice is one long: end (11 bits), cost (22), start (11), id + 1 (17; 0 is a character without a piece), so
+# that edges sort by end; the best way to a boundary is one, too: the cost so far (32 bits), and start and id of its last edge
+_END, _COST, _START = 50, 28, 17
 
 
-def _part(edge: Column, at: int, bits: int) -> Column:
-    return F.shiftright(edge, at).bitwiseAND(F.lit((1 << bits) - 1))
+def _ones(bits: int) -> Column:
+    return F.lit((1 << bits) - 1).cast("bigint")
 
 
-def _end(edge: Column) -> Column:
-    return F.shiftright(edge, _END)
+def _start(way: Column) -> Column:
+    return F.shiftright(way, _START).bitwiseAND(_ones(_COST - _START)).cast("int")
 
 
-def _start(edge: Column) -> Column:
-    return _part(edge, _START, 11)
+def _number(way: Column) -> Column:
+    return (way.bitwiseAND(_ones(_START)) - 1).cast("int")
 
 
 def best_path(edges: Column) -> Column:
-    """The edges along the cheapest path, from sorted edges; of equal paths, the one with the longer last piece.
+    """The last edges along the cheapest path, from sorted edges; of equal paths, the one with the longer last piece.
 
-    The fold keeps the cheapest edge to the boundary being reached, and cost and edge of all earlier boundaries.
+    The fold keeps one way per boundary reached so far, each place of the array being its boundary. Less is better in all
+    of a way's parts: less cost, then an earlier start. Every character has an edge, so no boundary is left out.
     """
-    def step(acc: Column, e: Column) -> Column:
-        before = F.when(_start(e) == acc["end"], acc["cost"]).otherwise(F.get(acc["costs"], _start(e).cast("int")))
-        cost = before + _part(e, _COST, 22)
-        state = lambda end, costs, edges: F.struct(end.alias("end"), cost.alias("cost"), e.alias("edge"), costs.alias("costs"),
-                                                   edges.alias("edges"))
-        return (F.when(_end(e) > acc["end"], state(_end(e), F.concat(acc["costs"], F.array(acc["cost"])),
-                                                   F.concat(acc["edges"], F.array(acc["edge"]))))
-                .when(cost < acc["cost"], state(acc["end"], acc["costs"], acc["edges"])).otherwise(acc))
-
-    none, zero = F.expr("array()").cast("array<bigint>"), F.lit(0).cast("bigint")
-    start = F.struct(zero.alias("end"), zero.alias("cost"), zero.alias("edge"), none.alias("costs"), none.alias("edges"))
-
-    def trace(last: Column) -> Column:
-        ways = F.concat(F.array(last["edge"]), F.reverse(last["edges"]))  # the last boundary's first, at the end a nought
-
-        def back(acc: Column, way: Column) -> Column:
-            return F.when(_end(way) == acc["at"], F.struct(_start(way).alias("at"), F.concat(F.array(way), acc["path"]).alias("path"))
+    def step(ways: Column, e: Column) -> Column:
+        end = F.shiftright(e, _END).cast("int")
+        so_far = F.get(ways, _start(e)).bitwiseAND(F.lit(-1 << _COST).cast("bigint"))
+        way = so_far + e.bitwiseAND(_ones(_END))
+        return (F.when(F.size(ways) <= end, F.concat(ways, F.array(way)))
+                .when(way < F.get(ways, end), F.concat(F.slice(ways, F.lit(1), end), F.array(way))).otherwise(ways))
+
+    def trace(ways: Column) -> Column:
+        def back(acc: Column, end: Column) -> Column:
+            way = F.get(ways, end)
+            return F.when(end == acc["at"], F.struct(_start(way).alias("at"), F.concat(F.array(way), acc["path"]).alias("path"))
                           ).otherwise(acc)
-        return F.aggregate(F.slice(ways, 1, F.size(last["edges"])), F.struct(last["end"].alias("at"), none.alias("path")), back,
+        last = F.size(ways) - 1
+        return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), F.struct(last.alias("at"), none.alias("path")), back,
                            lambda acc: acc["path"])
 
-    return F.aggregate(edges, start, step, trace)
+    none = F.expr("array()").cast("array<bigint>")
+    return F.aggregate(edges, F.array(F.lit(0).cast("bigint")), step, trace)
+
+
+def _hash(text: str) -> Column:
+    return F.xxhash64(text)
 
 
 def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """word, n, path: the lattice edges of the best path through every distinct word; of words over ``LONGEST`` characters only
     those of the first character, to keep their row."""
     spark = words.sparkSession
-    table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score bigint"))  # the fixed vocabulary
+    table = F.broadcast(spark.createDataFrame(pieces.rows, "known string, id int, score bigint")  # the fixed vocabulary
+                        .select(_hash("known").alias("hash"), "known", "id", "score"))
     subs = (words.select("word", "n", F.length("word").alias("chars"))
             .select("*", F.explode(F.sequence(F.lit(0), F.when(F.col("chars") > LONGEST, 0).otherwise(F.col("chars") - 1))).alias("start"))
             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))).alias("len"))
-            .select("word", "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece")))
-    edge = (F.call_function("shiftleft", (F.col("start") + F.col("len")).cast("bigint"), F.lit(_END))
-            .bitwiseOR(F.call_function("shiftleft", F.col("start").cast("bigint"), F.lit(_START)))
-            .bitwiseOR(F.call_function("shiftleft", -F.coalesce("score", F.lit(pieces.unknown)).cast("bigint"), F.lit(_COST)))
-            .bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("bigint")))
-    edges = (subs.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("len") == 1))
-             .select("word", "n", edge.alias("edge")))
+            .select("word", "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece"))
+            .withColumn("hash", _hash("piece")))
+    # looked up by hash, which is much quicker than by text; the texts decide. Should pieces share a hash, a character may have an
+    # edge without a piece besides its own, which costs more and is never taken
+    same = F.col("piece") == F.col("known")
+    left = lambda number, bits: F.call_function("shiftleft", number.cast("bigint"), F.lit(bits))
+    edge = (left(F.col("start") + F.col("len"), _END)
+            .bitwiseOR(left(-F.when(same, F.col("score")).otherwise(pieces.unknown), _COST))
+            .bitwiseOR(left(F.col("start"), _START))
+            .bitwiseOR(F.when(same, F.col("id") + 1).otherwise(0).cast("bigint")))
+    edges = subs.join(table, "hash", "left").where(same | (F.col("len") == 1)).select("word", "n", edge.alias("edge"))
     return edges.groupBy("word", "n").agg(best_path(F.sort_array(F.collect_list("edge"))).alias("path"))
 
 
@@ -234,14 +240,13 @@ def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
     table = F.array(*[F.lit(i) for i in pieces.byte_ids])
 
     def spelled(edge: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("word"), _start(edge).cast("int") + 1, F.lit(1)), "UTF-8"))
+        code = F.hex(F.encode(F.substring(F.col("word"), _start(edge) + 1, F.lit(1)), "UTF-8"))
         return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(
             table, F.conv(F.substring(code, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
 
-    number = lambda edge: (_part(edge, 0, 17) - 1).cast("int")
-    ids = F.when(F.exists("path", lambda e: number(e) < 0), F.flatten(F.transform(
-        "path", lambda e: F.when(number(e) < 0, spelled(e)).otherwise(F.array(number(e)))))).otherwise(
-        F.transform("path", number))
+    ids = F.when(F.exists("path", lambda e: _number(e) < 0), F.flatten(F.transform(
+        "path", lambda e: F.when(_number(e) < 0, spelled(e)).otherwise(F.array(_number(e)))))).otherwise(
+        F.transform("path", _number))
     return words.select("word", "n", F.when(F.length("word") <= LONGEST, ids).alias("ids"))
 
 

@@ -116,3 +116,12 @@ def test_returned_ids_are_decoded(spark, pieces, monkeypatch):
 def test_empty_table(spark, pieces):
     docs = spark.createDataFrame([], SCHEMA)
     assert sp.round_trip(docs, pieces).count() == 0
+
+
+def test_pieces_that_share_a_hash(spark, pieces, monkeypatch):
+    """Substrings are looked up by hash, but what they are is decided by their text."""
+    monkeypatch.setattr(sp, "_hash", lambda text: sp.F.pmod(sp.F.xxhash64(text), sp.F.lit(4096)))
+    rows = [(1, "the quick brown fox, again"), (2, "日本語 💩é̀ zq"), (3, "aaaa" * 9), (4, "x")]
+    texts = dict(rows)
+    got = run(spark, rows, pieces)
+    assert {r.id: list(r.ids) for r in got} == {i: viterbi(t, pieces) for i, t in texts.items()}
