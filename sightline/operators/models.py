@@ -219,7 +219,7 @@ CLASSIFIERS = {"random_forest": lambda b: RandomForestClassifier(numTrees=100, m
                # normal densities per class: values outside the range seen in training are no fault
                "naive_bayes": lambda b: NaiveBayes(modelType="gaussian")}
 REGRESSORS = {"linear": lambda b: LinearRegression(),
-              "random_forest": lambda b: RandomForestRegressor(numTrees=100, maxDepth=10, maxBins=b, seed=SEED),
+              "random_forest": lambda b: RandomForestRegressor(numTrees=100, maxDepth=10, maxBins=b, seed=SEED, cacheNodeIds=True),
               "gradient_boosting": lambda b: GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.1, maxBins=b, seed=SEED)}
 
 

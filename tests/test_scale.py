@@ -294,3 +294,13 @@ def test_rows_of_a_hot_key_stay_where_they_are(spark, monkeypatch):
     few = found()
     monkeypatch.setattr(session, "SMALL_TABLE", 0)  # as with very many groups
     assert found() == few
+
+
+def test_forest_keeps_the_nodes_of_its_rows(spark):
+    """Rows are not led through every tree anew at each level, and the trees are those that would be found without."""
+    df = spark.range(400).select("id", F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), (F.col("id") % 7 * 3.0 + F.col("id")).alias("y"))
+    pipeline, model, _, train, _ = models.fit_regressor(df, "y", "random_forest")
+    forest = pipeline.getStages()[-1]
+    assert forest.getCacheNodeIds()
+    plain = pipeline.copy({forest.cacheNodeIds: False}).fit(train)
+    assert plain.stages[-1].toDebugString.split("\n")[1:] == model.stages[-1].toDebugString.split("\n")[1:]
