@@ -1,10 +1,10 @@
 """SentencePiece encoding as a relational lattice, and decoding.
 
 Texts are cut into words where no piece reaches across. Every distinct word of the corpus is encoded once: its substrings
-up to the longest piece are exploded, equi-joined to the piece table, grouped by word as lattice edges, and the best path
-is found by a Viterbi fold with Spark's ``aggregate``. Texts are then put together from their words' ids: the words most
+up to the longest piece are exploded and equi-joined to the piece table, which gives the edges of its lattice. They go on as they
+come, word by word, and the best paths of some thousand words at a time are found by Viterbi in the task. Texts are then put together from their words' ids: the words most
 often met, up to a fixed number, are broadcast; documents with any other word get those by a join. A word is never cut: one
-too long for the packed edges, such as a page without blanks, has the same fold done over it in Python.
+too long for the packed edges, such as a page without blanks, has its path found by itself.
 
 The scores of a unigram model are log-probabilities and are used as they are. Those of a merge (BPE) model are negated
 merge ranks, whose sums mean nothing, so a piece of rank r counts as -log(r + 2) - 5: the path found is the best one under
@@ -165,56 +165,19 @@ def count_words(docs: DataFrame, pieces: Pieces, text_col: str = "text") -> Data
             .groupBy("word").agg(F.sum("n").alias("n")))
 
 
-# an edge of the lattice is one long: end (11 bits), cost (22), start (11), id + 1 (17; 0 is a character without a piece), so
-# that edges sort by end; the best way to a boundary is one, too: the cost so far (32 bits), and start and id of its last edge
+# an edge of the lattice is one long: end (11 bits), cost (22), start (11), id + 1 (17; 0 is a character without a piece); the best
+# way to a boundary is one, too: the cost so far, and start and id of its last edge
 _END, _COST, _START = 50, 28, 17
-
-
-def _ones(bits: int) -> Column:
-    return F.lit((1 << bits) - 1).cast("bigint")
-
-
-def _start(way: Column) -> Column:
-    return F.shiftright(way, _START).bitwiseAND(_ones(_COST - _START)).cast("int")
-
-
-def _number(way: Column) -> Column:
-    return (way.bitwiseAND(_ones(_START)) - 1).cast("int")
-
-
-def best_path(edges: Column) -> Column:
-    """The last edges along the cheapest path, from sorted edges; of equal paths, the one with the longer last piece.
-
-    The fold keeps one way per boundary reached so far, each place of the array being its boundary. Less is better in all
-    of a way's parts: less cost, then an earlier start. Every character has an edge, so no boundary is left out.
-    """
-    def step(ways: Column, e: Column) -> Column:
-        end = F.shiftright(e, _END).cast("int")
-        so_far = F.get(ways, _start(e)).bitwiseAND(F.lit(-1 << _COST).cast("bigint"))
-        way = so_far + e.bitwiseAND(_ones(_END))
-        return (F.when(F.size(ways) <= end, F.concat(ways, F.array(way)))
-                .when(way < F.get(ways, end), F.concat(F.slice(ways, F.lit(1), end), F.array(way))).otherwise(ways))
-
-    def trace(ways: Column) -> Column:
-        def back(acc: Column, end: Column) -> Column:
-            way = F.get(ways, end)
-            return F.when(end == acc["at"], F.struct(_start(way).alias("at"), F.concat(F.array(way), acc["path"]).alias("path"))
-                          ).otherwise(acc)
-        last = F.size(ways) - 1
-        return F.aggregate(F.sequence(last, F.lit(1), F.lit(-1)), F.struct(last.alias("at"), none.alias("path")), back,
-                           lambda acc: acc["path"])
-
-    none = F.expr("array()").cast("array<bigint>")
-    return F.aggregate(edges, F.array(F.lit(0).cast("bigint")), step, trace)
+LATTICE_ROWS = 200_000  # edges that one pass of ``best_paths`` takes
 
 
 def _hash(text: str) -> Column:
     return F.xxhash64(text)
 
 
-def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, n, path: the lattice edges of the best path through every distinct word; of words over ``LONGEST`` characters only
-    those of the first character, to keep their row."""
+def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, n, edge: a row per edge of every word's lattice. The rows of a word lie together, as they were exploded; only the first
+    has word and n, the others null. Words over ``LONGEST`` characters have the edges of their first character only."""
     spark = words.sparkSession
     table = F.broadcast(spark.createDataFrame(pieces.rows, "known string, id int, score bigint")  # the fixed vocabulary
                         .select(_hash("known").alias("hash"), "known", "id", "score"))
@@ -223,35 +186,109 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
             .select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("chars") - F.col("start")))).alias("len"))
             .select("word", "n", "start", "len", F.expr("substring(word, start + 1, len)").alias("piece"))
             .withColumn("hash", _hash("piece")))
-    # looked up by hash, which is much quicker than by text; the texts decide. Should pieces share a hash, a character may have an
-    # edge without a piece besides its own, which costs more and is never taken
-    same = F.col("piece") == F.col("known")
+    # looked up by hash, which is much quicker than by text; the texts decide, as a condition beside the key
+    found = subs.join(table, (subs["hash"] == table["hash"]) & F.col("known").between(F.col("piece"), F.col("piece")), "left")
     left = lambda number, bits: F.call_function("shiftleft", number.cast("bigint"), F.lit(bits))
     edge = (left(F.col("start") + F.col("len"), _END)
-            .bitwiseOR(left(-F.when(same, F.col("score")).otherwise(pieces.unknown), _COST))
+            .bitwiseOR(left(-F.coalesce("score", F.lit(pieces.unknown)), _COST))
             .bitwiseOR(left(F.col("start"), _START))
-            .bitwiseOR(F.when(same, F.col("id") + 1).otherwise(0).cast("bigint")))
-    edges = subs.join(table, "hash", "left").where(same | (F.col("len") == 1)).select("word", "n", edge.alias("edge"))
-    return edges.groupBy("word", "n").agg(best_path(F.sort_array(F.collect_list("edge"))).alias("path"))
+            .bitwiseOR(F.coalesce(F.col("id") + 1, F.lit(0)).cast("bigint")))
+    first = (F.col("start") == 0) & (F.col("len") == 1)
+    return found.where(F.col("id").isNotNull() | (F.col("len") == 1)).select(
+        F.when(first, F.col("word")).alias("word"), F.when(first, F.col("n")).alias("n"), edge.alias("edge"))
+
 
+def best_paths(edges: np.ndarray, bounds: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids (-1 for a character without a piece) and starts of the pieces along the cheapest path of each word, one word after
+    another, and the words' bounds in them. The edges of word i are ``edges[bounds[i]:bounds[i + 1]]``, in any order.
 
-def _with_bytes(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """word, n, ids: characters without a piece become the ids of their UTF-8 bytes. Null for words over ``LONGEST``."""
-    table = F.array(*[F.lit(i) for i in pieces.byte_ids])
+    All words at once, boundary by boundary. Less is better in all of a way's parts: less cost, then an earlier start, so of equal
+    paths it is the one with the longer last piece. Every character has an edge, so every boundary is reached.
+    """
+    base = np.cumsum(chars + 1) - chars - 1  # the place of each word's boundary 0
+    order = np.argsort((edges >> _END).astype(np.uint16), kind="stable")  # by boundary, then by word
+    word, edges = np.repeat(np.arange(len(chars)), np.diff(bounds))[order], edges[order]
+    ends, cost = edges >> _END, edges & ((1 << _END) - 1)
+    origin = base[word] + ((cost >> _START) & ((1 << (_COST - _START)) - 1))
+    ways = np.zeros(int(chars.sum()) + len(chars), np.int64)
+    levels, reached = np.searchsorted(ends, np.arange(1, int(chars.max(initial=0)) + 2)), 0
+    for end, (a, b) in enumerate(zip(levels, levels[1:]), 1):
+        of = word[a:b]
+        firsts = np.flatnonzero(np.diff(of, prepend=-1))
+        reached += len(firsts)
+        if not len(firsts):
+            break
+        ways[base[of[firsts]] + end] = np.minimum.reduceat((ways[origin[a:b]] & (-1 << _COST)) + cost[a:b], firsts)
+    if reached != chars.sum():
+        raise RuntimeError("a word's edges are not together")
+    # back along the paths, all words a piece at a time
+    live, at, steps = np.flatnonzero(chars > 0), chars[chars > 0], []
+    sizes = np.zeros(len(chars), np.int64)
+    while len(live):
+        way = ways[base[live] + at]
+        at = (way >> _START) & ((1 << (_COST - _START)) - 1)
+        sizes[live] += 1
+        steps.append((live, (way & ((1 << _START) - 1)) - 1, at))
+        live, at = live[at > 0], at[at > 0]
+    stops = np.cumsum(sizes)
+    ids, starts = np.empty(int(sizes.sum()), np.int32), np.empty(int(sizes.sum()), np.int32)
+    for back, (of, number, start) in enumerate(steps, 1):
+        ids[stops[of] - back], starts[stops[of] - back] = number, start
+    return ids, starts, np.concatenate([[0], stops])
 
-    def spelled(edge: Column) -> Column:
-        code = F.hex(F.encode(F.substring(F.col("word"), _start(edge) + 1, F.lit(1)), "UTF-8"))
-        return F.transform(F.sequence(F.lit(0), (F.length(code) / 2).cast("int") - 1), lambda k: F.get(
-            table, F.conv(F.substring(code, (2 * k + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
 
-    ids = F.when(F.exists("path", lambda e: _number(e) < 0), F.flatten(F.transform(
-        "path", lambda e: F.when(_number(e) < 0, spelled(e)).otherwise(F.array(_number(e)))))).otherwise(
-        F.transform("path", _number))
-    return words.select("word", "n", F.when(F.length("word") <= LONGEST, ids).alias("ids"))
+def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
+    """word, n, ids of every distinct word; characters without a piece become the ids of their UTF-8 bytes. Ids are null for words
+    over ``LONGEST`` characters."""
+    byte_ids = pieces.byte_ids
+
+    def solved(rows: pa.Table) -> pa.RecordBatch:
+        edges = rows.column("edge").to_numpy()
+        firsts = np.flatnonzero(rows.column("word").is_valid().to_numpy())
+        held = rows.take(pa.array(firsts)).combine_chunks()
+        chars = pc.utf8_length(held.column("word")).to_numpy().astype(np.int64)
+        bounds, fits = np.append(firsts, len(edges)), chars <= LONGEST
+        if not fits.all():
+            edges = edges[np.repeat(fits, np.diff(bounds))]
+            bounds = np.concatenate([[0], np.cumsum(np.diff(bounds)[fits])])
+        ids, starts, at = best_paths(edges, bounds, chars[fits])
+        lost = np.flatnonzero(ids < 0)
+        if len(lost):
+            texts = held.column("word").filter(pa.array(fits)).take(pa.array(np.searchsorted(at, lost, side="right") - 1)).to_pylist()
+            spelt = [[byte_ids[b] for b in w[k].encode("utf-8", "replace")] for w, k in zip(texts, starts[lost].tolist())]
+            sizes = np.ones(len(ids), np.int64)
+            sizes[lost] = [len(x) for x in spelt]
+            known, ids = ids, np.repeat(ids, sizes)
+            ids[np.repeat(known < 0, sizes)] = [i for x in spelt for i in x]
+            at = np.concatenate([[0], np.cumsum(sizes)])[at]
+        offsets = np.zeros(len(chars) + 1, np.int32)
+        offsets[1:][fits] = at[1:]
+        offsets = np.maximum.accumulate(offsets)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32)), mask=pa.array(~fits))
+        return pa.RecordBatch.from_arrays([held.column("word").combine_chunks(), held.column("n").combine_chunks(), lists],
+                                          names=["word", "n", "ids"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, count = [], 0
+        for batch in batches:
+            held.append(batch)
+            count += batch.num_rows
+            if count < LATTICE_ROWS:
+                continue
+            rows = pa.Table.from_batches(held)
+            last = int(np.flatnonzero(rows.column("word").is_valid().to_numpy())[-1])  # the word begun last may go on
+            held, count = rows.slice(last).to_batches(), rows.num_rows - last
+            if last:
+                yield solved(rows.slice(0, last))
+        if count:
+            yield solved(pa.Table.from_batches(held))
+        give_back()
+
+    return lattice(words, pieces).mapInArrow(run, "word string, n bigint, ids array<int>")
 
 
 def whole_path(word: str, table: dict[str, tuple[int, int]], longest: int, unknown: int, byte_ids: tuple[int, ...]) -> list[int]:
-    """The ids along the best path through a word of any length, by the rules of ``best_path``."""
+    """The ids along the best path through a word of any length, by the rules of ``best_paths``."""
     scores, starts, pieces = array("q", [0]), array("q", [0]), array("i", [0])
     lost = (-1, unknown)
     for end in range(1, len(word) + 1):
@@ -380,7 +417,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     """
     pieces = pieces or load()
     spark = docs.sparkSession
-    words = written(_with_bytes(encode_words(count_words(docs, pieces, text_col), pieces), pieces))
+    words = written(encode_words(count_words(docs, pieces, text_col), pieces))
     words = words.where("ids is not null").unionByName(written(whole_paths(words.where("ids is null"), pieces)))
     table, kind, all_held = _table(words, table_words, pieces)
     shared = spark.sparkContext.broadcast((pieces.pattern, *table, pieces.texts))
@@ -389,7 +426,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, id_col: str = "doc_id"
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of texts all of whose words are known, from the table or from column extra; others give no row."""
         *known_words, spelling = shared.value
-        known = _Known(*known_words)
+        known, spelling = _Known(*known_words), pa.array(spelling, pa.large_binary())
         for batch in batches:
             more = {}
             if batch.num_columns > 2:
@@ -463,11 +500,25 @@ def decoded(ids: np.ndarray, spelling: tuple[bytes, ...]) -> str:
     return spelled(ids, spelling).decode("utf-8", "replace")
 
 
-def come_back(texts: pa.Array, lists: pa.ListArray, spelling: tuple[bytes, ...]) -> pa.Array:
-    """Whether each whole text is what its own ids decode to; a null text counts as empty."""
-    flat, ends = lists.values.to_numpy(), lists.offsets.to_pylist()
-    whole = texts.cast(pa.binary()).to_pylist()
-    return pa.array([spelled(flat[a:b], spelling) == (text or b"") for text, a, b in zip(whole, ends, ends[1:])], pa.bool_())
+def come_back(texts: pa.Array, lists: pa.ListArray, spelling: pa.Array) -> pa.Array:
+    """Whether each whole text is what its own ids decode to; a null text counts as empty. The pieces of all lists are spelled one
+    behind the other by Arrow, and every text is compared with its stretch, which has a blank more in front."""
+    told, ends = _bytes(spelling.take(lists.values)), lists.offsets.to_numpy()
+    own = _bytes(pc.fill_null(texts, "").cast(pa.large_binary()))
+    stops = told[1][ends]
+    starts = np.minimum(stops[:-1] + 1, stops[1:])
+    same = stops[1:] - starts == np.diff(own[1])
+    for k in np.flatnonzero(same).tolist():
+        a, b = int(own[1][k]), int(starts[k])
+        same[k] = np.array_equal(own[0][a:int(own[1][k + 1])], told[0][b:int(stops[k + 1])])
+    return pa.array(same)
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large binary values without nulls, one behind the other, and their bounds."""
+    _, bounds, data = values.buffers()
+    return (np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8),
+            np.frombuffer(bounds, np.int64)[values.offset:values.offset + len(values) + 1] if len(values) else np.zeros(1, np.int64))
 
 
 def decode(encoded: DataFrame, pieces: Pieces | None = None, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

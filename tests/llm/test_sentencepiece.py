@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece as library
 from pyspark import cloudpickle
@@ -125,3 +127,43 @@ def test_pieces_that_share_a_hash(spark, pieces, monkeypatch):
     texts = dict(rows)
     got = run(spark, rows, pieces)
     assert {r.id: list(r.ids) for r in got} == {i: viterbi(t, pieces) for i, t in texts.items()}
+
+
+def test_lattice_is_neither_sorted_nor_held(spark, pieces):
+    """Edges go from the join to the paths as they come: gathering them by word filled the executors."""
+    words = spark.createDataFrame([("▁again", 1), ("▁zq", 2)], "word string, n bigint")
+    plan = sp.encode_words(words, pieces)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Sort" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("rows", [1, 40, 10_000])
+def test_words_that_lie_across_batches(spark, pieces, monkeypatch, rows):
+    monkeypatch.setattr(sp, "LATTICE_ROWS", rows)
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("estaonr,é日💩") for _ in range(rng.randint(1, 30))) for _ in range(300)] + ["x" * 1024, "y" * 1025, "z" * 1030]
+    words = spark.createDataFrame([(sp.SPACE + t, k) for k, t in enumerate(texts)], "word string, n bigint").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    cloudpickle.register_pickle_by_value(sp)
+    try:
+        got = {r.n: r.ids for r in sp.encode_words(words, pieces).collect()}
+    finally:
+        cloudpickle.unregister_pickle_by_value(sp)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {k: None if len(t) >= sp.LONGEST else viterbi(t, pieces) for k, t in enumerate(texts)}
+
+
+def test_edges_that_are_not_together_are_an_error():
+    one, two = (1 << sp._END) + (5 << sp._COST) + 1, (2 << sp._END) + (5 << sp._COST) + (1 << sp._START) + 1
+    ids, starts, at = sp.best_paths(np.array([two, one, one]), np.array([0, 2, 3]), np.array([2, 1]))
+    assert (ids.tolist(), starts.tolist(), at.tolist()) == ([0, 0, 0], [0, 1, 0], [0, 2, 3])
+    with pytest.raises(RuntimeError):
+        sp.best_paths(np.array([two, one]), np.array([0, 1, 2]), np.array([2, 1]))
+
+
+def test_every_text_is_compared_with_its_own_pieces():
+    spelling = pa.array([b"", b" a", b"b", b"\xc3", b"\xa9", b" "], pa.large_binary())
+    lists = pa.array([[1, 2], [], [1, 3, 4], [], [1], [5, 2], [1, 2]], pa.list_(pa.int32()))
+    texts = pa.array(["ab", None, "aé", "x", "", "b", "ba"])
+    assert sp.come_back(texts, lists, spelling).to_pylist() == [True, True, True, False, False, True, False]
+    assert sp.come_back(texts.slice(0, 0), lists.slice(0, 0), spelling).to_pylist() == []
