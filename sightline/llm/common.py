@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import math
 import uuid
 
 import pyarrow as pa
@@ -47,6 +48,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+FILE_ROWS = 5_000  # rows that a file of a small table may hold at least
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, which has ``rows`` rows at most, in no more partitions than they fill.
+
+    A few thousand rows out of hundreds of shuffle partitions are hundreds of files, and on a local file system Hadoop starts a
+    process for each, which shares the executor's memory for a moment and so counts it twice. A large table stays as it is.
+    """
+    return df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}

@@ -15,13 +15,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import ascii_lower, col, keyed, written
+from sightline.llm.common import ascii_lower, col, few_files, keyed, written
 
 WINDOW = 13
 GRAM = 8
 MIN_SHARE = 20  # contaminated from one hit word in twenty
 MAX_TABLE_BITS = 1 << 22  # 512 kB in the plan; a fuller table only lets more windows into the join
 BROADCAST_WINDOWS = 200_000  # benchmark windows (some 100 bytes each) up to which the join is a broadcast join
+BROADCAST_HITS = 200_000  # hit documents and their items (some 30 bytes each) up to which documents are not shuffled
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -91,6 +92,11 @@ def _runs(at: Column, prints: str, n: int) -> Column:
                                               F.array_join(F.slice("words", i + 1, n), " ").alias("span")))
 
 
+def _entries(column: str) -> Column:
+    """All entries of a column of lists of fingerprints, 0 without rows."""
+    return F.coalesce(F.sum(F.size(F.col(f"{column}.fp"))), F.lit(0)).alias(column)
+
+
 def _equal_ahead(a: Column, b: Column) -> Column:
     """How many words two lists have in common from their start."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
@@ -134,7 +140,8 @@ def _table_test(prints: DataFrame, most: int):
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM,
-                  table_bits: int = MAX_TABLE_BITS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+                  table_bits: int = MAX_TABLE_BITS, broadcast_windows: int = BROADCAST_WINDOWS,
+                  broadcast_hits: int = BROADCAST_HITS) -> DataFrame:
     """id, n_words, n_hit, items (ids as sorted strings), n_items, contaminated: one row per row of ``docs``.
 
     A document word is hit inside any occurrence of a benchmark window. Null and empty texts have no words and no hits;
@@ -154,7 +161,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     whole = held.select(F.inline("short")).select("fp", F.col("span").alias("known")).distinct()
     known = held.select("item", F.explode("spans").alias("span")).unionByName(
         held.select("item", F.inline("short")).select("item", "span")).distinct()
-    marks, whole = written(marks), written(whole)
+    windows = held.agg(_entries("chosen"), _entries("short")).first()
+    marks, whole = written(few_files(marks, windows.chosen)), written(few_files(whole, windows.short))
     prints = marks.select("fp").unionByName(whole.select("fp")).distinct()
     if marks.count() + whole.count() <= broadcast_windows:
         marks, whole = F.broadcast(marks), F.broadcast(whole)
@@ -175,13 +183,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     reach = F.aggregate("places", F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n")),
                         lambda acc, p: F.struct(F.greatest(acc["end"], p["at"] + p["len"]).alias("end"),
                                                 acc["n"] + F.greatest(F.lit(0), p["at"] + p["len"] - F.greatest(acc["end"], p["at"]))))
-    hits = written(hits.select("row", reach["n"].alias("n_hit"), "windows",
-                               F.sha2(F.array_join(F.transform("windows", lambda x: x.cast("string")), ","), 256).alias("set")))
+    met = base.agg(_entries("chosen"), _entries("short")).first()
+    hits = written(few_files(hits.select(
+        "row", reach["n"].alias("n_hit"), "windows",
+        F.sha2(F.array_join(F.transform("windows", lambda x: x.cast("string")), ","), 256).alias("set")), met.chosen + met.short))
     # documents with the same windows have the same items, so copies of a document are resolved once
     sets = (hits.groupBy("set").agg(F.first("windows").alias("windows")).select("set", F.explode("windows").alias("window"))
             .join(known.select("item", F.xxhash64("span").alias("window")), "window")
             .groupBy("set").agg(F.array_sort(F.collect_set("item")).alias("items")))
-    got = base.drop("short", "chosen").join(hits.select("row", "n_hit", "set").join(sets, "set", "left"), "row", "left")
+    found = written(few_files(hits.join(sets, "set", "left").select("row", "n_hit", "items"), hits.count()))
+    size = found.agg(F.count("row") + F.coalesce(F.sum(F.size(F.coalesce("items", F.expr("array()")))), F.lit(0))).first()[0]
+    got = base.drop("short", "chosen").join(F.broadcast(found) if size <= broadcast_hits else found, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items_of = F.coalesce("items", F.expr("array()").cast("array<string>"))
     return got.select("id", "n_words", n_hit.alias("n_hit"), F.size(items_of).cast("long").alias("n_items"),

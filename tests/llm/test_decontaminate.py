@@ -2,10 +2,12 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from sightline.llm import decontaminate
+from sightline.session import scratch_folder
 
 SCHEMA = "doc_id long, text string, n_words string, item_id int, row long"
 ITEMS = "item_id long, text string, fp int"
@@ -73,6 +75,27 @@ def test_contaminated_rows_go(spark):
         [(2, "clean text"), (2, "clean text"), (None, "other"), (3, None), docs[-1]], key=repr)
 
 
+@pytest.mark.parametrize("hits", [0, 200_000])
+def test_few_rows_are_few_files_whatever_the_shuffle(spark, hits):
+    docs, items = planted(4, [2, 6])
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = lambda: set(Path(scratch_folder(spark).removeprefix("file:")).glob("*/part-*.parquet"))
+    try:
+        before = parts()
+        got = decontaminate.contamination(
+            spark.createDataFrame([(*d, "", 1, 2) for d in docs], SCHEMA).coalesce(1),
+            spark.createDataFrame([(*i, 0) for i in items], ITEMS).coalesce(1), broadcast_hits=hits)
+        rows = [(r.id, r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in got.collect()]
+        assert len(parts() - before) <= 6  # a table each
+        assert hits == 0 or got.rdd.getNumPartitions() <= 8  # documents stay where they are
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(rows, key=repr) == brute(docs, items)
+
+
 def test_empty_tables(spark):
     empty, none = spark.createDataFrame([], SCHEMA), spark.createDataFrame([], ITEMS)
     assert decontaminate.contamination(empty, none).count() == 0
