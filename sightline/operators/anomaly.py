@@ -17,7 +17,7 @@ from sightline.functions.counts import row_hash
 from sightline.functions.quantiles import exact_quantiles
 from sightline.functions.ranks import with_position
 from sightline.operators.models import Projection, complete_rows, standard_columns
-from sightline.session import cut_lineage
+from sightline.session import cut_lineage, small_side
 from sightline.types import num, numeric_names
 
 SEED = 42
@@ -314,70 +314,172 @@ def _touching(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tup
 
 
 def _tree_clusters(points: DataFrame, axes: list[str], eps: float, min_samples: int, leaf: int = space.LEAF) -> DataFrame:
-    """axes, root, core: the cluster of every place that has one, from pairs of boxes within eps.
+    """axes, root, core: the cluster of every place that has one, from a tree of boxes.
 
-    Where two boxes lie wholly within eps of each other (a dense region is few such pairs), their rows are counted and linked
-    as sums and leaders of boxes, and handed down to the points; only points of other neighbouring leaves are compared.
+    Points of a leaf are compared with each other first, which settles dense regions: only points with too few rows in their
+    own leaf ask the leaves around, and only core points whose parts are not yet known to hang together are compared across
+    leaves. A place is core, linked or on a border by its own distances in the end.
     """
-    square = eps * eps
+    square, d = eps * eps, len(axes)
     located = points.select(F.monotonically_increasing_id().alias("pid"), "w", F.array(*axes).alias("x"))
-    tree = space.grow(cut_lineage(located), len(axes), leaf)
-    full, opened = space.pairs_within(tree, eps)
-    both = full.select(F.col("a_node").alias("node"), F.col("b_node").alias("other"), F.col("b_w").alias("w")).unionByName(
-        full.where("a_node <> b_node").select(F.col("b_node").alias("node"), F.col("a_node").alias("other"), F.col("a_w").alias("w")))
-    above = tree.nodes.where("leaf").select(F.col("node").alias("leaf"), F.explode(space.ancestors("node")).alias("node"))
-
-    def handed_down(of_nodes: DataFrame, value: Column, name: str) -> DataFrame:
-        """leaf, ``name``: what a leaf and the nodes above it have, put together by ``value``."""
-        return above.join(of_nodes, "node").groupBy("leaf").agg(value.alias(name))
-
-    def seen(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = space.squares(np.stack(a["x"]), np.stack(b["x"])) <= square
-        out = [pd.DataFrame({"pid": a["pid"], "seen": near @ b["w"].to_numpy()})]
-        if not same:
-            out.append(pd.DataFrame({"pid": b["pid"], "seen": a["w"].to_numpy() @ near}))
-        return pd.concat(out)
-
-    by_point = space.compared(tree.points, opened, seen, "pid bigint, seen bigint").groupBy("pid").agg(F.sum("seen").alias("seen"))
-    by_leaf = handed_down(both.groupBy("node").agg(F.sum("w").alias("w")), F.sum("w"), "all")
-    counted = tree.points.join(by_point, "pid", "left").join(by_leaf, "leaf", "left").select(
-        "pid", "w", "x", "leaf", (F.coalesce("seen", F.lit(0)) + F.coalesce("all", F.lit(0)) >= min_samples).alias("core"))
+    tree = space.grow(located, d, leaf)
+    above = cut_lineage(tree.nodes.where("leaf").select(F.col("node").alias("leaf"), F.explode(space.ancestors("node")).alias("node")))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(pdf["x"])
+        return pdf.assign(seen=(space.squares(x, x) <= square) @ pdf["w"].to_numpy())
+
+    counted = cut_lineage(tree.points.groupBy("leaf").applyInPandas(
+        inside, "pid bigint, w bigint, x array<double>, leaf string, seen bigint").withColumn("core", F.col("seen") >= min_samples))
+    loose = counted.where("not core")
+    boxes = cut_lineage(tree.nodes.where("leaf").select(F.col("node").alias("leaf"), "lo", "hi", "w"))
+
+    def reached_by(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+        some, every = space.near(asked, there, eps)
+        some &= asked["leaf"].to_numpy()[:, None] != there["leaf"].to_numpy()[None]
+        every &= some
+        sure = every @ there["w"].to_numpy()
+        i, j = np.nonzero(some & (sure < min_samples)[:, None])  # where whole boxes suffice, no others are asked
+        enough = np.flatnonzero(sure >= min_samples)
+        return pd.DataFrame({"leaf": asked["leaf"].to_numpy()[np.r_[i, enough]],
+                             "other": np.r_[there["leaf"].to_numpy()[j], np.full(len(enough), None, dtype="object")],
+                             "sure": np.r_[np.where(every[i, j], there["w"].to_numpy()[j], 0), sure[enough]], "full": np.r_[every[i, j], enough >= 0]})
+
+    reached = cut_lineage(space.joined_boxes(loose.groupBy("leaf").agg(*space.box(d)), boxes, above, d, eps, reached_by,
+                                             "leaf string, other string, sure bigint, full boolean"))
+    sure = small_side(cut_lineage(reached.groupBy("leaf").agg(F.sum("sure").alias("sure"))))
+    loose = loose.join(sure, "leaf", "left").select(
+        "pid", "x", "leaf", (F.col("seen") + F.coalesce("sure", F.lit(0))).alias("seen"))
+    opened = reached.where("not full").select("leaf", "other")
+    there = boxes.select(F.col("leaf").alias("other"), "lo", "hi", F.col("w").alias("there"))
+    touched = loose.where(F.col("seen") < min_samples).join(opened, "leaf").join(small_side(there), "other")
+    touched = cut_lineage(space.within(touched, "x", "x", "lo", "hi", eps).select(
+        "pid", "x", F.col("other").alias("leaf"), "there", F.col("full").alias("whole")))
+    loose = cut_lineage(loose.join(touched.where("whole").groupBy("pid").agg(F.sum("there").alias("sure")), "pid", "left").select(
+        "pid", (F.col("seen") + F.coalesce("sure", F.lit(0))).alias("seen")))
+    visits = touched.where("not whole").join(loose.where(F.col("seen") < min_samples), "pid").select("pid", "x", "leaf")
+
+    def seen(came: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+        near = space.squares(np.stack(came["x"]), np.stack(host["x"])) <= square
+        return pd.DataFrame({"pid": came["pid"], "more": near @ host["w"].to_numpy()})
+
+    found = space.visited(visits, tree.points, seen, "pid bigint, more bigint").groupBy("pid").agg(F.sum("more").alias("more"))
+    late = cut_lineage(loose.join(found, "pid", "left").where(F.col("seen") + F.coalesce("more", F.lit(0)) >= min_samples).select(
+        "pid", F.lit(True).alias("late")))
+    counted = counted.join(late, "pid", "left").select("pid", "w", "x", "leaf", (F.col("core") | F.coalesce("late", F.lit(False))).alias("core"))
     counted = cut_lineage(counted)
-    core = counted.where("core").drop("core")
-
-    def linked(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = space.squares(np.stack(a["x"]), np.stack(b["x"])) <= square
-        found = np.array(_touching(near, a["pid"].to_numpy(np.int64), b["pid"].to_numpy(np.int64)), dtype=np.int64)
-        return pd.DataFrame(found.reshape(-1, 2), columns=["a0", "b0"])
-
-    leaders = core.groupBy("leaf").agg(F.min("pid").alias("pid")).join(above, "leaf").groupBy("node").agg(F.min("pid").alias("lead"))
-    partners = cut_lineage(both.select("node", "other").join(leaders.toDF("other", "far"), "other").groupBy("node", "other").agg(
-        F.min("far").alias("far")))
-    edges = space.compared(core, opened, linked, "a0 bigint, b0 bigint").unionByName(
-        partners.join(leaders, "node").select(F.col("lead").alias("a0"), F.col("far").alias("b0"))).unionByName(
-        core.join(handed_down(partners.groupBy("node").agg(F.min("far").alias("far")), F.collect_set("far"), "fars"), "leaf").select(
-            F.col("pid").alias("a0"), F.explode("fars").alias("b0")))
-    labels = _components(core.select("pid"), edges.where("a0 <> b0"), ["pid"])
-    rooted = cut_lineage(core.join(labels, "pid"))
-
-    def claimed(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
-        near = space.squares(np.stack(a["x"]), np.stack(b["x"])) <= square
-        roots, order = b["root"].to_numpy(), np.argsort(b["root"].to_numpy())
-        first = near[:, order].argmax(axis=1)
+
+    core, labels = _core_labels(counted.where("core").drop("core"), above, d, eps, leaf)
+    rooted = cut_lineage(core.join(small_side(labels), "part").select("pid", "x", "leaf", "root"))
+
+    def claimed(came: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(host["root"].to_numpy())
+        near = (space.squares(np.stack(came["x"]), np.stack(host["x"])) <= square)[:, order]
         hit = near.any(axis=1)
-        return pd.DataFrame({"pid": a["pid"].to_numpy()[hit], "root": roots[order][first][hit]})
-
-    thin = counted.where("not core").drop("core")
-    least = rooted.groupBy("leaf").agg(F.min("root").alias("root")).join(above, "leaf").groupBy("node").agg(F.min("root").alias("root"))
-    near_nodes = both.select("node", "other").join(least.toDF("other", "root"), "other").groupBy("node").agg(F.min("root").alias("root"))
-    border = space.compared(thin, opened, claimed, "pid bigint, root string", rooted).unionByName(
-        thin.join(handed_down(near_nodes, F.min("root"), "root"), "leaf").select("pid", "root"))
-    border = border.groupBy("pid").agg(F.min("root").alias("root")).join(thin.select("pid", "x"), "pid")
+        return pd.DataFrame({"pid": came["pid"].to_numpy()[hit], "root": host["root"].to_numpy()[order][near.argmax(axis=1)[hit]]})
+
+    thin = counted.where("not core").select("pid", "x", "leaf")
+    reached = reached.where("other is not null").select("leaf", "other").unionByName(
+        thin.select("leaf").distinct().select("leaf", F.col("leaf").alias("other")))
+    there = small_side(cut_lineage(rooted.groupBy("leaf").agg(*space.box(d)).withColumnRenamed("leaf", "other")))
+    visits = cut_lineage(space.within(thin.join(reached, "leaf").join(there, "other"), "x", "x", "lo", "hi", eps).select(
+        "pid", "x", F.col("other").alias("leaf")))
+    border = space.visited(visits, rooted, claimed, "pid bigint, root string").groupBy("pid").agg(F.min("root").alias("root"))
+    border = border.join(thin, "pid")
     known = rooted.select("x", "root", F.lit(True).alias("core")).unionByName(
         border.select("x", "root", F.lit(False).alias("core")))
     return known.select(*[F.col("x")[i].alias(a) for i, a in enumerate(axes)], "root", "core")
 
 
+PICKED = 16  # core points that stand for a part of a leaf when parts are first put together
+
+
+def _core_labels(core: DataFrame, above: DataFrame, d: int, eps: float, leaf: int) -> tuple[DataFrame, DataFrame]:
+    """(core with its part, part and root): the parts of leaves that hang together within eps, from core points pid, w, x, leaf.
+
+    Parts are put together by some points of each, looked at in leaves that are cut elsewhere, and by boxes no wider than eps.
+    Two boxes under one root need no look after that. What is left is compared in whole, the nearest boxes of two roots first.
+    """
+    square = eps * eps
+
+    def parts_of(pdf: pd.DataFrame, ids: np.ndarray) -> np.ndarray:
+        """The smallest of ``ids`` that hangs together with each point."""
+        x = np.stack(pdf["x"])
+        least = dict(_touching(space.squares(x, x) <= square, ids, ids))
+        return np.array([least.get(i, i) for i in ids.tolist()], dtype=np.int64)
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pid")
+        pdf = pdf.assign(part=parts_of(pdf, pdf["pid"].to_numpy(np.int64)))
+        place, size = pdf.groupby("part").cumcount(), pdf.groupby("part")["pid"].transform("size")
+        return pdf.assign(picked=(place * PICKED // size) > ((place - 1) * PICKED // size))
+
+    core = cut_lineage(core.groupBy("leaf").applyInPandas(
+        cut, "pid bigint, w bigint, x array<double>, leaf string, part bigint, picked boolean"))
+    parts = cut_lineage(core.groupBy("leaf", "part").agg(F.count(F.lit(1)).alias("k"), *space.box(d)))
+
+    # points that stand for their parts, in leaves cut at other places
+    other = space.grow(core.where("picked").select("pid", "w", "x", "part"), d, leaf, ways=5)
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(a0=pdf["part"], b0=parts_of(pdf, pdf["pid"].to_numpy(np.int64)))
+        part = dict(zip(pdf["pid"], pdf["part"]))
+        return pd.DataFrame({"a0": pdf["a0"], "b0": pdf["b0"].map(part)}).drop_duplicates()
+
+    picked = other.points.groupBy("leaf").applyInPandas(met, "a0 bigint, b0 bigint")
+
+    narrow = parts.join(small_side(above), "leaf").groupBy("node").agg(
+        F.array(*[F.min(F.col("lo")[i]) for i in range(d)]).alias("lo"), F.array(*[F.max(F.col("hi")[i]) for i in range(d)]).alias("hi"),
+        F.min("part").alias("lead"))
+    narrow = space.within(narrow, "lo", "hi", "lo", "hi", eps).where("full").select("node", "lead")
+    boxed = parts.join(small_side(above), "leaf").join(narrow, "node").select(F.col("part").alias("a0"), F.col("lead").alias("b0"))
+    labels = _components(parts.select("part"), cut_lineage(picked.unionByName(boxed).where("a0 <> b0").distinct()), ["part"])
+
+    def linked(came: pd.DataFrame, host: pd.DataFrame) -> pd.DataFrame:
+        near = space.squares(np.stack(came["x"]), np.stack(host["x"])) <= square
+        a, b = came["root"].to_numpy(), host["root"].to_numpy()
+        found = [(r, s) for r in pd.unique(a) for s in pd.unique(b[near[a == r].any(axis=0)]) if r != s]
+        return pd.DataFrame(found, columns=["a0", "b0"], dtype="object")
+
+    def pairs_of(first: bool):
+        def meet(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+            """Parts of the smaller of two clusters (in places) with those of the larger; the nearest one of a cluster if ``first``."""
+            some, every = space.near(asked, there, eps)
+            (a, p), (b, q) = [(t["root"].to_numpy(), t["all"].to_numpy()) for t in (asked, there)]
+            some &= (p[:, None] < q[None]) | ((p[:, None] == q[None]) & (a[:, None] < b[None]))
+            i, j = np.nonzero(some)
+            middle = [(np.stack(t["lo"]) / 2 + np.stack(t["hi"]) / 2) for t in (asked, there)]
+            found = pd.DataFrame({"part": asked["part"].to_numpy()[i], "root": a[i], "to": there["leaf"].to_numpy()[j], "host": b[j],
+                                  "lo": there["lo"].to_numpy()[j], "hi": there["hi"].to_numpy()[j], "full": every[i, j],
+                                  "far": ((middle[0][i] - middle[1][j]) ** 2).sum(axis=1)})
+            return found.sort_values(["far", "to"]).drop_duplicates(["part", "host"]) if first else found
+
+        return meet
+
+    schema = "part bigint, root string, to string, host string, lo array<double>, hi array<double>, full boolean, far double"
+    for first in (True, False):
+        now = cut_lineage(parts.join(small_side(labels), "part"))
+        sized = cut_lineage(now.join(now.groupBy("root").agg(F.sum("k").alias("all")), "root").select("leaf", "part", "root", "all", "lo", "hi"))
+        pairs = cut_lineage(space.joined_boxes(sized, sized, above, d, eps, pairs_of(first), schema))
+        if pairs.isEmpty():
+            break
+        if first:
+            pairs = pairs.withColumn("place", F.row_number().over(Window.partitionBy("part", "host").orderBy("far", "to"))).where("place = 1")
+        open_pairs = pairs.where("not full").select("part", "root", F.col("to").alias("leaf"), "lo", "hi")
+        visits = space.within(core.select("pid", "x", "part").join(open_pairs, "part"), "x", "x", "lo", "hi", eps).select(
+            "pid", "x", "root", "leaf").dropDuplicates(["pid", "leaf"])
+        hosts = core.select("x", "leaf", "part").join(small_side(labels), "part").select("x", "leaf", "root")
+        edges = space.visited(cut_lineage(visits), hosts, linked, "a0 string, b0 string").unionByName(
+            pairs.where("full").select(F.col("root").alias("a0"), F.col("host").alias("b0")))
+        edges = cut_lineage(edges.distinct())
+        if edges.isEmpty():
+            continue
+        joined = _components(now.select(F.col("root").alias("old")).distinct(), edges, ["old"])
+        labels = cut_lineage(labels.join(joined.select(F.col("old").alias("root"), F.col("root").alias("new")), "root").select(
+            "part", F.col("new").alias("root")))
+    return core, labels
+
+
 def _cell_links(core: DataFrame, dense: DataFrame, cells: list[str], axes: list[str], eps: float, near) -> DataFrame:
     """Pairs of different core cells that hold core points within eps of each other.
 

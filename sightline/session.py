@@ -49,9 +49,17 @@ def scratch_folder(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the scratch folder."""
+    """Reliable checkpoint in the scratch folder.
+
+    A checkpoint keeps the planner's guess of its size. Every join multiplies the guesses of its sides, so that over some rounds
+    they get millions of digits and planning takes longer than the work; a guess beyond any table is forgotten.
+    """
     scratch_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    kept = df.checkpoint(eager=True)
+    plan = kept._jdf.queryExecution()
+    if plan.logical().stats().sizeInBytes() < 1 << 62:
+        return kept
+    return DataFrame(df.sparkSession._jsparkSession.internalCreateDataFrame(plan.toRdd(), kept._jdf.schema(), False), df.sparkSession)
 
 
 def small_side(df: DataFrame) -> DataFrame:

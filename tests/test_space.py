@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions import space
 from sightline.operators import anomaly
+from sightline.session import cut_lineage
 from tests.test_limits import brute_dbscan
 
 
@@ -127,3 +128,35 @@ def test_equally_near_points_come_by_id():
     ids = np.array([5, 9, 3, 7, 1])
     got = anomaly._nearest(p[:1], ids[:1], np.array([2]), np.array([np.inf]), p, ids, np.ones(5, int))
     assert got == [[(1.0, 3, 1), (1.0, 7, 1)]]
+
+
+def test_size_guesses_do_not_grow_over_rounds(spark):
+    df = cut_lineage(spark.range(4).select("id", F.col("id").alias("to")))
+    for _ in range(4):
+        df = cut_lineage(df.alias("a").join(df.alias("b"), F.col("a.to") == F.col("b.id")).select("a.id", "b.to"))
+    assert sorted((r["id"], r["to"]) for r in df.collect()) == [(i, i) for i in range(4)]
+    df = cut_lineage(spark.createDataFrame([(i, i) for i in range(4)], "id long, to long"))
+    for _ in range(4):
+        df = cut_lineage(df.join(df.toDF("to", "far"), "to").select("id", F.col("far").alias("to")))
+    assert df._jdf.queryExecution().logical().stats().sizeInBytes() < 1 << 63 and df.count() == 4
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_tree_dbscan_of_many_clusters(spark, least):
+    x = np.random.default_rng(least).uniform(0, 10, (300, 3))
+    names, df = table(spark, x)
+    points = df.groupBy(*names).agg(F.count(F.lit(1)).alias("w"))
+    got = {r["id"]: r["root"] for r in df.join(anomaly._tree_clusters(points, names, 1.1, least, leaf=10), names, "left").collect()}
+    numbers = {root: n for n, root in enumerate(sorted({v for v in got.values() if v is not None}))}
+    assert len(numbers) > 3
+    same_clusters(np.array([numbers.get(got[i], -1) for i in range(len(x))]), x, 1.1, least)
+
+
+def test_crowded_leaves_are_not_compared_with_each_other(spark, monkeypatch):
+    x = np.random.default_rng(6).uniform(0, 1, (2500, 4))
+    names, df = table(spark, x)
+    visits, visited = [], space.visited
+    monkeypatch.setattr(space, "visited", lambda v, *rest: visits.append(v.count()) or visited(v, *rest))
+    known = anomaly._tree_clusters(df.groupBy(*names).agg(F.count(F.lit(1)).alias("w")), names, 0.5, 5, leaf=100)
+    assert known.where("core").count() == 2500 and known.select("root").distinct().count() == 1
+    assert sum(visits) < 2500  # all pairs of leaves lie within eps, most points need no other leaf
